@@ -87,11 +87,11 @@ def pairing_coverage(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
     """Distinct parent ids referenced by brand replies; customer rows and
     distinct customer ids found for them."""
     parents = pairing.brand_replies(messages, brands).select("parent_tweet_id")
-    referenced = parents.agg(F.countDistinct("parent_tweet_id").alias("referenced_customer_ids"))
-    matched = (pairing.answered_customer_messages(messages, brands)
-               .agg(F.count(F.lit(1)).alias("matched_customer_rows"),
-                    F.countDistinct("tweet_id").alias("matched_customer_ids")))
-    return referenced.crossJoin(matched)  # 1 row x 1 row
+    referenced = parents.agg(F.countDistinct("parent_tweet_id")).scalar()
+    return (pairing.answered_customer_messages(messages, brands)
+            .agg(F.count(F.lit(1)).alias("matched_customer_rows"),
+                 F.countDistinct("tweet_id").alias("matched_customer_ids"))
+            .select(referenced.alias("referenced_customer_ids"), "*"))
 
 
 def response_diversity(pairs: DataFrame) -> DataFrame:

@@ -1 +1,257 @@
-"""Further registered queries (lexicon, evaluation, retrieval, prompts)."""
+"""Registered queries: lexicon, policy, replies, evaluation, sampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from carelens.functions import lexicon as lx
+from carelens.functions import policy, text
+from carelens.operators import evaluation as ev
+from carelens.operators import pairing, profiling, sampling
+from carelens.plans.catalog import messages, pairs, register
+from carelens.sources import readers
+from carelens.sources.adapter import BRAND, BRANDS
+from carelens.sources.tables import table
+
+GOLDEN_SIZE = 200
+TRAINING_SIZE = 5000
+INTENT_SAMPLE_SIZE = 1000
+SEED = 42
+
+
+# --------------------------------------------------------------------
+# Derived inputs (every one starts from the driver tables)
+# --------------------------------------------------------------------
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer messages, keep-last per id."""
+    return pairing.keep_last(
+        pairing.customer_messages(messages(spark, sf_dir))
+        .select("tweet_id", "author_id", "text", "created_at", "seq"))
+
+
+def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer messages with the ordered-rule intent as the label and the
+    README keyword baseline as the prediction."""
+    c = customers(spark, sf_dir)
+    return c.select(F.col("tweet_id").alias("customer_tweet_id"),
+                    F.col("text").alias("customer_text"),
+                    lx.label_column(F.col("text")).alias("intent"),
+                    lx.label_column(F.col("text"), lx.KEYWORD_BASELINE_RULES).alias("predicted_intent"))
+
+
+def _eval_view(spark, sf_dir) -> DataFrame:
+    return intent_eval(spark, sf_dir).withColumnsRenamed(
+        {"intent": "actual", "predicted_intent": "predicted"})
+
+
+def spotify_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs(spark, sf_dir, [BRAND]).drop("brand")
+
+
+def intent_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 1000 brand pairs (explicit order: reply id)."""
+    return profiling.first_rows(spotify_pairs(spark, sf_dir), ["brand_tweet_id"], INTENT_SAMPLE_SIZE)
+
+
+def golden_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hash_sample(intent_sample(spark, sf_dir), GOLDEN_SIZE, "brand_tweet_id", SEED)
+
+
+def training_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.hash_sample(spotify_pairs(spark, sf_dir), TRAINING_SIZE, "brand_tweet_id", SEED)
+
+
+# --------------------------------------------------------------------
+# Lexicon, policy, replies
+# --------------------------------------------------------------------
+
+@register()
+def weak_label(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select("brand_tweet_id", "customer_tweet_id", "customer_text",
+                    lx.label_column(F.col("customer_text")).alias("intent"),
+                    lx.rule_index_column(F.col("customer_text")).alias("rule_priority"))
+
+
+@register()
+def label_distribution(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return (p.groupBy(lx.label_column(F.col("customer_text")).alias("intent"))
+            .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "intent"))
+
+
+@register()
+def keyword_baseline(spark, sf_dir):
+    return intent_eval(spark, sf_dir).select("customer_tweet_id", "customer_text", "predicted_intent")
+
+
+@register()
+def clean_reply(spark, sf_dir):
+    r = pairing.brand_replies(messages(spark, sf_dir), BRANDS)
+    return r.select("brand_tweet_id", "brand_text", text.clean_reply(F.col("brand_text")).alias("clean_text"))
+
+
+@register()
+def useful_reply(spark, sf_dir):
+    r = pairing.brand_replies(messages(spark, sf_dir), BRANDS)
+    cleaned = text.clean_reply(F.col("brand_text"))
+    return r.select("brand_tweet_id", cleaned.alias("clean_text"),
+                    policy.is_useful_reply(cleaned).alias("useful"))
+
+
+def _decisions(spark, sf_dir) -> DataFrame:
+    e = intent_eval(spark, sf_dir)
+    d = policy.handling(F.col("predicted_intent"), F.col("customer_text"))
+    return e.select("customer_tweet_id", "customer_text", "intent", "predicted_intent",
+                    d.decision.alias("decision"), d.reason.alias("reason"), d.basis.alias("basis"))
+
+
+@register()
+def handling_decision(spark, sf_dir):
+    return _decisions(spark, sf_dir).select("customer_tweet_id", "predicted_intent",
+                                            "decision", "reason", "basis")
+
+
+@register()
+def handling_counts(spark, sf_dir):
+    d = _decisions(spark, sf_dir)
+    return d.agg(F.count_if(F.col("decision") == lx.AUTO_HANDLE).cast("bigint").alias("auto_handle"),
+                 F.count_if(F.col("decision") == lx.ESCALATE).cast("bigint").alias("escalate"),
+                 F.count(F.lit(1)).alias("total"),
+                 F.count_if(F.col("basis") == "intent").cast("bigint").alias("escalate_by_intent"),
+                 F.count_if(F.col("basis") == "pattern").cast("bigint").alias("escalate_by_pattern"))
+
+
+def _safety(spark, sf_dir) -> DataFrame:
+    """Policy cases from the data: the decision under the reference
+    (rule) intent is the expectation, the decision under the predicted
+    intent is the outcome."""
+    e = intent_eval(spark, sf_dir)
+    expected = policy.handling(F.col("intent"), F.col("customer_text")).decision
+    actual = policy.handling(F.col("predicted_intent"), F.col("customer_text")).decision
+    return e.select(expected.alias("expected_decision"), actual.alias("actual_decision"))
+
+
+def safety_summary(cases: DataFrame) -> DataFrame:
+    passed = F.count_if(F.col("expected_decision") == F.col("actual_decision")).cast("bigint")
+    return cases.agg(passed.alias("passed"), F.count(F.lit(1)).alias("total")).select(
+        "passed", "total",
+        F.round(F.coalesce(F.try_divide(F.col("passed") * 100.0, F.col("total")), F.lit(0.0)), 6)
+        .alias("safety_score"))
+
+
+@register()
+def safety_score(spark, sf_dir):
+    return safety_summary(_safety(spark, sf_dir))
+
+
+@register()
+def trust_gate(spark, sf_dir):
+    acc = ev.accuracy(_eval_view(spark, sf_dir)).select(
+        F.round(F.col("accuracy") * 100.0, 6).alias("intent_accuracy_pct")).scalar()
+    s = safety_summary(_safety(spark, sf_dir))
+    return s.select(acc.alias("intent_accuracy_pct"),
+                    F.col("safety_score").alias("safety_score_pct"),
+                    F.when(F.col("safety_score") >= lx.SAFETY_PASS_THRESHOLD, "PASS")
+                    .otherwise("NEEDS IMPROVEMENT").alias("safety_assessment"))
+
+
+# --------------------------------------------------------------------
+# Evaluation kit
+# --------------------------------------------------------------------
+
+@register()
+def prediction_table(spark, sf_dir):
+    e = intent_eval(spark, sf_dir)
+    return e.select("customer_tweet_id", "customer_text", "intent", "predicted_intent",
+                    F.col("intent").eqNullSafe(F.col("predicted_intent")).alias("correct"))
+
+
+@register()
+def intent_accuracy(spark, sf_dir):
+    return ev.accuracy(_eval_view(spark, sf_dir))
+
+
+@register()
+def intent_f1(spark, sf_dir):
+    return ev.f1_summary(_eval_view(spark, sf_dir))
+
+
+@register()
+def classification_report(spark, sf_dir):
+    return ev.classification_report(_eval_view(spark, sf_dir))
+
+
+@register()
+def confusion_matrix(spark, sf_dir):
+    return ev.confusion_matrix_long(_eval_view(spark, sf_dir))
+
+
+@register()
+def confusion_pairs(spark, sf_dir):
+    return ev.confusion_pairs(_eval_view(spark, sf_dir))
+
+
+@register()
+def misclassified(spark, sf_dir):
+    return ev.misclassified(intent_eval(spark, sf_dir), "customer_tweet_id",
+                            "intent", "predicted_intent")
+
+
+@register()
+def majority_baseline(spark, sf_dir):
+    return ev.majority_baseline(_eval_view(spark, sf_dir))
+
+
+# --------------------------------------------------------------------
+# Sources, sampling and leakage
+# --------------------------------------------------------------------
+
+@register()
+def resolve_columns(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    col = readers.resolve_column(b, readers.TEXT_CANDIDATES)
+    return b.select("item_id", F.col(col).alias("customer_text"))
+
+
+@register()
+def load_history(spark, sf_dir):
+    return readers.load_history(pairing.pairs_as_strings(pairs(spark, sf_dir)), strip=True)
+
+
+@register()
+def sample_golden(spark, sf_dir):
+    return pairing.pairs_as_strings(golden_sample(spark, sf_dir))
+
+
+@register()
+def golden_template(spark, sf_dir):
+    g = golden_sample(spark, sf_dir)
+    return g.select("customer_tweet_id", "customer_text", F.lit("").alias("intent"))
+
+
+@register()
+def sample_training(spark, sf_dir):
+    return pairing.pairs_as_strings(training_sample(spark, sf_dir))
+
+
+@register()
+def training_without_golden(spark, sf_dir):
+    t = training_sample(spark, sf_dir)
+    g = golden_sample(spark, sf_dir).select("customer_tweet_id")
+    return pairing.pairs_as_strings(t.join(g, "customer_tweet_id", "left_anti"))
+
+
+@register()
+def leakage_check(spark, sf_dir):
+    t = training_sample(spark, sf_dir)
+    g = golden_sample(spark, sf_dir).select("customer_tweet_id").distinct()
+    flagged = t.join(g.withColumn("in_golden", F.lit(True)), "customer_tweet_id", "left")
+    golden_rows = golden_sample(spark, sf_dir).agg(F.count(F.lit(1))).scalar()
+    return flagged.agg(
+        F.count(F.lit(1)).alias("training_rows"),
+        F.count_if(F.col("in_golden")).cast("bigint").alias("overlapping_rows"),
+        F.count_distinct(F.when(F.col("in_golden"), F.col("customer_tweet_id"))).alias("overlapping_ids"),
+    ).select(golden_rows.alias("golden_rows"), "*")
