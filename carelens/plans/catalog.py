@@ -111,5 +111,5 @@ def first_pairs(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from carelens.plans import catalog_more  # noqa: F401  (registers more)
+    from carelens.plans import catalog_more, catalog_text  # noqa: F401  (register more)
     return dict(REGISTRY)

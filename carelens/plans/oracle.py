@@ -42,7 +42,7 @@ base AS (
                 || {pick(ASSISTANT_CLOSERS, 'c.conv_id % 4')}
                 || ' https://t.co/' || CAST(c.conv_id AS VARCHAR) || ' /'
                 || {pick(AGENT_INITIALS, 'c.turn % 3')}
-              WHEN c.role = 'user' THEN c.text || {pick(USER_SENTENCES, '(c.conv_id + c.turn) % 12')}
+              WHEN c.role = 'user' THEN c.text || {pick(USER_SENTENCES, '(2 * (c.conv_id % 5) + c.turn // 2) % 12')}
               ELSE c.text END AS text,
          CASE WHEN c.turn > 0 THEN c.conv_id * 1000 + c.turn - 1 END AS in_response_to_tweet_id,
          CASE WHEN EXISTS (SELECT 1 FROM conversations n

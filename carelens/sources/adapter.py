@@ -24,7 +24,8 @@ Rules:
 * Text decoration so the cleaning, usefulness and rule operators have
   work: assistant turns get a handle, a closing sentence, a URL and agent
   initials; user turns get a support sentence picked by
-  ``(conv_id + turn) % 12``.
+  ``(2 * (conv_id % 5) + turn / 2) % 12`` (integer division), so each
+  brand's customers raise their own mix of topics.
 """
 
 from __future__ import annotations
@@ -84,7 +85,8 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
         F.lit(" https://t.co/"), conv.cast("string"), F.lit(" /"),
         _pick(AGENT_INITIALS, turn % 3),
     )
-    user_text = F.concat(F.col("text"), _pick(USER_SENTENCES, (conv + turn) % 12))
+    topic = (F.lit(2) * (conv % 5) + F.floor(turn / 2)) % 12
+    user_text = F.concat(F.col("text"), _pick(USER_SENTENCES, topic))
 
     base = c.select(
         conv.alias("conv_id"),
