@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.operators import vectors
+from carelens.session import materialize
 
 ALL_BLOCK = "__all__"
 # Broadcast the query postings only below this many rows (~32 bytes of
@@ -91,12 +92,16 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     intent, plus any payload columns (returned with each hit).
     Output: qid, block, rank, doc_id, similarity, payload...
     """
+    # Both inputs feed several branches (fit, blocks, pads, payload):
+    # write each once instead of re-deriving it per branch.
+    history = materialize(history)
     index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
-    q = assign_blocks(queries, history)
-    qv = (vectors.transform(q, "qid", "text", index.vocab)
+    vocab = materialize(index.vocab)
+    q = materialize(assign_blocks(queries, history))
+    qv = (vectors.transform(q, "qid", "text", vocab)
           .join(q.select(F.col("qid").alias("id"), "block"), "id")
           .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
-    dv = (index.weights.join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
+    dv = (vectors.weigh(vectors.term_counts(history, "doc_id", "text"), vocab).join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
           .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
     small = qv.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows
     hits = _top_k(_scores(qv, dv, small), k).select("qid", "doc_id", "similarity")

@@ -171,3 +171,32 @@ def judge_merge(spark, sf_dir):
     existing = rows.filter(F.col("request_id") % 2 == 0).withColumn("batch", F.lit("existing"))
     new = rows.filter(F.col("request_id") % 2 == 1).withColumn("batch", F.lit("new"))
     return judging.merge(existing, new)
+
+
+# --------------------------------------------------------------------
+# Classifier (rows-only oracle: an iterative fit has no SQL twin)
+# --------------------------------------------------------------------
+
+def trained_model(spark, sf_dir):
+    from carelens.operators import classifier
+    h = retrieval_history(spark, sf_dir)
+    return classifier.train(h, "doc_id", "text", "intent")
+
+
+@register()
+def train_intent_model(spark, sf_dir):
+    """Training-set predictions of the fitted model next to the weak labels."""
+    from carelens.operators import classifier
+    h = retrieval_history(spark, sf_dir)
+    model = classifier.train(h, "doc_id", "text", "intent")
+    pred = classifier.predict(model, h, "doc_id", "text")
+    return h.select("doc_id", "intent").join(pred, "doc_id")
+
+
+@register()
+def predict_intent(spark, sf_dir):
+    """Model intent for every incoming message (batch scoring, once)."""
+    from carelens.operators import classifier
+    model = trained_model(spark, sf_dir)
+    q = retrieval_queries(spark, sf_dir)
+    return classifier.predict(model, q, "qid", "text")

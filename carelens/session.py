@@ -62,3 +62,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    Used where one derived input feeds several branches of a plan: the
+    branches then scan the written files instead of re-deriving it, and
+    the lineage is cut, so losing an executor later does not replay the
+    whole chain. Reliable checkpoint, never a local one.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
