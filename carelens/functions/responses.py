@@ -3,11 +3,16 @@
 Responses are parsed JVM-side with the VARIANT functions; instead of
 raising on the first bad row, every row gets an ``error`` code and the
 caller splits good rows from quarantined ones.
+
+Parsing is written as a few ``withColumns`` steps (stripped text, JSON
+body, parsed variant, ...). Each step is referenced several times by the
+next; as separate projections Catalyst keeps them computed once instead
+of inlining one large expression into every use.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.functions import lexicon as lx
@@ -16,69 +21,78 @@ from carelens.functions.text import WS, py_strip
 REQUIRED_AGENT_FIELDS = ["reply", "decision", "reason"]
 
 
-def _strict_object(text: Column):
-    """Variant of a JSON object text; NULL when not valid JSON, not an
-    object, or followed by extra text."""
-    v = F.try_parse_json(text)
-    is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    whole = text.rlike(r"^\{[\s\S]*\}$")
-    return F.when(is_obj & whole, v)
-
-
-def _py_str(v: Column, path: str) -> Column:
+def _py_str(v, path: str):
     """``str(value)`` for string or null JSON values."""
     got = F.try_variant_get(v, path, "string")
     return F.when(F.is_variant_null(F.variant_get(v, path, "variant")), F.lit("None")).otherwise(got)
 
 
-def parse_agent_response(response: Column) -> Column:
-    """struct(reply, decision, reason, error)."""
-    t = py_strip(response)
-    t = F.regexp_replace(t, f"(?i)^```json[{WS}]*", "")
+def parse_agent_responses(df: DataFrame, col: str = "response") -> DataFrame:
+    """Adds reply, decision, reason, error (values NULL when error)."""
+    t = F.regexp_replace(py_strip(F.col(col)), f"(?i)^```json[{WS}]*", "")
     t = F.regexp_replace(t, f"[{WS}]*```$", "")
-    keys = F.json_object_keys(t)
-    v = _strict_object(t)
+    s1 = df.withColumn("_t", t)
+    s2 = s1.withColumns({
+        "_pv": F.try_parse_json(F.col("_t")),
+        "_keys": F.json_object_keys(F.col("_t")),
+    })
+    s2 = s2.withColumn("_v", F.when(F.schema_of_variant(F.col("_pv")).startswith("OBJECT")
+                                    & F.col("_t").rlike(r"^\{[\s\S]*\}$"), F.col("_pv")))
     missing = None
     for f in REQUIRED_AGENT_FIELDS:
-        m = ~F.array_contains(keys, F.lit(f))
+        m = ~F.coalesce(F.array_contains(F.col("_keys"), F.lit(f)), F.lit(False))
         missing = m if missing is None else (missing | m)
-    decision = F.upper(py_strip(_py_str(v, "$.decision")))
-    error = (F.when(v.isNull(), F.lit("invalid_json"))
-             .when(missing, F.lit("missing_fields"))
-             .when(~decision.isin(lx.AUTO_HANDLE, lx.ESCALATE), F.lit("invalid_decision")))
-    ok = error.isNull()
-    return F.struct(F.when(ok, py_strip(_py_str(v, "$.reply"))).alias("reply"),
-                    F.when(ok, decision).alias("decision"),
-                    F.when(ok, py_strip(_py_str(v, "$.reason"))).alias("reason"),
-                    error.alias("error"))
+    s3 = s2.withColumns({
+        "_decision": F.upper(py_strip(_py_str(F.col("_v"), "$.decision"))),
+        "_missing": missing,
+    })
+    error = (F.when(F.col("_v").isNull(), F.lit("invalid_json"))
+             .when(F.col("_missing"), F.lit("missing_fields"))
+             .when(~F.col("_decision").isin(lx.AUTO_HANDLE, lx.ESCALATE), F.lit("invalid_decision")))
+    s4 = s3.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return s4.withColumns({
+        "reply": F.when(ok, py_strip(_py_str(F.col("_v"), "$.reply"))),
+        "decision": F.when(ok, F.col("_decision")),
+        "reason": F.when(ok, py_strip(_py_str(F.col("_v"), "$.reason"))),
+    }).drop("_t", "_pv", "_v", "_keys", "_decision", "_missing")
 
 
-def parse_judge_response(response: Column) -> Column:
-    """struct(score INT, reason, error)."""
-    t = F.regexp_replace(response, "(?i)```json", "")
-    t = F.regexp_replace(t, "```", "")
-    t = py_strip(t)
-    body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
-    v = F.try_parse_json(F.when(body != "", body))
-    keys = F.json_object_keys(body)
-    score_v = F.variant_get(v, "$.score", "variant")
-    kind = F.schema_of_variant(score_v)
-    as_num = F.try_variant_get(v, "$.score", "double")
-    as_text = F.try_variant_get(v, "$.score", "string")
-    score = (F.when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$.score", "boolean"), 1).otherwise(0))
+def parse_judge_responses(df: DataFrame, col: str = "response") -> DataFrame:
+    """Adds score (INT), reason, error (values NULL when error)."""
+    t = F.regexp_replace(F.col(col), "(?i)```json", "")
+    t = py_strip(F.regexp_replace(t, "```", ""))
+    s1 = df.withColumn("_body", F.regexp_extract(t, r"(?s)\{.*\}", 0))
+    s2 = s1.withColumns({
+        "_v": F.try_parse_json(F.when(F.col("_body") != "", F.col("_body"))),
+        "_keys": F.json_object_keys(F.col("_body")),
+    })
+    s3 = s2.withColumns({
+        "_kind": F.schema_of_variant(F.variant_get(F.col("_v"), "$.score", "variant")),
+        "_num": F.try_variant_get(F.col("_v"), "$.score", "double"),
+        "_txt": F.try_variant_get(F.col("_v"), "$.score", "string"),
+        "_bool": F.try_variant_get(F.col("_v"), "$.score", "boolean"),
+    })
+    kind = F.col("_kind")
+    score = (F.when(kind == "BOOLEAN", F.when(F.col("_bool"), 1).otherwise(0))
              .when(kind == "STRING",
-                   F.when(as_text.rlike(f"^[{WS}]*[+-]?[0-9]+[{WS}]*$"),
-                          F.regexp_replace(as_text, f"[{WS}+]", "").try_cast("bigint")))
+                   F.when(F.col("_txt").rlike(f"^[{WS}]*[+-]?[0-9]+[{WS}]*$"),
+                          F.regexp_replace(F.col("_txt"), f"[{WS}+]", "").try_cast("bigint")))
              .when(kind.startswith("DECIMAL") | kind.isin("BIGINT", "DOUBLE", "FLOAT", "INT"),
-                   as_num.try_cast("bigint")))
-    has = lambda k: F.coalesce(F.array_contains(keys, F.lit(k)), F.lit(False))
-    error = (F.when(body == "", F.lit("no_json"))
-             .when(v.isNull(), F.lit("invalid_json"))
+                   F.col("_num").try_cast("bigint")))
+    s4 = s3.withColumn("_score", score)
+
+    def has(k):
+        return F.coalesce(F.array_contains(F.col("_keys"), F.lit(k)), F.lit(False))
+    error = (F.when(F.col("_body") == "", F.lit("no_json"))
+             .when(F.col("_v").isNull(), F.lit("invalid_json"))
              .when(~has("score"), F.lit("missing_score"))
-             .when(score.isNull(), F.lit("invalid_score"))
+             .when(F.col("_score").isNull(), F.lit("invalid_score"))
              .when(~has("reason"), F.lit("missing_reason"))
-             .when((score < 1) | (score > 5), F.lit("score_out_of_range")))
-    ok = error.isNull()
-    return F.struct(F.when(ok, score.cast("int")).alias("score"),
-                    F.when(ok, _py_str(v, "$.reason")).alias("reason"),
-                    error.alias("error"))
+             .when((F.col("_score") < 1) | (F.col("_score") > 5), F.lit("score_out_of_range")))
+    s5 = s4.withColumn("error", error)
+    ok = F.col("error").isNull()
+    return s5.withColumns({
+        "score": F.when(ok, F.col("_score").cast("int")),
+        "reason": F.when(ok, _py_str(F.col("_v"), "$.reason")),
+    }).drop("_body", "_v", "_keys", "_kind", "_num", "_txt", "_bool", "_score")

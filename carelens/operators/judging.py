@@ -46,6 +46,10 @@ def agent_responses(pairs: DataFrame) -> DataFrame:
 def judge_responses(pairs: DataFrame) -> DataFrame:
     """(request_id, response) with seven judge-output shapes."""
     b = F.col("brand_tweet_id")
+    return pairs.select(b.alias("request_id"), _judge_shape(b).alias("response"))
+
+
+def _judge_shape(b: Column) -> Column:
     s = ((b % 5) + 1).cast("string")
     shapes = [
         F.concat(F.lit('{"score": '), s, F.lit(', "reason": "plain"}')),
@@ -56,37 +60,48 @@ def judge_responses(pairs: DataFrame) -> DataFrame:
         F.lit('{"score": "4", "reason": "text"}'),
         F.lit("I cannot score this reply."),
     ]
-    return pairs.select(b.alias("request_id"), _pick(b % 7, shapes).alias("response"))
+    return _pick(b % 7, shapes)
 
 
 def calibration_table(pairs: DataFrame) -> DataFrame:
     """Calibration rows: message, reply, parsed judge score/reason and a
     human score column that may hold non-numeric text."""
-    j = judge_responses(pairs).withColumnRenamed("request_id", "brand_tweet_id")
-    parsed = responses.parse_judge_response(F.col("response"))
+    # One pass over the pairs: the response column is derived in place.
+    b = F.col("brand_tweet_id")
+    with_resp = pairs.withColumn("response", _judge_shape(b))
+    parsed = responses.parse_judge_responses(with_resp)
     grp = (F.col("customer_tweet_id") / 1000).cast("bigint")
     human_raw = F.when(grp % 9 == 0, F.lit("n/a")).otherwise(((grp % 5) + 1).cast("string"))
-    return (pairs.join(j, "brand_tweet_id")
-            .select(F.col("brand_tweet_id").alias("request_id"), "customer_text",
-                    tx.clean_reply(F.col("brand_text")).alias("generated_reply"),
-                    parsed.score.alias("llm_judge_score"), parsed.reason.alias("llm_judge_reason"),
-                    human_raw.try_cast("int").alias("human_score")))
+    return parsed.select(b.alias("request_id"), "customer_text",
+                         tx.clean_reply(F.col("brand_text")).alias("generated_reply"),
+                         F.col("score").alias("llm_judge_score"),
+                         F.col("reason").alias("llm_judge_reason"),
+                         human_raw.try_cast("int").alias("human_score"))
 
 
 def agreement(cal: DataFrame) -> DataFrame:
-    """Judge vs human on rows where both scores are numeric."""
-    h, j = F.col("human_score").cast("double"), F.col("llm_judge_score").cast("double")
-    valid = cal.filter(F.col("human_score").isNotNull() & F.col("llm_judge_score").isNotNull())
-    return valid.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg((h == j).cast("double")) * 100.0, 6).alias("exact_agreement_pct"),
-        F.round(F.avg((F.abs(h - j) <= 1).cast("double")) * 100.0, 6).alias("within_one_pct"),
-        F.round(F.avg(F.abs(h - j)), 6).alias("mean_abs_diff"),
-        F.round(F.avg(h), 6).alias("human_mean"),
-        F.round(F.avg(j), 6).alias("judge_mean"),
-        F.min("human_score").alias("human_min"), F.max("human_score").alias("human_max"),
-        F.min("llm_judge_score").alias("judge_min"), F.max("llm_judge_score").alias("judge_max"),
-        F.round(F.avg(j - h), 6).alias("mean_judge_minus_human"),
+    """Judge vs human on rows where both scores are numeric.
+
+    Validity is a condition inside each aggregate rather than a filter:
+    a filter on the parsed score would be pushed down through the parse
+    steps and re-inline them into the predicate.
+    """
+    valid = F.col("human_score").isNotNull() & F.col("llm_judge_score").isNotNull()
+    h = F.when(valid, F.col("human_score").cast("double"))
+    j = F.when(valid, F.col("llm_judge_score").cast("double"))
+    return cal.select(h.alias("h"), j.alias("j")).agg(
+        F.count("h").alias("n"),
+        F.round(F.avg(F.when(F.col("h").isNotNull(), (F.col("h") == F.col("j")).cast("double"))) * 100.0, 6)
+        .alias("exact_agreement_pct"),
+        F.round(F.avg(F.when(F.col("h").isNotNull(),
+                             (F.abs(F.col("h") - F.col("j")) <= 1).cast("double"))) * 100.0, 6)
+        .alias("within_one_pct"),
+        F.round(F.avg(F.abs(F.col("h") - F.col("j"))), 6).alias("mean_abs_diff"),
+        F.round(F.avg("h"), 6).alias("human_mean"),
+        F.round(F.avg("j"), 6).alias("judge_mean"),
+        F.min("h").cast("int").alias("human_min"), F.max("h").cast("int").alias("human_max"),
+        F.min("j").cast("int").alias("judge_min"), F.max("j").cast("int").alias("judge_max"),
+        F.round(F.avg(F.col("j") - F.col("h")), 6).alias("mean_judge_minus_human"),
     )
 
 

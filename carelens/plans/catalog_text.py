@@ -11,6 +11,7 @@ from carelens.functions import policy, prompts, responses
 from carelens.functions import text as tx
 from carelens.operators import judging, pairing, replies, retrieval, sampling, vectors
 from carelens.plans.catalog import pairs, register
+from carelens.session import materialize
 from carelens.plans.catalog_more import customers, golden_sample, spotify_pairs
 from carelens.sources import readers
 from carelens.sources.tables import table
@@ -134,22 +135,20 @@ def judge_prompts(spark, sf_dir):
 
 @register()
 def parse_agent_responses(spark, sf_dir):
-    r = judging.agent_responses(pairs(spark, sf_dir))
-    p = responses.parse_agent_response(F.col("response"))
-    return r.select("request_id", p.reply.alias("reply"), p.decision.alias("decision"),
-                    p.reason.alias("reason"), p.error.alias("error"))
+    r = responses.parse_agent_responses(judging.agent_responses(pairs(spark, sf_dir)))
+    return r.select("request_id", "reply", "decision", "reason", "error")
 
 
 @register()
 def parse_judge_responses(spark, sf_dir):
-    r = judging.judge_responses(pairs(spark, sf_dir))
-    p = responses.parse_judge_response(F.col("response"))
-    return r.select("request_id", p.score.alias("score"), p.reason.alias("reason"),
-                    p.error.alias("error"))
+    r = responses.parse_judge_responses(judging.judge_responses(pairs(spark, sf_dir)))
+    return r.select("request_id", "score", "reason", "error")
 
 
 def calibration_rows(spark, sf_dir) -> DataFrame:
-    return judging.calibration_table(pairs(spark, sf_dir))
+    """Written once: the judge table feeds filters and joins, which must
+    not pull the parse steps into their predicates."""
+    return materialize(judging.calibration_table(pairs(spark, sf_dir)))
 
 
 @register()

@@ -112,8 +112,8 @@ AGENT_CASES = [
 
 def test_parse_agent_response(spark):
     df = spark.createDataFrame([(s,) for s in AGENT_CASES], "r string")
-    got = [tuple(r) for r in df.select(responses.parse_agent_response(F.col("r")).alias("p"))
-           .select("p.reply", "p.decision", "p.reason", "p.error").collect()]
+    got = [tuple(r) for r in responses.parse_agent_responses(df, "r")
+           .select("reply", "decision", "reason", "error").collect()]
     assert got == [py_agent(s) for s in AGENT_CASES]
 
 
@@ -159,8 +159,8 @@ JUDGE_CASES = [
 
 def test_parse_judge_response(spark):
     df = spark.createDataFrame([(s,) for s in JUDGE_CASES], "r string")
-    got = [tuple(r) for r in df.select(responses.parse_judge_response(F.col("r")).alias("p"))
-           .select("p.score", "p.reason", "p.error").collect()]
+    got = [tuple(r) for r in responses.parse_judge_responses(df, "r")
+           .select("score", "reason", "error").collect()]
     assert got == [py_judge(s) for s in JUDGE_CASES]
 
 
