@@ -7,11 +7,15 @@ idf, L2 rows):
   w   = tf * idf / ||tf * idf||_2
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * n_docs``.
 
-Layout: long tables ``(id, term, weight)``. Term counts per document are
-pre-aggregated inside each map task (a document's terms never leave its
-task before they are counted), document frequency is a partial+final
-count, and the per-document L2 norm is a window over the id, which
-leaves the weights hash-partitioned by id for the similarity join.
+Layout: long tables ``(id, term, weight)``. Documents are hash-partitioned
+by id *before* tokenising: the shuffle then carries raw text (smaller
+than the per-term rows it expands into), tokenising runs in parallel
+whatever the file layout, and the per-document term count needs no
+further exchange (the id partitioning already clusters (id, term)).
+Document frequency is a partial+final count; with a vocabulary small
+enough for AQE to broadcast, the tf-idf rows keep the id partitioning
+and the per-document L2 norm (a window over the id) needs no shuffle
+either.
 """
 
 from __future__ import annotations
@@ -22,18 +26,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions import text as tx
+from carelens.session import materialize
 
 
+def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, grams): tokens in their own projection, so the regex runs
+    once per document and the bigram step reads its result."""
+    toks = docs.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("_toks"))
+    return toks.select("id", tx.unigrams_and_bigrams(F.col("_toks")).alias("grams"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin only when the scan gives fewer partitions than cores
+    (one large row group); a big input keeps its natural splits."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+# The *_outer generators are used on purpose: for a plain explode Catalyst
+# infers a ``size(grams) > 0`` filter and pushes it below the exchange,
+# which tokenises every document a second time in the scan stage. The
+# outer form plus an explicit null filter keeps tokenising to one pass.
+
 def ngrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per (id, position, term): tokens then adjacent bigrams."""
-    grams = tx.unigrams_and_bigrams(tx.tokens(F.col(text_col)))
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(grams).alias("pos", "term"))
+    return (_grams(spread(docs), id_col, text_col)
+            .select("id", F.posexplode_outer("grams").alias("pos", "term"))
+            .filter(F.col("term").isNotNull()))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf_count)."""
-    grams = tx.unigrams_and_bigrams(tx.tokens(F.col(text_col)))
-    return (docs.select(F.col(id_col).alias("id"), F.explode(grams).alias("term"))
+    """(id, term, tf_count), hash-partitioned by id."""
+    by_id = docs.select(id_col, text_col).repartition(F.col(id_col))
+    return (_grams(by_id, id_col, text_col)
+            .select("id", F.explode_outer("grams").alias("term"))
+            .filter(F.col("term").isNotNull())
             .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf_count")))
 
 
@@ -65,7 +92,10 @@ def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
               min_df: int = 2, max_df: float = 0.95) -> TfidfIndex:
-    counts = term_counts(docs, id_col, text_col)
+    # Term counts feed both the document frequencies and the weights:
+    # written once (keeping the id partitioning) instead of tokenising
+    # every document twice.
+    counts = materialize(term_counts(docs, id_col, text_col), keep_partitioning=True)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(counts, n_docs, min_df, max_df)
     return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs)

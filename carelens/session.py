@@ -64,13 +64,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df):
+def materialize(df, keep_partitioning: bool = False):
     """Write ``df`` once to the shared checkpoint folder and read it back.
 
     Used where one derived input feeds several branches of a plan: the
     branches then scan the written files instead of re-deriving it, and
     the lineage is cut, so losing an executor later does not replay the
     whole chain. Reliable checkpoint, never a local one.
+
+    ``keep_partitioning``: write with a static plan so the checkpoint
+    records the hash partitioning of ``df`` (an adaptive plan reports it
+    as unknown), letting later aggregates/windows on that key skip a
+    shuffle.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if not keep_partitioning:
+        return df.checkpoint(eager=True)
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
