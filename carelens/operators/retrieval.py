@@ -85,7 +85,8 @@ def pad_table(history: DataFrame, k: int) -> DataFrame:
 
 def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
                   min_df: int = 2, max_df: float = 0.95,
-                  broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
+                  inputs_materialized: bool = False) -> DataFrame:
     """Top-k history documents per query.
 
     ``queries``: qid, text, intent.  ``history``: doc_id (unique), text,
@@ -94,7 +95,8 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     """
     # Both inputs feed several branches (fit, blocks, pads, payload):
     # write each once instead of re-deriving it per branch.
-    history = materialize(history)
+    if not inputs_materialized:
+        history = materialize(history)
     index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
     vocab = materialize(index.vocab)
     q = materialize(assign_blocks(queries, history))

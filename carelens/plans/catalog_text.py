@@ -10,7 +10,7 @@ from carelens.functions import lexicon as lx
 from carelens.functions import policy, prompts, responses
 from carelens.functions import text as tx
 from carelens.operators import judging, pairing, replies, retrieval, sampling, vectors
-from carelens.plans.catalog import pairs, register
+from carelens.plans.catalog import messages, pairs, register
 from carelens.session import materialize
 from carelens.plans.catalog_more import customers, golden_sample, spotify_pairs
 from carelens.sources import readers
@@ -25,28 +25,58 @@ SEED = 42
 # Inputs
 # --------------------------------------------------------------------
 
-def retrieval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brand history: (doc_id = reply id, text = customer message, intent
-    = rule label, customer_tweet_id, brand_text)."""
-    h = readers.load_history(spotify_pairs(spark, sf_dir))
+def _history_from_pairs(p: DataFrame) -> DataFrame:
+    h = readers.load_history(p)
     return h.select(F.col("brand_tweet_id").alias("doc_id"),
                     F.col("customer_text").alias("text"),
                     lx.label_column(F.col("customer_text")).alias("intent"),
                     "customer_tweet_id", "brand_text")
 
 
+def _queries_from(cust: DataFrame, brand_pairs: DataFrame) -> DataFrame:
+    hist_ids = brand_pairs.select(F.col("customer_tweet_id").alias("tweet_id"))
+    return (cust.join(hist_ids, "tweet_id", "left_anti")
+            .select(F.col("tweet_id").alias("qid"), "text",
+                    lx.label_column(F.col("text")).alias("intent")))
+
+
+def retrieval_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand history: (doc_id = reply id, text = customer message, intent
+    = rule label, customer_tweet_id, brand_text)."""
+    return _history_from_pairs(spotify_pairs(spark, sf_dir))
+
+
 def retrieval_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming messages: customer messages the brand history does not
     contain, labelled with the rule intent."""
-    hist_ids = spotify_pairs(spark, sf_dir).select(F.col("customer_tweet_id").alias("tweet_id"))
-    c = customers(spark, sf_dir).join(hist_ids, "tweet_id", "left_anti")
-    return c.select(F.col("tweet_id").alias("qid"), "text",
-                    lx.label_column(F.col("text")).alias("intent"))
+    return _queries_from(customers(spark, sf_dir), spotify_pairs(spark, sf_dir))
+
+
+def retrieval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, history), each written once. The deduped customer
+    messages are derived once and feed both the brand pairs and the
+    incoming queries."""
+    from carelens.sources.adapter import BRAND
+    m = messages(spark, sf_dir)
+    cust = materialize(pairing.keep_last(
+        pairing.customer_messages(m).select("tweet_id", "author_id", "text", "created_at", "seq")))
+    replies_ = pairing.brand_replies(m, [BRAND])
+    brand_pairs = materialize(
+        replies_.join(cust, replies_.parent_tweet_id == cust.tweet_id)
+        .select(F.col("tweet_id").alias("customer_tweet_id"), F.col("text").alias("customer_text"),
+                "brand_tweet_id", "brand_text"))
+    history = materialize(_history_from_pairs(brand_pairs))
+    queries = materialize(_queries_from(cust, brand_pairs))
+    return queries, history
+
+
+def retrieved_with_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    q, h = retrieval_inputs(spark, sf_dir)
+    return q, retrieval.retrieve_topk(q, h, TOP_K, inputs_materialized=True)
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.retrieve_topk(retrieval_queries(spark, sf_dir),
-                                   retrieval_history(spark, sf_dir), TOP_K)
+    return retrieved_with_queries(spark, sf_dir)[1]
 
 
 # --------------------------------------------------------------------
@@ -94,20 +124,22 @@ def retrieve_fallback(spark, sf_dir):
 
 @register()
 def best_reply(spark, sf_dir):
-    return replies.best_reply(retrieval_queries(spark, sf_dir), retrieved(spark, sf_dir))
+    q, r = retrieved_with_queries(spark, sf_dir)
+    return replies.best_reply(q, r)
 
 
 @register()
 def build_prompts(spark, sf_dir):
-    return replies.grounded_prompts(retrieval_queries(spark, sf_dir), retrieved(spark, sf_dir))
+    q, r = retrieved_with_queries(spark, sf_dir)
+    return replies.grounded_prompts(q, r)
 
 
 @register()
 def triage(spark, sf_dir):
     """Per incoming message: intent -> top-k history -> best reply ->
     handling decision."""
-    q = retrieval_queries(spark, sf_dir)
-    best = replies.best_reply(q, retrieved(spark, sf_dir))
+    q, r = retrieved_with_queries(spark, sf_dir)
+    best = replies.best_reply(q, r)
     d = policy.handling(F.col("intent"), F.col("text"))
     return (q.join(best, "qid")
             .select("qid", "intent", "best_reply", "used_fallback",
@@ -176,17 +208,11 @@ def judge_merge(spark, sf_dir):
 # Classifier (rows-only oracle: an iterative fit has no SQL twin)
 # --------------------------------------------------------------------
 
-def trained_model(spark, sf_dir):
-    from carelens.operators import classifier
-    h = retrieval_history(spark, sf_dir)
-    return classifier.train(h, "doc_id", "text", "intent")
-
-
 @register()
 def train_intent_model(spark, sf_dir):
     """Training-set predictions of the fitted model next to the weak labels."""
     from carelens.operators import classifier
-    h = retrieval_history(spark, sf_dir)
+    _, h = retrieval_inputs(spark, sf_dir)
     model = classifier.train(h, "doc_id", "text", "intent")
     pred = classifier.predict(model, h, "doc_id", "text")
     return h.select("doc_id", "intent").join(pred, "doc_id")
@@ -196,6 +222,6 @@ def train_intent_model(spark, sf_dir):
 def predict_intent(spark, sf_dir):
     """Model intent for every incoming message (batch scoring, once)."""
     from carelens.operators import classifier
-    model = trained_model(spark, sf_dir)
-    q = retrieval_queries(spark, sf_dir)
+    q, h = retrieval_inputs(spark, sf_dir)
+    model = classifier.train(h, "doc_id", "text", "intent")
     return classifier.predict(model, q, "qid", "text")
