@@ -13,8 +13,12 @@ Features are the exact TF-IDF rows of ``carelens.operators.vectors``.
 The term -> column index map is a ``StringIndexer`` over the vocabulary
 (the coefficient matrix is classes x vocabulary and lives on the driver
 in MLlib, so the vocabulary is bounded by the model anyway). Sparse
-vectors are assembled by one small Python helper per document, the only
-place outside the JVM; training itself is MLlib's distributed L-BFGS.
+vectors are built without Python: MLlib's vector type is stored as
+``struct<type, size, indices, values>``, so each document's sorted
+(index, weight) arrays are written in that layout to the shared
+checkpoint folder and read back with a vector schema (the write also
+cuts the lineage before the iterative fit). Training is MLlib's
+distributed L-BFGS.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from carelens.operators import vectors
-from carelens.session import materialize
+from carelens.session import materialize, scratch_path
 
 
 @dataclass
@@ -44,13 +49,6 @@ class IntentModel:
         return self.lr.numFeatures
 
 
-def _assemble(size: int):
-    @F.udf(VectorUDT())
-    def to_vec(idx, vals):
-        return SparseVector(size, idx or [], vals or [])
-    return to_vec
-
-
 def features(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, size: int) -> DataFrame:
     """(id, features) for every document (empty vector when no known term)."""
     w = vectors.transform(docs, id_col, text_col, vocab.select("term", "idf"))
@@ -59,10 +57,19 @@ def features(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, size
                .agg(F.array_sort(F.collect_list(F.struct(F.col("term_index").cast("int").alias("i"),
                                                          F.col("weight").alias("v")))).alias("e")))
     ids = docs.select(F.col(id_col).alias("id"))
-    assemble = _assemble(size)
-    return (ids.join(per_doc, "id", "left")
-            .select("id", assemble(F.transform("e", lambda s: s["i"]),
-                                   F.transform("e", lambda s: s["v"])).alias("features")))
+    empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    layout = (ids.join(per_doc, "id", "left")
+              .select("id", F.struct(
+                  F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+                  F.coalesce(F.transform("e", lambda s: s["i"]), empty_i).alias("indices"),
+                  F.coalesce(F.transform("e", lambda s: s["v"]), empty_v).alias("values"))
+                  .alias("features")))
+    spark = docs.sparkSession
+    path = scratch_path(spark, "features")
+    layout.write.parquet(path)
+    schema = T.StructType([T.StructField("id", layout.schema["id"].dataType),
+                           T.StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
 
 def train(training: DataFrame, id_col: str, text_col: str, label_col: str,

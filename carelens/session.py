@@ -87,3 +87,10 @@ def materialize(df, keep_partitioning: bool = False):
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/carelens-{name}-{uuid.uuid4().hex}"
