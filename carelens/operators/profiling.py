@@ -41,8 +41,11 @@ def top_authors(messages: DataFrame, outbound_k: int = 30, inbound_k: int = 20)
               .groupBy("inbound", "author_id").agg(F.count(F.lit(1)).alias("n_messages")))
     w = Window.partitionBy("inbound").orderBy(F.desc("n_messages"), F.asc("author_id"))
     ranked = counts.withColumn("rank", F.row_number().over(w))
-    return (ranked.filter((F.col("inbound") & (F.col("rank") <= inbound_k))
-                          | (~F.col("inbound") & (F.col("rank") <= outbound_k)))
+    # A plain `rank <= k` conjunct is what lets Spark insert the partial
+    # limit; the per-direction cut follows.
+    return (ranked.filter(F.col("rank") <= max(inbound_k, outbound_k))
+            .filter((F.col("inbound") & (F.col("rank") <= inbound_k))
+                    | (~F.col("inbound") & (F.col("rank") <= outbound_k)))
             .select(F.when(F.col("inbound"), "inbound").otherwise("outbound").alias("direction"),
                     "author_id", "n_messages", F.col("rank").cast("bigint").alias("rank")))
 

@@ -103,7 +103,9 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     qv = (vectors.transform(q, "qid", "text", vocab)
           .join(q.select(F.col("qid").alias("id"), "block"), "id")
           .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
-    dv = (vectors.weigh(vectors.term_counts(history, "doc_id", "text"), vocab).join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
+    # Document postings reuse the checkpointed, id-partitioned term counts.
+    dv = (vectors.weigh(index.counts, vocab)
+          .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
           .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
     small = qv.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows
     hits = _top_k(_scores(qv, dv, small), k).select("qid", "doc_id", "similarity")

@@ -69,6 +69,7 @@ class TfidfIndex:
     vocab: DataFrame    # term, df, idf
     weights: DataFrame  # id, term, weight  (L2-normalised rows)
     n_docs: object      # scalar Column (subquery)
+    counts: DataFrame   # id, term, tf_count (checkpointed, id-partitioned)
 
 
 def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
@@ -98,7 +99,7 @@ def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
     counts = materialize(term_counts(docs, id_col, text_col), keep_partitioning=True)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(counts, n_docs, min_df, max_df)
-    return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs)
+    return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs, counts=counts)
 
 
 def transform(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame) -> DataFrame:
