@@ -117,12 +117,13 @@ def messages_from_conversations(conversations: DataFrame) -> DataFrame:
 
     kept = linked.filter(~((F.col("role") == "user") & (F.col("turn") <= 1)
                            & (F.col("conv_id") % 11 == 0)))
-    cols = ["tweet_id", "author_id", "inbound", "created_at", "text",
-            "response_tweet_id", "in_response_to_tweet_id"]
-    originals = kept.select(*cols, F.lit(0).alias("seq"))
-    copies = (kept.filter((F.col("role") == "user") & (F.col("conv_id") % 13 == 0))
-              .select("tweet_id", "author_id", "inbound", "created_at",
-                      F.concat(F.col("text"), F.lit(" (edited)")).alias("text"),
-                      "response_tweet_id", "in_response_to_tweet_id",
-                      F.lit(1).alias("seq")))
-    return originals.unionByName(copies)
+    # Edited copies come from the same scan: each row explodes into its
+    # ingest sequence numbers (0, plus 1 for duplicated user rows).
+    dup = (F.col("role") == "user") & (F.col("conv_id") % 13 == 0)
+    seqs = F.when(dup, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = kept.select("*", F.explode(seqs).alias("seq"))
+    return rows.select(
+        "tweet_id", "author_id", "inbound", "created_at",
+        F.when(F.col("seq") == 1, F.concat(F.col("text"), F.lit(" (edited)")))
+        .otherwise(F.col("text")).alias("text"),
+        "response_tweet_id", "in_response_to_tweet_id", "seq")
