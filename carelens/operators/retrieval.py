@@ -16,7 +16,12 @@ Plan:
   per-document normalisation hash-partitioned by doc_id, so the sum per
   (query, doc) completes inside the map task, with no shuffle of
   partial products. Past the size limit both sides shuffle on
-  ``(block, term)``; AQE splits hot terms.
+  ``(block, term, salt)``: postings of hot terms (document frequency
+  above ``hot_df``, known from the vocabulary) are spread over ``salts``
+  buckets by doc_id and the query postings of those terms are
+  replicated to every bucket, so no single task holds a hot term's
+  whole posting list. Exact: each (query, doc, term) product is still
+  formed exactly once.
 * Top-k per query is a ``row_number() <= k`` window: Spark inserts a
   partial WindowGroupLimit before the shuffle, so each task ships at
   most k rows per query.
@@ -38,6 +43,9 @@ ALL_BLOCK = "__all__"
 # Broadcast the query postings only below this many rows (~32 bytes of
 # payload per row: ~64 MB), checked with a count before planning.
 BROADCAST_MAX_ROWS = 2_000_000
+# Terms in more documents than this are salted on the shuffle path.
+HOT_DF = 100_000
+SALTS = 32
 
 
 def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
@@ -53,16 +61,33 @@ def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
             .drop("q_intent", "has_history"))
 
 
-def _scores(qv: DataFrame, dv: DataFrame, broadcast_queries: bool) -> DataFrame:
+def _scores(qv: DataFrame, dv: DataFrame, broadcast_queries: bool,
+            hot_terms: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
     """(qid, doc_id, similarity) for pairs sharing at least one term."""
     if broadcast_queries:
         qv = F.broadcast(qv)
-    blocked = (dv.join(qv.filter(F.col("block") != ALL_BLOCK),
-                       (dv.term == qv.term) & (dv.intent == qv.block))
-               .select("qid", "doc_id", (F.col("wq") * F.col("wd")).alias("p")))
-    fallback = (dv.join(qv.filter(F.col("block") == ALL_BLOCK), dv.term == qv.term)
-                .select("qid", "doc_id", (F.col("wq") * F.col("wd")).alias("p")))
-    return (blocked.unionByName(fallback).groupBy("qid", "doc_id")
+        parts = [
+            dv.join(qv.filter(F.col("block") != ALL_BLOCK),
+                    (dv.term == qv.term) & (dv.intent == qv.block)),
+            dv.join(qv.filter(F.col("block") == ALL_BLOCK), dv.term == qv.term),
+        ]
+    else:
+        # Hot-term list: bounded (at most postings / hot_df terms).
+        hot = F.broadcast(hot_terms.select("term", F.lit(True).alias("hot")))
+        dvs = (dv.join(hot, "term", "left")
+               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("doc_id"), F.lit(salts)))
+                           .otherwise(F.lit(0))).drop("hot"))
+        qvs = (qv.join(hot, "term", "left")
+               .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
+                                             .otherwise(F.array(F.lit(0))))).drop("hot"))
+        parts = [
+            dvs.join(qvs.filter(F.col("block") != ALL_BLOCK),
+                     (dvs.term == qvs.term) & (dvs.intent == qvs.block) & (dvs.salt == qvs.salt)),
+            dvs.join(qvs.filter(F.col("block") == ALL_BLOCK),
+                     (dvs.term == qvs.term) & (dvs.salt == qvs.salt)),
+        ]
+    prods = [p.select("qid", "doc_id", (F.col("wq") * F.col("wd")).alias("p")) for p in parts]
+    return (prods[0].unionByName(prods[1]).groupBy("qid", "doc_id")
             .agg(F.round(F.sum("p"), 6).alias("similarity")))
 
 
@@ -86,7 +111,8 @@ def pad_table(history: DataFrame, k: int) -> DataFrame:
 def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
                   min_df: int = 2, max_df: float = 0.95,
                   broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                  inputs_materialized: bool = False) -> DataFrame:
+                  inputs_materialized: bool = False,
+                  hot_df: int = HOT_DF, salts: int = SALTS) -> DataFrame:
     """Top-k history documents per query.
 
     ``queries``: qid, text, intent.  ``history``: doc_id (unique), text,
@@ -108,7 +134,8 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
           .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
           .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
     small = qv.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows
-    hits = _top_k(_scores(qv, dv, small), k).select("qid", "doc_id", "similarity")
+    hot_terms = vocab.filter(F.col("df") > hot_df).select("term")
+    hits = _top_k(_scores(qv, dv, small, hot_terms, salts), k).select("qid", "doc_id", "similarity")
     # Pad rows: bounded (k rows per block), looked up by the block key.
     pads = (q.select("qid", "block")
             .join(F.broadcast(pad_table(history, k)), "block")

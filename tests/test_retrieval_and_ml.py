@@ -16,8 +16,7 @@ from conftest import SF_CHECK, SF_SMALL
 
 
 def grams(s):
-    toks = re.findall(r"[^\W]{2,}", (s or "").lower())
-    toks = [t for t in toks]  # \w minus nothing: letters, digits, underscore
+    toks = re.findall(r"\w{2,}", (s or "").lower())  # Python's Unicode \w
     return toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
 
 
@@ -131,3 +130,13 @@ def test_stream_matches_batch(spark):
     streamed = spark.read.parquet(os.path.join(root, "out"))
     batch = triage_stream.decide(spark.read.parquet(src))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_salted_shuffle_path_equals_broadcast_path(spark):
+    h = ct.retrieval_history(spark, SF_CHECK)
+    q = ct.retrieval_queries(spark, SF_CHECK)
+    cols = ["qid", "rank", "doc_id", "similarity"]
+    fast = retrieval.retrieve_topk(q, h, 3).select(*cols)
+    # No broadcast, and every term with df > 2 salted over 4 buckets.
+    salted = retrieval.retrieve_topk(q, h, 3, broadcast_max_rows=0, hot_df=2, salts=4).select(*cols)
+    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, salted.collect()))
