@@ -43,18 +43,37 @@ ALL_BLOCK = "__all__"
 # Broadcast the query postings only below this many rows (~32 bytes of
 # payload per row: ~64 MB), checked with a count before planning.
 BROADCAST_MAX_ROWS = 2_000_000
+# Broadcast the per-block tables (intent list, k padding rows per block)
+# only when the number of blocks is below this, counted first.
+MAX_BROADCAST_BLOCKS = 100_000
 # Terms in more documents than this are salted on the shuffle path.
 HOT_DF = 100_000
 SALTS = 32
+# At most this many hot terms are broadcast; past it the threshold is
+# raised (distribution changes, results do not).
+MAX_HOT_TERMS = 1_000_000
 
 
-def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
+def hot_term_list(vocab: DataFrame, hot_df: int) -> DataFrame:
+    """Terms to salt: df above the smallest threshold >= hot_df (doubling)
+    whose term count stays within MAX_HOT_TERMS. One aggregate picks it."""
+    ladder = [hot_df * (2 ** i) for i in range(40)]
+    counts = vocab.agg(*[F.count_if(F.col("df") > h).alias(f"c{i}")
+                         for i, h in enumerate(ladder)]).first()
+    chosen = next((h for i, h in enumerate(ladder) if counts[f"c{i}"] <= MAX_HOT_TERMS), ladder[-1])
+    return vocab.filter(F.col("df") > chosen).select("term")
+
+
+def _maybe_broadcast(df: DataFrame, ok: bool) -> DataFrame:
+    return F.broadcast(df) if ok else df
+
+
+def assign_blocks(queries: DataFrame, history: DataFrame, small_blocks: bool = True) -> DataFrame:
     """Add ``block``: the query intent when history has that intent,
     else ``__all__`` (search all history)."""
-    # Distinct intents of the history: bounded by the label set.
     hist_intents = history.select(F.col("intent").alias("q_intent")).distinct() \
         .withColumn("has_history", F.lit(True))
-    return (queries.join(F.broadcast(hist_intents),
+    return (queries.join(_maybe_broadcast(hist_intents, small_blocks),
                          queries.intent.eqNullSafe(hist_intents.q_intent), "left")
             .withColumn("block", F.when(F.col("has_history"), F.col("intent"))
                         .otherwise(F.lit(ALL_BLOCK)))
@@ -72,7 +91,7 @@ def _scores(qv: DataFrame, dv: DataFrame, broadcast_queries: bool,
             dv.join(qv.filter(F.col("block") == ALL_BLOCK), dv.term == qv.term),
         ]
     else:
-        # Hot-term list: bounded (at most postings / hot_df terms).
+        # Hot-term list: counted to at most MAX_HOT_TERMS rows.
         hot = F.broadcast(hot_terms.select("term", F.lit(True).alias("hot")))
         dvs = (dv.join(hot, "term", "left")
                .withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("doc_id"), F.lit(salts)))
@@ -125,7 +144,11 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
         history = materialize(history)
     index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
     vocab = materialize(index.vocab)
-    q = materialize(assign_blocks(queries, history))
+    # Number of blocks (distinct intents), counted: it bounds the
+    # broadcast intent list and padding table (k rows per block).
+    n_blocks = history.select("intent").distinct().limit(MAX_BROADCAST_BLOCKS + 1).count()
+    small_blocks = n_blocks <= MAX_BROADCAST_BLOCKS
+    q = materialize(assign_blocks(queries, history, small_blocks))
     qv = (vectors.transform(q, "qid", "text", vocab)
           .join(q.select(F.col("qid").alias("id"), "block"), "id")
           .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
@@ -134,11 +157,11 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
           .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
           .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
     small = qv.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows
-    hot_terms = vocab.filter(F.col("df") > hot_df).select("term")
+    hot_terms = None if small else hot_term_list(vocab, hot_df)
     hits = _top_k(_scores(qv, dv, small, hot_terms, salts), k).select("qid", "doc_id", "similarity")
     # Pad rows: bounded (k rows per block), looked up by the block key.
     pads = (q.select("qid", "block")
-            .join(F.broadcast(pad_table(history, k)), "block")
+            .join(_maybe_broadcast(pad_table(history, k), small_blocks), "block")
             .select("qid", "doc_id", F.lit(0.0).alias("similarity")))
     cands = (hits.unionByName(pads).groupBy("qid", "doc_id")
              .agg(F.max("similarity").alias("similarity")))
