@@ -149,9 +149,11 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     n_blocks = history.select("intent").distinct().limit(MAX_BROADCAST_BLOCKS + 1).count()
     small_blocks = n_blocks <= MAX_BROADCAST_BLOCKS
     q = materialize(assign_blocks(queries, history, small_blocks))
-    qv = (vectors.transform(q, "qid", "text", vocab)
-          .join(q.select(F.col("qid").alias("id"), "block"), "id")
-          .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
+    # Query postings are written once: the size check below then counts
+    # the written rows instead of tokenising every query a second time.
+    qv = materialize(vectors.transform(q, "qid", "text", vocab)
+                     .join(q.select(F.col("qid").alias("id"), "block"), "id")
+                     .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
     # Document postings reuse the checkpointed, id-partitioned term counts.
     dv = (vectors.weigh(index.counts, vocab)
           .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
