@@ -18,7 +18,7 @@ Lexicon = Sequence[tuple[str, Sequence[str]]]
 
 # =====================================================================
 # FIXED VALUES (must equal the reference for right results).
-# Intent labels, rule phrases in their written order, the README keyword
+# Intent labels, rule phrases in their written order, the four-rule keyword
 # baseline, the handling policy lists and reply-usefulness lists.
 # =====================================================================
 
@@ -65,7 +65,7 @@ INTENT_RULES: Lexicon = [
 
 INTENT_LABELS = [label for label, _ in INTENT_RULES] + [OTHER]
 
-# README keyword baseline: four rules in the order written.
+# Keyword baseline: four rules in the order written.
 KEYWORD_BASELINE_RULES: Lexicon = [
     ("Subscription & Billing", ["charged", "payment", "refund"]),
     ("Account & Security", ["login", "password", "account"]),

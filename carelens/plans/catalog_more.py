@@ -33,7 +33,7 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer messages with the ordered-rule intent as the label and the
-    README keyword baseline as the prediction."""
+    keyword baseline as the prediction."""
     c = customers(spark, sf_dir)
     return c.select(F.col("tweet_id").alias("customer_tweet_id"),
                     F.col("text").alias("customer_text"),

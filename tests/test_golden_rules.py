@@ -8,15 +8,15 @@ from carelens.functions import lexicon as lx
 from carelens.functions import policy
 from carelens.operators import evaluation as ev
 from carelens.sources import readers
-from conftest import REFERENCE_DATA, REFERENCE_RESULTS, reference_file
+from conftest import fixture_file
 
 
 def golden(spark):
-    return readers.read_golden(spark, reference_file(REFERENCE_DATA, "spotify_golden_set.csv"))
+    return readers.read_golden(spark, fixture_file("golden"))
 
 
 def predictions(spark):
-    return readers.read_predictions(spark, reference_file(REFERENCE_RESULTS, "intent_results.csv"))
+    return readers.read_predictions(spark, fixture_file("predictions"))
 
 
 def test_golden_shape(spark):

@@ -9,7 +9,7 @@ from carelens.functions import policy, prompts, responses
 from carelens.functions import text as tx
 from carelens.operators import judging
 from carelens.sources import readers
-from conftest import REFERENCE_DATA, reference_file
+from conftest import fixture_file
 
 
 def py_clean(text):
@@ -165,7 +165,7 @@ def test_parse_judge_response(spark):
 
 
 def test_calibration_file_and_agreement(spark):
-    cal = readers.read_calibration(spark, reference_file(REFERENCE_DATA, "reply_judge_calibration.csv"))
+    cal = readers.read_calibration(spark, fixture_file("calibration"))
     rows = cal.collect()
     assert len(rows) == 8
     assert [r.human_score for r in rows] == [5, 4, 3, 4, 2, 5, 3, 4]
