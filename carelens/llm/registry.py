@@ -7,13 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import decontaminate, langid, sql
+from carelens.llm import decontaminate, langid, sql, toxicity
 from carelens.llm.common import crc_mod, documents, table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Fitted on the labels outside the held-out fold."""
+    return toxicity.train(docs, labels.where(crc_mod("doc_id", 5) != 0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a fifth of the ids is held out of training."""
+    docs = documents(spark, sf_dir)
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    held = docs.withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
+    scored = toxicity.score(held, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages found in every document."""
     found = decontaminate.find_contamination(
@@ -31,7 +45,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op3_decontaminate, op7_language_id]
+    fns = [op1_toxicity, op3_decontaminate, op7_language_id]
     return {f.__name__: f for f in fns}
 
 
