@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import decontaminate, langid, sql, toxicity
+from carelens.llm import decontaminate, langid, mixing, sql, toxicity
 from carelens.llm.common import crc_mod, documents, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -35,6 +35,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many copies of every document the mix takes."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a quarter of the ids is held out of training."""
     docs = documents(spark, sf_dir)
@@ -45,11 +50,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op3_decontaminate, op7_language_id]
+    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id]
     return {f.__name__: f for f in fns}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": sql.DECONTAMINATE,
+        "op4_mix_sources": sql.MIXING,
     }

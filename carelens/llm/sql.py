@@ -31,3 +31,41 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0)
   coalesce(p.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+MIXING = r"""
+WITH s AS (
+  SELECT doc_id, source AS src,
+    CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS size
+  FROM documents),
+p AS (
+  SELECT src, CAST(sum(size) AS BIGINT) AS source_size,
+    CASE (row_number() OVER (ORDER BY src NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w
+  FROM s GROUP BY src),
+c AS (
+  SELECT *, source_size * 2.0::DOUBLE AS top, sum(source_size) OVER () * 1.5::DOUBLE AS total,
+    source_size * 2.0::DOUBLE / w AS ratio FROM p),
+l AS (
+  SELECT *, (total - coalesce(sum(top) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM c WINDOW b AS (ORDER BY ratio, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT first(level ORDER BY ratio, src NULLS LAST) AS level FROM l WHERE top > level * w),
+t AS (
+  SELECT src, source_size, CASE WHEN f.level IS NULL OR top <= f.level * w THEN top ELSE f.level * w END AS target
+  FROM l LEFT JOIN f ON true),
+r AS (
+  SELECT src, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole
+  FROM t),
+q AS (
+  SELECT s.doc_id, s.src, s.size, r.source_size, r.target, r.whole, r.target - r.whole * r.source_size AS remaining,
+    (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT)::DOUBLE + 0.5)
+      / 4503599627370496.0::DOUBLE AS u
+  FROM s JOIN r ON s.src IS NOT DISTINCT FROM r.src),
+o AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY u / (1 - u) / sqrt(greatest(size, 1)::DOUBLE), doc_id, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM q),
+k AS (
+  SELECT *, CASE WHEN size = 0 THEN 0
+    ELSE CAST(whole AS BIGINT) + CASE WHEN 2 * run + size <= 2 * remaining THEN 1 ELSE 0 END END AS copies FROM o)
+SELECT doc_id, src AS source, CAST(size AS BIGINT) AS size, source_size, target, CAST(copies AS BIGINT) AS copies,
+  CAST(copies * size AS BIGINT) AS taken
+FROM k
+"""
