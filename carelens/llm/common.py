@@ -32,7 +32,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    w = df.write.mode("errorifexists")
+    w = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

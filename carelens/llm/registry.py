@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import decontaminate, langid, mixing, sql, toxicity
+from carelens.llm import decontaminate, langid, mixing, sql, token_shards, toxicity
 from carelens.llm.common import crc_mod, documents, table
 
 TOKENIZERS = "/opt/tokenizers"
+RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
@@ -49,8 +50,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, langs, model, PIECES, keep=["doc_id", "held_out"])
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token shards in training order, payloads included."""
+    return token_shards.shards(documents(spark, sf_dir), RANKS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id]
+    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id, op9_token_shards]
     return {f.__name__: f for f in fns}
 
 
