@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import decontaminate, langid, mixing, sql, token_shards, toxicity
+from carelens.llm import decontaminate, fingerprint, langid, mixing, sql, token_shards, toxicity
 from carelens.llm.common import crc_mod, documents, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -55,8 +55,13 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.shards(documents(spark, sf_dir), RANKS)
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_with_edits(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id, op9_token_shards]
+    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id, op9_token_shards, op10_fingerprints]
     return {f.__name__: f for f in fns}
 
 
