@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import decontaminate, fingerprint, langid, mixing, sql, token_shards, toxicity
-from carelens.llm.common import crc_mod, documents, table
+from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, sql, token_shards, toxicity
+from carelens.llm.common import crc_mod, documents, table, written
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
@@ -41,6 +41,23 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a fifth of the ids is held out of training."""
+    table_x = written(cotrain.features(documents(spark, sf_dir), "doc_id", "text", ["source", "lang"], "n_chars"),
+                      "quality-features")
+    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
+    model = cotrain.train(table_x, labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y")))
+    scored = model.score(table_x, ["id"])
+    return scored.select(
+        F.col("id").alias("doc_id"), F.coalesce(crc_mod("id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a quarter of the ids is held out of training."""
     docs = documents(spark, sf_dir)
@@ -61,7 +78,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op7_language_id, op9_token_shards, op10_fingerprints]
+    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op9_token_shards, op10_fingerprints]
     return {f.__name__: f for f in fns}
 
 
