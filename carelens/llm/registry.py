@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, sql, token_shards, toxicity
+from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, sql, token_shards, toxicity
 from carelens.llm.common import crc_mod, documents, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return ngram_join.join(documents(spark, sf_dir)).drop("tkey")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages found in every document."""
     found = decontaminate.find_contamination(
@@ -78,7 +83,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op9_token_shards, op10_fingerprints]
+    fns = [op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op9_token_shards, op10_fingerprints]
     return {f.__name__: f for f in fns}
 
 
