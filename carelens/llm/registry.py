@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, sql, token_shards, toxicity
+from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, sql, suffix_dedup, token_shards, toxicity
 from carelens.llm.common import crc_mod, documents, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -72,6 +72,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, langs, model, PIECES, keep=["doc_id", "held_out"])
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents left when repeated 400-byte strings are removed."""
+    return suffix_dedup.dedup(documents(spark, sf_dir))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token shards in training order, payloads included."""
     return token_shards.shards(documents(spark, sf_dir), RANKS)
@@ -83,7 +88,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op9_token_shards, op10_fingerprints]
+    fns = [op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op8_suffix_dedup, op9_token_shards, op10_fingerprints]
     return {f.__name__: f for f in fns}
 
 
