@@ -331,7 +331,10 @@ def _hamming(a: Column, b: Column) -> Column:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_copies, n_links.
+    """One row per document: id, n_shingles, component_id, n_copies, n_links, representative, tkey.
+
+    ``representative`` marks the document that a component is named after
+    (its repeated rows too); ``tkey`` is the hash of the text.
 
     ``n_links`` counts the documents that were verified as linked with the
     document's class, its copies included; pairs that a component makes
@@ -347,7 +350,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     hot = spark.sparkContext.broadcast(np.sort(often["hot"].to_numpy(np.int64).view(np.uint64)))
     classes = written(
         rows.where(is_doc & F.col("cls").isNotNull()).groupBy("cls").agg(
-            F.min(F.struct("doc_id", "tkey")).alias("rep"), F.min("doc_id").alias("least_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("rep"),
             F.count("*").alias("n_copies")), "ngram-classes")
 
     sigs = src.select("t").mapInArrow(_emit(hot), "sig long, cls long, hub long")
@@ -390,19 +393,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     label = components(links)
 
     named = (classes.join(label, F.col("cls") == F.col("node"), "left")
-             .select("cls", "least_id", "n_copies", F.coalesce("label", "cls").alias("label")))
+             .select("cls", "rep", "n_copies", F.coalesce("label", "cls").alias("label")))
     named = written(named, "ngram-named")
-    comp = named.groupBy("label").agg(F.min("least_id").alias("component_id"))
+    comp = named.groupBy("label").agg(F.min("rep").alias("first"))
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     partners = (both.join(named.select(F.col("cls").alias("v"), "n_copies"), "v")
                 .groupBy("u").agg(F.sum("n_copies").alias("n_partners")))
     final = (named.join(comp, "label").join(partners, F.col("cls") == F.col("u"), "left")
-             .select(F.col("cls").alias("c"), "component_id", "n_copies",
+             .select(F.col("cls").alias("c"), "first", "n_copies",
                      (F.col("n_copies") - 1 + F.coalesce("n_partners", F.lit(0))).alias("n_links")))
     out = rows.where(is_doc).select("doc_id", "n", "cls", "tkey").join(final, F.col("cls") == F.col("c"), "left")
     alone = F.col("cls").isNull()
+    leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
     return out.select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"), "tkey")
+        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        (alone | leads).alias("representative"), "tkey")

@@ -417,13 +417,14 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
     """``keep`` columns of ``docs`` with the toxicity score of every whole text."""
     bc = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add(out_col, "double")
-    src = docs.select(*keep, F.col(text_col).alias("text__"))
+    text_at = keep.index(text_col) if text_col in keep else len(keep)
+    src = docs.select(*keep, *([] if text_col in keep else [F.col(text_col).alias("text__")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = bc.value
         words = WordWeights(m.lm, m.weights)
         for batch in batches:
-            f = np.array([words.features(x.as_py()) for x in batch.column(len(keep))], float).reshape(-1, N_FEATURES)
+            f = np.array([words.features(x.as_py()) for x in batch.column(text_at)], float).reshape(-1, N_FEATURES)
             z = np.clip(f @ m.coef[:-1] + m.coef[-1], -30, 30)
             cols = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-z)))], names=[*keep, out_col])

@@ -1,12 +1,78 @@
-"""The training-data pipeline; its stages are filled in below."""
+"""The training-data pipeline: five stages, each over all that the last one kept.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)``
+and returns a DataFrame that is written as Parquet and read again as the
+next one's ``docs``. All but the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from carelens.llm import decontaminate as fm
+from carelens.llm import mixing, ngram_join, registry, token_shards, toxicity
+from carelens.llm.common import documents, free_name, table, written
+
+#: No SQL states the fitted stages; tests/llm holds run() against its stages done by brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    from carelens.llm.common import documents, written
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below one half, as they were."""
+    model = registry.toxicity_model(docs, table(spark, sf_dir, "labels"))
+    name = free_name(docs, "score")
+    scored = toxicity.score(docs, model, keep=docs.columns, out_col=name)
+    return scored.where(F.col(name) < 0.5).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component: its least id, of equal ids the least text hash, one row of it.
+
+    Documents without words are in no component and all stay.
+    """
+    found = ngram_join.join(docs).where("representative").select(
+        F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"), F.col("tkey").alias("t__"),
+        (F.col("n_shingles") == 0).alias("empty__")).distinct()
+    keyed = docs.select(F.struct("*").alias("row__"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"),
+                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("t__"))
+    kept = keyed.join(found, ["k__", "t__"])
+    nth = F.row_number().over(Window.partitionBy("k__", "t__").orderBy("k__"))
+    return kept.withColumn("nth__", nth).where("nth__ = 1 or empty__").select("row__.*")
+
+
+def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of benchmark items."""
+    found = fm.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" in docs.columns:
+        cut = fm.remove_spans(found.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars"))))
+        return cut.withColumn("n_chars", F.coalesce(
+            "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
+    return fm.remove_spans(found).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.apply_mix(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token shards in training order."""
+    return token_shards.shards(docs, registry.RANKS)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", cut_benchmarks),
+    ("mixing", mix_sources),
+    ("token_shards", write_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the token shards."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
