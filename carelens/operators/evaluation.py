@@ -1,8 +1,9 @@
 """Classification evaluation over ``(actual, predicted)`` columns.
 
-All metrics are built from per-label marginals (support, predicted count,
-true positives): three partial+final group-bys whose output has one row
-per label, joined on the label. Macro F1 averages over labels seen in
+All metrics come from one count per ``(actual, predicted)`` cell: each
+cell contributes to the support of its actual label, the predicted count of
+its predicted label and, on the diagonal, the true positives, so one scan
+and one small second aggregate give the per-label marginals. Macro F1 averages over labels seen in
 either column; F1 is 0 where its denominator is 0 (``zero_division=0``).
 """
 
@@ -11,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LABELS = 10_000  # guard for driver-side label lists (pivot headers)
-
 
 def _hit(actual: str, predicted: str):
     return F.col(actual).eqNullSafe(F.col(predicted))
@@ -27,17 +26,24 @@ def accuracy(df: DataFrame, actual: str = "actual", predicted: str = "predicted"
                                    F.lit(0.0)), 6).alias("accuracy"))
 
 
+def cell_counts(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """(actual, predicted, n) for the cells that occur."""
+    return (df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
 def label_marginals(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """label, support, predicted_count, tp, precision, recall, f1."""
-    sup = df.groupBy(F.col(actual).alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    pred = df.groupBy(F.col(predicted).alias("label")).agg(F.count(F.lit(1)).alias("predicted_count"))
-    tp = (df.filter(_hit(actual, predicted)).groupBy(F.col(actual).alias("label"))
-          .agg(F.count(F.lit(1)).alias("tp")))
-    m = (sup.join(pred, "label", "full_outer").join(tp, "label", "left")
-         .select("label",
-                 F.coalesce("support", F.lit(0)).alias("support"),
-                 F.coalesce("predicted_count", F.lit(0)).alias("predicted_count"),
-                 F.coalesce("tp", F.lit(0)).alias("tp")))
+    cells = cell_counts(df, actual, predicted)
+    n, none = F.col("n"), F.lit(0).cast("bigint")
+    sides = F.array(
+        F.struct(F.col("actual").alias("label"), n.alias("support"), none.alias("predicted_count"),
+                 F.when(F.col("actual").eqNullSafe(F.col("predicted")), n).otherwise(none).alias("tp")),
+        F.struct(F.col("predicted").alias("label"), none.alias("support"), n.alias("predicted_count"),
+                 none.alias("tp")))
+    m = (cells.select(F.inline(sides)).groupBy("label")
+         .agg(F.sum("support").alias("support"), F.sum("predicted_count").alias("predicted_count"),
+              F.sum("tp").alias("tp")))
     zero = F.lit(0.0)
     return m.select(
         "label", "support", "predicted_count", "tp",
@@ -92,46 +98,34 @@ def classification_report(df: DataFrame, actual: str = "actual", predicted: str
         F.col("section").cast("int").alias("section"))
 
 
-def label_values(df: DataFrame, col: str) -> list[str]:
-    """Sorted distinct labels, for pivot headers. Bounded by the number
-    of classes; refuses to pull an unbounded list to the driver."""
-    rows = (df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull())
-            .distinct().orderBy("v").limit(MAX_LABELS + 1).collect())
-    if len(rows) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels in {col}")
-    return [r.v for r in rows]
+def confusion_matrix_long(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+    """``(actual, predicted, n)`` over the actual labels on both axes, zero
+    cells included; predictions outside these labels are not counted.
+
+    Each actual label is expanded over the array of all of them (a scalar
+    subquery) and takes its count by a left join: no pivot list, nothing
+    pulled to the driver, any label text.
+    """
+    cells = cell_counts(df, actual, predicted)
+    labels = cells.select("actual").where(F.col("actual").isNotNull()).distinct()
+    axis = labels.agg(F.array_sort(F.collect_set("actual"))).scalar()
+    grid = labels.select("actual", F.explode(axis).alias("predicted"))
+    return (grid.join(cells, ["actual", "predicted"], "left")
+            .select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
 
 
-def confusion_matrix_wide(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                          labels: list[str] | None = None) -> DataFrame:
-    """Rows = actual label, one count column per label (sorted actual
-    labels on both axes); predictions outside the list are not counted."""
-    labels = labels if labels is not None else label_values(df, actual)
+def confusion_matrix_wide(df: DataFrame, labels: list[str], actual: str = "actual",
+                          predicted: str = "predicted") -> DataFrame:
+    """Rows = actual label, one count column per label of the given list."""
     return (df.filter(F.col(actual).isin(labels))
             .groupBy(F.col(actual).alias("actual"))
             .pivot(predicted, labels).count().na.fill(0))
 
 
-def confusion_matrix_long(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                          labels: list[str] | None = None) -> DataFrame:
-    """The same matrix in long form ``(actual, predicted, n)``, zero cells
-    included (pivot then unpivot: no cross join)."""
-    labels = labels if labels is not None else label_values(df, actual)
-    wide = confusion_matrix_wide(df, actual, predicted, labels)
-    cols = [F.col(f"`{lab}`").cast("bigint") for lab in labels]
-    stacked = wide.select("actual", F.explode(F.arrays_zip(
-        F.array(*[F.lit(lab) for lab in labels]).alias("predicted"),
-        F.array(*cols).alias("n"))).alias("cell"))
-    return stacked.select("actual", F.col("cell.predicted").alias("predicted"),
-                          F.col("cell.n").alias("n"))
-
-
 def confusion_pairs(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                     k: int = 10) -> DataFrame:
     """Most frequent (actual -> predicted) errors, top k."""
-    errs = (df.filter(~_hit(actual, predicted))
-            .groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    errs = cell_counts(df.filter(~_hit(actual, predicted)), actual, predicted)
     return errs.orderBy(F.desc("n"), "actual", "predicted").limit(k)
 
 
@@ -148,8 +142,22 @@ def majority_label(df: DataFrame, actual: str = "actual") -> DataFrame:
 
 
 def majority_baseline(df: DataFrame, actual: str = "actual") -> DataFrame:
-    """Evaluate the constant majority-class prediction."""
-    # A scalar subquery: computed once, used as a constant, no join.
-    maj = majority_label(df, actual).scalar()
-    scored = df.select(F.col(actual).alias("actual"), maj.alias("predicted"))
-    return f1_summary(scored).select(maj.alias("majority_label"), "*")
+    """Evaluate the constant majority-class prediction.
+
+    One count per label is enough: the majority label's true positives are
+    its support, and it is predicted for every row.
+    """
+    counts = (df.groupBy(F.col(actual).alias("label")).agg(F.count(F.lit(1)).alias("support")))
+    # The winner is the largest (count, then smallest label) of one small table.
+    s = counts.agg(F.sum("support").alias("total"), F.count(F.lit(1)).alias("k"),
+                   F.min(F.struct((-F.col("support")).alias("neg"), F.col("label").alias("label"))).alias("top"))
+    total, hit = F.col("total"), -F.col("top.neg")
+    f1 = F.coalesce(F.try_divide(2 * hit, total + hit), F.lit(0.0))
+    zero = F.lit(0.0)
+    return s.select(
+        F.col("top.label").alias("majority_label"),
+        F.coalesce(total, F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce(hit, F.lit(0)).cast("bigint").alias("correct"),
+        F.round(F.coalesce(F.try_divide(hit, total), zero), 6).alias("accuracy"),
+        F.round(F.coalesce(F.try_divide(f1, F.col("k")), zero), 6).alias("macro_f1"),
+        F.round(F.coalesce(F.try_divide(f1 * hit, total), zero), 6).alias("weighted_f1"))

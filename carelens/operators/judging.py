@@ -1,82 +1,34 @@
 """Judge calibration: response tables, agreement, resume and merge
 (T10/T11 inputs, A19, A20, J7, U2).
 
-The language-model calls themselves are outside the engine; here the
-tables around them are built and checked. ``agent_responses`` and
-``judge_responses`` derive response texts from the pairs table with a
-fixed spread of shapes (clean JSON, fenced, prose around, missing field,
-bad decision or score, no JSON), so the parsers run on every row of a
-table that grows with the data.
+The language-model calls and the human scoring are outside the engine;
+the tables of their responses come in, are parsed, joined and compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carelens.functions import responses
 from carelens.functions import text as tx
 
 
-def _pick(index: Column, values: list[Column]) -> Column:
-    expr = None
-    for i, v in enumerate(values):
-        expr = F.when(index == i, v) if expr is None else expr.when(index == i, v)
-    return expr
+def calibration_table(pairs: DataFrame, judged: DataFrame, human: DataFrame) -> DataFrame:
+    """Calibration rows: message, reply, parsed judge score and reason, and
+    the human score (NULL where it is not a number).
 
-
-def agent_responses(pairs: DataFrame) -> DataFrame:
-    """(request_id, response) with six response shapes."""
-    b = F.col("brand_tweet_id")
-    reply = tx.clean_reply(F.col("brand_text"))
-    reason = F.concat(F.lit("Reply "), b.cast("string"))
-    full = lambda d: F.to_json(F.struct(reply.alias("reply"), F.lit(d).alias("decision"),
-                                        reason.alias("reason")))
-    shapes = [
-        full("AUTO-HANDLE"),
-        F.concat(F.lit("```json\n"), full("ESCALATE"), F.lit("\n```")),
-        F.to_json(F.struct(reply.alias("reply"), F.lit("ESCALATE").alias("decision"))),
-        full("MAYBE"),
-        full(" escalate "),
-        reply,
-    ]
-    return pairs.select(b.alias("request_id"), _pick(b % 6, shapes).alias("response"))
-
-
-def judge_responses(pairs: DataFrame) -> DataFrame:
-    """(request_id, response) with seven judge-output shapes."""
-    b = F.col("brand_tweet_id")
-    return pairs.select(b.alias("request_id"), _judge_shape(b).alias("response"))
-
-
-def _judge_shape(b: Column) -> Column:
-    s = ((b % 5) + 1).cast("string")
-    shapes = [
-        F.concat(F.lit('{"score": '), s, F.lit(', "reason": "plain"}')),
-        F.concat(F.lit('```json\n{"score": '), s, F.lit(', "reason": "fenced"}\n```')),
-        F.concat(F.lit('Here is my review: {"score": '), s, F.lit(', "reason": "prose"} Thanks.')),
-        F.lit('{"score": 0, "reason": "too low"}'),
-        F.lit('{"score": 4.7, "reason": "decimal"}'),
-        F.lit('{"score": "4", "reason": "text"}'),
-        F.lit("I cannot score this reply."),
-    ]
-    return _pick(b % 7, shapes)
-
-
-def calibration_table(pairs: DataFrame) -> DataFrame:
-    """Calibration rows: message, reply, parsed judge score/reason and a
-    human score column that may hold non-numeric text."""
-    # One pass over the pairs: the response column is derived in place.
-    b = F.col("brand_tweet_id")
-    with_resp = pairs.withColumn("response", _judge_shape(b))
-    parsed = responses.parse_judge_responses(with_resp)
-    grp = (F.col("customer_tweet_id") / 1000).cast("bigint")
-    human_raw = F.when(grp % 9 == 0, F.lit("n/a")).otherwise(((grp % 5) + 1).cast("string"))
-    return parsed.select(b.alias("request_id"), "customer_text",
-                         tx.clean_reply(F.col("brand_text")).alias("generated_reply"),
-                         F.col("score").alias("llm_judge_score"),
-                         F.col("reason").alias("llm_judge_reason"),
-                         human_raw.try_cast("int").alias("human_score"))
+    ``judged`` holds ``request_id, response``, ``human`` holds ``request_id,
+    human_score`` as text; both are joined to the pairs by request id.
+    """
+    parsed = responses.parse_judge_responses(judged).select("request_id", "score", "reason")
+    scores = human.select("request_id", F.col("human_score").try_cast("int").alias("human_score"))
+    return (pairs.select(F.col("brand_tweet_id").alias("request_id"), "customer_text",
+                         tx.clean_reply(F.col("brand_text")).alias("generated_reply"))
+            .join(parsed, "request_id").join(scores, "request_id", "left")
+            .select("request_id", "customer_text", "generated_reply",
+                    F.col("score").alias("llm_judge_score"), F.col("reason").alias("llm_judge_reason"),
+                    "human_score"))
 
 
 def agreement(cal: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carelens.session import materialize
+
 MESSAGE_COLS = ["tweet_id", "author_id", "inbound", "created_at", "text",
                 "response_tweet_id", "in_response_to_tweet_id"]
 
@@ -48,7 +50,8 @@ def keep_last(messages: DataFrame, key: str = "tweet_id", order: str = "seq") ->
 
 def answered_customer_messages(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
     """Customer rows whose id is the parent of some brand reply (semi join)."""
-    parents = brand_replies(messages, brands).select(F.col("parent_tweet_id").alias("tweet_id"))
+    # Distinct collapses a hot parent in every map task; a semi join cannot split it.
+    parents = brand_replies(messages, brands).select(F.col("parent_tweet_id").alias("tweet_id")).distinct()
     return customer_messages(messages).join(parents, "tweet_id", "left_semi")
 
 
@@ -57,15 +60,17 @@ def pair_conversations(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
 
     Inner equi join: unmatched replies drop out, a customer message
     answered twice yields two rows. The customer side is unique per id
-    after ``keep_last``; a hot parent on the reply side is split by AQE
-    skew-join handling.
+    after ``keep_last`` and written once: both sides of the join are then
+    plain shuffles, which is what lets AQE split a hot parent on the reply
+    side (it does not split a join whose other side is an aggregate over
+    its own shuffle).
     """
     replies = brand_replies(messages, brands)
-    customers = keep_last(
+    customers = materialize(keep_last(
         customer_messages(messages)
         .join(replies.select(F.col("parent_tweet_id").alias("tweet_id")).distinct(),
               "tweet_id", "left_semi")
-        .select("tweet_id", "author_id", "text", "created_at", "seq"))
+        .select("tweet_id", "author_id", "text", "created_at", "seq")))
     return (replies.join(customers, replies.parent_tweet_id == customers.tweet_id, "inner")
             .select("brand",
                     F.col("tweet_id").alias("customer_tweet_id"),

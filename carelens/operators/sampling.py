@@ -8,35 +8,19 @@ oracle-checkable, and it does not depend on partitioning.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 12  # hash prefix compared in the prefilter
-
 
 def hash_key(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
-def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42,
-                total_rows: int | None = None) -> DataFrame:
+def hash_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest hash (ties by key).
 
-    Plain form: TakeOrderedAndProject, each task keeps its own top n and
-    one task merges them. When the caller knows the input size (a prior
-    stage's count, table metadata) pass ``total_rows``: rows whose hash
-    prefix lies below a cut that keeps ~n plus a wide margin are kept
-    first, so the merge sees ~n rows instead of n per task. The cut is
-    checked, not trusted: if fewer than n rows pass, the full order runs.
+    TakeOrderedAndProject: each task keeps its own top n, one task merges
+    them.
     """
     x = df.withColumn("_sample_hash", hash_key(key, seed))
-    if total_rows is not None and total_rows > 4 * n:
-        margin = n + 8 * math.sqrt(n) + 64
-        cut = int(min(1.0, margin / total_rows) * 16 ** HEX_DIGITS)
-        prefix = F.conv(F.substring("_sample_hash", 1, HEX_DIGITS), 16, 10).cast("long")
-        cand = x.filter(prefix < F.lit(cut))
-        if cand.count() >= n:
-            x = cand
     return x.orderBy("_sample_hash", key).limit(n).drop("_sample_hash")

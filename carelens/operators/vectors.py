@@ -7,15 +7,12 @@ idf, L2 rows):
   w   = tf * idf / ||tf * idf||_2
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * n_docs``.
 
-Layout: long tables ``(id, term, weight)``. Documents are hash-partitioned
-by id *before* tokenising: the shuffle then carries raw text (smaller
-than the per-term rows it expands into), tokenising runs in parallel
-whatever the file layout, and the per-document term count needs no
-further exchange (the id partitioning already clusters (id, term)).
-Document frequency is a partial+final count; with a vocabulary small
-enough for AQE to broadcast, the tf-idf rows keep the id partitioning
-and the per-document L2 norm (a window over the id) needs no shuffle
-either.
+Layout: long tables ``(id, term, weight)``. A document is one row, so its
+term counts are taken inside the row: the gram array is sorted, the places
+where a run starts are kept, and the distance to the next start is the
+count. Nothing is shuffled until the document frequencies, which are a
+partial+final count over terms; the counted table is written once, as
+Parquet, and read by both the frequencies and the weights.
 """
 
 from __future__ import annotations
@@ -36,13 +33,6 @@ def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return toks.select("id", tx.unigrams_and_bigrams(F.col("_toks")).alias("grams"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin only when the scan gives fewer partitions than cores
-    (one large row group); a big input keeps its natural splits."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
-
-
 # The *_outer generators are used on purpose: for a plain explode Catalyst
 # infers a ``size(grams) > 0`` filter and pushes it below the exchange,
 # which tokenises every document a second time in the scan stage. The
@@ -50,18 +40,24 @@ def spread(df: DataFrame) -> DataFrame:
 
 def ngrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per (id, position, term): tokens then adjacent bigrams."""
-    return (_grams(spread(docs), id_col, text_col)
+    return (_grams(docs, id_col, text_col)
             .select("id", F.posexplode_outer("grams").alias("pos", "term"))
             .filter(F.col("term").isNotNull()))
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf_count), hash-partitioned by id."""
-    by_id = docs.select(id_col, text_col).repartition(F.col(id_col))
-    return (_grams(by_id, id_col, text_col)
-            .select("id", F.explode_outer("grams").alias("term"))
-            .filter(F.col("term").isNotNull())
-            .groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf_count")))
+    """(id, term, tf_count), counted inside each document's row."""
+    g = _grams(docs, id_col, text_col).select("id", F.sort_array("grams").alias("g"))
+    last = F.size("g") - 1
+    starts = F.when(last >= 0, F.filter(
+        F.sequence(F.lit(0), last),
+        lambda i: (i == 0) | (F.get(F.col("g"), i) != F.get(F.col("g"), i - 1))))
+    runs = g.select("id", "g", starts.alias("s"))
+    ends = F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("g")))
+    terms = F.zip_with("s", ends, lambda a, b: F.struct(
+        F.get(F.col("g"), a).alias("term"), (b - a).cast("bigint").alias("tf_count")))
+    return (runs.select("id", F.inline_outer(terms))
+            .filter(F.col("term").isNotNull()))
 
 
 @dataclass
@@ -69,7 +65,7 @@ class TfidfIndex:
     vocab: DataFrame    # term, df, idf
     weights: DataFrame  # id, term, weight  (L2-normalised rows)
     n_docs: object      # scalar Column (subquery)
-    counts: DataFrame   # id, term, tf_count (checkpointed, id-partitioned)
+    counts: DataFrame   # id, term, tf_count (written once)
 
 
 def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
@@ -94,9 +90,8 @@ def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
               min_df: int = 2, max_df: float = 0.95) -> TfidfIndex:
     # Term counts feed both the document frequencies and the weights:
-    # written once (keeping the id partitioning) instead of tokenising
-    # every document twice.
-    counts = materialize(term_counts(docs, id_col, text_col), keep_partitioning=True)
+    # written once instead of tokenising every document twice.
+    counts = materialize(term_counts(docs, id_col, text_col))
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     vocab = vocabulary(counts, n_docs, min_df, max_df)
     return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs, counts=counts)

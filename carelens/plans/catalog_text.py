@@ -13,7 +13,7 @@ from carelens.operators import judging, pairing, replies, retrieval, sampling, v
 from carelens.plans.catalog import messages, pairs, register
 from carelens.session import materialize
 from carelens.plans.catalog_more import customers, golden_sample, spotify_pairs
-from carelens.sources import readers
+from carelens.sources import readers, responses_adapter
 from carelens.sources.tables import table
 
 TOP_K = 3
@@ -167,20 +167,22 @@ def judge_prompts(spark, sf_dir):
 
 @register()
 def parse_agent_responses(spark, sf_dir):
-    r = responses.parse_agent_responses(judging.agent_responses(pairs(spark, sf_dir)))
+    r = responses.parse_agent_responses(responses_adapter.agent_responses(pairs(spark, sf_dir)))
     return r.select("request_id", "reply", "decision", "reason", "error")
 
 
 @register()
 def parse_judge_responses(spark, sf_dir):
-    r = responses.parse_judge_responses(judging.judge_responses(pairs(spark, sf_dir)))
+    r = responses.parse_judge_responses(responses_adapter.judge_responses(pairs(spark, sf_dir)))
     return r.select("request_id", "score", "reason", "error")
 
 
 def calibration_rows(spark, sf_dir) -> DataFrame:
     """Written once: the judge table feeds filters and joins, which must
     not pull the parse steps into their predicates."""
-    return materialize(judging.calibration_table(pairs(spark, sf_dir)))
+    p = materialize(pairs(spark, sf_dir))
+    return materialize(judging.calibration_table(
+        p, responses_adapter.judge_responses(p), responses_adapter.human_scores(p)))
 
 
 @register()

@@ -8,7 +8,7 @@ tables, exactly like its Spark query.
 
 from __future__ import annotations
 
-from carelens.sources.adapter import (AGENT_INITIALS, ASSISTANT_CLOSERS, BRAND,
+from carelens.sources.adapter import (TURNS, AGENT_INITIALS, ASSISTANT_CLOSERS, BRAND,
                                       BRANDS, USER_SENTENCES)
 
 
@@ -31,7 +31,7 @@ BRANDS_SQL = sql_list(BRANDS)
 MESSAGES_CTE = f"""
 base AS (
   SELECT c.conv_id, c.turn, c.role,
-         c.conv_id * 1000 + c.turn AS tweet_id,
+         c.conv_id * {TURNS} + c.turn AS tweet_id,
          CASE WHEN c.role = 'user' THEN TRUE WHEN c.role = 'assistant' THEN FALSE END AS inbound,
          CASE WHEN c.role = 'user' THEN 'u' || CAST(c.conv_id % 37 AS VARCHAR)
               WHEN c.role = 'assistant' THEN {pick(BRANDS, 'c.conv_id % 5')}
@@ -44,10 +44,10 @@ base AS (
                 || {pick(AGENT_INITIALS, 'c.turn % 3')}
               WHEN c.role = 'user' THEN c.text || {pick(USER_SENTENCES, '(2 * (c.conv_id % 5) + c.turn // 2) % 12')}
               ELSE c.text END AS text,
-         CASE WHEN c.turn > 0 THEN c.conv_id * 1000 + c.turn - 1 END AS in_response_to_tweet_id,
+         CASE WHEN c.turn > 0 THEN c.conv_id * {TURNS} + c.turn - 1 END AS in_response_to_tweet_id,
          CASE WHEN EXISTS (SELECT 1 FROM conversations n
                            WHERE n.conv_id = c.conv_id AND n.turn = c.turn + 1)
-              THEN CAST(c.conv_id * 1000 + c.turn + 1 AS VARCHAR) END AS response_tweet_id
+              THEN CAST(c.conv_id * {TURNS} + c.turn + 1 AS VARCHAR) END AS response_tweet_id
   FROM conversations c
 ),
 kept AS (

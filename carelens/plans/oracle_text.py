@@ -5,17 +5,25 @@ from __future__ import annotations
 from carelens.functions import lexicon as lx
 from carelens.functions import prompts as pr
 from carelens.plans.oracle import BRAND, q, with_messages
+from carelens.sources.adapter import TURNS
 from carelens.plans.oracle_more import (WS, clean_sql, decision_sql, label_sql, strip_sql,
                                         useful_sql)
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
 
 
-def grams_sql(text: str) -> str:
-    """Tokens then adjacent bigrams, as a list."""
-    t = f"regexp_extract_all(lower({text}), {q(TOKEN_RE)})"
-    return (f"list_concat({t}, list_transform(range(1, len({t})), "
-            f"lambda i: {t}[i] || ' ' || {t}[i + 1]))")
+def tokens_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({text}), {q(TOKEN_RE)})"
+
+
+# Tokens then adjacent bigrams of a token column ``t`` (a column, so that the
+# pattern runs once per document and not once per bigram).
+GRAMS = "list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))"
+
+
+def grams_from(docs: str, id_col: str, text_col: str) -> str:
+    """Subquery (id, g) with the gram list of every document."""
+    return f"(SELECT id, {GRAMS} AS g FROM (SELECT {id_col} AS id, {tokens_sql(text_col)} AS t FROM {docs}) k)"
 
 
 def tfidf_ctes(prefix: str, docs: str, id_col: str, text_col: str) -> str:
@@ -24,7 +32,7 @@ def tfidf_ctes(prefix: str, docs: str, id_col: str, text_col: str) -> str:
     return f"""
 {p}tf AS (
   SELECT id, term, count(*) AS tf FROM (
-    SELECT {id_col} AS id, unnest({grams_sql(text_col)}) AS term FROM {docs}) g
+    SELECT id, unnest(g) AS term FROM {grams_from(docs, id_col, text_col)} x) g
   GROUP BY id, term),
 {p}n AS (SELECT count(*)::DOUBLE AS n FROM {docs}),
 {p}vocab AS (
@@ -62,7 +70,7 @@ qb AS (
 {tfidf_ctes('h', 'hist', 'doc_id', 'text')},
 qtf AS (
   SELECT id, term, count(*) AS tf FROM (
-    SELECT qid AS id, unnest({grams_sql('text')}) AS term FROM qry) g
+    SELECT id, unnest(g) AS term FROM {grams_from('qry', 'qid', 'text')} x) g
   GROUP BY id, term),
 qw AS (
   SELECT id AS qid, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS wq
@@ -206,17 +214,17 @@ judge_ok AS (
 calib AS (
   SELECT p.brand_tweet_id AS request_id, p.customer_text, {clean_sql('p.brand_text')} AS generated_reply,
          j.score AS llm_judge_score, j.reason AS llm_judge_reason,
-         TRY_CAST(CASE WHEN (p.customer_tweet_id // 1000) % 9 = 0 THEN 'n/a'
-                       ELSE CAST((p.customer_tweet_id // 1000) % 5 + 1 AS VARCHAR) END AS INTEGER) AS human_score
+         TRY_CAST(CASE WHEN (p.customer_tweet_id // {TURNS}) % 9 = 0 THEN 'n/a'
+                       ELSE CAST((p.customer_tweet_id // {TURNS}) % 5 + 1 AS VARCHAR) END AS INTEGER) AS human_score
   FROM pairs p JOIN judge_ok j ON j.request_id = p.brand_tweet_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     o["ngrams"] = f"""
-SELECT doc_id, CAST(g.pos - 1 AS INTEGER) AS pos, g.term FROM (
-  SELECT doc_id, unnest({grams_sql('text')}) AS term,
-         unnest(range(1, len({grams_sql('text')}) + 1)) AS pos FROM documents) g"""
+SELECT id AS doc_id, CAST(pos - 1 AS INTEGER) AS pos, term FROM (
+  SELECT id, unnest(g) AS term, unnest(range(1, len(g) + 1)) AS pos
+  FROM {grams_from('documents', 'doc_id', 'text')} x) y"""
     o["vocabulary"] = ("WITH " + tfidf_ctes("d", "documents", "doc_id", "text").strip()
                        + "\nSELECT term, df, round(idf, 6) AS idf FROM dvocab")
     o["tfidf_weights"] = ("WITH " + tfidf_ctes("d", "documents", "doc_id", "text").strip()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,8 +22,6 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.sources.bucketing.enabled": "true",
-    # Checkpoint files are removed once their DataFrames are collected.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -35,67 +34,41 @@ def get_spark(
 ) -> SparkSession:
     """Local session for tests and the bench; clusters pass their own conf."""
     cores = cores or os.environ.get("BENCH_CPUS") or "*"
-    builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.driver.memory", driver_memory)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    )
+    builder = SparkSession.builder.appName(app).config(
+        "spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
+    if "PYSPARK_GATEWAY_PORT" not in os.environ:  # not started by spark-submit
+        builder = (builder.master(f"local[{cores}]").config("spark.driver.memory", driver_memory)
+                   .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="carelens-")))
     for k, v in {**DEFAULT_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; only when it is unset (local
-    tests) do we create a scratch folder of our own.
+    Where it is unset, a folder in the session's warehouse, which every
+    executor reaches too.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
-    if not current:
-        if not spark.sparkContext.master.startswith("local"):
-            # A folder on this machine is not visible to executors.
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="carelens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/carelens-scratch"
+    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
 
 
-def materialize(df, keep_partitioning: bool = False):
-    """Write ``df`` once to the shared checkpoint folder and read it back.
+def materialize(df):
+    """Write ``df`` once to the shared folder, as Parquet, and read it back.
 
     Used where one derived input feeds several branches of a plan: the
-    branches then scan the written files instead of re-deriving it, and
-    the lineage is cut, so losing an executor later does not replay the
-    whole chain. Reliable checkpoint, never a local one.
-
-    ``keep_partitioning``: write with a static plan so the checkpoint
-    records the hash partitioning of ``df`` (an adaptive plan reports it
-    as unknown), letting later aggregates/windows on that key skip a
-    shuffle.
+    branches then scan the written files (with column pruning and
+    statistics) instead of re-deriving it, and the lineage is cut, so
+    losing an executor later does not replay the whole chain.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if not keep_partitioning:
-        return df.checkpoint(eager=True)
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder."""
-    import uuid
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/carelens-{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared folder."""
+    return f"{shared_dir(spark)}/carelens-{name}-{uuid.uuid4().hex}"

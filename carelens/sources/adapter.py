@@ -7,7 +7,9 @@ keep-last dedupe. Every expression here has a twin in the DuckDB oracle
 CTE (``carelens.plans.oracle.MESSAGES_CTE``); change both together.
 
 Rules:
-* ``tweet_id = conv_id * 1000 + turn``.
+* ``tweet_id = conv_id * TURNS + turn``, with ``TURNS = 2**24``: one conversation
+  may hold any number of turns that fits in 24 bits, and the product is a
+  checked 64-bit one (an id beyond it fails rather than wraps).
 * ``inbound``: true for user turns, false for assistant turns, NULL for
   system turns (exercises three-valued filters).
 * ``author_id``: ``'u' || conv_id % 37`` for users, brand
@@ -41,6 +43,9 @@ BRANDS = ["AmazonHelp", "AppleSupport", "Uber_Support", "SpotifyCares", "Delta"]
 BRAND = "SpotifyCares"
 # ---------------------------------------------------------------------
 
+# Ids of one conversation: turns are numbered inside a block of this size.
+TURNS = 1 << 24
+
 # Our own decoration sentences (not taken from the reference).
 ASSISTANT_CLOSERS = [
     " Can you DM us your email?",
@@ -77,7 +82,7 @@ def _pick(values: list[str], index: Column) -> Column:
 def messages_from_conversations(conversations: DataFrame) -> DataFrame:
     c = conversations.select("conv_id", "turn", "role", "text")
     conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
-    tweet_id = conv * 1000 + turn
+    tweet_id = conv.cast("long") * TURNS + turn
 
     assistant_text = F.concat(
         F.lit("@u"), (conv % 37).cast("string"), F.lit(" "), F.col("text"),
