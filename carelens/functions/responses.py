@@ -2,7 +2,10 @@
 
 Responses are parsed JVM-side with the VARIANT functions; instead of
 raising on the first bad row, every row gets an ``error`` code and the
-caller splits good rows from quarantined ones.
+caller splits good rows from quarantined ones. A field that holds an object
+or an array has no agreed text form and is refused (``nested_field``); of a
+repeated key, and of numbers JSON does not have (``NaN``), the parser makes
+``invalid_json``. These two are this engine's own choices.
 
 Parsing is written as a few ``withColumns`` steps (stripped text, JSON
 body, parsed variant, ...). Each step is referenced several times by the
@@ -21,10 +24,25 @@ from carelens.functions.text import WS, py_strip
 REQUIRED_AGENT_FIELDS = ["reply", "decision", "reason"]
 
 
+def _kind(v, path: str):
+    return F.coalesce(F.schema_of_variant(F.variant_get(v, path, "variant")), F.lit("VOID"))
+
+
+def _nested(v, path: str):
+    """Whether the value is an object or an array: such fields have no text form here."""
+    return _kind(v, path).startswith("OBJECT") | _kind(v, path).startswith("ARRAY")
+
+
 def _py_str(v, path: str):
-    """``str(value)`` for string or null JSON values."""
-    got = F.try_variant_get(v, path, "string")
-    return F.when(F.is_variant_null(F.variant_get(v, path, "variant")), F.lit("None")).otherwise(got)
+    """Text of a JSON scalar: strings as they are, ``None`` for null, ``True`` and
+    ``False``, whole numbers plainly, other numbers as doubles (``1.0``)."""
+    kind = _kind(v, path)
+    text = F.try_variant_get(v, path, "string")
+    return (F.when(F.is_variant_null(F.variant_get(v, path, "variant")), F.lit("None"))
+            .when(kind == "BOOLEAN", F.initcap(text))
+            .when(kind.startswith("DECIMAL") | (kind == "DOUBLE"),
+                  F.try_variant_get(v, path, "double").cast("string"))
+            .otherwise(text))
 
 
 def parse_agent_responses(df: DataFrame, col: str = "response") -> DataFrame:
@@ -45,9 +63,11 @@ def parse_agent_responses(df: DataFrame, col: str = "response") -> DataFrame:
     s3 = s2.withColumns({
         "_decision": F.upper(py_strip(_py_str(F.col("_v"), "$.decision"))),
         "_missing": missing,
+        "_nested": _nested(F.col("_v"), "$.reply") | _nested(F.col("_v"), "$.decision") | _nested(F.col("_v"), "$.reason"),
     })
     error = (F.when(F.col("_v").isNull(), F.lit("invalid_json"))
              .when(F.col("_missing"), F.lit("missing_fields"))
+             .when(F.col("_nested"), F.lit("nested_field"))
              .when(~F.col("_decision").isin(lx.AUTO_HANDLE, lx.ESCALATE), F.lit("invalid_decision")))
     s4 = s3.withColumn("error", error)
     ok = F.col("error").isNull()
@@ -55,7 +75,7 @@ def parse_agent_responses(df: DataFrame, col: str = "response") -> DataFrame:
         "reply": F.when(ok, py_strip(_py_str(F.col("_v"), "$.reply"))),
         "decision": F.when(ok, F.col("_decision")),
         "reason": F.when(ok, py_strip(_py_str(F.col("_v"), "$.reason"))),
-    }).drop("_t", "_pv", "_v", "_keys", "_decision", "_missing")
+    }).drop("_t", "_pv", "_v", "_keys", "_decision", "_missing", "_nested")
 
 
 def parse_judge_responses(df: DataFrame, col: str = "response") -> DataFrame:
@@ -89,6 +109,7 @@ def parse_judge_responses(df: DataFrame, col: str = "response") -> DataFrame:
              .when(~has("score"), F.lit("missing_score"))
              .when(F.col("_score").isNull(), F.lit("invalid_score"))
              .when(~has("reason"), F.lit("missing_reason"))
+             .when(_nested(F.col("_v"), "$.reason"), F.lit("nested_field"))
              .when((F.col("_score") < 1) | (F.col("_score") > 5), F.lit("score_out_of_range")))
     s5 = s4.withColumn("error", error)
     ok = F.col("error").isNull()

@@ -105,13 +105,6 @@ def test_classifier_learns_weak_labels_and_round_trips(spark):
     assert c == a
 
 
-def test_hash_sample_prefilter_is_exact(spark):
-    d = spark.read.parquet(f"{SF_CHECK}/events.parquet")
-    plain = [r.event_id for r in sampling.hash_sample(d, 50, "event_id").collect()]
-    fast = [r.event_id for r in sampling.hash_sample(d, 50, "event_id", total_rows=d.count()).collect()]
-    assert plain == fast and len(plain) == 50
-
-
 def test_keep_last(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 0), (1, "z", 2)],
                                "tweet_id long, text string, seq int")
@@ -140,12 +133,3 @@ def test_salted_shuffle_path_equals_broadcast_path(spark):
     # No broadcast, and every term with df > 2 salted over 4 buckets.
     salted = retrieval.retrieve_topk(q, h, 3, broadcast_max_rows=0, hot_df=2, salts=4).select(*cols)
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, salted.collect()))
-
-
-def test_hash_sample_prefilter_falls_back_when_cut_is_too_tight(spark):
-    d = spark.read.parquet(f"{SF_CHECK}/events.parquet")
-    plain = [r.event_id for r in sampling.hash_sample(d, 500, "event_id").collect()]
-    # An overstated size makes the hash cut keep too few rows: the
-    # checked count must send it down the full-order path.
-    tight = [r.event_id for r in sampling.hash_sample(d, 500, "event_id", total_rows=10**9).collect()]
-    assert plain == tight and len(plain) == 500

@@ -1,54 +1,43 @@
 """Cleaning, tokens, prompts, response parsing and judge calibration."""
 
-import json
-import re
-
 from pyspark.sql import functions as F
 
 from carelens.functions import policy, prompts, responses
 from carelens.functions import text as tx
 from carelens.operators import judging
 from carelens.sources import readers
-from conftest import fixture_file
-
-
-def py_clean(text):
-    """Plain-Python statement of the reply-cleaning rule, for comparison."""
-    text = re.sub(r"https?://\S+", "", text)
-    text = re.sub(r"@\w+", "", text)
-    text = re.sub(r"\s*/[A-Z]{2}\b", "", text)
-    return re.sub(r"\s+", " ", text).strip()
+from conftest import data_file
 
 
+# Message and the reply expected from it, written by hand.
 CLEAN_CASES = [
-    "@SpotifyCares Hi there! Try this https://t.co/abc123 /LM",
-    "@Éva_1 Bonjour à vous /AU",
-    "Multiple   spaces\n\tand tabs /JS done",
-    "No initials /lm here /ABC and /XY",
-    "  leading and trailing  ",
-    "handle@inside word and @user_2 http://x.y/z?q=1",
-    "/AB",
-    "émoji 😭😭 @u12 https://t.co/ab /LM",
+    ("@SpotifyCares Hi there! Try this https://t.co/abc123 /LM", "Hi there! Try this"),
+    ("@Éva_1 Bonjour à vous /AU", "Bonjour à vous"),
+    ("Multiple   spaces\n\tand tabs /JS done", "Multiple spaces and tabs done"),
+    ("No initials /lm here /ABC and /XY", "No initials /lm here /ABC and"),
+    ("  leading and trailing  ", "leading and trailing"),
+    ("handle@inside word and @user_2 http://x.y/z?q=1", "handle word and"),
+    ("/AB", ""),
+    ("émoji 😭😭 @u12 https://t.co/ab /LM", "émoji 😭😭"),
+    ("", ""),
+    (None, None),
 ]
 
 
-def test_clean_reply_matches_python(spark):
-    df = spark.createDataFrame([(s,) for s in CLEAN_CASES], "t string")
+def test_clean_reply_cases(spark):
+    df = spark.createDataFrame([(s,) for s, _ in CLEAN_CASES], "t string")
     got = [r.c for r in df.select(tx.clean_reply(F.col("t")).alias("c")).collect()]
-    assert got == [py_clean(s) for s in CLEAN_CASES]
+    assert got == [want for _, want in CLEAN_CASES]
 
 
 def test_tokens_and_bigrams(spark):
-    cases = ["Étion dans, ç x 12 a_b", "one", "", None, "Hello hello WORLD"]
-    df = spark.createDataFrame([(s,) for s in cases], "t string")
+    cases = [
+        ("Étion dans, ç x 12 a_b", ["étion", "dans", "12", "a_b", "étion dans", "dans 12", "12 a_b"]),
+        ("one", ["one"]), ("", []), (None, None),
+        ("Hello hello WORLD", ["hello", "hello", "world", "hello hello", "hello world"])]
+    df = spark.createDataFrame([(s,) for s, _ in cases], "t string")
     got = [r.g for r in df.select(tx.unigrams_and_bigrams(tx.tokens(F.col("t"))).alias("g")).collect()]
-
-    def py(s):
-        if s is None:
-            return None
-        toks = re.findall(r"(?u)\b\w\w+\b", s.lower())
-        return toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])]
-    assert got == [py(s) for s in cases]
+    assert got == [want for _, want in cases]
 
 
 def test_py_strip(spark):
@@ -79,103 +68,84 @@ def test_template_render(spark):
                                                examples="EX")
 
 
-def py_agent(text):
-    """Plain-Python statement of the agent-response rule."""
-    t = text.strip()
-    t = re.sub(r"^```json\s*", "", t, flags=re.IGNORECASE)
-    t = re.sub(r"\s*```$", "", t)
-    try:
-        data = json.loads(t)
-    except json.JSONDecodeError:
-        return (None, None, None, "invalid_json")
-    if not isinstance(data, dict):
-        return (None, None, None, "invalid_json")
-    if any(f not in data for f in ("reply", "decision", "reason")):
-        return (None, None, None, "missing_fields")
-    d = str(data["decision"]).strip().upper()
-    if d not in {"AUTO-HANDLE", "ESCALATE"}:
-        return (None, None, None, "invalid_decision")
-    return (str(data["reply"]).strip(), d, str(data["reason"]).strip(), None)
-
-
+# Response text and (reply, decision, reason, error) expected from it.
 AGENT_CASES = [
-    '{"reply": " Hi! ", "decision": "AUTO-HANDLE", "reason": "simple"}',
-    '```json\n{"reply": "Hello", "decision": "escalate", "reason": "billing"}\n```',
-    '```JSON {"reply": "x", "decision": "ESCALATE", "reason": "r"}```',
-    '{"reply": "x", "decision": "ESCALATE"}',
-    '{"reply": "x", "decision": "MAYBE", "reason": "r"}',
-    'Sorry, I cannot do that.',
-    '{"reply": null, "decision": "ESCALATE", "reason": "r"}',
-    '[1, 2]',
+    ('{"reply": " Hi! ", "decision": "AUTO-HANDLE", "reason": "simple"}', ("Hi!", "AUTO-HANDLE", "simple", None)),
+    ('```json\n{"reply": "Hello", "decision": "escalate", "reason": "billing"}\n```',
+     ("Hello", "ESCALATE", "billing", None)),
+    ('```JSON {"reply": "x", "decision": "ESCALATE", "reason": "r"}```', ("x", "ESCALATE", "r", None)),
+    ('{"reply": "x", "decision": "ESCALATE"}', (None, None, None, "missing_fields")),
+    ('{"reply": "x", "decision": "MAYBE", "reason": "r"}', (None, None, None, "invalid_decision")),
+    ("Sorry, I cannot do that.", (None, None, None, "invalid_json")),
+    ('{"reply": null, "decision": "ESCALATE", "reason": "r"}', ("None", "ESCALATE", "r", None)),
+    ("[1, 2]", (None, None, None, "invalid_json")),
+    ('{"reply": true, "decision": "ESCALATE", "reason": false}', ("True", "ESCALATE", "False", None)),
+    ('{"reply": 1.0, "decision": "ESCALATE", "reason": 12}', ("1.0", "ESCALATE", "12", None)),
+    ('{"reply": ["a"], "decision": "ESCALATE", "reason": "r"}', (None, None, None, "nested_field")),
+    ('{"reply": "a", "decision": "ESCALATE", "reason": {"k": 1}}', (None, None, None, "nested_field")),
+    (None, (None, None, None, "invalid_json")),
 ]
 
 
 def test_parse_agent_response(spark):
-    df = spark.createDataFrame([(s,) for s in AGENT_CASES], "r string")
+    df = spark.createDataFrame([(s,) for s, _ in AGENT_CASES], "r string")
     got = [tuple(r) for r in responses.parse_agent_responses(df, "r")
            .select("reply", "decision", "reason", "error").collect()]
-    assert got == [py_agent(s) for s in AGENT_CASES]
-
-
-def py_judge(text):
-    """Plain-Python statement of the judge-response rule."""
-    t = re.sub(r"```json", "", text, flags=re.IGNORECASE)
-    t = re.sub(r"```", "", t).strip()
-    m = re.search(r"\{.*\}", t, re.DOTALL)
-    if not m:
-        return (None, None, "no_json")
-    try:
-        result = json.loads(m.group(0))
-    except json.JSONDecodeError:
-        return (None, None, "invalid_json")
-    if "score" not in result:
-        return (None, None, "missing_score")
-    try:
-        score = int(result["score"])
-    except (TypeError, ValueError):
-        return (None, None, "invalid_score")
-    if "reason" not in result:
-        return (None, None, "missing_reason")
-    if score < 1 or score > 5:
-        return (None, None, "score_out_of_range")
-    return (score, str(result["reason"]), None)
+    assert got == [want for _, want in AGENT_CASES]
 
 
+# Response text and (score, reason, error) expected from it.
 JUDGE_CASES = [
-    '{"score": 4, "reason": "good"}',
-    '```json\n{"score": 5, "reason": "fenced"}\n```',
-    'Sure! Here it is: {"score": 3, "reason": "ok"} Hope this helps.',
-    '{"score": 0, "reason": "bad"}',
-    '{"score": 6, "reason": "too high"}',
-    '{"score": 4.7, "reason": "decimal"}',
-    '{"score": "4", "reason": "text"}',
-    '{"score": "4.7", "reason": "text decimal"}',
-    'no braces at all',
-    '{"reason": "no score"}',
-    '{"score": 2}',
-    '{"score": 3, "reason": "multi\nline"}',
+    ('{"score": 4, "reason": "good"}', (4, "good", None)),
+    ('```json\n{"score": 5, "reason": "fenced"}\n```', (5, "fenced", None)),
+    ('Sure! Here it is: {"score": 3, "reason": "ok"} Hope this helps.', (3, "ok", None)),
+    ('{"score": 0, "reason": "bad"}', (None, None, "score_out_of_range")),
+    ('{"score": 6, "reason": "too high"}', (None, None, "score_out_of_range")),
+    ('{"score": 4.7, "reason": "decimal"}', (4, "decimal", None)),
+    ('{"score": "4", "reason": "text"}', (4, "text", None)),
+    ('{"score": "4.7", "reason": "text decimal"}', (None, None, "invalid_score")),
+    ("no braces at all", (None, None, "no_json")),
+    ('{"reason": "no score"}', (None, None, "missing_score")),
+    ('{"score": 2}', (None, None, "missing_reason")),
+    ('{"score": 3, "reason": "multi\nline"}', (None, None, "invalid_json")),
+    ('{"score": true, "reason": true}', (1, "True", None)),
+    ('{"score": 2, "reason": 1.5}', (2, "1.5", None)),
+    ('{"score": 2, "reason": ["x"]}', (None, None, "nested_field")),
 ]
 
 
 def test_parse_judge_response(spark):
-    df = spark.createDataFrame([(s,) for s in JUDGE_CASES], "r string")
+    df = spark.createDataFrame([(s,) for s, _ in JUDGE_CASES], "r string")
     got = [tuple(r) for r in responses.parse_judge_responses(df, "r")
            .select("score", "reason", "error").collect()]
-    assert got == [py_judge(s) for s in JUDGE_CASES]
+    assert got == [want for _, want in JUDGE_CASES]
 
 
 def test_calibration_file_and_agreement(spark):
-    cal = readers.read_calibration(spark, fixture_file("calibration"))
-    rows = cal.collect()
-    assert len(rows) == 8
-    assert [r.human_score for r in rows] == [5, 4, 3, 4, 2, 5, 3, 4]
-    assert all(r.llm_judge_score == 5 for r in rows)
-    a = judging.agreement(cal).first()
-    assert a.n == 8
-    assert abs(a.exact_agreement_pct - 25.0) < 1e-9
-    assert abs(a.within_one_pct - 62.5) < 1e-9
-    assert abs(a.mean_abs_diff - 1.25) < 1e-9
-    assert abs(a.human_mean - 3.75) < 1e-9 and abs(a.judge_mean - 5.0) < 1e-9
+    """Rows of 7 to 9 fields, one with a line break inside quotes."""
+    cal = readers.read_calibration(spark, data_file("calibration.csv"))
+    rows = {r.customer_text: r for r in cal.collect()}
+    assert len(rows) == 6
+    assert {t[:5]: r.human_score for t, r in rows.items()} == {
+        "first": 5, "secon": 3, "third": 4, "fourt": 1, "fifth": None, "sixth": 2}
+    assert rows["second message"].human_notes == "slow, but right, mostly"
+    assert rows["third\nmessage"].llm_judge_score == 4
+    a = judging.agreement(cal).first()  # |5-5| |3-4| |4-4| |1-5| and |2-3|
+    assert a.n == 5
+    assert abs(a.exact_agreement_pct - 40.0) < 1e-9
+    assert abs(a.within_one_pct - 80.0) < 1e-9
+    assert abs(a.mean_abs_diff - 1.2) < 1e-9
+    assert abs(a.human_mean - 3.0) < 1e-9 and abs(a.judge_mean - 4.2) < 1e-9
+    assert (a.human_min, a.human_max, a.judge_min, a.judge_max) == (1, 5, 3, 5)
+
+
+def test_calibration_table_joins_by_request(spark):
+    pairs = spark.createDataFrame([(7, "hi", "@u1 hello /AB"), (8, "yo", "ok")],
+                                  "brand_tweet_id long, customer_text string, brand_text string")
+    judged = spark.createDataFrame([(7, '{"score": 4, "reason": "x"}'), (9, "?")], "request_id long, response string")
+    human = spark.createDataFrame([(7, "n/a"), (8, "3")], "request_id long, human_score string")
+    rows = judging.calibration_table(pairs, judged, human).collect()
+    assert [tuple(r) for r in rows] == [(7, "hi", "hello", 4, "x", None)]
 
 
 def test_resolve_columns(spark):
