@@ -145,7 +145,13 @@ def viterbi(surface: str, lm: list[float]) -> list[str]:
     """The cheapest restored words of a surface string; blanks are gaps."""
     # state: (letter before, last letter) -> (cost, restored so far)
     states = {(EDGE, EDGE, ""): (0.0, "")}
-    for ch in surface:
+    # Only characters of a run of three or more may be echoes: doubles are ordinary.
+    marks = [k for k, ch in enumerate(surface) if ch.isalnum() or len(LOOKALIKES.get(ch, "")) > 0]
+    echoing = set()
+    for a, b, c in zip(marks, marks[1:], marks[2:], strict=False):
+        if surface[a] == surface[b] == surface[c]:
+            echoing.update((a, b, c))
+    for k, ch in enumerate(surface):
         nxt: dict = {}
 
         def offer(key, cost, text, nxt=nxt):
@@ -162,7 +168,7 @@ def viterbi(surface: str, lm: list[float]) -> list[str]:
             if ch.isalpha():
                 c = code(ch)
                 offer((b, c, ch), cost + COST_SAME + lm[base + c], text + ch)
-                if ch == last:
+                if ch == last and k in echoing:
                     offer((a, b, last), cost + COST_ECHO, text)
                 continue
             looks = LOOKALIKES.get(ch, "")
@@ -170,7 +176,7 @@ def viterbi(surface: str, lm: list[float]) -> list[str]:
             for x in looks:
                 c = code(x)
                 offer((b, c, x), cost + price + lm[base + c], text + x)
-                if x == last:
+                if x == last and k in echoing:
                     offer((a, b, last), cost + COST_ECHO, text)
             offer((a, b, last), cost + COST_DROP, text)
         states = nxt
