@@ -9,16 +9,18 @@ balanced weights ``sum w = n``, so ``regParam = 1 / n`` gives the same
 optimum. Standardisation is off (the reference does not scale features)
 and the intercept is not penalised in either.
 
-Features are the exact TF-IDF rows of ``carelens.operators.vectors``.
-The term -> column index map is a ``StringIndexer`` over the vocabulary
-(the coefficient matrix is classes x vocabulary and lives on the driver
-in MLlib, so the vocabulary is bounded by the model anyway). Sparse
-vectors are built without Python: MLlib's vector type is stored as
-``struct<type, size, indices, values>``, so each document's sorted
-(index, weight) arrays are written in that layout to the shared
-checkpoint folder and read back with a vector schema (the write also
-cuts the lineage before the iterative fit). Training is MLlib's
-distributed L-BFGS.
+Features are the exact TF-IDF rows of ``carelens.operators.vectors``. The
+fit uses at most ``max_train_rows`` labelled rows (``MAX_TRAIN_ROWS``, the
+rows of the lowest id hash), so the vocabulary, and with it the coefficient
+matrix of classes x vocabulary that MLlib keeps on the driver, are bounded
+by that parameter. Sparse vectors for the fit are built without Python:
+MLlib's vector type is stored as ``struct<type, size, indices, values>``, so
+each document's sorted (index, weight) arrays are written in that layout to
+the shared folder and read back with a vector schema.
+
+Scoring covers any number of rows and needs no vectors: the coefficients
+are a table ``(term, coefs)``; a document's term weights are joined to it and
+summed per class. The plan is lazy, nothing is written by a scoring call.
 """
 
 from __future__ import annotations
@@ -35,12 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carelens.operators import vectors
+from carelens.operators.sampling import hash_sample
 from carelens.session import materialize, scratch_path
 
 
+MAX_TRAIN_ROWS = 5000
+
+
 @dataclass
 class IntentModel:
-    vocab: DataFrame               # term, df, idf, term_index
+    vocab: DataFrame               # term, df, idf, term_index, coefs
     lr: LogisticRegressionModel
     labels: list[str]              # class index -> label
 
@@ -73,8 +79,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, size
 
 
 def train(training: DataFrame, id_col: str, text_col: str, label_col: str,
-          max_iter: int = 1000, tol: float = 1e-6, min_df: int = 2, max_df: float = 0.95) -> IntentModel:
-    training = materialize(training.select(id_col, text_col, label_col))
+          max_iter: int = 1000, tol: float = 1e-6, min_df: int = 2, max_df: float = 0.95,
+          max_train_rows: int = MAX_TRAIN_ROWS) -> IntentModel:
+    """Fit on at most ``max_train_rows`` rows, those of the lowest id hash."""
+    training = materialize(hash_sample(training.select(id_col, text_col, label_col), max_train_rows, id_col))
     idx = vectors.fit_tfidf(training, id_col, text_col, min_df, max_df)
     term_indexer = StringIndexer(inputCol="term", outputCol="term_index",
                                  stringOrderType="alphabetAsc").fit(idx.vocab)
@@ -95,16 +103,35 @@ def train(training: DataFrame, id_col: str, text_col: str, label_col: str,
                             family="multinomial", maxIter=max_iter, tol=tol,
                             regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
                             fitIntercept=True)
-    return IntentModel(vocab=vocab, lr=lr.fit(data), labels=labels)
+    fitted = lr.fit(data)
+    return IntentModel(vocab=_with_coefficients(vocab, fitted), lr=fitted, labels=labels)
+
+
+def _with_coefficients(vocab: DataFrame, lr: LogisticRegressionModel) -> DataFrame:
+    """``vocab`` with each term's coefficient per class (bounded like the matrix itself)."""
+    spark = vocab.sparkSession
+    rows = [(float(i), c) for i, c in enumerate(lr.coefficientMatrix.toArray().T.tolist())]
+    coefs = spark.createDataFrame(rows, "term_index double, coefs array<double>")
+    return materialize(vocab.drop("coefs").join(coefs, "term_index"))
 
 
 def predict(model: IntentModel, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, predicted_intent) for every document."""
-    feats = features(docs, id_col, text_col, model.vocab, model.num_features)
-    scored = model.lr.transform(feats)
+    """(id, predicted_intent) for every document, by coefficient join.
+
+    A document without a known term gets the class of the largest
+    intercept; ties go to the label that sorts first.
+    """
+    w = vectors.transform(docs, id_col, text_col, model.vocab.select("term", "idf"))
+    classes = range(len(model.labels))
+    sums = (w.join(model.vocab.select("term", "coefs"), "term").groupBy("id")
+            .agg(*[F.sum(F.col("weight") * F.get("coefs", F.lit(c))).alias(f"z{c}") for c in classes]))
+    bias = model.lr.interceptVector.toArray().tolist()
+    scored = docs.select(F.col(id_col).alias("id")).join(sums, "id", "left")
+    logits = F.array(*[F.coalesce(F.col(f"z{c}"), F.lit(0.0)) + F.lit(bias[c]) for c in classes])
     labels = F.array(*[F.lit(x) for x in model.labels])
-    return scored.select(F.col("id").alias(id_col),
-                         F.element_at(labels, F.col("prediction").cast("int") + 1).alias("predicted_intent"))
+    return scored.withColumn("z", logits).select(
+        F.col("id").alias(id_col),
+        F.element_at(labels, F.array_position("z", F.array_max("z")).cast("int")).alias("predicted_intent"))
 
 
 def save(model: IntentModel, path: str) -> None:

@@ -129,6 +129,23 @@ def confusion_pairs(df: DataFrame, actual: str = "actual", predicted: str = "pre
     return errs.orderBy(F.desc("n"), "actual", "predicted").limit(k)
 
 
+def align(golden: DataFrame, predictions: DataFrame, key: str, order: str) -> DataFrame:
+    """Golden labels and predictions joined on ``key``: key, actual, predicted, status.
+
+    ``golden`` holds ``key, actual`` (one row a key), ``predictions`` ``key,
+    predicted`` and ``order``: of several predictions for a key the last in
+    that order counts (then the largest). A key on one side only stays, as
+    ``missing_prediction`` or ``extra_prediction``; NULL keys match nothing.
+    """
+    last = (predictions.groupBy(key)
+            .agg(F.max(F.struct(F.col(order), F.col("predicted"))).alias("_last"))
+            .select(key, F.col("_last.predicted").alias("predicted"), F.lit(True).alias("_p")))
+    both = golden.select(key, "actual", F.lit(True).alias("_g")).join(last, key, "full_outer")
+    status = (F.when(F.col("_p").isNull(), "missing_prediction")
+              .when(F.col("_g").isNull(), "extra_prediction").otherwise("matched"))
+    return both.select(key, "actual", "predicted", status.alias("status"))
+
+
 def misclassified(df: DataFrame, key: str, actual: str = "actual",
                   predicted: str = "predicted") -> DataFrame:
     """All rows whose prediction differs (null-safe)."""

@@ -1,34 +1,22 @@
-"""Intent-blocked top-k similarity retrieval.
-
-For each query message: score every history document of the query's
-block (its intent; all history when the intent has no history) by
-cosine similarity of TF-IDF rows, keep the top k by
-``(similarity desc, doc_id desc)``; similarity is rounded to 6 places
-before ranking. Like the reference, k rows come back even when fewer
-documents share a term with the query: the rest are similarity-0 rows
-in tie order.
-
-Plan:
-* Scores are a sparse product: query postings meet document postings
-  on ``(block, term)`` and products are summed per (query, doc).
-* When the query postings pass a size check they are broadcast. The
-  document postings then stay where they are: they come out of the
-  per-document normalisation hash-partitioned by doc_id, so the sum per
-  (query, doc) completes inside the map task, with no shuffle of
-  partial products. Past the size limit both sides shuffle on
-  ``(block, term, salt)``: postings of hot terms (document frequency
-  above ``hot_df``, known from the vocabulary) are spread over ``salts``
-  buckets by doc_id and the query postings of those terms are
-  replicated to every bucket, so no single task holds a hot term's
-  whole posting list. Exact: each (query, doc, term) product is still
-  formed exactly once.
-* Top-k per query is a ``row_number() <= k`` window: Spark inserts a
-  partial WindowGroupLimit before the shuffle, so each task ships at
-  most k rows per query.
-* Zero-similarity padding never forms queries x history: per block only
-  the first k documents in tie order can ever be needed (a document in
-  the true top k that shares no term has at most k-1 documents before
-  it), so a k-rows-per-block table is joined on the block key.
+"""Blocked top-k similarity retrieval.
+
+Queries and history are unit TF-IDF rows in long form; a query searches
+the history of its intent, or all of it when that intent has none. Top k by
+cosine, ties to the larger document id, similarities rounded to 6 places;
+documents that share no term fill up with similarity 0.
+
+The search is exact and scores only pairs that can matter:
+
+1. A query's rarest terms, up to half of its squared length, give partial
+   scores; their k-th largest is a lower bound ``theta`` of its k-th similarity.
+2. Document rows have unit length, so what a set of terms adds to a score is
+   at most the root of the sum of their squared query weights. The commonest
+   terms are dropped while that root stays below ``theta`` (less the rounding):
+   a document that shares only dropped terms is not among the first k.
+3. Pairs that share a kept term are scored over all terms.
+
+One plan serves all sizes: no size checks, no broadcast hints; AQE picks the
+join strategies from measured sizes and splits skewed terms.
 """
 
 from __future__ import annotations
@@ -40,74 +28,64 @@ from carelens.operators import vectors
 from carelens.session import materialize
 
 ALL_BLOCK = "__all__"
-# Broadcast the query postings only below this many rows (~32 bytes of
-# payload per row: ~64 MB), checked with a count before planning.
-BROADCAST_MAX_ROWS = 2_000_000
-# Broadcast the per-block tables (intent list, k padding rows per block)
-# only when the number of blocks is below this, counted first.
-MAX_BROADCAST_BLOCKS = 100_000
-# Terms in more documents than this are salted on the shuffle path.
-HOT_DF = 100_000
-SALTS = 32
-# At most this many hot terms are broadcast; past it the threshold is
-# raised (distribution changes, results do not).
-MAX_HOT_TERMS = 1_000_000
-
-
-def hot_term_list(vocab: DataFrame, hot_df: int) -> DataFrame:
-    """Terms to salt: df above the smallest threshold >= hot_df (doubling)
-    whose term count stays within MAX_HOT_TERMS. One aggregate picks it."""
-    ladder = [hot_df * (2 ** i) for i in range(40)]
-    counts = vocab.agg(*[F.count_if(F.col("df") > h).alias(f"c{i}")
-                         for i, h in enumerate(ladder)]).first()
-    chosen = next((h for i, h in enumerate(ladder) if counts[f"c{i}"] <= MAX_HOT_TERMS), ladder[-1])
-    return vocab.filter(F.col("df") > chosen).select("term")
-
-
-def _maybe_broadcast(df: DataFrame, ok: bool) -> DataFrame:
-    return F.broadcast(df) if ok else df
-
-
-def assign_blocks(queries: DataFrame, history: DataFrame, small_blocks: bool = True) -> DataFrame:
+ROUNDING = 1e-6  # similarities are ranked after rounding to six places
+RARE_SHARE = 0.5  # of a query's squared length, scored first
+
+
+def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
     """Add ``block``: the query intent when history has that intent,
     else ``__all__`` (search all history)."""
     hist_intents = history.select(F.col("intent").alias("q_intent")).distinct() \
         .withColumn("has_history", F.lit(True))
-    return (queries.join(_maybe_broadcast(hist_intents, small_blocks),
-                         queries.intent.eqNullSafe(hist_intents.q_intent), "left")
+    return (queries.join(hist_intents, queries.intent.eqNullSafe(hist_intents.q_intent), "left")
             .withColumn("block", F.when(F.col("has_history"), F.col("intent"))
                         .otherwise(F.lit(ALL_BLOCK)))
             .drop("q_intent", "has_history"))
 
 
-def _scores(qv: DataFrame, dv: DataFrame, broadcast_queries: bool,
-            hot_terms: DataFrame | None = None, salts: int = SALTS) -> DataFrame:
-    """(qid, doc_id, similarity) for pairs sharing at least one term."""
-    if broadcast_queries:
-        qv = F.broadcast(qv)
-        parts = [
-            dv.join(qv.filter(F.col("block") != ALL_BLOCK),
-                    (dv.term == qv.term) & (dv.intent == qv.block)),
-            dv.join(qv.filter(F.col("block") == ALL_BLOCK), dv.term == qv.term),
-        ]
-    else:
-        # Hot-term list: counted to at most MAX_HOT_TERMS rows.
-        hot = F.broadcast(hot_terms.select("term", F.lit(True).alias("hot")))
-        dvs = (dv.join(hot, "term", "left")
-               .withColumn("salt", F.when(F.col("hot"), F.pmod(F.col("doc_id"), F.lit(salts)))
-                           .otherwise(F.lit(0))).drop("hot"))
-        qvs = (qv.join(hot, "term", "left")
-               .withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                             .otherwise(F.array(F.lit(0))))).drop("hot"))
-        parts = [
-            dvs.join(qvs.filter(F.col("block") != ALL_BLOCK),
-                     (dvs.term == qvs.term) & (dvs.intent == qvs.block) & (dvs.salt == qvs.salt)),
-            dvs.join(qvs.filter(F.col("block") == ALL_BLOCK),
-                     (dvs.term == qvs.term) & (dvs.salt == qvs.salt)),
-        ]
-    prods = [p.select("qid", "doc_id", (F.col("wq") * F.col("wd")).alias("p")) for p in parts]
-    return (prods[0].unionByName(prods[1]).groupBy("qid", "doc_id")
-            .agg(F.round(F.sum("p"), 6).alias("similarity")))
+def in_blocks(dv: DataFrame, q: DataFrame) -> DataFrame:
+    """Document terms under every block that some query searches."""
+    asked = q.select("block").distinct()
+    return (dv.withColumn("block", F.explode(F.array(F.col("intent"), F.lit(ALL_BLOCK))))
+            .join(asked, "block", "left_semi").select("block", "term", "doc_id", "wd"))
+
+
+def _sums(qv: DataFrame, dvb: DataFrame) -> DataFrame:
+    return (qv.join(dvb, ["block", "term"]).groupBy("qid", "doc_id")
+            .agg(F.sum(F.col("wq") * F.col("wd")).alias("s")))
+
+
+def kept_terms(qv: DataFrame, dvb: DataFrame, k: int) -> DataFrame:
+    """The query terms that a document must share one of to be among the first k.
+
+    ``qv``: qid, block, term, wq, df.
+    """
+    rare_first = Window.partitionBy("qid").orderBy("df", "term")
+    before = F.coalesce(F.sum(F.col("wq") * F.col("wq")).over(
+        rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rare = qv.withColumn("before", before).where(F.col("before") < RARE_SHARE).drop("before")
+    kth = Window.partitionBy("qid").orderBy(F.desc("s"))
+    theta = (_sums(rare, dvb).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
+             .select("qid", F.col("s").alias("theta")))
+    common_first = Window.partitionBy("qid").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    lost = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(common_first))
+    return (qv.withColumn("lost", lost).join(theta, "qid", "left")
+            .where(~F.coalesce(F.col("lost") < F.col("theta") - ROUNDING, F.lit(False)))
+            .select("qid", "block", "term", "wq"))
+
+
+def candidates(qv: DataFrame, dvb: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id) pairs that share a kept term."""
+    kept = kept_terms(qv, dvb, k).select("qid", "block", "term")
+    return kept.join(dvb, ["block", "term"]).select("qid", "doc_id").distinct()
+
+
+def _scores(qv: DataFrame, dv: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(qid, doc_id, similarity) of the pairs, over all terms."""
+    terms = pairs.join(qv.select("qid", "term", "wq"), "qid")
+    return (terms.join(dv.select("doc_id", "term", "wd"), ["doc_id", "term"]).groupBy("qid", "doc_id")
+            .agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("similarity")))
 
 
 def _top_k(df: DataFrame, k: int, part: str = "qid") -> DataFrame:
@@ -127,11 +105,24 @@ def pad_table(history: DataFrame, k: int) -> DataFrame:
     return per_intent.unionByName(overall)
 
 
+def postings(queries: DataFrame, history: DataFrame, min_df: int = 2, max_df: float = 0.95):
+    """(q, qv, dv): queries with blocks, query terms, document terms, each written once."""
+    index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
+    vocab = materialize(index.vocab)
+    q = materialize(assign_blocks(queries, history))
+    qv = materialize(vectors.transform(q, "qid", "text", vocab)
+                     .join(q.select(F.col("qid").alias("id"), "block"), "id")
+                     .join(vocab.select("term", "df"), "term")
+                     .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq"), "df"))
+    dv = materialize(vectors.weigh(index.counts, vocab)
+                     .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
+                     .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
+    return q, qv, dv
+
+
 def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
                   min_df: int = 2, max_df: float = 0.95,
-                  broadcast_max_rows: int = BROADCAST_MAX_ROWS,
-                  inputs_materialized: bool = False,
-                  hot_df: int = HOT_DF, salts: int = SALTS) -> DataFrame:
+                  inputs_materialized: bool = False) -> DataFrame:
     """Top-k history documents per query.
 
     ``queries``: qid, text, intent.  ``history``: doc_id (unique), text,
@@ -142,34 +133,17 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     # write each once instead of re-deriving it per branch.
     if not inputs_materialized:
         history = materialize(history)
-    index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
-    vocab = materialize(index.vocab)
-    # Number of blocks (distinct intents), counted: it bounds the
-    # broadcast intent list and padding table (k rows per block).
-    n_blocks = history.select("intent").distinct().limit(MAX_BROADCAST_BLOCKS + 1).count()
-    small_blocks = n_blocks <= MAX_BROADCAST_BLOCKS
-    q = materialize(assign_blocks(queries, history, small_blocks))
-    # Query postings are written once: the size check below then counts
-    # the written rows instead of tokenising every query a second time.
-    qv = materialize(vectors.transform(q, "qid", "text", vocab)
-                     .join(q.select(F.col("qid").alias("id"), "block"), "id")
-                     .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
-    # Document postings reuse the checkpointed, id-partitioned term counts.
-    dv = (vectors.weigh(index.counts, vocab)
-          .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
-          .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
-    small = qv.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows
-    hot_terms = None if small else hot_term_list(vocab, hot_df)
-    hits = _top_k(_scores(qv, dv, small, hot_terms, salts), k).select("qid", "doc_id", "similarity")
-    # Pad rows: bounded (k rows per block), looked up by the block key.
-    pads = (q.select("qid", "block")
-            .join(_maybe_broadcast(pad_table(history, k), small_blocks), "block")
+    q, qv, dv = postings(queries, history, min_df, max_df)
+    dvb = in_blocks(dv, q)
+    hits = _top_k(_scores(qv, dv, candidates(qv, dvb, k)), k).select("qid", "doc_id", "similarity")
+    # Pad rows: k per block, looked up by the block key.
+    pads = (q.select("qid", "block").join(pad_table(history, k), "block")
             .select("qid", "doc_id", F.lit(0.0).alias("similarity")))
     cands = (hits.unionByName(pads).groupBy("qid", "doc_id")
              .agg(F.max("similarity").alias("similarity")))
-    top = _top_k(cands, k)
+    top = materialize(_top_k(cands, k).select("qid", "doc_id", "similarity", "rank"))
     payload = [c for c in history.columns if c not in ("doc_id",)]
-    return (top.join(history.select("doc_id", *payload), "doc_id")
+    return (history.select("doc_id", *payload).join(top, "doc_id")
             .join(q.select("qid", "block"), "qid")
             .select("qid", "block", F.col("rank").cast("int").alias("rank"), "doc_id",
                     "similarity", *payload))

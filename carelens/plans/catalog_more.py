@@ -14,6 +14,7 @@ from carelens.sources import readers
 from carelens.sources.adapter import BRAND, BRANDS
 from carelens.sources.tables import table
 
+# FIXED VALUES (must equal the reference): sample sizes.
 GOLDEN_SIZE = 200
 TRAINING_SIZE = 5000
 INTENT_SAMPLE_SIZE = 1000
@@ -255,3 +256,71 @@ def leakage_check(spark, sf_dir):
         F.count_if(F.col("in_golden")).cast("bigint").alias("overlapping_rows"),
         F.count_distinct(F.when(F.col("in_golden"), F.col("customer_tweet_id"))).alias("overlapping_ids"),
     ).select(golden_rows.alias("golden_rows"), "*")
+
+
+# --------------------------------------------------------------------
+# Predictions aligned with labels by key; samples over a larger table
+# --------------------------------------------------------------------
+
+def prediction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictions table as it may arrive: some keys without a prediction,
+    some predicted twice, some never asked for."""
+    e = intent_eval(spark, sf_dir)
+    key = F.col("customer_tweet_id")
+    kept = e.where(key % 7 != 0).select(
+        key.alias("customer_tweet_id"), F.col("predicted_intent").alias("predicted"), F.lit(0).alias("batch"))
+    again = e.where((key % 7 != 0) & (key % 5 == 0)).select(
+        key.alias("customer_tweet_id"), F.lit(lx.OTHER).alias("predicted"), F.lit(1).alias("batch"))
+    extra = e.where(key % 7 == 0).select(
+        (-key - 1).alias("customer_tweet_id"), F.col("predicted_intent").alias("predicted"), F.lit(0).alias("batch"))
+    return kept.unionByName(again).unionByName(extra)
+
+
+@register()
+def aligned_predictions(spark, sf_dir):
+    golden = intent_eval(spark, sf_dir).select("customer_tweet_id", F.col("intent").alias("actual"))
+    return ev.align(golden, prediction_rows(spark, sf_dir), "customer_tweet_id", "batch")
+
+
+@register()
+def aligned_accuracy(spark, sf_dir):
+    """Accuracy over the golden keys: a missing prediction counts as wrong."""
+    return ev.accuracy(aligned_predictions(spark, sf_dir).where("status <> 'extra_prediction'"))
+
+
+def _orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+def _golden_orders(spark, sf_dir):
+    first = profiling.first_rows(_orders(spark, sf_dir), ["o_orderkey"], INTENT_SAMPLE_SIZE)
+    return sampling.hash_sample(first, GOLDEN_SIZE, "o_orderkey", SEED)
+
+
+def _training_orders(spark, sf_dir):
+    # Another seed than the golden draw, so that the two overlap in part only.
+    return sampling.hash_sample(_orders(spark, sf_dir), TRAINING_SIZE, "o_orderkey", SEED + 1)
+
+
+@register()
+def first_orders(spark, sf_dir):
+    return profiling.first_rows(_orders(spark, sf_dir), ["o_orderkey"], INTENT_SAMPLE_SIZE)
+
+
+@register()
+def sample_golden_orders(spark, sf_dir):
+    return _golden_orders(spark, sf_dir)
+
+
+@register()
+def training_orders_without_golden(spark, sf_dir):
+    golden = _golden_orders(spark, sf_dir).select("o_orderkey")
+    return _training_orders(spark, sf_dir).join(golden, "o_orderkey", "left_anti")
+
+
+@register()
+def leakage_orders(spark, sf_dir):
+    golden = _golden_orders(spark, sf_dir).select("o_orderkey", F.lit(True).alias("in_golden"))
+    flagged = _training_orders(spark, sf_dir).join(golden, "o_orderkey", "left")
+    return flagged.agg(F.count(F.lit(1)).alias("training_rows"),
+                       F.count_if(F.col("in_golden")).cast("bigint").alias("overlapping_rows"))

@@ -12,10 +12,11 @@ from carelens.functions import text as tx
 from carelens.operators import judging, pairing, replies, retrieval, sampling, vectors
 from carelens.plans.catalog import messages, pairs, register
 from carelens.session import materialize
-from carelens.plans.catalog_more import customers, golden_sample, spotify_pairs
+from carelens.plans.catalog_more import GOLDEN_SIZE, customers, golden_sample, spotify_pairs
 from carelens.sources import readers, responses_adapter
 from carelens.sources.tables import table
 
+# FIXED VALUES (must equal the reference): neighbours and calibration rows.
 TOP_K = 3
 CALIBRATION_SIZE = 8
 SEED = 42
@@ -220,6 +221,76 @@ def train_intent_model(spark, sf_dir):
     return h.select("doc_id", "intent").join(pred, "doc_id")
 
 
+@register()
+def classifier_inputs(spark, sf_dir):
+    """What the fit gets: label, balanced class weight and unit TF-IDF row of every training pair."""
+    h = materialize(retrieval_history(spark, sf_dir).select("doc_id", "text", "intent"))
+    per = h.groupBy("intent").agg(F.count(F.lit(1)).alias("n_c"))
+    n = h.agg(F.count(F.lit(1))).scalar()
+    k = h.agg(F.count_distinct("intent")).scalar()
+    w = vectors.fit_tfidf(h, "doc_id", "text").weights.groupBy(F.col("id").alias("doc_id")).agg(
+        F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("weight_sum"),
+        F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("squares"))
+    return (h.join(per, "intent").join(w, "doc_id", "left")
+            .select("doc_id", "intent", F.round(n / (k * F.col("n_c")), 6).alias("class_weight"),
+                    F.coalesce("n_terms", F.lit(0)).cast("bigint").alias("n_terms"), "weight_sum", "squares"))
+
+
+def _fitted_without_golden(spark, sf_dir):
+    """The model of the training sample without the golden rows, and these rows."""
+    from carelens.operators import classifier
+    p = materialize(spotify_pairs(spark, sf_dir))
+    labelled = _queries_from(customers(spark, sf_dir), p).withColumnRenamed("qid", "customer_tweet_id")
+    golden = materialize(sampling.hash_sample(labelled, GOLDEN_SIZE, "customer_tweet_id", SEED))
+    train = (p.select("brand_tweet_id", "customer_tweet_id", F.col("customer_text").alias("text"),
+                      lx.label_column(F.col("customer_text")).alias("intent"))
+             .join(golden.select("customer_tweet_id"), "customer_tweet_id", "left_anti"))
+    return classifier.train(train, "brand_tweet_id", "text", "intent"), golden
+
+
+def _model_on_golden(spark, sf_dir):
+    from carelens.operators import classifier
+    from carelens.operators import evaluation as ev
+    model, golden = _fitted_without_golden(spark, sf_dir)
+    pred = classifier.predict(model, golden, "customer_tweet_id", "text").select(
+        "customer_tweet_id", F.col("predicted_intent").alias("predicted"), F.lit(0).alias("batch"))
+    aligned = ev.align(golden.select("customer_tweet_id", F.col("intent").alias("actual")), pred,
+                       "customer_tweet_id", "batch")
+    return aligned.join(golden.select("customer_tweet_id", "text"), "customer_tweet_id")
+
+
+@register()
+def model_report(spark, sf_dir):
+    """Per-class report of the fitted model on golden rows it was not fitted on."""
+    from carelens.operators import evaluation as ev
+    return ev.classification_report(_model_on_golden(spark, sf_dir))
+
+
+@register()
+def model_handling(spark, sf_dir):
+    """Policy decisions on the model's intent beside those on the label; the safety of each row."""
+    rows = _model_on_golden(spark, sf_dir)
+    got = policy.handling(F.col("predicted"), F.col("text"))
+    want = policy.handling(F.col("actual"), F.col("text"))
+    return rows.select("customer_tweet_id", "actual", "predicted", got.decision.alias("decision"),
+                       want.decision.alias("expected_decision"),
+                       ((want.decision == lx.AUTO_HANDLE) | (got.decision == lx.ESCALATE)).alias("safe"))
+
+
+@register()
+def model_triage(spark, sf_dir):
+    """Triage with the intent, the retrieval block and the decision of the fitted model."""
+    from carelens.operators import classifier
+    q, h = retrieval_inputs(spark, sf_dir)
+    model = classifier.train(h, "doc_id", "text", "intent")
+    pred = classifier.predict(model, q, "qid", "text")
+    asked = materialize(q.drop("intent").join(pred, "qid").withColumnRenamed("predicted_intent", "intent"))
+    best = replies.best_reply(asked, retrieval.retrieve_topk(asked, h, TOP_K, inputs_materialized=True))
+    d = policy.handling(F.col("intent"), F.col("text"))
+    return asked.join(best, "qid").select("qid", "intent", "best_reply", "used_fallback",
+                                          d.decision.alias("decision"), d.reason.alias("reason"))
+
+
 @register()
 def predict_intent(spark, sf_dir):
     """Model intent for every incoming message (batch scoring, once)."""

@@ -218,6 +218,44 @@ SELECT brand, CAST(customer_tweet_id AS VARCHAR) AS customer_tweet_id, customer_
        CAST(brand_tweet_id AS VARCHAR) AS brand_tweet_id, CAST(parent_tweet_id AS VARCHAR) AS parent_tweet_id,
        {strip_sql('brand_text')} AS brand_text, brand_created_at
 FROM pairs WHERE customer_text IS NOT NULL AND brand_text IS NOT NULL""")
+    pred = """
+pred AS (
+  SELECT customer_tweet_id, predicted_intent AS predicted, 0 AS batch FROM intent_eval WHERE customer_tweet_id % 7 <> 0
+  UNION ALL
+  SELECT customer_tweet_id, {0} AS predicted, 1 AS batch FROM intent_eval
+  WHERE customer_tweet_id % 7 <> 0 AND customer_tweet_id % 5 = 0
+  UNION ALL
+  SELECT -customer_tweet_id - 1, predicted_intent, 0 FROM intent_eval WHERE customer_tweet_id % 7 = 0),
+lastp AS (
+  SELECT customer_tweet_id, predicted FROM (
+    SELECT *, row_number() OVER (PARTITION BY customer_tweet_id ORDER BY batch DESC, predicted DESC) AS r FROM pred) t
+  WHERE r = 1),
+aligned AS (
+  SELECT coalesce(e.customer_tweet_id, p.customer_tweet_id) AS customer_tweet_id, e.intent AS actual, p.predicted,
+         CASE WHEN p.customer_tweet_id IS NULL THEN 'missing_prediction'
+              WHEN e.customer_tweet_id IS NULL THEN 'extra_prediction' ELSE 'matched' END AS status
+  FROM intent_eval e FULL OUTER JOIN lastp p ON e.customer_tweet_id = p.customer_tweet_id)""".format(q(lx.OTHER))
+    o["aligned_predictions"] = with_messages(
+        "SELECT customer_tweet_id, actual, predicted, status FROM aligned", E + "," + pred)
+    o["aligned_accuracy"] = with_messages("""
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(count_if(actual IS NOT DISTINCT FROM predicted) AS BIGINT) AS correct,
+       round(coalesce(count_if(actual IS NOT DISTINCT FROM predicted)::DOUBLE / nullif(count(*), 0), 0.0), 6)
+         AS accuracy
+FROM aligned WHERE status <> 'extra_prediction'""", E + "," + pred)
+    cols = "o_orderkey, o_custkey, o_orderstatus"
+    by_hash = "md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey"
+    first = f"SELECT {cols} FROM orders ORDER BY o_orderkey LIMIT 1000"
+    golden = f"SELECT * FROM ({first}) f ORDER BY {by_hash} LIMIT 200"
+    training = f"SELECT {cols} FROM orders ORDER BY {by_hash.replace('42:', '43:')} LIMIT 5000"
+    o["first_orders"] = first
+    o["sample_golden_orders"] = golden
+    o["training_orders_without_golden"] = (
+        f"SELECT * FROM ({training}) t WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({golden}) g)")
+    o["leakage_orders"] = (
+        "SELECT CAST(count(*) AS BIGINT) AS training_rows, "
+        f"CAST(count_if(o_orderkey IN (SELECT o_orderkey FROM ({golden}) g)) AS BIGINT) AS overlapping_rows "
+        f"FROM ({training}) t")
     o["sample_golden"] = with_messages(f"SELECT {PAIR_STR_COLS} FROM gs", SAMPLE_CTE)
     o["golden_template"] = with_messages(
         "SELECT customer_tweet_id, customer_text, '' AS intent FROM gs", SAMPLE_CTE)

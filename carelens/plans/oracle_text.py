@@ -229,6 +229,13 @@ SELECT id AS doc_id, CAST(pos - 1 AS INTEGER) AS pos, term FROM (
                        + "\nSELECT term, df, round(idf, 6) AS idf FROM dvocab")
     o["tfidf_weights"] = ("WITH " + tfidf_ctes("d", "documents", "doc_id", "text").strip()
                           + "\nSELECT id AS doc_id, term, round(weight, 6) AS weight FROM dw")
+    o["classifier_inputs"] = with_messages("""
+SELECT h.doc_id, h.intent,
+       round((SELECT count(*) FROM hist) / ((SELECT count(DISTINCT intent) FROM hist) * c.n_c), 6) AS class_weight,
+       CAST(coalesce(w.n_terms, 0) AS BIGINT) AS n_terms, w.weight_sum, w.squares
+FROM hist h JOIN (SELECT intent, count(*)::DOUBLE AS n_c FROM hist GROUP BY intent) c ON c.intent = h.intent
+LEFT JOIN (SELECT id, count(*) AS n_terms, round(sum(weight), 6) AS weight_sum, round(sum(weight * weight), 6) AS squares
+           FROM hw GROUP BY id) w ON w.id = h.doc_id""", RETRIEVAL_CTE)
     o["retrieve_topk"] = with_messages(f"SELECT {RESULT_COLS} FROM top", RETRIEVAL_CTE)
     o["retrieve_fallback"] = with_messages(
         f"SELECT {RESULT_COLS} FROM top WHERE block = '__all__'", RETRIEVAL_CTE)

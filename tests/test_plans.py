@@ -34,13 +34,9 @@ def test_unused_reply_link_join_is_removed(spark):
     assert "Join" not in plan(df)
 
 
-def test_tfidf_window_needs_no_extra_shuffle(spark):
+def test_term_counts_need_no_shuffle(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
-    w = vectors.fit_tfidf(d, "doc_id", "text").weights
-    p = w._jdf.queryExecution().executedPlan().toString()
-    # Term counts come from a checkpoint partitioned by id; with the
-    # vocabulary broadcast, the per-document window reads them in place.
-    window_part = p[p.index("Window"):]
-    if "BroadcastHashJoin" in window_part:
-        before_join = window_part[:window_part.index("BroadcastHashJoin")]
-        assert "Exchange" not in before_join
+    assert "Exchange" not in plan(vectors.term_counts(d, "doc_id", "text"))
+    counts = {(r.id, r.term): r.tf_count for r in vectors.term_counts(
+        spark.createDataFrame([(1, "aa bb aa aa bb"), (2, ""), (3, None)], "id long, t string"), "id", "t").collect()}
+    assert counts == {(1, "aa"): 3, (1, "bb"): 2, (1, "aa bb"): 2, (1, "bb aa"): 1, (1, "aa aa"): 1}

@@ -125,11 +125,69 @@ def test_stream_matches_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_salted_shuffle_path_equals_broadcast_path(spark):
+def test_search_leaves_out_pairs_that_cannot_matter(spark):
+    """The better a query's best match, the fewer pairs are scored; a query with a copy of itself
+    in the history needs few, one without any likeness nearly all that share a term."""
+    d = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", F.lit("all").alias("intent"))
+    h = d.where(F.col("doc_id") % 2 == 0)
+    pairs = {}
+    for name, asked in (("copy", d.where(F.col("doc_id") % 50 == 0)), ("other", d.where(F.col("doc_id") % 50 == 1))):
+        asked = asked.withColumnRenamed("doc_id", "qid")
+        q, qv, dv = retrieval.postings(asked, h)
+        pairs[name] = retrieval.candidates(qv, retrieval.in_blocks(dv, q), 1).count() / (asked.count() * h.count())
+    assert 0 < pairs["copy"] < 0.5 and pairs["copy"] < pairs["other"] < 0.95, pairs
+
+
+def test_hot_parent_is_split(spark):
+    """Nine in ten replies answer one message: AQE splits that partition."""
+    n = 20_000
+    rows = spark.range(n).select(
+        (F.col("id") + 10**6).alias("tweet_id"), F.lit("SpotifyCares").alias("author_id"), F.lit(False).alias("inbound"),
+        F.lit("t").alias("created_at"), F.repeat(F.lit("reply "), 20).alias("text"),
+        F.lit(None).cast("string").alias("response_tweet_id"),
+        F.when(F.col("id") % 10 > 0, F.lit(1)).otherwise(F.col("id")).cast("long").alias("in_response_to_tweet_id"),
+        F.lit(0).alias("seq"))
+    asked = spark.range(n).select(
+        F.col("id").alias("tweet_id"), F.lit("u").alias("author_id"), F.lit(True).alias("inbound"),
+        F.lit("t").alias("created_at"), F.lit("help").alias("text"), F.lit(None).cast("string").alias("response_tweet_id"),
+        F.lit(None).cast("long").alias("in_response_to_tweet_id"), F.lit(0).alias("seq"))
+    root = tempfile.mkdtemp(prefix="carelens-hot-")
+    rows.unionByName(asked).repartition(16).write.parquet(f"{root}/log")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        pairs = pairing.pair_conversations(spark.read.parquet(f"{root}/log"), ["SpotifyCares"])
+        assert pairs.count() == n
+        seen = pairs.select("brand_tweet_id", "customer_text")
+        seen.collect()
+        assert "skew=true" in seen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_long_conversations_keep_their_ids_apart(spark):
+    from carelens.sources.adapter import messages_from_conversations
+    turns = spark.range(1500).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").cast("long").alias("turn"),
+                                     F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"),
+                                     F.concat(F.lit("t"), F.col("id")).alias("text"))
+    both = turns.unionByName(turns.withColumn("conv_id", F.lit(2).cast("long")))
+    m = messages_from_conversations(both)
+    assert m.select("tweet_id").distinct().count() == m.count() == 3000
+    from carelens.sources.adapter import BRANDS
+    assert pairing.pair_conversations(m, BRANDS).count() == 1500
+
+
+def test_scoring_equals_the_library(spark):
+    """Lazy scoring by coefficients gives what MLlib's transform gives; the fit is at a stationary point."""
     h = ct.retrieval_history(spark, SF_CHECK)
-    q = ct.retrieval_queries(spark, SF_CHECK)
-    cols = ["qid", "rank", "doc_id", "similarity"]
-    fast = retrieval.retrieve_topk(q, h, 3).select(*cols)
-    # No broadcast, and every term with df > 2 salted over 4 buckets.
-    salted = retrieval.retrieve_topk(q, h, 3, broadcast_max_rows=0, hot_df=2, salts=4).select(*cols)
-    assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, salted.collect()))
+    model = classifier.train(h, "doc_id", "text", "intent")
+    mine = {r.doc_id: r.predicted_intent for r in classifier.predict(model, h, "doc_id", "text").collect()}
+    feats = classifier.features(h, "doc_id", "text", model.vocab, model.num_features)
+    theirs = {r.id: model.labels[int(r.prediction)] for r in model.lr.transform(feats).collect()}
+    assert mine == theirs and set(mine.values()) <= set(model.labels)
