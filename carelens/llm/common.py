@@ -9,6 +9,11 @@ tasks it ran, not the chain before them.
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +23,22 @@ from carelens.sources.tables import table
 __all__ = ["crc_mod", "documents", "free_name", "table", "written"]
 
 
+_ROOT = Path(__file__).resolve().parents[2]
+_sent: set[str] = set()
+
+
+def importable(spark: SparkSession) -> None:
+    """Send this package to the Python workers if nothing shows that they find it themselves."""
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app not in _sent and str(_ROOT) not in {os.path.realpath(p) for p in known if p}:
+        to = tempfile.mkdtemp(prefix="carelens-package-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/carelens", "zip", _ROOT, "carelens"))
+    _sent.add(app)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return table(spark, sf_dir, "documents")
 
 
@@ -31,6 +51,7 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table read back."""
     spark = df.sparkSession
+    importable(spark)
     path = scratch_path(spark, name)
     w = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
