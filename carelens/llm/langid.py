@@ -52,73 +52,129 @@ def words(text: str) -> list[str]:
     return text.lower().split()
 
 
+class PieceTable:
+    """Piece ids by a hash of their characters, looked up for whole arrays.
+
+    Open addressing on the hash that :func:`extend` builds character by
+    character, so the spans that start at one place share their work.
+    """
+
+    def __init__(self, pieces: tuple[str, ...]):
+        self.longest = max(map(len, pieces), default=1)
+        self.bits = max(8, (16 * len(pieces)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.values = np.zeros(1 << self.bits, np.int64)
+        hashes = np.zeros(len(pieces), np.uint64)
+        by_len: dict[int, list[int]] = {}
+        for k, p in enumerate(pieces):
+            by_len.setdefault(len(p), []).append(k)
+        for n, ks in by_len.items():
+            text = "".join([pieces[k] for k in ks]).encode("utf-32-le", "surrogatepass")
+            h = np.zeros(len(ks), np.uint64)
+            for ch in np.frombuffer(text, np.uint32).reshape(-1, n).T.astype(np.uint64):
+                h = self.extend(h, ch)
+            hashes[ks] = h
+        taken: dict[int, int] = {}
+        for k, slot in enumerate(self._slot(hashes).tolist()):
+            while slot in taken:
+                slot = (slot + 1) & (len(self.keys) - 1)
+            taken[slot] = k
+        slots = np.array(list(taken), np.int64)
+        self.values[slots] = list(taken.values())
+        self.keys[slots] = hashes[self.values[slots]]
+
+    @staticmethod
+    def extend(h: np.ndarray, ch: np.ndarray) -> np.ndarray:
+        h = (h ^ (ch + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        return h ^ (h >> np.uint64(29))
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows whose hash is that of a piece, and the piece of each."""
+        slot = self._slot(h)
+        rows, found, ids = np.arange(len(h)), [], []
+        while len(rows):
+            key = self.keys[slot]
+            same = key == h[rows]
+            found.append(rows[same])
+            ids.append(self.values[slot[same]])
+            more = (key != 0) & ~same
+            rows, slot = rows[more], (slot[more] + 1) & (len(self.keys) - 1)
+        return np.concatenate(found), np.concatenate(ids)
+
+
+@lru_cache(maxsize=2)
+def piece_table(path: str) -> PieceTable:
+    return PieceTable(vocabulary(path))
+
+
 class Lattice:
     """Forward and backward sums over all segmentations, by word length.
 
-    ``table`` is pieces x models; a last row holds the unseen character.
+    ``probs`` is pieces x models; a last row holds the unseen character.
     """
 
-    def __init__(self, pieces: tuple[str, ...], table: np.ndarray):
-        self.ids = {p: i for i, p in enumerate(pieces)}
-        self.longest = max(map(len, pieces), default=1)
-        self.table = table
-        self.unseen = len(pieces)
+    def __init__(self, pieces: PieceTable, probs: np.ndarray):
+        self.pieces, self.probs = pieces, probs
+        self.unseen = len(probs) - 1
 
-    def groups(self, types: list[str]) -> Iterator[tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]]:
-        """Types of one length together, with the piece id of every span (-1: none)."""
+    def groups(self, types: list[str]):
+        """Types of one length together, and per span the rows and pieces that fit."""
         by_len: dict[int, list[int]] = {}
         for k, w in enumerate(types):
             by_len.setdefault(len(w), []).append(k)
-        get = self.ids.get
         for n, ks in by_len.items():
-            ws = [types[k] for k in ks]
-            spans = {}
+            text = "".join([types[k] for k in ks]).encode("utf-32-le", "surrogatepass")
+            codes = np.frombuffer(text, np.uint32).reshape(-1, n).T.astype(np.uint64)
+            spans = []
             for i in range(n):
-                for j in range(i + 1, min(n, i + self.longest) + 1):
-                    miss = self.unseen if j == i + 1 else -1
-                    ids = np.array([get(w[i:j], miss) for w in ws], np.int64)
-                    if (ids >= 0).any():
-                        spans[i, j] = ids
-            yield np.array(ks, np.int64), spans
-
-    def _weights(self, ids: np.ndarray) -> np.ndarray:
-        w = self.table[ids]  # -1 reads the last row, masked here
-        w[ids < 0] = 0.0
-        return w
+                h = np.zeros(len(ks), np.uint64)
+                for j in range(i + 1, min(n, i + self.pieces.longest) + 1):
+                    h = self.pieces.extend(h, codes[j - 1])
+                    rows, ids = self.pieces.find(h)
+                    if j == i + 1 and len(rows) < len(ks):
+                        rest = np.setdiff1d(np.arange(len(ks)), rows, assume_unique=True)
+                        rows, ids = np.concatenate([rows, rest]), np.concatenate([ids, np.full(len(rest), self.unseen)])
+                    if len(rows):
+                        spans.append((i, j, rows, ids))
+            yield np.array(ks, np.int64), n, spans
+
+    def _forward(self, n: int, spans, m: int) -> list[np.ndarray]:
+        alpha = [np.zeros((m, self.probs.shape[1])) for _ in range(n + 1)]
+        alpha[0][:] = 1.0
+        for i, j, rows, ids in spans:
+            alpha[j][rows] += alpha[i][rows] * self.probs[ids]
+        return alpha
 
     def log_probs(self, types: list[str]) -> np.ndarray:
         """types x models: log of the sum over segmentations."""
-        out = np.zeros((len(types), self.table.shape[1]))
-        for ks, spans in self.groups(types):
-            out[ks] = np.log(self._forward(spans, len(ks))[-1])
+        out = np.zeros((len(types), self.probs.shape[1]))
+        for ks, n, spans in self.groups(types):
+            out[ks] = np.log(self._forward(n, spans, len(ks))[-1])
         return out
 
-    def _forward(self, spans, m: int) -> list[np.ndarray]:
-        n = max(j for _, j in spans)
-        alpha = [np.zeros((m, self.table.shape[1])) for _ in range(n + 1)]
-        alpha[0][:] = 1.0
-        for (i, j), ids in sorted(spans.items()):
-            alpha[j] += alpha[i] * self._weights(ids)
-        return alpha
-
     def expected(self, types: list[str], counts: np.ndarray) -> np.ndarray:
         """Posterior piece counts, pieces x models, for counts types x models.
 
-        A table of one model is shared by all columns of ``counts``.
+        Probabilities of one model are shared by all columns of ``counts``.
         """
         out = np.zeros((self.unseen + 1, counts.shape[1]))
-        for ks, spans in self.groups(types):
-            alpha = self._forward(spans, len(ks))
-            n = len(alpha) - 1
+        for ks, n, spans in self.groups(types):
+            alpha = self._forward(n, spans, len(ks))
             beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
             beta[n][:] = 1.0
-            for (i, j), ids in sorted(spans.items(), reverse=True):
-                beta[i] += beta[j] * self._weights(ids)
-            for (i, j), ids in spans.items():
-                ok = ids >= 0
-                post = (alpha[i] * self._weights(ids) * beta[j] / alpha[n])[ok] * counts[ks[ok]]
-                for c in range(counts.shape[1]):
-                    out[:, c] += np.bincount(ids[ok], post[:, c], minlength=len(out))
+            for i, j, rows, ids in reversed(spans):
+                beta[i][rows] += beta[j][rows] * self.probs[ids]
+            scale = counts[ks] / alpha[n]
+            pieces, posts = [], []
+            for i, j, rows, ids in spans:
+                pieces.append(ids)
+                posts.append(alpha[i][rows] * self.probs[ids] * beta[j][rows] * scale[rows])
+            piece, post = np.concatenate(pieces), np.concatenate(posts)
+            for c in range(counts.shape[1]):
+                out[:, c] += np.bincount(piece, post[:, c], minlength=len(out))
         return out
 
 
@@ -168,7 +224,7 @@ def train(
 
 def _gather(vocab_path: str, langs: list[str], table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(vocabulary(vocab_path), table)
+        lattice = Lattice(piece_table(vocab_path), table)
         by_lang: dict[str, Counter] = {}
         sums: dict[str, np.ndarray] = {}
 
@@ -176,7 +232,7 @@ def _gather(vocab_path: str, langs: list[str], table: np.ndarray):
             names = sorted(by_lang)
             if langs:  # a model per language: its own column each
                 for lang in names:
-                    own = Lattice(vocabulary(vocab_path), table[:, [langs.index(lang)]])
+                    own = Lattice(piece_table(vocab_path), table[:, [langs.index(lang)]])
                     ws = list(by_lang[lang])
                     n = np.array([[by_lang[lang][w]] for w in ws], float)
                     sums[lang] = sums.get(lang, 0) + own.expected(_types(ws), n)[:, 0]
@@ -221,7 +277,7 @@ def predict(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = bc.value
-        lattice = Lattice(vocabulary(vocab_path), table)
+        lattice = Lattice(piece_table(vocab_path), table)
         row_of: dict[str, int] = {}
         rows = np.zeros((0, table.shape[1]))
         for batch in batches:
