@@ -191,3 +191,23 @@ def test_scoring_equals_the_library(spark):
     feats = classifier.features(h, "doc_id", "text", model.vocab, model.num_features)
     theirs = {r.id: model.labels[int(r.prediction)] for r in model.lr.transform(feats).collect()}
     assert mine == theirs and set(mine.values()) <= set(model.labels)
+
+
+def test_fit_is_stationary(spark):
+    """The gradient of the stated objective vanishes at the fitted coefficients."""
+    import numpy as np
+    h = ct.retrieval_history(spark, SF_CHECK)
+    model = classifier.train(h, "doc_id", "text", "intent")
+    rows = (classifier.features(h, "doc_id", "text", model.vocab, model.num_features)
+            .join(h.select(F.col("doc_id").alias("id"), "intent"), "id").collect())
+    x = np.array([r.features.toArray() for r in rows])
+    y = np.array([model.labels.index(r.intent) for r in rows])
+    n, k = len(rows), len(model.labels)
+    weight = n / (k * np.bincount(y, minlength=k)[y])
+    coef, bias = model.lr.coefficientMatrix.toArray(), model.lr.interceptVector.toArray()
+    z = x @ coef.T + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(n), y] -= 1
+    p *= weight[:, None] / n
+    assert np.abs(p.T @ x + coef / n).max() < 1e-4 and np.abs(p.sum(axis=0)).max() < 1e-4
