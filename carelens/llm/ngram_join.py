@@ -158,10 +158,10 @@ def _blocks_of(sets: list[np.ndarray], scale: np.ndarray, keep: np.ndarray, hot:
     return sig[take], owner[take]
 
 
-def sketch(s: np.ndarray) -> bytes:
-    """Parity of the shingles on ``SKETCH_BITS`` bits."""
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles on ``SKETCH_BITS`` bits, as 64-bit words."""
     bits = np.bincount((mix(s ^ _ODD[3]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 # ------------------------------------------------------------------ tasks
@@ -267,7 +267,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, sets in _chunks(batches, 1):
         yield pa.RecordBatch.from_arrays(
             [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets]),
-             pa.array([sketch(s) for s in sets])], names=["cls", "n", "shingles", "sketch"])
+             pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["cls", "n", "shingles", "sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,9 +325,8 @@ def _sizes_allow(n: Column, m: Column) -> Column:
 
 def _hamming(a: Column, b: Column) -> Column:
     """Differing bits of two sketches."""
-    def word(x: Column, k: int) -> Column:
-        return F.conv(F.hex(F.substring(x, 8 * k + 1, 8)), 16, -10).cast("long")
-    return sum((F.bit_count(word(a, k).bitwiseXOR(word(b, k))) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+                for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,7 +362,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     used = met.select("cls").distinct().join(classes, "cls").select("cls", "rep.doc_id", "rep.tkey")
     texts = src.join(used, (src["doc_id"].eqNullSafe(used["doc_id"])) & (src["tkey"] == used["tkey"]))
     sets = written(texts.select("cls", "t").dropDuplicates(["cls"]).mapInArrow(
-        _measure, "cls long, n long, shingles binary, sketch binary"), "ngram-sets")
+        _measure, "cls long, n long, shingles binary, sketch array<long>"), "ngram-sets")
     size_u = sets.select(F.col("cls").alias("u"), F.col("n").alias("n_u"))
     size_v = sets.select(F.col("cls").alias("v"), F.col("n").alias("n_v"))
 
