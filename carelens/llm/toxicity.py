@@ -17,8 +17,8 @@ symbol three or more times in a row is decoration and stands for nothing.
 are weighed by how much more often toxic labelled documents hold them than
 others (lower confidence bound of the log ratio, so rare n-grams count for
 little); a word's weight is its best n-gram; a document's features are its
-three heaviest distinct words and the number of heavy ones, whatever its
-length; a logistic regression maps them to 0..1. N-grams are weighed on one
+three heaviest distinct words, what the first two have beyond ``SURE``, and
+the number of heavy ones, whatever its length; a logistic regression maps them to 0..1. N-grams are weighed on one
 part of the labelled rows and the regression fitted on the other.
 
 Labels come from a bounded, documented sample (``FIT_ROWS`` ids a class,
@@ -51,6 +51,7 @@ CACHE_WORDS = 200_000
 GRAM_BITS = 22
 GRAM_SIZES = (3, 4, 5, 6)
 HEAVY = 1.0
+SURE = 2.0
 
 # Surface characters and the letters that they may stand for.
 LOOKALIKES = {
@@ -289,10 +290,11 @@ class WordWeights:
         w = sorted((x for x in map(get, tokens) if x > 0), reverse=True)
         heavy = sum(1 for x in w if x > HEAVY)
         top = [*w[:3], 0.0, 0.0, 0.0]
-        return [top[0], top[1], top[2], math.log1p(heavy), heavy / math.sqrt(max(1, len(tokens)))]
+        sharp = [max(0.0, x - SURE) for x in top[:2]]
+        return [top[0], top[1], top[2], *sharp, math.log1p(heavy), heavy / math.sqrt(max(1, len(tokens)))]
 
 
-N_FEATURES = 5
+N_FEATURES = 7
 
 
 def _gram_counts(lm: list[float]):
@@ -337,7 +339,7 @@ def _log_ratio_bound(n1: Column, n0: Column, t1: float, t0: float) -> Column:
     return F.log(a / b) - 1.645 * spread
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 50) -> np.ndarray:
     """Ridge logistic regression by Newton steps; the last weight is the intercept."""
     xb = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(xb.shape[1])
