@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carelens.operators import judging
 from carelens.plans import catalog, catalog_more
-from carelens.sources import readers, sinks
+from carelens.sources import readers, responses_adapter, sinks
 from conftest import SF_SMALL
 
 
@@ -33,7 +33,8 @@ def test_golden_template_csv(spark):
 
 
 def test_append_and_resume(spark):
-    cal = judging.calibration_table(catalog.pairs(spark, SF_SMALL))
+    pairs = catalog.pairs(spark, SF_SMALL)
+    cal = judging.calibration_table(pairs, responses_adapter.judge_responses(pairs), responses_adapter.human_scores(pairs))
     rows = cal.filter(F.col("llm_judge_score").isNotNull())
     path = os.path.join(tempfile.mkdtemp(prefix="carelens-cal-"), "calibration")
     first = rows.filter(F.col("request_id") % 2 == 0)
