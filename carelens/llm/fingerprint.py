@@ -50,28 +50,36 @@ def _shingles(h: Column) -> Column:
         F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(SHINGLE)])))
 
 
-def sums(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys`` with ``wide``, ``near`` and ``n_near`` of each row's text.
-
-    ``keys`` identify a row. Paragraphs and shingles are expanded and summed
-    in the task that reads the row; one line per row is shuffled.
+def sums(texts: DataFrame, keys: list[str], text_col: str, version: str | None = None,
+         names: tuple[str, ...] = ("fp",)) -> DataFrame:
+    """``keys`` with a struct ``wide, near, n_near`` of each row's text.
+
+    ``keys`` identify a document. With ``version``, a document has a row per
+    version 0, 1, ... and gets a struct of each, under ``names``. Paragraphs
+    and shingles are expanded and summed in the task that reads the row; one
+    line per document is shuffled.
     """
-    p = texts.select(*keys, F.explode_outer(paragraphs(F.col(text_col))).alias("p"))
+    carried = [*keys, *([version] if version else [])]
+    p = texts.select(*carried, F.explode_outer(paragraphs(F.col(text_col))).alias("p"))
     p = p.withColumn("h", F.transform(F.split("p", " "), lambda w: F.xxhash64(w)))
-    s = p.select(*keys, "p", F.posexplode_outer(_shingles(F.col("h"))).alias("i", "s"))
-    once = F.col("i") == 0
+    s = p.select(*carried, "p", F.posexplode_outer(_shingles(F.col("h"))).alias("i", "s"))
     aggs = []
-    for k in range(WIDE // 2):
-        h = F.when(once, F.xxhash64("p", F.lit(k)))
-        aggs += [F.sum(h.bitwiseAND(F.lit(LOW))).alias(f"w{2 * k}"),
-                 F.sum(F.shiftrightunsigned(h, 32)).alias(f"w{2 * k + 1}")]
-    for k in range(PAIRS):
-        aggs.append(F.sum(F.shiftrightunsigned(F.col("s"), k).bitwiseAND(F.lit(ONES))).alias(f"c{k}"))
-    got = s.groupBy(*keys).agg(*aggs, F.count("s").alias("n_near"))
+    for v, name in enumerate(names):
+        here = F.col(version) == v if version else F.lit(True)
+        for k in range(WIDE // 2):
+            h = F.when(here & (F.col("i") == 0), F.xxhash64("p", F.lit(k)))
+            aggs += [F.sum(h.bitwiseAND(F.lit(LOW))).alias(f"{name}w{2 * k}"),
+                     F.sum(F.shiftrightunsigned(h, 32)).alias(f"{name}w{2 * k + 1}")]
+        one = F.when(here, F.col("s"))
+        for k in range(PAIRS):
+            aggs.append(F.sum(F.shiftrightunsigned(one, k).bitwiseAND(F.lit(ONES))).alias(f"{name}c{k}"))
+        aggs.append(F.count(one).alias(f"{name}n"))
+    got = s.groupBy(*keys).agg(*aggs)
     zero = F.lit(0).cast("long")
-    wide = F.array(*[F.coalesce(F.col(f"w{k}"), zero).bitwiseAND(F.lit(LOW)) for k in range(WIDE)])
-    near = F.array(*[F.coalesce(F.col(f"c{k}"), zero) for k in range(PAIRS)])
-    return got.select(*keys, wide.alias("wide"), near.alias("near"), "n_near")
+    return got.select(*keys, *[F.struct(
+        F.array(*[F.coalesce(F.col(f"{n}w{k}"), zero).bitwiseAND(F.lit(LOW)) for k in range(WIDE)]).alias("wide"),
+        F.array(*[F.coalesce(F.col(f"{n}c{k}"), zero) for k in range(PAIRS)]).alias("near"),
+        F.col(f"{n}n").alias("n_near")).alias(n) for n in names])
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -167,19 +175,15 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edited_text(F.col("text"), F.col("next_text")).alias("edited"))
     versions = rows.select(
         "row", "id", "tie", "next_id", "next_tie", "n_chars",
-        F.sha2("edited", 256).alias("sha"), F.inline(F.array(
+        F.unhex(F.sha2("edited", 256)).alias("sha"), F.inline(F.array(
             F.struct(F.lit(0).alias("v"), F.col("text").alias("t")),
             F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))))
-    keys = ["row", "v", "id", "tie", "next_id", "next_tie", "n_chars", "sha"]
-    both = sums(versions, keys, "t")
-    fp = F.struct("wide", "near", "n_near")
-    one = written(both.groupBy(*[k for k in keys if k != "v"]).agg(
-        F.max(F.when(F.col("v") == 0, fp)).alias("own"), F.max(F.when(F.col("v") == 1, fp)).alias("edited")),
-        "fingerprints")
+    keys = ["row", "id", "tie", "next_id", "next_tie", "n_chars", "sha"]
+    one = written(sums(versions, keys, "t", "v", ("own", "edited")), "fingerprints")
     right = one.groupBy(F.col("id").alias("rid"), F.col("tie").alias("rtie")).agg(F.first("own").alias("following"))
     got = one.join(right, F.col("next_id").eqNullSafe(F.col("rid")) & (F.col("next_tie") == F.col("rtie")))
     return got.select(
-        F.col("id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"),
+        F.col("id").alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         to_string(F.col("own")).alias("fingerprint"), to_string(F.col("edited")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("edited")).alias("near_edited"),
         likeness(F.col("own"), F.col("following")).alias("near_next"))
