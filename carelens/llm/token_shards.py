@@ -43,7 +43,7 @@ SLOTS_PER_SHARD = 512
 KEY = "order-1"
 ROUNDS = 6
 DTYPE = np.dtype("<u2")
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 600_000
 MAX_PIECE_TOKENS = 1 << 20
 
 # Fixed value: how the public vocabulary splits text before merging.
@@ -98,6 +98,12 @@ class Chunks(dict):
         return b"".join([self.ids(parts[0]), *map(self.__getitem__, parts[1:]), self.end])
 
 
+@lru_cache(maxsize=1)
+def chunks_of(path: str) -> Chunks:
+    """One memory of chunks per Python worker, kept over its tasks."""
+    return Chunks(path)
+
+
 _MIXED = re.compile(r" \s|\s |^ | $")
 
 
@@ -155,7 +161,7 @@ def tokenise(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
-        chunks = Chunks(ranks_path)
+        chunks = chunks_of(ranks_path)
         for batch in batches:
             blobs = [chunks.tokens(_clean(x.as_py())) for x in batch.column(1)]
             n = np.array([len(b) // DTYPE.itemsize for b in blobs], np.int64)
