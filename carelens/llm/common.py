@@ -57,6 +57,9 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    # What was shuffled for this table is not needed again: Spark's cleaner removes the
+    # shuffle files of plans that the driver's JVM has collected.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,9 +11,9 @@ shingle flips one bit, the Hamming distance of two sketches, and so the
 number of blocks in which they differ, is at most ``d``. The vector is
 wide and sparse, so a block is kept as the XOR of its shingles' digests.
 
-**Pigeonhole per size band.** Bands are powers of two; a set of ``n`` shingles
-uses about ``n`` to ``2n`` blocks, and a set whose partners may lie in the next
-band emits blocks for that band too. Two linked sets agree on all their
+**Pigeonhole per size band.** Each band of sizes has its number of blocks, a
+power of two between half and twice the size; a set whose partners may lie in
+the next band emits blocks for that band too. Two linked sets agree on all their
 non-empty blocks but ``d``, hence share one among the first ``d + 1`` in any
 common order. Blocks made of very frequent shingles go last in that order;
 any list of frequent shingles gives the same links, so a bounded one is
@@ -23,10 +23,11 @@ more than ``d`` blocks are non-empty but for a chance below 1e-15 a pair.)
 **Verify.** Sets that share a block are checked against one of them, the
 hub, exactly, on their shingle sets; verified links make components; then
 every remaining pair that shares a block and lies in different components
-is checked as well, after the size bound and a Hamming bound on 512-bit
-sketches. A pair inside one component needs no check, so no group is ever
+is checked as well, after the size bound and a Hamming bound on 1024-bit
+sketches (of 8192 bits for sets above ``LONG``). A pair inside one component needs no check, so no group is ever
 expanded into its pairs, and no link between components is lost.
 
+Blocks shared by exactly the same sets are one block to all that follows.
 Rows of one block that a task has already seen are joined to that task's
 own hub, so a block shared by a third of all sets sends one row per task
 batch to the next stage. Components are found by label propagation with
@@ -45,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.llm.common import written
@@ -53,11 +54,14 @@ from carelens.llm.common import written
 SHINGLE = 5
 PERCENT = 75
 FINE = 64  # sets up to this size take one block a shingle
+DENSE = 256  # above it, blocks are half as many as shingles to begin with
 HOT_SHINGLES = 1 << 16
 HOT_IN_BATCH = 8
 CACHE_WORDS = 200_000
 CHUNK_SHINGLES = 1 << 20
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
+LONG_BITS = 8192  # of the second sketch that sets above LONG shingles have
+LONG = 512
 
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -105,8 +109,14 @@ def set_class(s: np.ndarray) -> int | None:
 # --------------------------------------------------------------- sketches
 
 def _scale(n: np.ndarray) -> np.ndarray:
-    """Band of a set size: 0 up to FINE, then the power of two that covers it."""
-    return np.where(n <= FINE, 0, np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64))
+    """Blocks of a set size as a power of two; 0 up to FINE. Above DENSE half of what covers it."""
+    power = np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64)
+    return np.where(n <= FINE, 0, power - (n > DENSE))
+
+
+def _largest(scale: np.ndarray) -> np.ndarray:
+    """The largest set size of a band."""
+    return np.where(scale == 0, FINE, np.where((2 << scale) > DENSE, 2 << scale, 1 << scale))
 
 
 def blocks(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +126,7 @@ def blocks(sets: list[np.ndarray], hot: np.ndarray, percent: int = PERCENT) -> t
     own, upper = _scale(n), _scale(largest)
     sig, of = [], []
     for scale, chosen, partner in (
-            (own, np.flatnonzero(n > 0), np.minimum(largest, np.where(own == 0, FINE, 1 << own))),
+            (own, np.flatnonzero(n > 0), np.minimum(largest, _largest(own))),
             (upper, np.flatnonzero(upper != own), largest)):
         # |difference| <= (1 - t) / (1 + t) * (sum of the sizes)
         d = (n + partner) * (100 - percent) // (100 + percent)
@@ -158,9 +168,9 @@ def _blocks_of(sets: list[np.ndarray], scale: np.ndarray, keep: np.ndarray, hot:
     return sig[take], owner[take]
 
 
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles on ``SKETCH_BITS`` bits, as 64-bit words."""
-    bits = np.bincount((mix(s ^ _ODD[3]) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def sketch(s: np.ndarray, size: int = SKETCH_BITS) -> np.ndarray:
+    """Parity of the shingles on ``size`` bits, as 64-bit words."""
+    bits = np.bincount((mix(s ^ _ODD[3]) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -264,21 +274,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sketch beside each text."""
     for rows, sets in _chunks(batches, 1):
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets]),
-             pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))], names=["cls", "n", "shingles", "sketch"])
+            [rows.column(0), rows.column(1), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+             pa.array([sketch(s, LONG_BITS) if len(s) > LONG else None for s in sets], pa.list_(pa.int64()))],
+            names=["cls", "t", "n", "sketch", "long_sketch"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of texts whose shingle sets link; equal first texts follow each other."""
+    cache = WordHashes()
+    last, a = None, None
     for batch in batches:
         ok = []
-        last, a = None, None
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            raw = x.as_buffer()
-            if last is None or not raw.equals(last):
-                last, a = raw, np.frombuffer(raw, np.uint64)
-            b = np.frombuffer(y.as_buffer(), np.uint64)
+        for u, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            if u != last:
+                last, a = u, shingle_set(x.as_py(), cache)
+            b = shingle_set(y.as_py(), cache)
             small, large = (a, b) if len(a) <= len(b) else (b, a)
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             common = int((large[at] == small).sum())
@@ -313,16 +327,37 @@ def components(links: DataFrame, start: DataFrame | None = None, name: str = "la
         labels = after.select("node", "label")
 
 
-def _pair_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("cls").alias("u"), F.col("shingles").alias("set_u"))
-    b = sets.select(F.col("cls").alias("v"), F.col("shingles").alias("set_v"))
-    return pairs.join(b, "v").join(a, "u").select("u", "v", "set_u", "set_v")
+def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """The pairs ``u, v`` that link, checked on their whole texts.
+
+    Pairs are few by now (sizes and sketches allow them); those of two long
+    sets are held against their longer sketches first. Only texts of classes
+    that are in a pair are joined.
+    """
+    long = texts.where(F.col("long_sketch").isNotNull())
+    of_u = long.select(F.col("cls").alias("u"), F.col("n").alias("n_u"), F.col("long_sketch").alias("s_u"))
+    of_v = long.select(F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("long_sketch").alias("s_v"))
+    apart = F.aggregate(F.zip_with("s_u", "s_v", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    pairs = (pairs.join(of_v, "v", "left").join(of_u, "u", "left")
+             .where(F.coalesce(apart <= _most_differences(F.col("n_u"), F.col("n_v")), F.lit(True))).select("u", "v"))
+    pairs = written(pairs, f"{name}-pairs")
+    asked = pairs.select(F.col("u").alias("cls")).unionAll(pairs.select(F.col("v").alias("cls"))).distinct()
+    few = written(texts.select("cls", "t").join(asked, "cls", "left_semi"), f"{name}-texts")
+    a = few.select(F.col("cls").alias("u"), F.col("t").alias("text_u"))
+    b = few.select(F.col("cls").alias("v"), F.col("t").alias("text_v"))
+    both = pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
+    return written(both.mapInArrow(_verify, "u long, v long"), f"{name}-links")
 
 
 def _sizes_allow(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
 
+def _most_differences(n: Column, m: Column) -> Column:
+    """The largest symmetric difference with which sets of these sizes link."""
+    return F.floor((n + m) * (100 - PERCENT) / (100 + PERCENT))
+
+
 def _hamming(a: Column, b: Column) -> Column:
     """Differing bits of two sketches."""
     return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
@@ -340,8 +375,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     needless to check are not in it.
     """
     spark = docs.sparkSession
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                      F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), F.col(text_col).alias("t"))
+    own_id = F.col(id_col).cast("long")
+    src = docs.select(own_id.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"),
+                      F.col(text_col).alias("t"), F.coalesce(own_id, F.lit(-(1 << 63))).alias("k"))
     rows = written(src.mapInArrow(_classify, _ROWS), "ngram-docs")
     is_doc = F.col("hot").isNull()
     often = (rows.where(~is_doc).groupBy("hot").agg(F.sum("n_hot").alias("n"))
@@ -359,20 +395,35 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = written(sigs.repartition(dealt).sortWithinPartitions("sig", "cls")
                   .mapInArrow(_meet, "sig long, cls long, hub long"), "ngram-blocks")
 
-    used = met.select("cls").distinct().join(classes, "cls").select("cls", "rep.doc_id", "rep.tkey")
-    texts = src.join(used, (src["doc_id"].eqNullSafe(used["doc_id"])) & (src["tkey"] == used["tkey"]))
-    sets = written(texts.select("cls", "t").dropDuplicates(["cls"]).mapInArrow(
-        _measure, "cls long, n long, shingles binary, sketch array<long>"), "ngram-sets")
-    size_u = sets.select(F.col("cls").alias("u"), F.col("n").alias("n_u"))
-    size_v = sets.select(F.col("cls").alias("v"), F.col("n").alias("n_v"))
-
-    to_hub = (met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
-              .join(size_v, "v").join(size_u, "u").where(_sizes_allow(F.col("n_u"), F.col("n_v"))).select("u", "v"))
-    links = written(_pair_sets(to_hub, sets).mapInArrow(_verify, "u long, v long"), "ngram-links")
+    # One block for all that the same sets share.
+    groups = met.groupBy("sig").agg(
+        F.count("*").alias("n"), F.min("cls").alias("c0"), F.max("cls").alias("c1"),
+        F.bit_xor(F.xxhash64("cls")).alias("x"))
+    kept = groups.groupBy("n", "c0", "c1", "x").agg(F.min("sig").alias("sig")).select("sig")
+    met = written(met.join(kept, "sig"), "ngram-shared")
+
+    used = met.select("cls").distinct().join(classes, "cls").select(
+        "cls", F.coalesce("rep.doc_id", F.lit(-(1 << 63))).alias("k"), "rep.tkey")
+    one_row = F.row_number().over(Window.partitionBy("k", "tkey").orderBy("k"))
+    texts = src.select("k", "tkey", "t").join(used, ["k", "tkey"]).withColumn("nth", one_row).where("nth = 1")
+    texts = written(texts.select("cls", "t").mapInArrow(
+        _measure, "cls long, t string, n long, sketch array<long>, long_sketch array<long>"), "ngram-texts")
+    info = texts.select("cls", "n", "sketch")
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        """Pairs ``u, v`` that sizes and sketches allow to link."""
+        of_u = info.select(F.col("cls").alias("u"), F.col("n").alias("n_u"), F.col("sketch").alias("s_u"))
+        of_v = info.select(F.col("cls").alias("v"), F.col("n").alias("n_v"), F.col("sketch").alias("s_v"))
+        return (pairs.join(of_v, "v").join(of_u, "u")
+                .where(_sizes_allow(F.col("n_u"), F.col("n_v"))
+                       & (_hamming(F.col("s_u"), F.col("s_v")) <= _most_differences(F.col("n_u"), F.col("n_v"))))
+                .select("u", "v"))
+
+    to_hub = met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
+    links = _linked(allowed(to_hub), texts, "ngram-hub")
     label = components(links)
 
     # What shares a block across components: all of it but pairs inside the block's largest one.
-    info = sets.select("cls", "n", "sketch")
     placed = (met.select("sig", "cls").distinct().join(label, F.col("cls") == F.col("node"), "left")
               .select("sig", "cls", F.coalesce("label", "cls").alias("comp")))
     placed = written(placed, "ngram-placed")
@@ -382,12 +433,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     a = open_rows.where("comp <> main").select("sig", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", "sketch")])
     b = open_rows.select("sig", F.col("main"), *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", "sketch")])
     once = (F.col("b_comp") == F.col("main")) | (F.col("a_cls") < F.col("b_cls"))
-    bound = F.floor((F.col("a_n") + F.col("b_n")) * ((100 - PERCENT) / (100 + PERCENT)) + 1e-6)
     cross = (a.join(b, (a["sig"] == b["sig"]) & (F.col("a_comp") != F.col("b_comp")) & once
                     & _sizes_allow(F.col("a_n"), F.col("b_n"))
-                    & (_hamming(F.col("a_sketch"), F.col("b_sketch")) <= bound))
+                    & (_hamming(F.col("a_sketch"), F.col("b_sketch")) <= _most_differences(F.col("a_n"), F.col("b_n"))))
              .select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct())
-    more = _pair_sets(cross, sets).mapInArrow(_verify, "u long, v long")
+    more = _linked(cross, texts, "ngram-cross")
     links = written(links.unionAll(more), "ngram-all-links")
     label = components(links)
 
