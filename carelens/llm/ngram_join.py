@@ -395,11 +395,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     met = written(sigs.repartition(dealt).sortWithinPartitions("sig", "cls")
                   .mapInArrow(_meet, "sig long, cls long, hub long"), "ngram-blocks")
 
-    # One block for all that the same sets share.
-    groups = met.groupBy("sig").agg(
-        F.count("*").alias("n"), F.min("cls").alias("c0"), F.max("cls").alias("c1"),
-        F.bit_xor(F.xxhash64("cls")).alias("x"))
-    kept = groups.groupBy("n", "c0", "c1", "x").agg(F.min("sig").alias("sig")).select("sig")
+    # One block for all that the same sets share; a set with copies in several chunks has a row for each.
+    groups = met.select("sig", "cls").distinct().groupBy("sig").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")).where("n > 1")
+    kept = groups.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
     met = written(met.join(kept, "sig"), "ngram-shared")
 
     used = met.select("cls").distinct().join(classes, "cls").select(

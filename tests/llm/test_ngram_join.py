@@ -78,6 +78,32 @@ def test_equals_brute_force(spark):
         assert (r.component_id == r.doc_id) >= r.representative or r.doc_id is None
 
 
+def two_blocks(rng):
+    """Texts A, V, W, Z: V and W each link with A by one block, {A, V, Z} or {A, W, Z}, and lie between A and Z."""
+    cache = nj.WordHashes()
+    while True:
+        w = [f"w{rng.randrange(10 ** 9)}" for _ in range(9)]
+        sets = [nj.shingle_set(" ".join(t), cache) for t in (w, w[:-1], w[1:], [*w, "more"])]
+        a, v, z, y = (nj.set_class(sets[k]) for k in (0, 1, 3, 2))
+        ends = {*set(sets[0]) - set(sets[1]), *set(sets[0]) - set(sets[2])}
+        if ends == set(sets[0][:2]) and min(a, z) < min(v, y) and max(v, y) < max(a, z):
+            return [" ".join(t) for t in (w, w[:-1], w[1:], [*w, "more"])]
+
+
+def test_short_texts_with_copies_over_partitions(spark):
+    """Blocks of different sets stay apart when a set has a row for each of an even number of chunks."""
+    rng, parts, k = random.Random(5), [[], [], [], []], 0
+    for copies in (2, 4, 2, 4):
+        a, v, w, z = two_blocks(rng)
+        for j, ts in enumerate([[a, v, w, z], *[[v, w]] * (copies - 1)]):
+            parts[j] += [(k + i, t) for i, t in enumerate(ts)]
+            k += len(ts)
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 4).flatMap(lambda x: x),
+                                 "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(docs).collect())
+    assert got == brute([r for p in parts for r in p])
+
+
 def test_frequent_shingles_do_not_change_links():
     """Any list of frequent shingles leaves linked sets a block in common."""
     rng = np.random.default_rng(4)
