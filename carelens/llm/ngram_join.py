@@ -24,8 +24,14 @@ more than ``d`` blocks are non-empty but for a chance below 1e-15 a pair.)
 hub, exactly, on their shingle sets; verified links make components; then
 every remaining pair that shares a block and lies in different components
 is checked as well, after the size bound and a Hamming bound on 1024-bit
-sketches (of 8192 bits for sets above ``LONG``). A pair inside one component needs no check, so no group is ever
-expanded into its pairs, and no link between components is lost.
+sketches (of 8192 bits for sets above ``LONG``). A pair inside one component needs no check for the
+component, and no link between components is lost.
+
+**Count.** Links lie inside components. One whose every pair was verified is
+counted from these; the sets of any other are dealt to tiles by hash, and each
+pair of tiles is a group of bounded size in which all pairs of sets are compared
+exactly on their shingles. Only counts leave a group. A component of ``m`` sets sends
+``m * m / TILE_SETS`` texts and makes ``m * m / 2`` comparisons.
 
 Blocks shared by exactly the same sets are one block to all that follows.
 Rows of one block that a task has already seen are joined to that task's
@@ -62,6 +68,8 @@ CHUNK_SHINGLES = 1 << 20
 SKETCH_BITS = 1024
 LONG_BITS = 8192  # of the second sketch that sets above LONG shingles have
 LONG = 512
+TILE_SETS = 256
+TILE_SHINGLES = 1 << 20
 
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) for b in range(256))
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -302,6 +310,64 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
 
+def linked_copies(sets: list[np.ndarray], side: np.ndarray, copies: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """For every set the copies of the sets that it links with.
+
+    Compared are the sets of side 0 with those of side 1; all with each other if there is one side only.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    first = np.cumsum(n) - n
+    one_side = side.min() == side.max()
+    a, b = (np.flatnonzero((side == k) | one_side) for k in (0, 1))
+    b = b[np.argsort(n[b], kind="stable")]
+    a = b if one_side else a
+    start = np.cumsum(n[b]) - n[b]
+    ids_b = np.concatenate([ids[first[j]:first[j] + n[j]] for j in b.tolist()])
+    mark = np.zeros(len(ids), np.uint8)
+    out = np.zeros(len(sets), np.int64)
+    for k, i in enumerate(a.tolist()):
+        x = k + 1 if one_side else int(np.searchsorted(n[b], -(-n[i] * percent // 100)))
+        y = int(np.searchsorted(n[b], n[i] * 100 // percent, side="right"))
+        if x >= y:
+            continue
+        own = ids[first[i]:first[i] + n[i]]
+        mark[own] = 1
+        last = start[y - 1] + n[b[y - 1]]
+        common = np.add.reduceat(mark[ids_b[start[x]:last]], start[x:y] - start[x], dtype=np.int64)
+        mark[own] = 0
+        linked = b[x:y][100 * common >= percent * (n[i] + n[b[x:y]] - common)]
+        out[i] += copies[linked].sum()
+        out[linked] += copies[i]
+    return out
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the classes of each pair of tiles, as documents; the rows of a pair follow each other."""
+    cache = WordHashes()
+    at, held = None, []  # (class, side, copies, set) of the pair of tiles at hand
+
+    def counted():
+        cls, side, copies, sets = zip(*held, strict=True)
+        # A pair of two tiles of which one is empty has nothing to compare.
+        if at[1] != at[2] and len(set(side)) == 1:
+            return
+        n = linked_copies(list(sets), np.array(side), np.array(copies, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(n)], names=["u", "n"])
+
+    for batch in batches:
+        label, lo, hi, cls, tile, copies = (batch.column(k).to_pylist() for k in range(6))
+        for k, x in enumerate(batch.column(6)):
+            key = (label[k], lo[k], hi[k])
+            if key != at:
+                if held:
+                    yield from counted()
+                at, held = key, []
+            held.append((cls[k], int(tile[k] != lo[k]), copies[k], shingle_set(x.as_py(), cache)))
+    if held:
+        yield from counted()
+
+
 # ------------------------------------------------------------- components
 
 def components(links: DataFrame, start: DataFrame | None = None, name: str = "labels") -> DataFrame:
@@ -349,6 +415,29 @@ def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     return written(both.mapInArrow(_verify, "u long, v long"), f"{name}-links")
 
 
+def _partners(links: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``u, n_partners``: the documents of all other classes that class ``u`` links with."""
+    of = label.select(F.col("node").alias("cls"), "label")
+    known = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    n_known = known.join(of, F.col("u") == F.col("cls")).groupBy("label").agg(F.count("*").alias("n_known"))
+    m = F.count("*")
+    sizes = texts.select("cls", "n").join(of, "cls").groupBy("label").agg(
+        m.alias("m"), F.ceil(F.greatest(m / TILE_SETS, F.sum("n") / TILE_SHINGLES)).alias("tiles"))
+    sizes = sizes.join(n_known, "label").select("label", "tiles", (2 * F.col("n_known") == F.col("m") * (F.col("m") - 1)).alias("all_known"))
+    members = written(of.join(sizes, "label").join(classes.select("cls", "n_copies"), "cls"), "ngram-members")
+
+    both = known.unionAll(known.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    first = both.join(members.where("all_known"), F.col("v") == F.col("cls")).select("u", F.col("n_copies").alias("n"))
+    dealt = (members.where("not all_known").join(texts.select("cls", "t"), "cls")
+             .withColumn("tile", F.pmod(F.xxhash64("cls"), "tiles"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+             .select("label", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
+                     "cls", "tile", "n_copies", "t"))
+    counted = (dealt.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
+               .mapInArrow(_count, "u long, n long"))
+    return written(first.unionAll(counted).groupBy("u").agg(F.sum("n").alias("n_partners")), "ngram-partners")
+
+
 def _sizes_allow(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
@@ -364,15 +453,15 @@ def _hamming(a: Column, b: Column) -> Column:
                 for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per document: id, n_shingles, component_id, n_copies, n_links, representative, tkey.
 
     ``representative`` marks the document that a component is named after
     (its repeated rows too); ``tkey`` is the hash of the text.
 
-    ``n_links`` counts the documents that were verified as linked with the
-    document's class, its copies included; pairs that a component makes
-    needless to check are not in it.
+    ``n_links`` counts the other documents that link with the document, its
+    copies included; without ``count_links`` the column is left out, and with
+    it the comparison of all sets inside a component.
     """
     spark = docs.sparkSession
     own_id = F.col(id_col).cast("long")
@@ -445,12 +534,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
              .select("cls", "rep", "n_copies", F.coalesce("label", "cls").alias("label")))
     named = written(named, "ngram-named")
     comp = named.groupBy("label").agg(F.min("rep").alias("first"))
-    both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    partners = (both.join(named.select(F.col("cls").alias("v"), "n_copies"), "v")
-                .groupBy("u").agg(F.sum("n_copies").alias("n_partners")))
-    final = (named.join(comp, "label").join(partners, F.col("cls") == F.col("u"), "left")
-             .select(F.col("cls").alias("c"), "first", "n_copies",
-                     (F.col("n_copies") - 1 + F.coalesce("n_partners", F.lit(0))).alias("n_links")))
+    final = named.join(comp, "label").select(F.col("cls").alias("c"), "first", "n_copies")
+    if count_links:
+        partners = _partners(links, label, classes, texts)
+        final = final.join(partners, F.col("c") == F.col("u"), "left").select(
+            "c", "first", "n_copies", (F.col("n_copies") - 1 + F.coalesce("n_partners", F.lit(0))).alias("n_links"))
     out = rows.where(is_doc).select("doc_id", "n", "cls", "tkey").join(final, F.col("cls") == F.col("c"), "left")
     alone = F.col("cls").isNull()
     leads = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tkey") == F.col("first.tkey"))
@@ -458,5 +546,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("n_copies")).cast("long").alias("n_copies"),
-        F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
+        *([F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")] if count_links else []),
         (alone | leads).alias("representative"), "tkey")

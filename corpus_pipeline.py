@@ -31,7 +31,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words are in no component and all stay.
     """
-    found = ngram_join.join(docs).where("representative").select(
+    found = ngram_join.join(docs, count_links=False).where("representative").select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"), F.col("tkey").alias("t__"),
         (F.col("n_shingles") == 0).alias("empty__")).distinct()
     keyed = docs.select(F.struct("*").alias("row__"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"),

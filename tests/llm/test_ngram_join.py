@@ -78,6 +78,33 @@ def test_equals_brute_force(spark):
         assert (r.component_id == r.doc_id) >= r.representative or r.doc_id is None
 
 
+def test_counts_every_link(spark, monkeypatch):
+    """Links inside a component too, over several tiles, with copies."""
+    monkeypatch.setattr(nj, "TILE_SETS", 16)
+    rows = [(r[0], r[1]) for r in awkward()] + variants()
+    rows += [(5000 + k, t) for k, (_, t) in enumerate(variants()[-90:-50])]
+    sets = [shingles(t) for _, t in rows]
+    want = sorted((-1 if i is None else i, len(a), sum(
+        j != k and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) if a else 0)
+        for k, ((i, _), a) in enumerate(zip(rows, sets, strict=True)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nj.join(docs.repartition(5)).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_linked_copies(sides):
+    rng = np.random.default_rng(sides)
+    base = rng.integers(0, 2 ** 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(1, 60), replace=False),
+                                      rng.integers(0, 2 ** 63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(90)]
+    sets += [np.unique(np.append(base, np.uint64(k))) for k in range(20)]
+    side, copies = rng.integers(0, sides, len(sets)), rng.integers(1, 4, len(sets))
+    want = [sum(int(copies[j]) for j, b in enumerate(sets) if j != i and (sides == 1 or side[i] != side[j])
+                and 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))) for i, a in enumerate(sets)]
+    assert nj.linked_copies(sets, side, copies).tolist() == want
+
+
 def two_blocks(rng):
     """Texts A, V, W, Z: V and W each link with A by one block, {A, V, Z} or {A, W, Z}, and lie between A and Z."""
     cache = nj.WordHashes()
