@@ -143,9 +143,14 @@ def disguised(core: str) -> bool:
 
 
 def viterbi(surface: str, lm: list[float]) -> list[str]:
-    """The cheapest restored words of a surface string; blanks are gaps."""
-    # state: (letter before, last letter) -> (cost, restored so far)
-    states = {(EDGE, EDGE, ""): (0.0, "")}
+    """The cheapest restored words of a surface string; blanks are gaps.
+
+    One pass over the whole string: the two letters before bound the states,
+    and a state's text is a chain of back pointers, of which states share all
+    but their last few, so time and memory are linear in the length.
+    """
+    # state: (letter before, last letter) -> (cost, (chain before, last characters))
+    states: dict = {(EDGE, EDGE, ""): (0.0, None)}
     # Only characters of a run of three or more may be echoes: doubles are ordinary.
     marks = [k for k, ch in enumerate(surface) if ch.isalnum() or len(LOOKALIKES.get(ch, "")) > 0]
     echoing = set()
@@ -155,38 +160,47 @@ def viterbi(surface: str, lm: list[float]) -> list[str]:
     for k, ch in enumerate(surface):
         nxt: dict = {}
 
-        def offer(key, cost, text, nxt=nxt):
+        def offer(key, cost, chain, add, nxt=nxt):
             if key not in nxt or cost < nxt[key][0]:
-                nxt[key] = (cost, text)
+                nxt[key] = (cost, (chain, add) if add else chain)
 
-        for (a, b, last), (cost, text) in states.items():
+        for (a, b, last), (cost, chain) in states.items():
             base = (a * SIGMA + b) * SIGMA
             if ch == " ":
-                offer((a, b, last), cost + COST_JOIN, text)
+                offer((a, b, last), cost + COST_JOIN, chain, "")
                 if b != EDGE:
-                    offer((EDGE, EDGE, ""), cost + COST_SPLIT + lm[base + EDGE], text + " ")
+                    offer((EDGE, EDGE, ""), cost + COST_SPLIT + lm[base + EDGE], chain, " ")
                 continue
             if ch.isalpha():
                 c = code(ch)
-                offer((b, c, ch), cost + COST_SAME + lm[base + c], text + ch)
+                offer((b, c, ch), cost + COST_SAME + lm[base + c], chain, ch)
                 if ch == last and k in echoing:
-                    offer((a, b, last), cost + COST_ECHO, text)
+                    offer((a, b, last), cost + COST_ECHO, chain, "")
                 continue
             looks = LOOKALIKES.get(ch, "")
             price = COST_LOOK_WILD if len(looks) > 2 else COST_LOOK
             for x in looks:
                 c = code(x)
-                offer((b, c, x), cost + price + lm[base + c], text + x)
+                offer((b, c, x), cost + price + lm[base + c], chain, x)
                 if x == last and k in echoing:
-                    offer((a, b, last), cost + COST_ECHO, text)
-            offer((a, b, last), cost + COST_DROP, text)
+                    offer((a, b, last), cost + COST_ECHO, chain, "")
+            offer((a, b, last), cost + COST_DROP, chain, "")
         states = nxt
         if len(states) > 48:
             states = dict(sorted(states.items(), key=lambda s: s[1][0])[:48])
-    best = min(
-        (cost + (lm[(a * SIGMA + b) * SIGMA + EDGE] if b != EDGE else 0.0), text)
-        for (a, b, _), (cost, text) in states.items())
-    return best[1].split()
+    ends = [(cost + (lm[(a * SIGMA + b) * SIGMA + EDGE] if b != EDGE else 0.0), chain)
+            for (a, b, _), (cost, chain) in states.items()]
+    least = min(cost for cost, _ in ends)
+    return min(_text(chain) for cost, chain in ends if cost == least).split()
+
+
+def _text(chain: tuple | None) -> str:
+    """The characters of a chain of back pointers, first to last."""
+    out = []
+    while chain is not None:
+        chain, ch = chain
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def restore_word(word: str, lm: list[float]) -> list[str]:
@@ -196,8 +210,7 @@ def restore_word(word: str, lm: list[float]) -> list[str]:
         return [core] if core else []
     if not disguised(core):
         return [core]
-    # Very long tokens are decoded in stretches, so that work stays linear.
-    return [w for i in range(0, len(core), 64) for w in viterbi(core[i:i + 64], lm)]
+    return viterbi(core, lm)
 
 
 def _units(text: str) -> list[str]:
@@ -228,7 +241,7 @@ def restore(text: str, lm: list[float]) -> str:
 def restore_token(token: str, lm: list[float]) -> list[str]:
     """Like :func:`restore_word`, also for a token of set-apart characters."""
     if " " in token:
-        return [w for i in range(0, len(token), 64) for w in viterbi(token[i:i + 64], lm)]
+        return viterbi(token, lm)
     return restore_word(token, lm)
 
 

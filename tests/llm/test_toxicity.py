@@ -29,6 +29,15 @@ def test_restores(lm, surface, want):
     assert tx.restore(surface, lm) == want
 
 
+@pytest.mark.parametrize("lead", range(20, 46))
+def test_restores_words_anywhere_in_long_stretches(lm, lead):
+    """A word stays whole wherever it stands in a run of set-apart letters or a long token."""
+    spaced = " ".join("lost" * 12)[:2 * lead] + " ".join("horridpass")
+    assert any("horrid" in w for w in tx.restore(spaced, lm).split())
+    token = ("lost-" * 20)[:2 * lead] + "h0rr1d"
+    assert tx.restore(token, lm).endswith("horrid")
+
+
 def table(spark, n=240):
     rng = random.Random(3)
     rows, labels = [], []
