@@ -5,7 +5,7 @@ word types of every document, weighted by their occurrences; tasks count,
 one aggregation of at most 64^3 cells joins them.
 
 **Channel.** A word that shows signs of disguise (a digit or symbol among
-letters, a letter three or more times in a row, single letters set apart by
+letters, look-alikes only with a symbol among them, a letter three or more times in a row, single letters set apart by
 spaces or marks) becomes a lattice: every surface character may stand for
 the letters that look like it, a symbol may stand for nothing, a repeated
 letter may be an echo, a gap between single letters may be nothing or a word
@@ -139,7 +139,10 @@ def disguised(core: str) -> bool:
     """Whether a lower-cased word without outer punctuation needs the lattice."""
     if core.isalpha():
         return _RUN.search(core) is not None
-    return any(map(str.isalpha, core))
+    if any(map(str.isalpha, core)):
+        return True
+    # Look-alikes only: a word if a symbol may stand for a letter, else a number.
+    return all(ch in LOOKALIKES for ch in core) and any(LOOKALIKES[ch] and not ch.isdigit() for ch in core)
 
 
 def viterbi(surface: str, lm: list[float]) -> list[str]:
@@ -186,8 +189,6 @@ def viterbi(surface: str, lm: list[float]) -> list[str]:
                     offer((a, b, last), cost + COST_ECHO, chain, "")
             offer((a, b, last), cost + COST_DROP, chain, "")
         states = nxt
-        if len(states) > 48:
-            states = dict(sorted(states.items(), key=lambda s: s[1][0])[:48])
     ends = [(cost + (lm[(a * SIGMA + b) * SIGMA + EDGE] if b != EDGE else 0.0), chain)
             for (a, b, _), (cost, chain) in states.items()]
     least = min(cost for cost, _ in ends)

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -29,6 +30,41 @@ def test_restores(lm, surface, want):
     assert tx.restore(surface, lm) == want
 
 
+@pytest.mark.parametrize("surface, want", [
+    ("@$$", "ass"), ("1@$$", "lass"), ("p@$$", "pass"), ("2024", "2024"), ("1,000", "1,000"), ("10/12", "10/12"),
+    ("50%", "50%")])
+def test_restores_words_of_look_alikes_only(surface, want):
+    words = Counter({w: 50 for w in ("ass", "lass", "class", "pass", "assist")})
+    assert tx.restore(surface, tx.language_model(tx.trigram_counts(words))) == want
+
+
+def test_every_state_is_kept():
+    """Decoding equals the cheapest of all readings when wildcards make many states."""
+    rng = random.Random(8)
+    words = Counter({w: 9 for w in prose(rng, 300).split() + BAD})
+    lm = tx.language_model(tx.trigram_counts(words))
+
+    def cost(reading):
+        a = b = tx.EDGE
+        total = 0.0
+        for price, x in reading:
+            total += price
+            if x:
+                total += lm[(a * tx.SIGMA + b) * tx.SIGMA + tx.code(x)]
+                a, b = b, tx.code(x)
+        return total + (lm[(a * tx.SIGMA + b) * tx.SIGMA + tx.EDGE] if b != tx.EDGE else 0.0)
+
+    def choices(ch):
+        if ch.isalpha():
+            return [(tx.COST_SAME, ch)]
+        looks = tx.LOOKALIKES[ch]
+        return [(tx.COST_LOOK_WILD if len(looks) > 2 else tx.COST_LOOK, x) for x in looks] + [(tx.COST_DROP, "")]
+
+    for surface in ("q*1*6*", "z6*1*6", "x*16*1v"):
+        best = min(itertools.product(*map(choices, surface)), key=cost)
+        assert tx.viterbi(surface, lm) == "".join(x for _, x in best).split()
+
+
 @pytest.mark.parametrize("lead", range(20, 46))
 def test_restores_words_anywhere_in_long_stretches(lm, lead):
     """A word stays whole wherever it stands in a run of set-apart letters or a long token."""
