@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.llm import cotrain, decontaminate, fingerprint, langid, license_scan, mixing, ngram_join, sql, suffix_dedup, token_shards, toxicity
+from carelens.llm import (
+    cotrain, decontaminate, fingerprint, hard_negatives, langid, license_scan, mixing, ngram_join, resample,
+    secret_scan, sql, suffix_dedup, token_shards, toxicity)
 from carelens.llm.common import crc_mod, documents, table, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -87,8 +89,28 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(documents(spark, sf_dir))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, with the ownership of their values."""
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents, drawn towards the benchmark's n-grams."""
+    drawn = resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return drawn.drop("n_words")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; labels of every seventh are moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fns = [op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality, op7_language_id, op8_suffix_dedup, op9_token_shards, op10_fingerprints]
+    fns = [op1_toxicity, op2_ngram_join, op3_decontaminate, op4_mix_sources, op5_license_scan, op6_quality,
+           op7_language_id, op8_suffix_dedup, op9_token_shards, op10_fingerprints, op11_secret_scan, op12_resample,
+           op13_hard_negatives]
     return {f.__name__: f for f in fns}
 
 
@@ -96,4 +118,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontaminate": sql.DECONTAMINATE,
         "op4_mix_sources": sql.MIXING,
+        "op11_secret_scan": sql.SECRETS,
+        "op12_resample": sql.RESAMPLE,
+        "op13_hard_negatives": sql.HARD_NEGATIVES,
     }

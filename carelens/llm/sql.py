@@ -69,3 +69,119 @@ SELECT doc_id, src AS source, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(copies * size AS BIGINT) AS taken
 FROM k
 """
+
+RESAMPLE = rf"""
+WITH RECURSIVE bit AS (
+  SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bit WHERE k < 8),
+tbl AS (SELECT list(c ORDER BY i) AS crc_of FROM bit WHERE k = 8),
+w AS (
+  SELECT row_number() OVER () AS rid, doc_id, CASE WHEN text IS NULL THEN CAST([] AS VARCHAR[]) ELSE
+    regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') END AS w FROM documents),
+bw AS (
+  SELECT regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+f AS (
+  SELECT rid, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM w),
+bf AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM bw),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM f UNION SELECT f FROM bf)),
+b AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+    lambda c, y: xor(crc_of[(xor(c, y) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM x, tbl),
+s AS (SELECT bucket, count(*) AS s FROM f JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN b USING (f) GROUP BY bucket),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0)::DOUBLE + 1) * ((SELECT count(*) FROM f)::DOUBLE + 10000))
+    / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT count(*) FROM bf)::DOUBLE + 10000)))) AS BIGINT) AS gain
+  FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+d AS (
+  SELECT rid, CAST(count(*) AS BIGINT) AS n, CAST(sum(gain) AS BIGINT) AS total
+  FROM f JOIN b USING (f) JOIN g USING (bucket) GROUP BY rid),
+e AS (
+  SELECT rid, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features,
+    CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)::DOUBLE AS h
+  FROM w LEFT JOIN d USING (rid)),
+sc AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM e),
+r AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id) AS rank,
+    25 * count(*) OVER () // 100 AS n_drawn FROM sc WHERE n_words >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CAST(CASE WHEN rank <= n_drawn THEN rank END AS BIGINT) AS rank
+FROM sc LEFT JOIN r USING (rid)
+"""
+
+HARD_NEGATIVES = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""
+
+_ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_BARE = "[A-Za-z0-9]([A-Za-z0-9+/_.=-]*[A-Za-z0-9])?"
+
+SECRETS = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+marked AS (
+  SELECT rid, 0 AS k, regexp_replace(t, '{_ASSIGN}', chr(57344) || '\0' || chr(57344), 'g') AS x FROM d
+  UNION ALL SELECT rid, 1, regexp_replace(t, 'AKIA[A-Z0-9]+', chr(57344) || '\0' || chr(57344), 'g') FROM d
+  UNION ALL SELECT rid, 2, regexp_replace(t, '[0-9a-f]+', chr(57344) || '\0' || chr(57344), 'g') FROM d
+  UNION ALL SELECT rid, 3, regexp_replace(t, '{_BARE}', chr(57344) || '\0' || chr(57344), 'g') FROM d),
+piece AS (
+  SELECT rid, k, unnest(p) AS s, generate_subscripts(p, 1) AS i
+  FROM (SELECT rid, k, string_split(x, chr(57344)) AS p FROM marked)),
+placed AS (SELECT rid, k, i, s, sum(length(s)) OVER (PARTITION BY rid, k ORDER BY i) AS e FROM piece),
+m AS (
+  SELECT rid, k, s, CAST(e - length(s) AS BIGINT) AS a, CAST(e AS BIGINT) AS e,
+    CASE WHEN k = 0 THEN regexp_extract(s, '{_ASSIGN}', 2) ELSE s END AS v
+  FROM placed WHERE i % 2 = 0),
+ok AS (
+  SELECT rid, k, a, e, regexp_extract(v, '{_BARE}') AS v FROM m
+  WHERE length(v) >= CASE k WHEN 1 THEN 18 WHEN 2 THEN 16 ELSE 12 END
+    AND (k < 3 OR regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]'))),
+c AS (
+  SELECT * FROM ok WHERE k < 3 OR NOT EXISTS (
+    SELECT 1 FROM ok o WHERE o.rid = ok.rid AND o.k < 3 AND o.a < ok.e AND o.e > ok.a)),
+own AS (
+  SELECT v, count(DISTINCT coalesce('s' || source, 'n')) AS n_owners,
+    count(DISTINCT coalesce('s' || source, 'n') || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS n_repositories,
+    max(k < 2) AS named,
+    regexp_matches(v, '[0-9]') AND len(list_distinct(string_split(v, ''))) >= 8 AS random,
+    length(v) >= 20 AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AS mixed
+  FROM c JOIN d USING (rid) GROUP BY v),
+j AS (
+  SELECT rid, a, e, v, CASE WHEN n_owners >= 3 THEN 'example' WHEN random THEN 'live' ELSE 'weak' END AS verdict,
+    CASE WHEN k < 3 THEN k WHEN n_owners >= 3 OR NOT random THEN NULL WHEN named THEN 3
+      WHEN mixed AND n_owners = 1 AND n_repositories > 1 THEN 4 END AS k
+  FROM c JOIN own USING (v)),
+g AS (
+  SELECT rid, count_if(k = 0) AS n0, count_if(k = 1) AS n1, count_if(k = 2) AS n2, count_if(k = 3) AS n3,
+    count_if(k = 4) AS n4, count_if(verdict = 'live') AS n_live, count_if(verdict = 'example') AS n_example,
+    string_agg(['assign', 'access', 'hex', 'reused', 'owned'][k + 1] || ':' || a || ':' || e, ',' ORDER BY a, k, e)
+      FILTER (k < 3) AS base,
+    string_agg(['assign', 'access', 'hex', 'reused', 'owned'][k + 1] || ':' || a || ':' || e, ',' ORDER BY a, k, e) AS spans
+  FROM j WHERE k IS NOT NULL GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n0, 0) AS BIGINT) AS n_assign, CAST(coalesce(n1, 0) AS BIGINT) AS n_access,
+  CAST(coalesce(n2, 0) AS BIGINT) AS n_hex, CAST(coalesce(n3, 0) AS BIGINT) AS n_reused,
+  CAST(coalesce(n4, 0) AS BIGINT) AS n_owned, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  CAST(coalesce(n_live, 0) AS BIGINT) AS n_live, CAST(coalesce(n_example, 0) AS BIGINT) AS n_example
+FROM d LEFT JOIN g USING (rid)
+"""
