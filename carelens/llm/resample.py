@@ -85,9 +85,9 @@ def crcs(features: list[bytes]) -> np.ndarray:
     out = np.zeros(len(features), np.uint32)
     length = np.fromiter(map(len, features), np.int64, len(features))
     order = np.argsort(length, kind="stable")
-    lengths, first = np.unique(length[order], return_index=True)
-    for n, a, b in zip(lengths.tolist(), first.tolist(), [*first.tolist()[1:], len(order)], strict=True):
-        rows = order[a:b]
+    lengths, size = np.unique(length, return_counts=True)
+    for n, a, k in zip(lengths.tolist(), (np.cumsum(size) - size).tolist(), size.tolist(), strict=True):
+        rows = order[a:a + k]
         if n > LONG_BYTES:
             out[rows] = [zlib.crc32(features[k]) for k in rows.tolist()]
             continue
@@ -109,7 +109,7 @@ class Chunk:
         ids = np.array([number(w, len(vocabulary)) for t in texts for w in t], np.int64)
         vocab = list(vocabulary)
         base = (crcs(vocab) % np.uint32(buckets)).astype(np.int64)
-        self.runs = [(base[ids], np.maximum(self.n_words, 0))]
+        self.runs = [(base[ids], self.n_words)]
         of = np.repeat(np.arange(len(texts)), self.n_words)
         shorter, now = vocab, ids
         for k in range(2, order + 1):
