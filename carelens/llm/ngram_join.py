@@ -20,14 +20,14 @@ any list of frequent shingles gives the same links, so a bounded one is
 sent to the tasks. (Small sets take one block a shingle. In the bands above,
 more than ``d`` blocks are non-empty but for a chance below 1e-15 a pair.)
 
-**Verify.** Sets that share a block are checked against one of them, the
-hub, exactly, on their shingle sets; verified links make components; then
-every remaining pair that shares a block and lies in different components
-is checked as well, after the size bound and a Hamming bound on 1024-bit
-sketches (of 8192 bits for sets above ``LONG``). A pair inside one component needs no check for the
-component, and no link between components is lost.
-
-**Count.** Links lie inside components. One whose every pair was verified is
+**Verify.** Each set is checked, exactly, on shingle sets, against one hub with which it
+shares most blocks; verified links make components; each set of a block that still joins
+several components is checked against one set of its largest; then every remaining pair that
+shares a block and lies in different components is checked as well, after the size bound and
+a Hamming bound on 1024-bit sketches (of 8192 bits for sets above ``LONG``). A pair inside
+one component needs no check for the component, and no link between components is lost.
+
+**Count** (on request). Links lie inside components. One whose every pair was verified is
 counted from these; the sets of any other are dealt to tiles by hash, and each
 pair of tiles is a group of bounded size in which all pairs of sets are compared
 exactly on their shingles. Only counts leave a group. A component of ``m`` sets sends
@@ -36,8 +36,8 @@ exactly on their shingles. Only counts leave a group. A component of ``m`` sets
 Blocks shared by exactly the same sets are one block to all that follows.
 Rows of one block that a task has already seen are joined to that task's
 own hub, so a block shared by a third of all sets sends one row per task
-batch to the next stage. Components are found by label propagation with
-pointer jumping over written tables.
+batch to the next stage. Components are found by contraction: later links are
+joined to the components found before, not to all sets anew.
 
 Edge cases: NULL and empty texts, and texts without words, have no shingle
 and link with nothing; repeated rows and equal texts are one class; rows of
@@ -55,7 +55,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.llm.common import written
+from carelens.llm.common import discard, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -370,27 +370,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ------------------------------------------------------------- components
 
-def components(links: DataFrame, start: DataFrame | None = None, name: str = "labels") -> DataFrame:
-    """``node, label``: the least node that the links reach, for linked nodes.
+def relabel(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Distinct ``u, v`` with both ends replaced by their labels, without loops."""
+    for end in ("u", "v"):
+        to = label.select(F.col("node").alias(end), F.col("label").alias("to"))
+        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    return edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
-    Each round takes the least label among the neighbours, then the label's
-    own label; it is written before the next reads it.
+
+def compose(label: DataFrame, more: DataFrame) -> DataFrame:
+    """``node, label``: the labels of ``label`` led on through ``more``, and those of its own nodes."""
+    onward = more.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    led = label.join(onward, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return led.unionAll(more.join(label, "node", "left_anti").select("node", "label"))
+
+
+def components(links: DataFrame, name: str = "labels") -> DataFrame:
+    """``node, label`` for linked nodes: one label, itself a node, to each component.
+
+    Each round hooks every node to its least neighbour, follows the hooks to
+    their ends, and contracts the links to what still joins two ends: at most
+    half of the nodes that still have links are left.
     """
-    both = written(links.select(F.col("u").alias("a"), F.col("v").alias("b"))
-                   .unionAll(links.select(F.col("v").alias("a"), F.col("u").alias("b"))).distinct(), f"{name}-edges")
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    labels = written(labels, name)
-    while True:
-        offered = both.join(labels, F.col("a") == F.col("node")).groupBy("b").agg(F.min("label").alias("near"))
-        least = labels.join(offered, F.col("node") == F.col("b"), "left").select(
-            "node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        least = written(least, name)
-        jump = least.select(F.col("node").alias("target"), F.col("label").alias("further"))
-        after = written(least.join(jump, F.col("label") == F.col("target"), "left").select(
-            "node", "old", F.least("label", "further").alias("label")), name)
-        if after.where("label <> old").isEmpty():
-            return after.select("node", "label")
-        labels = after.select("node", "label")
+    edges = written(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(),
+                    f"{name}-edges")
+    label = None
+    while label is None or not edges.isEmpty():
+        both = edges.select(F.col("u").alias("node"), F.col("v").alias("near")).unionAll(
+            edges.select(F.col("v").alias("node"), F.col("u").alias("near")))
+        hook = written(both.groupBy("node").agg(F.least(F.min("near"), F.first("node")).alias("label")), f"{name}-hooks")
+        while True:
+            up = hook.select(F.col("node").alias("label"), F.col("label").alias("to"))
+            led = written(hook.join(up, "label").select("node", F.col("to").alias("label"), (F.col("to") < F.col("label")).alias("moved")),
+                          f"{name}-hooks")
+            discard(hook)
+            hook = led
+            if hook.where("moved").isEmpty():
+                break
+        old_label, old_edges = label, edges
+        label = written(hook.select("node", "label") if label is None else compose(label, hook.select("node", "label")), name)
+        edges = written(relabel(edges, hook), f"{name}-edges")
+        discard(hook, old_edges, *([] if old_label is None else [old_label]))
+    return label
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
@@ -412,7 +433,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     a = few.select(F.col("cls").alias("u"), F.col("t").alias("text_u"))
     b = few.select(F.col("cls").alias("v"), F.col("t").alias("text_v"))
     both = pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
-    return written(both.mapInArrow(_verify, "u long, v long"), f"{name}-links")
+    links = written(both.mapInArrow(_verify, "u long, v long"), f"{name}-links")
+    discard(pairs, few)
+    return links
 
 
 def _partners(links: DataFrame, label: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -438,6 +461,15 @@ def _partners(links: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
     return written(first.unionAll(counted).groupBy("u").agg(F.sum("n").alias("n_partners")), "ngram-partners")
 
 
+def open_blocks(placed: DataFrame) -> DataFrame:
+    """The rows ``sig, cls, comp`` of blocks with several components, and each one's largest: ``main``, its least set ``lead``."""
+    per = placed.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).groupBy("sig").agg(
+        F.max_by(F.struct("comp", "lead"), F.struct("n", "comp")).alias("m"), F.count("*").alias("n_comps")).where("n_comps > 1")
+    out = written(placed.join(per.select("sig", F.col("m.comp").alias("main"), F.col("m.lead").alias("lead")), "sig"), "ngram-open-blocks")
+    discard(placed)
+    return out
+
+
 def _sizes_allow(n: Column, m: Column) -> Column:
     return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
 
@@ -453,15 +485,14 @@ def _hamming(a: Column, b: Column) -> Column:
                 for k in range(SKETCH_BITS // 64)), F.lit(0))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_copies, n_links, representative, tkey.
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, n_copies, representative, tkey.
 
     ``representative`` marks the document that a component is named after
     (its repeated rows too); ``tkey`` is the hash of the text.
 
-    ``n_links`` counts the other documents that link with the document, its
-    copies included; without ``count_links`` the column is left out, and with
-    it the comparison of all sets inside a component.
+    With ``count_links`` also n_links, the other documents that link with the
+    document, its copies included; it takes the comparison of all sets inside a component.
     """
     spark = docs.sparkSession
     own_id = F.col(id_col).cast("long")
@@ -489,7 +520,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
         F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"),
         F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("y")).where("n > 1")
     kept = groups.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig")
-    met = written(met.join(kept, "sig"), "ngram-shared")
+    blocks_met, met = met, written(met.join(kept, "sig"), "ngram-shared")
+    discard(blocks_met)
 
     used = met.select("cls").distinct().join(classes, "cls").select(
         "cls", F.coalesce("rep.doc_id", F.lit(-(1 << 63))).alias("k"), "rep.tkey")
@@ -508,17 +540,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
                        & (_hamming(F.col("s_u"), F.col("s_v")) <= _most_differences(F.col("n_u"), F.col("n_v"))))
                 .select("u", "v"))
 
-    to_hub = met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct()
+    def star(pairs: DataFrame) -> DataFrame:
+        """Of the pairs ``u, v`` that share blocks, for each ``v`` the ``u`` with which it shares most."""
+        return pairs.groupBy("u", "v").agg(F.count("*").alias("n")).groupBy("v").agg(
+            F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
+
+    # Every set against one hub; what these links join needs no further check.
+    to_hub = star(met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
     links = _linked(allowed(to_hub), texts, "ngram-hub")
     label = components(links)
 
-    # What shares a block across components: all of it but pairs inside the block's largest one.
+    # What shares a block across components, with the largest one of the block.
     placed = (met.select("sig", "cls").distinct().join(label, F.col("cls") == F.col("node"), "left")
               .select("sig", "cls", F.coalesce("label", "cls").alias("comp")))
-    placed = written(placed, "ngram-placed")
-    per = placed.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(
-        F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("n_comps")).where("n_comps > 1")
-    open_rows = written(placed.join(per.select("sig", "main"), "sig").join(info, "cls"), "ngram-open")
+    placed = open_blocks(written(placed, "ngram-placed"))
+    discard(met)
+    # Once more a hub for each: the least set of the block's largest component.
+    to_hub = star(placed.where("comp <> main").select(F.col("lead").alias("u"), F.col("cls").alias("v")))
+    more = _linked(allowed(to_hub), texts, "ngram-second")
+    joined = components(relabel(more, label), "labels-second")
+    label = written(compose(label, joined), "labels")
+
+    # Pairs in what is still open: all but those inside the largest component of a block.
+    again = placed.join(joined, F.col("comp") == F.col("node"), "left").select(
+        "sig", "cls", F.coalesce("label", "comp").alias("comp"))
+    again = open_blocks(written(again, "ngram-placed"))
+    discard(placed)
+    open_rows = written(again.select("sig", "main", "cls", "comp").join(info, "cls"), "ngram-open")
     a = open_rows.where("comp <> main").select("sig", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", "sketch")])
     b = open_rows.select("sig", F.col("main"), *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", "sketch")])
     once = (F.col("b_comp") == F.col("main")) | (F.col("a_cls") < F.col("b_cls"))
@@ -526,9 +574,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
                     & _sizes_allow(F.col("a_n"), F.col("b_n"))
                     & (_hamming(F.col("a_sketch"), F.col("b_sketch")) <= _most_differences(F.col("a_n"), F.col("b_n"))))
              .select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct())
-    more = _linked(cross, texts, "ngram-cross")
-    links = written(links.unionAll(more), "ngram-all-links")
-    label = components(links)
+    last = _linked(cross, texts, "ngram-cross")
+    label = written(compose(label, components(relabel(last, label), "labels-last")), "labels")
+    links = links.unionAll(more).unionAll(last)
 
     named = (classes.join(label, F.col("cls") == F.col("node"), "left")
              .select("cls", "rep", "n_copies", F.coalesce("label", "cls").alias("label")))

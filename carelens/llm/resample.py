@@ -31,6 +31,7 @@ columns are not read, so their names cannot clash.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -179,12 +180,12 @@ def gains(docs: DataFrame, target: DataFrame, text_col: str = "text", target_tex
     of_target = bucket_counts(target, target_text_col, buckets, order).withColumnRenamed("n", "t")
     both = written(every.join(own, "bucket", "left").join(of_target, "bucket", "left")
                    .select("bucket", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("t", F.lit(0)).alias("t")), "bucket-counts")
-    total = both.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
-    s, t, all_s, all_t = (F.col(c).cast("double") for c in ("s", "t", "all_s", "all_t"))
-    ratio = ((t + 1) * (all_s + float(buckets))) / ((s + 1) * (all_t + float(buckets)))
-    rows = both.crossJoin(F.broadcast(total)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain")).collect()
+    rows = both.collect()
+    all_s, all_t = float(sum(r["s"] for r in rows)), float(sum(r["t"] for r in rows))
     gain = np.zeros(buckets, np.int64)
-    gain[[r["bucket"] for r in rows]] = [r["gain"] for r in rows]
+    for r in rows:
+        ratio = ((r["t"] + 1.0) * (all_s + buckets)) / ((r["s"] + 1.0) * (all_t + buckets))
+        gain[r["bucket"]] = math.floor(1000 * math.log(ratio))
     return gain
 
 
