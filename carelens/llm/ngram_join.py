@@ -21,8 +21,9 @@ sent to the tasks. (Small sets take one block a shingle. In the bands above,
 more than ``d`` blocks are non-empty but for a chance below 1e-15 a pair.)
 
 **Verify.** Each set is checked, exactly, on shingle sets, against one hub with which it
-shares most blocks; verified links make components; each set of a block that still joins
-several components is checked against one set of its largest; then every remaining pair that
+shares most blocks; verified links make components; sets of blocks that still join several
+components are checked, in a few rounds, against the set that stands in most such blocks (the
+middle of a group of variants); then every remaining pair that
 shares a block and lies in different components is checked as well, after the size bound and
 a Hamming bound on 1024-bit sketches (of 8192 bits for sets above ``LONG``). A pair inside
 one component needs no check for the component, and no link between components is lost.
@@ -69,6 +70,7 @@ SKETCH_BITS = 1024
 LONG_BITS = 8192  # of the second sketch that sets above LONG shingles have
 LONG = 512
 TILE_SETS = 256
+HUB_ROUNDS = 2
 TILE_SHINGLES = 1 << 20
 
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) for b in range(256))
@@ -462,10 +464,9 @@ def _partners(links: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
 
 
 def open_blocks(placed: DataFrame) -> DataFrame:
-    """The rows ``sig, cls, comp`` of blocks with several components, and each one's largest: ``main``, its least set ``lead``."""
-    per = placed.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("cls").alias("lead")).groupBy("sig").agg(
-        F.max_by(F.struct("comp", "lead"), F.struct("n", "comp")).alias("m"), F.count("*").alias("n_comps")).where("n_comps > 1")
-    out = written(placed.join(per.select("sig", F.col("m.comp").alias("main"), F.col("m.lead").alias("lead")), "sig"), "ngram-open-blocks")
+    """The rows ``sig, cls, comp`` of the blocks that stand in several components."""
+    several = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    out = written(placed.join(several, "sig"), "ngram-open-blocks")
     discard(placed)
     return out
 
@@ -546,26 +547,39 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
             F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v")
 
     # Every set against one hub; what these links join needs no further check.
-    to_hub = star(met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")))
+    to_hub = written(star(met.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))), "ngram-hubs")
     links = _linked(allowed(to_hub), texts, "ngram-hub")
     label = components(links)
 
-    # What shares a block across components, with the largest one of the block.
+    # What shares a block across components; once more hubs for each, now those that stand in most open blocks.
     placed = (met.select("sig", "cls").distinct().join(label, F.col("cls") == F.col("node"), "left")
               .select("sig", "cls", F.coalesce("label", "cls").alias("comp")))
     placed = open_blocks(written(placed, "ngram-placed"))
     discard(met)
-    # Once more a hub for each: the least set of the block's largest component.
-    to_hub = star(placed.where("comp <> main").select(F.col("lead").alias("u"), F.col("cls").alias("v")))
-    more = _linked(allowed(to_hub), texts, "ngram-second")
-    joined = components(relabel(more, label), "labels-second")
-    label = written(compose(label, joined), "labels")
+    tested = to_hub
+    for _ in range(HUB_ROUNDS):
+        degree = placed.groupBy("cls").agg(F.count("*").alias("degree"))
+        ranked = placed.join(degree, "cls")
+        leads = ranked.groupBy("sig").agg(F.max_by(F.struct("cls", "comp"), F.struct("degree", "cls")).alias("lead"))
+        pairs = (placed.join(leads, "sig").where(F.col("comp") != F.col("lead.comp"))
+                 .select(F.col("lead.cls").alias("u"), F.col("cls").alias("v")))
+        to_hub = written(star(pairs.join(tested, ["u", "v"], "left_anti")), "ngram-hubs")
+        tested = tested.unionAll(to_hub)
+        more = _linked(allowed(to_hub), texts, "ngram-more")
+        if more.isEmpty():
+            break
+        joined = components(relabel(more, label), "labels-more")
+        label = written(compose(label, joined), "labels")
+        links = links.unionAll(more)
+        placed_before = placed
+        placed = open_blocks(written(placed.join(joined, F.col("comp") == F.col("node"), "left").select(
+            "sig", "cls", F.coalesce("label", "comp").alias("comp")), "ngram-placed"))
+        discard(placed_before)
 
     # Pairs in what is still open: all but those inside the largest component of a block.
-    again = placed.join(joined, F.col("comp") == F.col("node"), "left").select(
-        "sig", "cls", F.coalesce("label", "comp").alias("comp"))
-    again = open_blocks(written(again, "ngram-placed"))
-    discard(placed)
+    per = placed.groupBy("sig", "comp").agg(F.count("*").alias("n")).groupBy("sig").agg(
+        F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    again = placed.join(per, "sig")
     open_rows = written(again.select("sig", "main", "cls", "comp").join(info, "cls"), "ngram-open")
     a = open_rows.where("comp <> main").select("sig", *[F.col(c).alias(f"a_{c}") for c in ("cls", "comp", "n", "sketch")])
     b = open_rows.select("sig", F.col("main"), *[F.col(c).alias(f"b_{c}") for c in ("cls", "comp", "n", "sketch")])
@@ -576,7 +590,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
              .select(F.least("a_cls", "b_cls").alias("u"), F.greatest("a_cls", "b_cls").alias("v")).distinct())
     last = _linked(cross, texts, "ngram-cross")
     label = written(compose(label, components(relabel(last, label), "labels-last")), "labels")
-    links = links.unionAll(more).unionAll(last)
+    links = links.unionAll(last)
 
     named = (classes.join(label, F.col("cls") == F.col("node"), "left")
              .select("cls", "rep", "n_copies", F.coalesce("label", "cls").alias("label")))
