@@ -5,15 +5,20 @@ the history of its intent, or all of it when that intent has none. Top k by
 cosine, ties to the larger document id, similarities rounded to 6 places;
 documents that share no term fill up with similarity 0.
 
-The search is exact and scores only pairs that can matter:
-
-1. A query's rarest terms, up to half of its squared length, give partial
-   scores; their k-th largest is a lower bound ``theta`` of its k-th similarity.
-2. Document rows have unit length, so what a set of terms adds to a score is
-   at most the root of the sum of their squared query weights. The commonest
-   terms are dropped while that root stays below ``theta`` (less the rounding):
-   a document that shares only dropped terms is not among the first k.
-3. Pairs that share a kept term are scored over all terms.
+The search is exact and scores only pairs that can matter. Terms have a level,
+the bit length of their document frequency; a query's levels up to
+``RARE_SHARE`` of its squared length are its rare terms, the rest its common ones.
+
+1. **Rare terms** have short posting lists: these are joined and summed, once.
+2. **Threshold.** Each query's ``PROBED`` best documents so far are scored over their
+   common terms too; the k-th score is a lower bound of the k-th similarity.
+3. **Block maxima.** Documents lie in small blocks (about ``BLOCK_DOCS``, by their
+   heaviest common term), and the index keeps each block's largest weight per
+   common term. What common terms add to a document's score is at most the
+   query's sum over its block's maxima, and at most the product of both common
+   lengths. A block or document whose bound stays below the threshold is skipped;
+   postings of common terms are read for the others only.
+4. The common terms of what is left are summed and added to the rare sums.
 
 One plan serves all sizes: no size checks, no broadcast hints; AQE picks the
 join strategies from measured sizes and splits skewed terms.
@@ -21,7 +26,9 @@ join strategies from measured sizes and splits skewed terms.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.operators import vectors
@@ -29,7 +36,10 @@ from carelens.session import materialize
 
 ALL_BLOCK = "__all__"
 ROUNDING = 1e-6  # similarities are ranked after rounding to six places
-RARE_SHARE = 0.5  # of a query's squared length, scored first
+RARE_SHARE = 0.8  # of a query's squared length
+PROBED = 16
+BLOCK_DOCS = 8
+LEAD_LEVEL = 5  # a block's documents share their heaviest term of this level or above
 
 
 def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
@@ -43,49 +53,103 @@ def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
             .drop("q_intent", "has_history"))
 
 
-def in_blocks(dv: DataFrame, q: DataFrame) -> DataFrame:
-    """Document terms under every block that some query searches."""
-    asked = q.select("block").distinct()
-    return (dv.withColumn("block", F.explode(F.array(F.col("intent"), F.lit(ALL_BLOCK))))
-            .join(asked, "block", "left_semi").select("block", "term", "doc_id", "wd"))
-
-
-def _sums(qv: DataFrame, dvb: DataFrame) -> DataFrame:
-    return (qv.join(dvb, ["block", "term"]).groupBy("qid", "doc_id")
-            .agg(F.sum(F.col("wq") * F.col("wd")).alias("s")))
-
-
-def kept_terms(qv: DataFrame, dvb: DataFrame, k: int) -> DataFrame:
-    """The query terms that a document must share one of to be among the first k.
-
-    ``qv``: qid, block, term, wq, df.
-    """
-    rare_first = Window.partitionBy("qid").orderBy("df", "term")
-    before = F.coalesce(F.sum(F.col("wq") * F.col("wq")).over(
-        rare_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rare = qv.withColumn("before", before).where(F.col("before") < RARE_SHARE).drop("before")
-    kth = Window.partitionBy("qid").orderBy(F.desc("s"))
-    theta = (_sums(rare, dvb).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
-             .select("qid", F.col("s").alias("theta")))
-    common_first = Window.partitionBy("qid").orderBy(F.desc("df"), F.desc("term")).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    lost = F.sqrt(F.sum(F.col("wq") * F.col("wq")).over(common_first))
-    return (qv.withColumn("lost", lost).join(theta, "qid", "left")
-            .where(~F.coalesce(F.col("lost") < F.col("theta") - ROUNDING, F.lit(False)))
-            .select("qid", "block", "term", "wq"))
-
-
-def candidates(qv: DataFrame, dvb: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id) pairs that share a kept term."""
-    kept = kept_terms(qv, dvb, k).select("qid", "block", "term")
-    return kept.join(dvb, ["block", "term"]).select("qid", "doc_id").distinct()
-
-
-def _scores(qv: DataFrame, dv: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(qid, doc_id, similarity) of the pairs, over all terms."""
-    terms = pairs.join(qv.select("qid", "term", "wq"), "qid")
-    return (terms.join(dv.select("doc_id", "term", "wd"), ["doc_id", "term"]).groupBy("qid", "doc_id")
-            .agg(F.round(F.sum(F.col("wq") * F.col("wd")), 6).alias("similarity")))
+@dataclass
+class Index:
+    """Document terms and their blocks."""
+    terms: DataFrame   # doc_id, intent, term, wd, level
+    docs: DataFrame    # doc_id, intent, bid, lengths (squared, by level)
+    maxima: DataFrame  # intent, bid, term, top
+
+
+def level(df: str) -> Column:
+    """Bit length of a document frequency."""
+    return F.length(F.bin(df))
+
+
+def _lead(terms: DataFrame) -> DataFrame:
+    """``doc_id, intent, lengths, lead``: squared lengths by level, and the heaviest common term."""
+    per = terms.groupBy("doc_id", "intent", "level").agg(
+        F.sum(F.col("wd") * F.col("wd")).alias("s"),
+        F.max_by("term", F.struct("wd", "term")).alias("term"), F.max("wd").alias("wd"))
+    common = F.when(F.col("level") >= LEAD_LEVEL, F.struct("wd", "term"))
+    return per.groupBy("doc_id", "intent").agg(
+        F.collect_list(F.struct("level", "s")).alias("lengths"), F.max(common)["term"].alias("lead"))
+
+
+def build_index(terms: DataFrame) -> Index:
+    """Blocks of documents with the same heaviest common term, cut by the hash of the id."""
+    docs = _lead(terms)
+    size = docs.groupBy(F.col("intent").alias("of_intent"), F.col("lead").alias("of_lead")).agg(F.count("*").alias("n"))
+    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))
+    same = F.col("intent").eqNullSafe(F.col("of_intent")) & F.col("lead").eqNullSafe(F.col("of_lead"))
+    docs = materialize(docs.join(size, same).select(
+        "doc_id", "intent", "lengths", F.xxhash64("intent", "lead", part).alias("bid")))
+    maxima = (terms.join(docs.select("doc_id", "bid"), "doc_id").groupBy("intent", "bid", "term", "level")
+              .agg(F.max("wd").alias("top")))
+    return Index(terms, docs, maxima)
+
+
+def _meet(qt: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Query terms with the rows of a document side in the block that the query searches."""
+    own = qt.where(F.col("block") != ALL_BLOCK).withColumnRenamed("block", "intent").join(side, [*keys, "intent"])
+    every = qt.where(F.col("block") == ALL_BLOCK).drop("block").join(side, keys)
+    return own.drop("intent").unionByName(every.drop("intent"))
+
+
+def split_terms(qv: DataFrame) -> DataFrame:
+    """``qv`` with ``rare``, and per query ``cut`` (its highest rare level) and ``rest`` (length of its common terms)."""
+    below = Window.partitionBy("qid").orderBy("level").rangeBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("qid")
+    square = F.col("wq") * F.col("wq")
+    rare = F.coalesce(F.sum(square).over(below), F.lit(0.0)) < RARE_SHARE
+    out = qv.withColumn("level", level("df")).withColumn("rare", rare)
+    return out.withColumn("cut", F.max(F.when(F.col("rare"), F.col("level"))).over(whole)).withColumn(
+        "rest", F.sqrt(F.coalesce(F.sum(F.when(~F.col("rare"), square)).over(whole), F.lit(0.0))))
+
+
+def _common_sums(pairs: DataFrame, qt: DataFrame, index: Index) -> DataFrame:
+    """``qid, doc_id, score`` of pairs ``qid, doc_id, s``: ``s`` and the sum over common terms."""
+    common = qt.where(~F.col("rare")).select("qid", "term", "wq")
+    added = (pairs.join(common, "qid").join(index.terms.select("doc_id", "term", "wd"), ["doc_id", "term"])
+             .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("c")))
+    return pairs.join(added, ["qid", "doc_id"], "left").select(
+        "qid", "doc_id", (F.col("s") + F.coalesce("c", F.lit(0.0))).alias("score"))
+
+
+def candidates(qt: DataFrame, index: Index, k: int) -> DataFrame:
+    """``qid, doc_id, s``: the pairs that can be among the first k, with their sums over rare terms."""
+    sums = materialize(_meet(qt.where("rare").select("qid", "block", "term", "wq"),
+                             index.terms.select("intent", "term", "doc_id", "wd"), ["term"])
+                       .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")))
+    best = Window.partitionBy("qid").orderBy(F.desc("s"), F.desc("doc_id"))
+    probes = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(k, PROBED)).drop("r")
+    kth = Window.partitionBy("qid").orderBy(F.desc("score"))
+    theta = (_common_sums(probes, qt, index).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
+             .select("qid", "score"))
+    # Without a k-th score every document with some term in common can matter.
+    least = materialize(qt.select("qid", "block", "cut", "rest").distinct().join(theta, "qid", "left").select(
+        "qid", "block", "cut", "rest", F.coalesce(F.col("score") - ROUNDING, F.lit(0.0)).alias("least")))
+    bounds = materialize(
+        _meet(qt.where("not rare").select("qid", "block", "term", "wq"),
+              index.maxima.select("intent", "term", "bid", "top"), ["term"])
+        .groupBy("qid", "bid").agg(F.sum(F.col("wq") * F.col("top")).alias("most")))
+    common = F.sqrt(F.aggregate(F.filter("lengths", lambda x: x["level"] > F.col("cut")), F.lit(0.0), lambda t, x: t + x["s"]))
+    by_length = F.col("rest") * common
+    docs = index.docs.select("doc_id", "bid", "lengths")
+    need = least.drop("block")
+    met = (sums.join(docs, "doc_id").join(need, "qid").join(bounds, ["qid", "bid"], "left")
+           .where(F.col("s") + F.least(F.coalesce("most", F.lit(0.0)), by_length) >= F.col("least")).select("qid", "doc_id", "s"))
+    open_blocks = bounds.join(need, "qid").where(F.col("most") >= F.col("least"))
+    inside = (_meet(open_blocks.join(least.select("qid", "block"), "qid"),
+                    index.docs.select("intent", "bid", "doc_id", "lengths"), ["bid"])
+              .where(by_length >= F.col("least")).select("qid", "doc_id", F.lit(0.0).alias("s")))
+    return met.unionByName(inside).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
+
+
+def search(qt: DataFrame, index: Index, k: int) -> DataFrame:
+    """``qid, doc_id, similarity`` of all pairs that can be among the first k."""
+    pairs = materialize(candidates(qt, index, k))
+    return _common_sums(pairs, qt, index).select("qid", "doc_id", F.round("score", 6).alias("similarity"))
 
 
 def _top_k(df: DataFrame, k: int, part: str = "qid") -> DataFrame:
@@ -106,18 +170,18 @@ def pad_table(history: DataFrame, k: int) -> DataFrame:
 
 
 def postings(queries: DataFrame, history: DataFrame, min_df: int = 2, max_df: float = 0.95):
-    """(q, qv, dv): queries with blocks, query terms, document terms, each written once."""
-    index = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
-    vocab = materialize(index.vocab)
+    """(q, qt, index): queries with blocks, query terms split by level, the index of the history."""
+    fitted = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
+    vocab = materialize(fitted.vocab)
     q = materialize(assign_blocks(queries, history))
-    qv = materialize(vectors.transform(q, "qid", "text", vocab)
-                     .join(q.select(F.col("qid").alias("id"), "block"), "id")
-                     .join(vocab.select("term", "df"), "term")
-                     .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq"), "df"))
-    dv = materialize(vectors.weigh(index.counts, vocab)
-                     .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
-                     .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
-    return q, qv, dv
+    qv = (vectors.transform(q, "qid", "text", vocab, keep=["df"])
+          .join(q.select(F.col("qid").alias("id"), "block"), "id")
+          .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq"), "df"))
+    terms = materialize(vectors.weigh(fitted.counts, vocab, keep=["df"])
+                        .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
+                        .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd"),
+                                level("df").alias("level")))
+    return q, materialize(split_terms(qv)), build_index(terms)
 
 
 def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
@@ -133,9 +197,8 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     # write each once instead of re-deriving it per branch.
     if not inputs_materialized:
         history = materialize(history)
-    q, qv, dv = postings(queries, history, min_df, max_df)
-    dvb = in_blocks(dv, q)
-    hits = _top_k(_scores(qv, dv, candidates(qv, dvb, k)), k).select("qid", "doc_id", "similarity")
+    q, qt, index = postings(queries, history, min_df, max_df)
+    hits = _top_k(search(qt, index, k), k).select("qid", "doc_id", "similarity")
     # Pad rows: k per block, looked up by the block key.
     pads = (q.select("qid", "block").join(pad_table(history, k), "block")
             .select("qid", "doc_id", F.lit(0.0).alias("similarity")))

@@ -17,6 +17,7 @@ Parquet, and read by both the frequencies and the weights.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -77,14 +78,14 @@ def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95)
                     (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")))
 
 
-def weigh(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+def weigh(counts: DataFrame, vocab: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Apply sublinear tf and idf, keep vocabulary terms, L2-normalise
-    per id. Unknown terms drop out (inner join)."""
-    raw = (counts.join(vocab.select("term", "idf"), "term")
-           .select("id", "term",
+    per id. Unknown terms drop out (inner join). ``keep``: columns of the vocabulary."""
+    raw = (counts.join(vocab.select("term", "idf", *keep), "term")
+           .select("id", "term", *keep,
                    ((F.lit(1.0) + F.log(F.col("tf_count").cast("double"))) * F.col("idf")).alias("raw")))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id")))
-    return raw.select("id", "term", (F.col("raw") / norm).alias("weight"))
+    return raw.select("id", "term", *keep, (F.col("raw") / norm).alias("weight"))
 
 
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
@@ -97,6 +98,6 @@ def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
     return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs, counts=counts)
 
 
-def transform(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame) -> DataFrame:
+def transform(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Vectorise new documents with a fitted vocabulary."""
-    return weigh(term_counts(docs, id_col, text_col), vocab)
+    return weigh(term_counts(docs, id_col, text_col), vocab, keep)

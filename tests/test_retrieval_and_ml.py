@@ -125,17 +125,25 @@ def test_stream_matches_batch(spark):
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
 
 
-def test_search_leaves_out_pairs_that_cannot_matter(spark):
-    """The better a query's best match, the fewer pairs are scored; a query with a copy of itself
-    in the history needs few, one without any likeness nearly all that share a term."""
+def test_search_scores_few_pairs(spark):
+    """Documents with and without a copy of themselves in the history, all in one block: the
+    bounds leave less than 30 % of the pairs, and the first three are those of brute force."""
     d = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "text", F.lit("all").alias("intent"))
     h = d.where(F.col("doc_id") % 2 == 0)
-    pairs = {}
-    for name, asked in (("copy", d.where(F.col("doc_id") % 50 == 0)), ("other", d.where(F.col("doc_id") % 50 == 1))):
+    hist = [(r.doc_id, r.text, r.intent) for r in h.collect()]
+    for name, most, asked in (("copy", 0.1, d.where(F.col("doc_id") % 50 == 0)), ("other", 0.3, d.where(F.col("doc_id") % 50 == 1))):
         asked = asked.withColumnRenamed("doc_id", "qid")
-        q, qv, dv = retrieval.postings(asked, h)
-        pairs[name] = retrieval.candidates(qv, retrieval.in_blocks(dv, q), 1).count() / (asked.count() * h.count())
-    assert 0 < pairs["copy"] < 0.5 and pairs["copy"] < pairs["other"] < 0.95, pairs
+        q, qt, index = retrieval.postings(asked, h)
+        pairs = retrieval.candidates(qt, index, 3).count() / (asked.count() * h.count())
+        assert 0 < pairs < most, (name, pairs)
+        got = retrieval._top_k(retrieval.search(qt, index, 3), 3)
+        found = {}
+        for r in got.orderBy("qid", "rank").collect():
+            found.setdefault(r.qid, []).append((r.doc_id, r.similarity))
+        want = brute_force(hist, [(r.qid, r.text, r.intent) for r in asked.collect()], 3)
+        for qid, rows in want.items():
+            rows = [(i, s) for i, s in rows if s > 0]
+            assert [i for i, _ in found.get(qid, [])][:len(rows)] == [i for i, _ in rows], qid
 
 
 def test_hot_parent_is_split(spark):
