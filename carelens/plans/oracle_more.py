@@ -65,14 +65,8 @@ def decision_sql(intent: str, text: str, field: str = "decision") -> str:
             f"ELSE {q(vals[2])} END)")
 
 
-INTENT_EVAL_CTE = f"""
-intent_eval AS (
-  SELECT tweet_id AS customer_tweet_id, text AS customer_text,
-         {label_sql('text')} AS intent,
-         {label_sql('text', lx.KEYWORD_BASELINE_RULES)} AS predicted_intent
-  FROM customers
-),
-ev AS (SELECT intent AS actual, predicted_intent AS predicted FROM intent_eval),
+# Per-label counts and rates of ``ev (actual, predicted)``.
+MARGIN_CTES = """
 marg AS (
   SELECT coalesce(s.label, p.label) AS label,
          coalesce(s.support, 0) AS support, coalesce(p.pc, 0) AS predicted_count,
@@ -90,7 +84,17 @@ m2 AS (
          coalesce(2.0 * tp / nullif(predicted_count + support, 0), 0.0) AS f1
   FROM marg
 ),
-dec AS (
+"""
+
+INTENT_EVAL_CTE = f"""
+intent_eval AS (
+  SELECT tweet_id AS customer_tweet_id, text AS customer_text,
+         {label_sql('text')} AS intent,
+         {label_sql('text', lx.KEYWORD_BASELINE_RULES)} AS predicted_intent
+  FROM customers
+),
+ev AS (SELECT intent AS actual, predicted_intent AS predicted FROM intent_eval),
+{MARGIN_CTES}dec AS (
   SELECT customer_tweet_id, predicted_intent,
          {decision_sql('predicted_intent', 'customer_text')} AS decision,
          {decision_sql('predicted_intent', 'customer_text', 'reason')} AS reason,
@@ -124,6 +128,21 @@ PAIR_STR_COLS = """CAST(customer_tweet_id AS VARCHAR) AS customer_tweet_id, cust
        CAST(parent_tweet_id AS VARCHAR) AS parent_tweet_id, brand_text, brand_created_at"""
 
 
+REPORT = """
+SELECT label AS row_label, round(precision, 6) AS precision, round(recall, 6) AS recall,
+       round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support, 0 AS section FROM m2
+UNION ALL
+SELECT 'accuracy', NULL, NULL, round(coalesce(sum(tp)::DOUBLE / nullif(sum(support), 0), 0.0), 6),
+       CAST(sum(support) AS BIGINT), 1 FROM m2
+UNION ALL
+SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
+       CAST(sum(support) AS BIGINT), 2 FROM m2
+UNION ALL
+SELECT 'weighted avg', round(sum(precision * support) / nullif(sum(support), 0), 6),
+       round(sum(recall * support) / nullif(sum(support), 0), 6),
+       round(sum(f1 * support) / nullif(sum(support), 0), 6), CAST(sum(support) AS BIGINT), 3 FROM m2"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     E = INTENT_EVAL_CTE
@@ -168,19 +187,7 @@ SELECT CAST(count(*) AS BIGINT) AS total,
          AS accuracy
 FROM ev""", E)
     o["intent_f1"] = with_messages(F1_SELECT, E)
-    o["classification_report"] = with_messages("""
-SELECT label AS row_label, round(precision, 6) AS precision, round(recall, 6) AS recall,
-       round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support, 0 AS section FROM m2
-UNION ALL
-SELECT 'accuracy', NULL, NULL, round(coalesce(sum(tp)::DOUBLE / nullif(sum(support), 0), 0.0), 6),
-       CAST(sum(support) AS BIGINT), 1 FROM m2
-UNION ALL
-SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6),
-       CAST(sum(support) AS BIGINT), 2 FROM m2
-UNION ALL
-SELECT 'weighted avg', round(sum(precision * support) / nullif(sum(support), 0), 6),
-       round(sum(recall * support) / nullif(sum(support), 0), 6),
-       round(sum(f1 * support) / nullif(sum(support), 0), 6), CAST(sum(support) AS BIGINT), 3 FROM m2""", E)
+    o["classification_report"] = with_messages(REPORT, E)
     o["confusion_matrix"] = with_messages("""
 SELECT a.l AS actual, p.l AS predicted, CAST(count(e.actual) AS BIGINT) AS n
 FROM (SELECT DISTINCT actual AS l FROM ev) a

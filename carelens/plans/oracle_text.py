@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from carelens.functions import lexicon as lx
 from carelens.functions import prompts as pr
+from carelens.operators import classifier
 from carelens.plans.oracle import BRAND, q, with_messages
 from carelens.sources.adapter import TURNS
-from carelens.plans.oracle_more import (WS, clean_sql, decision_sql, label_sql, strip_sql,
+from carelens.plans.oracle_more import (MARGIN_CTES, REPORT, WS, clean_sql, decision_sql, label_sql, strip_sql,
                                         useful_sql)
 
 TOKEN_RE = r"[\p{L}\p{N}_]{2,}"
@@ -219,8 +220,96 @@ calib AS (
   FROM pairs p JOIN judge_ok j ON j.request_id = p.brand_tweet_id)"""
 
 
+def fit_ctes(p: str, train: str) -> str:
+    """CTEs of the classifier's fit on ``train (id, text, intent)``: {p}lab, {p}vocab, {p}coef (term, c, w)."""
+    ctes = [f"""
+{p}train AS MATERIALIZED (
+  SELECT id, text, intent FROM {train} ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT {classifier.MAX_TRAIN_ROWS}),
+{tfidf_ctes(p, f'{p}train', 'id', 'text')},
+{p}lab AS MATERIALIZED (
+  SELECT intent AS label, row_number() OVER (ORDER BY intent) - 1 AS c, count(*)::DOUBLE AS n_c,
+         (SELECT count(*) FROM {p}train)::DOUBLE AS total, (count(*) OVER ())::DOUBLE AS k
+  FROM {p}train GROUP BY intent),
+{p}x AS MATERIALIZED (
+  SELECT id, term, weight AS x FROM {p}w UNION ALL SELECT id, '' AS term, 1.0::DOUBLE AS x FROM {p}train),
+{p}y AS MATERIALIZED (
+  SELECT t.id, l.c, CASE WHEN l.label = t.intent THEN 1.0 ELSE 0.0 END AS y, o.total / (o.k * o.n_c) AS wt, o.total
+  FROM {p}train t JOIN {p}lab o ON o.label = t.intent CROSS JOIN {p}lab l),
+{p}s0 AS MATERIALIZED (
+  SELECT term, c, 0.0::DOUBLE AS w, 0.0::DOUBLE AS v FROM (SELECT DISTINCT term FROM {p}x) t CROSS JOIN {p}lab)"""]
+    for s in range(classifier.STEPS):
+        ahead = classifier.momentum(s)
+        ctes.append(f"""
+{p}e{s} AS MATERIALIZED (
+  SELECT id, c, exp(z - max(z) OVER (PARTITION BY id)) AS e
+  FROM (SELECT id, c, sum(x * v) AS z FROM {p}x JOIN {p}s{s} USING (term) GROUP BY id, c) z),
+{p}g{s} AS MATERIALIZED (
+  SELECT id, c, wt * (e / sum(e) OVER (PARTITION BY id) - y) / total AS g FROM {p}e{s} JOIN {p}y USING (id, c)),
+{p}s{s + 1} AS MATERIALIZED (
+  SELECT term, c, w1 AS w, w1 + {ahead!r}::DOUBLE * (w1 - w) AS v FROM (
+    SELECT s.term, s.c, s.w,
+      s.v - {classifier.RATE!r}::DOUBLE * (d.d + CASE WHEN s.term = '' THEN 0.0 ELSE 1.0 / (SELECT max(total) FROM {p}lab) END * s.v) AS w1
+    FROM {p}s{s} s JOIN (SELECT term, c, sum(x * g) AS d FROM {p}x JOIN {p}g{s} USING (id) GROUP BY term, c) d
+      ON d.term = s.term AND d.c = s.c) m)""")
+    return ",".join([*ctes, f"\n{p}coef AS (SELECT term, c, w FROM {p}s{classifier.STEPS})"])
+
+
+def predicted_ctes(p: str, model: str, docs: str) -> str:
+    """CTE {p}pred (id, predicted_intent) of ``docs (id, text)`` under the model of :func:`fit_ctes`."""
+    return f"""
+{p}tf AS MATERIALIZED (
+  SELECT id, term, count(*) AS tf FROM (
+    SELECT id, unnest(g) AS term FROM {grams_from(docs, 'id', 'text')} x) g
+  GROUP BY id, term),
+{p}x AS MATERIALIZED (
+  SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS x
+  FROM (SELECT id, term, (1 + ln(tf)) * idf AS raw FROM {p}tf JOIN {model}vocab USING (term)) r),
+{p}z AS (
+  SELECT d.id, l.label, round(coalesce(z.z, 0) + b.w, 9) AS z
+  FROM (SELECT id FROM {docs}) d CROSS JOIN {model}lab l JOIN {model}coef b ON b.term = '' AND b.c = l.c
+  LEFT JOIN (SELECT id, c, sum(x * w) AS z FROM {p}x JOIN {model}coef USING (term) GROUP BY id, c) z
+    ON z.id = d.id AND z.c = l.c),
+{p}pred AS MATERIALIZED (
+  SELECT id, label AS predicted_intent FROM (
+    SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY z DESC, label) AS r FROM {p}z) t WHERE r = 1)"""
+
+
+def model_sql(o: dict[str, str]) -> None:
+    """Twins of the queries that fit the classifier."""
+    hist = "hdoc AS (SELECT doc_id AS id, text, intent FROM hist), qdoc AS (SELECT qid AS id, text FROM qry)"
+    fitted = f"{RETRIEVAL_CTE}, {hist}, {fit_ctes('m', 'hdoc')}"
+    o["train_intent_model"] = with_messages(
+        "SELECT h.doc_id, h.intent, p.predicted_intent FROM hist h JOIN tpred p ON p.id = h.doc_id",
+        f"{fitted}, {predicted_ctes('t', 'm', 'hdoc')}")
+    o["predict_intent"] = with_messages(
+        "SELECT id AS qid, predicted_intent FROM tpred", f"{fitted}, {predicted_ctes('t', 'm', 'qdoc')}")
+    # The golden rows are the first of the incoming messages by hash; none of them is in the history.
+    golden = f"""{RETRIEVAL_CTE},
+gold AS MATERIALIZED (SELECT qid AS id, text, intent FROM qry ORDER BY md5('42:' || CAST(qid AS VARCHAR)), qid LIMIT 200),
+tdoc AS (SELECT doc_id AS id, text, intent FROM hist WHERE customer_tweet_id NOT IN (SELECT id FROM gold)),
+{fit_ctes('m', 'tdoc')}, {predicted_ctes('t', 'm', 'gold')},
+ev AS (SELECT g.id, g.text, g.intent AS actual, p.predicted_intent AS predicted FROM gold g JOIN tpred p USING (id))"""
+    o["model_report"] = with_messages(REPORT, golden + ",\n" + MARGIN_CTES.strip().rstrip(","))
+    got, want = decision_sql("predicted", "text"), decision_sql("actual", "text")
+    o["model_handling"] = with_messages(f"""
+SELECT id AS customer_tweet_id, actual, predicted, {got} AS decision, {want} AS expected_decision,
+       ({want} = {q(lx.AUTO_HANDLE)} OR {got} = {q(lx.ESCALATE)}) AS safe
+FROM ev""", golden)
+    # The same retrieval with the model's intent in place of the rules'.
+    asked = f"""{fit_ctes('m', 'hdoc')}, {predicted_ctes('t', 'm', 'qdoc')},
+aqry AS (SELECT r.qid, r.text, p.predicted_intent AS intent FROM qry r JOIN tpred p ON p.id = r.qid)"""
+    head, tail = RETRIEVAL_CTE.split("qb AS (", 1)
+    first = head + f"hdoc AS (SELECT doc_id AS id, text, intent FROM hist), qdoc AS (SELECT qid AS id, text FROM qry), {asked},\n"
+    o["model_triage"] = with_messages(f"""
+SELECT qb.qid, qb.intent, bestq.best_reply, bestq.used_fallback,
+       {decision_sql('qb.intent', 'qb.text')} AS decision,
+       {decision_sql('qb.intent', 'qb.text', 'reason')} AS reason
+FROM qb JOIN bestq ON bestq.qid = qb.qid""", first + "qb AS (" + tail.replace("FROM qry)", "FROM aqry)"))
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
+    model_sql(o)
     o["ngrams"] = f"""
 SELECT id AS doc_id, CAST(pos - 1 AS INTEGER) AS pos, term FROM (
   SELECT id, unnest(g) AS term, unnest(range(1, len(g) + 1)) AS pos

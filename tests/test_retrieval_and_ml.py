@@ -194,9 +194,9 @@ def test_long_conversations_keep_their_ids_apart(spark):
 def test_scoring_equals_the_library(spark):
     """Lazy scoring by coefficients gives what MLlib's transform gives; the fit is at a stationary point."""
     h = ct.retrieval_history(spark, SF_CHECK)
-    model = classifier.train(h, "doc_id", "text", "intent")
+    model = classifier.train(h, "doc_id", "text", "intent", solver="mllib")
     mine = {r.doc_id: r.predicted_intent for r in classifier.predict(model, h, "doc_id", "text").collect()}
-    feats = classifier.features(h, "doc_id", "text", model.vocab, model.num_features)
+    feats = classifier.features(h, "doc_id", "text", model.vocab, model.lr.numFeatures)
     theirs = {r.id: model.labels[int(r.prediction)] for r in model.lr.transform(feats).collect()}
     assert mine == theirs and set(mine.values()) <= set(model.labels)
 
@@ -205,8 +205,8 @@ def test_fit_is_stationary(spark):
     """The gradient of the stated objective vanishes at the fitted coefficients."""
     import numpy as np
     h = ct.retrieval_history(spark, SF_CHECK)
-    model = classifier.train(h, "doc_id", "text", "intent")
-    rows = (classifier.features(h, "doc_id", "text", model.vocab, model.num_features)
+    model = classifier.train(h, "doc_id", "text", "intent", solver="mllib")
+    rows = (classifier.features(h, "doc_id", "text", model.vocab, model.lr.numFeatures)
             .join(h.select(F.col("doc_id").alias("id"), "intent"), "id").collect())
     x = np.array([r.features.toArray() for r in rows])
     y = np.array([model.labels.index(r.intent) for r in rows])
@@ -219,3 +219,52 @@ def test_fit_is_stationary(spark):
     p[np.arange(n), y] -= 1
     p *= weight[:, None] / n
     assert np.abs(p.T @ x + coef / n).max() < 1e-4 and np.abs(p.sum(axis=0)).max() < 1e-4
+
+
+def test_fixed_steps_equal_numpy_and_near_the_optimum(spark):
+    """The joins and sums of a step are the gradient step; the loss falls; nearly all rows get MLlib's class."""
+    import numpy as np
+    h = ct.retrieval_history(spark, SF_CHECK)
+    mllib = classifier.train(h, "doc_id", "text", "intent", solver="mllib")
+    model = classifier.train(h, "doc_id", "text", "intent")
+    rows = (classifier.features(h, "doc_id", "text", mllib.vocab, mllib.lr.numFeatures)
+            .join(h.select(F.col("doc_id").alias("id"), "intent"), "id").orderBy("id").collect())
+    x = np.array([[*r.features.toArray(), 1.0] for r in rows])
+    y = np.array([model.labels.index(r.intent) for r in rows])
+    n, k = len(rows), len(model.labels)
+    weight = n / (k * np.bincount(y, minlength=k)[y])
+    ridge = np.full((x.shape[1], 1), 1 / n)
+    ridge[-1] = 0
+
+    def loss(w):
+        z = x @ w
+        z -= z.max(axis=1, keepdims=True)
+        return (weight * (np.log(np.exp(z).sum(axis=1)) - z[np.arange(n), y])).mean() + (ridge * w * w).sum() / 2
+
+    w = v = np.zeros((x.shape[1], k))
+    losses = [loss(w)]
+    for step in range(classifier.STEPS):
+        p = np.exp(x @ v - (x @ v).max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(n), y] -= 1
+        new = v - classifier.RATE * (x.T @ (p * weight[:, None]) / n + ridge * v)
+        v, w = new + classifier.momentum(step) * (new - w), new
+        losses.append(loss(w))
+    assert all(b < a for a, b in zip(losses, losses[1:], strict=False)), losses
+    order = {r.term: int(r.term_index) for r in mllib.vocab.collect()}
+    for r in model.vocab.collect():
+        assert np.abs(np.array(r.coefs) - w[order[r.term]]).max() < 1e-9
+    assert np.abs(np.array(model.bias) - w[-1]).max() < 1e-9
+    a, b = ({r.doc_id: r.predicted_intent for r in classifier.predict(m, h, "doc_id", "text").collect()} for m in (model, mllib))
+    assert sum(a[i] == b[i] for i in a) >= 0.9 * len(a)
+
+
+def test_classifier_edge_rows(spark):
+    rows = [(1, "refund my payment", "Billing"), (2, "refund payment now", "Billing"), (3, None, "App"), (4, "", "App"),
+            (5, "app crash again", "App"), (6, "app crash", "App"), (7, "refund", None)]
+    h = spark.createDataFrame(rows, "doc_id long, text string, intent string")
+    model = classifier.train(h, "doc_id", "text", "intent")
+    got = {r.doc_id: r.predicted_intent for r in classifier.predict(model, h, "doc_id", "text").collect()}
+    assert set(got) == set(range(1, 8)) and got[2] == got[7] == "Billing" and got[6] == "App"
+    one = classifier.train(h.where("intent = 'App'"), "doc_id", "text", "intent")
+    assert {r.predicted_intent for r in classifier.predict(one, h, "doc_id", "text").collect()} == {"App"}
