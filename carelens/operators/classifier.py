@@ -47,7 +47,7 @@ from carelens.session import materialize, scratch_path
 MAX_TRAIN_ROWS = 5000
 STEPS = 12
 RATE = 1.0
-INTERCEPT = ""  # the pseudo-term of the intercept; tokens have two characters or more
+INTERCEPT = 0  # the pseudo-term of the intercept: no term in a bounded sample has this hash
 
 
 def momentum(step: int) -> float:
@@ -105,7 +105,7 @@ def train(training: DataFrame, id_col: str, text_col: str, label_col: str, solve
     vocab = materialize(idx.vocab)
     rows = vectors.weigh(idx.counts, vocab).select("id", "term", F.col("weight").alias("x"))
     rows = materialize(rows.join(examples.select("id"), "id", "left_semi")
-                       .unionByName(examples.select("id", F.lit(INTERCEPT).alias("term"), F.lit(1.0).alias("x"))))
+                       .unionByName(examples.select("id", F.lit(INTERCEPT).cast("long").alias("term"), F.lit(1.0).alias("x"))))
     state = fit_steps(rows, materialize(examples), len(labels), n, steps)
     coefs = state.select("term", F.array(*[F.col(f"w{c}") for c in range(len(labels))]).alias("coefs"))
     bias = coefs.where(F.col("term") == INTERCEPT).first()["coefs"] if n else []

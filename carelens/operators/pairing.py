@@ -34,18 +34,15 @@ def brand_replies(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
 
 
 def keep_last(messages: DataFrame, key: str = "tweet_id", order: str = "seq") -> DataFrame:
-    """Keep the last-ingested row per id.
+    """Keep the last-ingested row per id; ``order`` is unique within an id.
 
-    ``max(struct(order, ...))`` is an ordinary aggregate, so Spark runs it
-    partial-then-final: a hot id whose copies are a third of all rows is
-    collapsed inside every map task before the shuffle, unlike a
-    ``row_number`` window which would sort the whole hot group in one task.
+    Late materialisation: only ``key`` and ``order`` are aggregated (two numbers,
+    collapsed for a hot id inside every map task), and the join on both fetches the
+    rest. Copies of a hot id differ in ``order``, so the join's exchange spreads
+    them, and no text is held in an aggregate's buffer.
     """
-    rest = [c for c in messages.columns if c not in (key, order)]
-    return (messages.groupBy(key)
-            .agg(F.max(F.struct(F.col(order), *[F.col(c) for c in rest])).alias("_last"))
-            .select(key, *[F.col(f"_last.{c}").alias(c) for c in rest],
-                    F.col(f"_last.{order}").alias(order)))
+    last = messages.groupBy(key).agg(F.max(order).alias(order))
+    return messages.join(last, [key, order]).select(key, *[c for c in messages.columns if c not in (key, order)], order)
 
 
 def answered_customer_messages(messages: DataFrame, brands: Sequence[str]) -> DataFrame:

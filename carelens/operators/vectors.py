@@ -7,9 +7,12 @@ idf, L2 rows):
   w   = tf * idf / ||tf * idf||_2
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * n_docs``.
 
-Layout: long tables ``(id, term, weight)``. A document is one row, so its
-term counts are taken inside the row: the gram array is sorted, the places
-where a run starts are kept, and the distance to the next start is the
+Layout: long tables ``(id, term, weight)``; a term is the 64-bit hash of its
+string, so exchanges and joins move numbers. Strings are kept in one column of the
+counted table and enter an exchange once, as the distinct strings of the kept terms
+(:func:`words`), where two strings of one hash are found and refused. A document
+is one row, so its term counts are taken inside the row: the gram array is sorted,
+the places where a run starts are kept, and the distance to the next start is the
 count. Nothing is shuffled until the document frequencies, which are a
 partial+final count over terms; the counted table is written once, as
 Parquet, and read by both the frequencies and the weights.
@@ -47,7 +50,7 @@ def ngrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf_count), counted inside each document's row."""
+    """(id, term, tf_count, word), counted inside each document's row."""
     g = _grams(docs, id_col, text_col).select("id", F.sort_array("grams").alias("g"))
     last = F.size("g") - 1
     starts = F.when(last >= 0, F.filter(
@@ -56,9 +59,10 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     runs = g.select("id", "g", starts.alias("s"))
     ends = F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("g")))
     terms = F.zip_with("s", ends, lambda a, b: F.struct(
-        F.get(F.col("g"), a).alias("term"), (b - a).cast("bigint").alias("tf_count")))
+        F.get(F.col("g"), a).alias("word"), (b - a).cast("bigint").alias("tf_count")))
     return (runs.select("id", F.inline_outer(terms))
-            .filter(F.col("term").isNotNull()))
+            .filter(F.col("word").isNotNull())
+            .select("id", F.xxhash64("word").alias("term"), "tf_count", "word"))
 
 
 @dataclass
@@ -66,7 +70,7 @@ class TfidfIndex:
     vocab: DataFrame    # term, df, idf
     weights: DataFrame  # id, term, weight  (L2-normalised rows)
     n_docs: object      # scalar Column (subquery)
-    counts: DataFrame   # id, term, tf_count (written once)
+    counts: DataFrame   # id, term, tf_count, word (written once)
 
 
 def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
@@ -78,6 +82,14 @@ def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95)
                     (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf")))
 
 
+def words(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(term, word) of the kept terms; two strings of one hash raise an error."""
+    pairs = counts.join(vocab.select("term"), "term", "left_semi").select("term", "word").distinct()
+    clash = F.raise_error(F.concat(F.lit("two terms share a hash: "), F.min("word"), F.lit(", "), F.max("word")))
+    return pairs.groupBy("term").agg(
+        F.when(F.count("*") > 1, clash.cast("string")).otherwise(F.min("word")).alias("word"))
+
+
 def weigh(counts: DataFrame, vocab: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Apply sublinear tf and idf, keep vocabulary terms, L2-normalise
     per id. Unknown terms drop out (inner join). ``keep``: columns of the vocabulary."""

@@ -125,16 +125,36 @@ def handling_counts(spark, sf_dir):
                  F.count_if(F.col("basis") == "pattern").cast("bigint").alias("escalate_by_pattern"))
 
 
-def _safety(spark, sf_dir) -> DataFrame:
-    """Policy cases from the data: the decision under the reference
-    (rule) intent is the expectation, the decision under the predicted
-    intent is the outcome."""
+def _consistency(spark, sf_dir) -> DataFrame:
+    """Decisions under the rule intent beside those under the predicted intent."""
     e = intent_eval(spark, sf_dir)
     expected = policy.handling(F.col("intent"), F.col("customer_text")).decision
     actual = policy.handling(F.col("predicted_intent"), F.col("customer_text")).decision
     return e.select(expected.alias("expected_decision"), actual.alias("actual_decision"))
 
 
+def labelled_documents(spark, sf_dir) -> DataFrame:
+    """Documents with labels that no rule of this engine made."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _safety(spark, sf_dir) -> DataFrame:
+    """Policy cases with a stored expectation: a text labelled toxic is for a person."""
+    intent = lx.label_column(F.col("text"))
+    return labelled_documents(spark, sf_dir).select(
+        F.when(F.col("toxic") == 1, lx.ESCALATE).otherwise(lx.AUTO_HANDLE).alias("expected_decision"),
+        policy.handling(intent, F.col("text")).decision.alias("actual_decision"))
+
+
+def _rules_on_labels(spark, sf_dir) -> DataFrame:
+    """Stored quality beside the weak rules' verdict: whether any rule names an intent."""
+    named = lx.label_column(F.col("text")) != lx.OTHER
+    return labelled_documents(spark, sf_dir).select(
+        F.when(F.col("quality") == 1, "good").otherwise("poor").alias("actual"),
+        F.when(named, "good").otherwise("poor").alias("predicted"))
+
+
 def safety_summary(cases: DataFrame) -> DataFrame:
     passed = F.count_if(F.col("expected_decision") == F.col("actual_decision")).cast("bigint")
     return cases.agg(passed.alias("passed"), F.count(F.lit(1)).alias("total")).select(
@@ -148,6 +168,29 @@ def safety_score(spark, sf_dir):
     return safety_summary(_safety(spark, sf_dir))
 
 
+@register()
+def safety_confusion(spark, sf_dir):
+    """Stored expectation against decision, all four cells."""
+    return ev.confusion_matrix_long(_safety(spark, sf_dir).withColumnsRenamed(
+        {"expected_decision": "actual", "actual_decision": "predicted"}))
+
+
+@register()
+def policy_consistency(spark, sf_dir):
+    return safety_summary(_consistency(spark, sf_dir))
+
+
+@register()
+def weak_label_quality(spark, sf_dir):
+    """The weak rules against stored labels, per class and over all."""
+    return ev.classification_report(_rules_on_labels(spark, sf_dir))
+
+
+@register()
+def weak_label_confusion(spark, sf_dir):
+    return ev.confusion_matrix_long(_rules_on_labels(spark, sf_dir))
+
+
 @register()
 def trust_gate(spark, sf_dir):
     acc = ev.accuracy(_eval_view(spark, sf_dir)).select(

@@ -94,15 +94,18 @@ def ngrams(spark, sf_dir):
 def vocabulary(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     idx = vectors.fit_tfidf(d, "doc_id", "text")
-    return idx.vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+    vocab = materialize(idx.vocab)
+    return vocab.join(vectors.words(idx.counts, vocab), "term").select(
+        F.col("word").alias("term"), "df", F.round("idf", 6).alias("idf"))
 
 
 @register()
 def tfidf_weights(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     idx = vectors.fit_tfidf(d, "doc_id", "text")
-    return idx.weights.select(F.col("id").alias("doc_id"), "term",
-                              F.round("weight", 6).alias("weight"))
+    vocab = materialize(idx.vocab)
+    return (vectors.weigh(idx.counts, vocab).join(vectors.words(idx.counts, vocab), "term")
+            .select(F.col("id").alias("doc_id"), F.col("word").alias("term"), F.round("weight", 6).alias("weight")))
 
 
 # --------------------------------------------------------------------

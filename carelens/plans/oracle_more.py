@@ -102,13 +102,27 @@ ev AS (SELECT intent AS actual, predicted_intent AS predicted FROM intent_eval),
          {decision_sql('intent', 'customer_text')} AS expected_decision
   FROM intent_eval
 ),
-safety AS (
+consistency AS (
   SELECT CAST(count_if(expected_decision = decision) AS BIGINT) AS passed,
          CAST(count(*) AS BIGINT) AS total,
          round(coalesce(count_if(expected_decision = decision) * 100.0 / nullif(count(*), 0), 0.0), 6)
            AS safety_score
   FROM dec
-)"""
+),
+labelled AS (SELECT doc_id, text, quality, toxic FROM documents JOIN labels USING (doc_id)),
+cases AS (
+  SELECT CASE WHEN toxic = 1 THEN {q(lx.ESCALATE)} ELSE {q(lx.AUTO_HANDLE)} END AS expected_decision,
+         {decision_sql(label_sql('text'), 'text')} AS decision
+  FROM labelled
+),
+safety AS (
+  SELECT CAST(count_if(expected_decision = decision) AS BIGINT) AS passed,
+         CAST(count(*) AS BIGINT) AS total,
+         round(coalesce(count_if(expected_decision = decision) * 100.0 / nullif(count(*), 0), 0.0), 6)
+           AS safety_score
+  FROM cases
+)
+"""
 
 F1_SELECT = """
 SELECT CAST(coalesce(sum(support), 0) AS BIGINT) AS total, CAST(coalesce(sum(tp), 0) AS BIGINT) AS correct,
@@ -143,6 +157,21 @@ SELECT 'weighted avg', round(sum(precision * support) / nullif(sum(support), 0),
        round(sum(f1 * support) / nullif(sum(support), 0), 6), CAST(sum(support) AS BIGINT), 3 FROM m2"""
 
 
+CONFUSION = """
+SELECT a.l AS actual, p.l AS predicted, CAST(count(e.actual) AS BIGINT) AS n
+FROM (SELECT DISTINCT actual AS l FROM ev) a
+CROSS JOIN (SELECT DISTINCT actual AS l FROM ev) p
+LEFT JOIN ev e ON e.actual = a.l AND e.predicted = p.l
+GROUP BY a.l, p.l"""
+
+# The weak rules and the policy beside stored labels, as ``ev``.
+RULE_CASES = f"""
+WITH ev AS (
+  SELECT CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS actual,
+         CASE WHEN {label_sql('text')} <> {q(lx.OTHER)} THEN 'good' ELSE 'poor' END AS predicted
+  FROM documents JOIN labels USING (doc_id))"""
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
     E = INTENT_EVAL_CTE
@@ -170,6 +199,11 @@ SELECT CAST(count_if(decision = 'AUTO-HANDLE') AS BIGINT) AS auto_handle,
        CAST(count_if(basis = 'pattern') AS BIGINT) AS escalate_by_pattern
 FROM dec""", E)
     o["safety_score"] = with_messages("SELECT passed, total, safety_score FROM safety", E)
+    o["policy_consistency"] = with_messages("SELECT passed, total, safety_score FROM consistency", E)
+    o["safety_confusion"] = with_messages(
+        CONFUSION.replace(" ev", " sc"), E + ", sc AS (SELECT expected_decision AS actual, decision AS predicted FROM cases)")
+    o["weak_label_quality"] = RULE_CASES + ",\n" + MARGIN_CTES.strip().rstrip(",") + REPORT
+    o["weak_label_confusion"] = RULE_CASES + CONFUSION
     o["trust_gate"] = with_messages("""
 SELECT (SELECT round(round(coalesce(count_if(actual IS NOT DISTINCT FROM predicted)::DOUBLE
                                     / nullif(count(*), 0), 0.0), 6) * 100.0, 6) FROM ev) AS intent_accuracy_pct,
@@ -188,12 +222,7 @@ SELECT CAST(count(*) AS BIGINT) AS total,
 FROM ev""", E)
     o["intent_f1"] = with_messages(F1_SELECT, E)
     o["classification_report"] = with_messages(REPORT, E)
-    o["confusion_matrix"] = with_messages("""
-SELECT a.l AS actual, p.l AS predicted, CAST(count(e.actual) AS BIGINT) AS n
-FROM (SELECT DISTINCT actual AS l FROM ev) a
-CROSS JOIN (SELECT DISTINCT actual AS l FROM ev) p
-LEFT JOIN ev e ON e.actual = a.l AND e.predicted = p.l
-GROUP BY a.l, p.l""", E)
+    o["confusion_matrix"] = with_messages(CONFUSION, E)
     o["confusion_pairs"] = with_messages("""
 SELECT actual, predicted, CAST(count(*) AS BIGINT) AS n FROM ev
 WHERE actual IS DISTINCT FROM predicted

@@ -22,6 +22,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.sources.bucketing.enabled": "true",
+    # Text work is heavy for its bytes: small files are cut to splits of one megabyte at least, not four.
+    "spark.sql.files.openCostInBytes": "1m",
 }
 
 

@@ -37,6 +37,38 @@ def test_unused_reply_link_join_is_removed(spark):
 def test_term_counts_need_no_shuffle(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     assert "Exchange" not in plan(vectors.term_counts(d, "doc_id", "text"))
-    counts = {(r.id, r.term): r.tf_count for r in vectors.term_counts(
+    counts = {(r.id, r.word): r.tf_count for r in vectors.term_counts(
         spark.createDataFrame([(1, "aa bb aa aa bb"), (2, ""), (3, None)], "id long, t string"), "id", "t").collect()}
     assert counts == {(1, "aa"): 3, (1, "bb"): 2, (1, "aa bb"): 2, (1, "bb aa"): 1, (1, "aa aa"): 1}
+
+
+def exchanges(df):
+    """What each exchange of a plan carries."""
+    qe = df._jdf.queryExecution()
+    out, todo = [], [qe.executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.initialPlan())
+            continue
+        if p.nodeName() == "Exchange":
+            out.append(p.schema().simpleString())
+        kids = p.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return out
+
+
+def test_terms_are_numbers_in_every_exchange(spark):
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    idx = vectors.fit_tfidf(d, "doc_id", "text")
+    found = exchanges(idx.vocab) + exchanges(idx.weights)
+    assert found and not any("string" in e for e in found), found
+
+
+def test_two_words_of_one_hash_are_refused(spark):
+    import pytest
+    counts = spark.createDataFrame([(1, 7, "a"), (2, 7, "b"), (1, 8, "c")], "id long, term long, word string")
+    vocab = spark.createDataFrame([(7,), (8,)], "term long")
+    with pytest.raises(Exception, match="share a hash"):
+        vectors.words(counts, vocab).collect()
+    assert [r.word for r in vectors.words(counts.where("word <> 'b'"), vocab).orderBy("term").collect()] == ["a", "c"]

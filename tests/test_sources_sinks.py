@@ -3,6 +3,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from carelens.operators import judging
@@ -32,15 +33,42 @@ def test_golden_template_csv(spark):
     assert back.filter(F.col("intent").isNotNull() & (F.col("intent") != "")).count() == 0
 
 
-def test_append_and_resume(spark):
+def calibration(spark):
     pairs = catalog.pairs(spark, SF_SMALL)
     cal = judging.calibration_table(pairs, responses_adapter.judge_responses(pairs), responses_adapter.human_scores(pairs))
-    rows = cal.filter(F.col("llm_judge_score").isNotNull())
+    return cal.filter(F.col("llm_judge_score").isNotNull())
+
+
+def test_append_and_resume(spark):
+    rows = calibration(spark)
     path = os.path.join(tempfile.mkdtemp(prefix="carelens-cal-"), "calibration")
+    assert sinks.read_batches(spark, path, rows.schema).count() == 0
     first = rows.filter(F.col("request_id") % 2 == 0)
-    sinks.append_rows(first, path)
-    done = spark.read.parquet(path)
+    assert sinks.append_batch(first, path, "b-1")
+    done = sinks.read_batches(spark, path, rows.schema)
     todo = judging.pending(rows.withColumnRenamed("request_id", "brand_tweet_id"), done, "brand_tweet_id")
     assert todo.count() == rows.count() - first.count()
-    sinks.append_rows(todo.withColumnRenamed("brand_tweet_id", "request_id"), path)
-    assert spark.read.parquet(path).count() == rows.count()
+    assert sinks.append_batch(todo.withColumnRenamed("brand_tweet_id", "request_id"), path, "b-2")
+    merged = sinks.read_batches(spark, path, rows.schema)
+    assert merged.count() == rows.count()
+    assert {r.batch for r in merged.select("batch").distinct().collect()} == {"b-1", "b-2"}
+    assert merged.drop("batch").exceptAll(rows).count() == 0
+
+
+def test_failed_and_repeated_appends_leave_no_double_rows(spark):
+    rows = calibration(spark)
+    n = rows.count()
+    path = os.path.join(tempfile.mkdtemp(prefix="carelens-cal-"), "calibration")
+    broken = rows.withColumn("llm_judge_score", F.when(
+        F.col("request_id") == rows.agg(F.max("request_id")).first()[0], F.raise_error(F.lit("lost")).cast("int"))
+        .otherwise(F.col("llm_judge_score")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_batch(broken, path, "b-1")
+    # A writer that died after its rows and before its manifest: the rows are there, but not committed.
+    rows.write.parquet(f"{path}/batch=b-1/attempt=dead")
+    assert sinks.read_batches(spark, path, rows.schema).count() == 0
+    assert sinks.append_batch(rows, path, "b-1")
+    assert not sinks.append_batch(rows, path, "b-1")  # a retry of what had succeeded
+    assert sinks.read_batches(spark, path, rows.schema).count() == n
+    with pytest.raises(ValueError):
+        sinks.append_batch(rows, path, "../b")
