@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from carelens.llm.common import discard, written
+
 WINDOW_WORDS = 10
 SHARD_SYMBOLS = 1 << 20
 BLOCK_WORDS = 1 << 20
@@ -272,6 +274,10 @@ def _search_shard(block: QueryBlock, docs: list[np.ndarray]) -> list[tuple[list[
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+#: Columns that a search adds: words, merged word spans, items.
+NAMES = ("n_words", "spans", "items")
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -281,28 +287,37 @@ def find_contamination(
     window_words: int = WINDOW_WORDS,
     block_words: int = BLOCK_WORDS,
     shard_symbols: int = SHARD_SYMBOLS,
+    names: tuple[str, str, str] = NAMES,
 ) -> DataFrame:
-    """``docs`` plus ``n_words``, ``spans`` (merged word spans) and ``items``.
+    """``docs`` plus its number of words, merged word spans and items found, under ``names``.
 
-    Adds the three columns after those of ``docs``; any of that name in
-    ``docs`` are replaced. ``spans`` and ``items`` are empty arrays, never
-    NULL; a NULL item id is reported as NULL.
+    Any columns of these names in ``docs`` are replaced. Spans and items are empty
+    arrays, never NULL; a NULL item id is reported as NULL. The benchmark is
+    taken block by block: the driver and the tasks hold one block at a time, and
+    what a block found is written before the next is searched.
     """
-    out = docs.drop("n_words", "spans", "items")
-    blocks = list(_blocks(benchmark, item_col, item_text_col, window_words, block_words))
-    base = out.columns
-    out = out.withColumns({
-        "n_words": F.lit(0).cast("long"),
-        "spans": F.array().cast(_SPANS),
-        "items": F.array().cast("array<string>"),
+    base = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    out = docs.select(*base).withColumns({
+        names[0]: F.lit(0).cast("long"),
+        names[1]: F.array().cast(_SPANS),
+        names[2]: F.array().cast("array<string>"),
     })
-    sc = docs.sparkSession.sparkContext
-    for block in blocks:
-        out = out.mapInArrow(_searcher(sc.broadcast(block), text_col, base, shard_symbols), out.schema)
-    return out
-
-
-def _searcher(shared, text_col: str, base: list[str], shard_symbols: int):
+    blocks = _blocks(benchmark, item_col, item_text_col, window_words, block_words)
+    block, before = next(blocks), None
+    while True:
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(_searcher(shared, text_col, base, shard_symbols, names), out.schema)
+        block = next(blocks, None)
+        if block is None:
+            return out
+        out = written(out, "contamination")
+        shared.unpersist()
+        if before is not None:
+            discard(before)
+        before = out
+
+
+def _searcher(shared, text_col: str, base: list[str], shard_symbols: int, added: tuple[str, str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = shared.value
         lookup = block.vocab.get
@@ -320,7 +335,7 @@ def _searcher(shared, text_col: str, base: list[str], shard_symbols: int):
                     shard, size = [], 0
             found += _search_shard(block, shard)
             names = batch.schema.names
-            old_s, old_i = batch.column(names.index("spans")), batch.column(names.index("items"))
+            old_s, old_i = (batch.column(names.index(c)) for c in added[1:])
             spans, items = [], []
             for k, (s, i) in enumerate(found):
                 prev_s, prev_i = old_s[k].as_py(), old_i[k].as_py()
@@ -330,8 +345,8 @@ def _searcher(shared, text_col: str, base: list[str], shard_symbols: int):
             cols = [batch.column(names.index(c)) for c in base]
             cols += [
                 pa.array(n_words, pa.int64()),
-                pa.array(spans, batch.schema.field("spans").type),
-                pa.array(items, batch.schema.field("items").type),
+                pa.array(spans, batch.schema.field(added[1]).type),
+                pa.array(items, batch.schema.field(added[2]).type),
             ]
             yield pa.RecordBatch.from_arrays(cols, schema=batch.schema)
     return run
@@ -361,21 +376,21 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(found: DataFrame, text_col: str = "text") -> DataFrame:
+def remove_spans(found: DataFrame, text_col: str = "text", added: tuple[str, str, str] = NAMES) -> DataFrame:
     """Cut the hit words, and what stands between them, out of the text.
 
-    A document that loses every word is left with an empty text. Helper
-    columns are dropped.
+    A document that loses every word is left with an empty text. The columns
+    that the search added are dropped.
     """
-    names = [c for c in found.columns if c not in ("n_words", "spans", "items")]
+    names = [c for c in found.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
         word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, "spans"]}
+            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, added[1]]}
             texts = []
-            for x, sp in zip(cols[text_col], cols["spans"], strict=True):
+            for x, sp in zip(cols[text_col], cols[added[1]], strict=True):
                 t, sp = x.as_py(), sp.as_py()
                 if t and sp:
                     at = [m.span() for m in word.finditer(t)]

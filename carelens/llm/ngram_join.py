@@ -22,7 +22,7 @@ more than ``d`` blocks are non-empty but for a chance below 1e-15 a pair.)
 
 **Verify.** Each set is checked, exactly, on shingle sets, against one hub with which it
 shares most blocks; verified links make components; sets of blocks that still join several
-components are checked, in a few rounds, against the set that stands in most such blocks (the
+components are checked, in ``HUB_ROUNDS`` rounds, against the set that stands in most such blocks (the
 middle of a group of variants); then every remaining pair that
 shares a block and lies in different components is checked as well, after the size bound and
 a Hamming bound on 1024-bit sketches (of 8192 bits for sets above ``LONG``). A pair inside
@@ -70,7 +70,7 @@ SKETCH_BITS = 1024
 LONG_BITS = 8192  # of the second sketch that sets above LONG shingles have
 LONG = 512
 TILE_SETS = 256
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 TILE_SHINGLES = 1 << 20
 
 _LOWER = bytes((b + 32 if 65 <= b <= 90 else b) for b in range(256))
@@ -513,7 +513,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     # A set that its own chunk has given a hub may be dealt anywhere.
     member = F.col("hub").isNotNull() & (F.col("hub") != F.col("cls"))
     dealt = F.when(member, F.xxhash64("sig", "cls")).otherwise(F.col("sig"))
-    met = written(sigs.repartition(dealt).sortWithinPartitions("sig", "cls")
+    met = written(sigs.repartition(dealt).sortWithinPartitions("sig")
                   .mapInArrow(_meet, "sig long, cls long, hub long"), "ngram-blocks")
 
     # One block for all that the same sets share; a set with copies in several chunks has a row for each.

@@ -43,8 +43,8 @@ SLOTS_PER_SHARD = 512
 KEY = "order-1"
 ROUNDS = 6
 DTYPE = np.dtype("<u2")
-CACHE_CHUNKS = 600_000
-MAX_PIECE_TOKENS = 1 << 20
+CACHE_CHUNKS = 600_000  # of at most 32 characters: about 100 MB
+RANGE_BYTES = 64 << 20
 
 # Fixed value: how the public vocabulary splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -98,12 +98,6 @@ class Chunks(dict):
         return b"".join([self.ids(parts[0]), *map(self.__getitem__, parts[1:]), self.end])
 
 
-@lru_cache(maxsize=1)
-def chunks_of(path: str) -> Chunks:
-    """One memory of chunks per Python worker, kept over its tasks."""
-    return Chunks(path)
-
-
 _MIXED = re.compile(r" \s|\s |^ | $")
 
 
@@ -161,7 +155,7 @@ def tokenise(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         part, at = TaskContext.get().partitionId(), 0
-        chunks = chunks_of(ranks_path)
+        chunks = Chunks(ranks_path)  # a task's own memory: it ends with the task
         for batch in batches:
             blobs = [chunks.tokens(_clean(x.as_py())) for x in batch.column(1)]
             n = np.array([len(b) // DTYPE.itemsize for b in blobs], np.int64)
@@ -232,8 +226,10 @@ def assemble(cut: DataFrame, n_sequences: int, seq_len: int, slots_per_shard: in
     """
     shards = -(-n_sequences // slots_per_shard)
     spark = cut.sparkSession
-    parts = max(1, min(shards, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    per_part = -(-shards // parts)
+    # A task sorts about RANGE_BYTES, whatever the size of the input.
+    per_part = max(1, RANGE_BYTES // (slots_per_shard * seq_len * DTYPE.itemsize))
+    per_part = min(per_part, -(-shards // max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    parts = -(-shards // per_part)
     shard = F.floor(F.col("slot") / slots_per_shard)
     dealt = cut.repartitionById(parts, F.floor(shard / per_part).cast("int")).sortWithinPartitions("slot", "at")
     stride = seq_len * DTYPE.itemsize
