@@ -2,7 +2,13 @@
 
 ``STAGES`` lists (name, function); a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame that is written as Parquet and read again as the
-next one's ``docs``. All but the last return the columns of ``docs``.
+next one's ``docs``. All but the last return the columns of ``docs``, whatever
+further columns there are and whatever their names.
+
+NULL and empty texts are not toxic, in no component and not contaminated; the mix
+takes a text without words no times, so they end there. Repeated rows and equal
+texts are near copies: one row of them stays, of the least id (a NULL id comes first), then of the
+least text hash. An empty table goes through all stages and ends in no shards.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 
 from carelens.llm import decontaminate as fm
 from carelens.llm import mixing, ngram_join, registry, token_shards, toxicity
-from carelens.llm.common import documents, free_name, table, written
+from carelens.llm.common import discard, documents, free_name, table, written
 
 #: No SQL states the fitted stages; tests/llm holds run() against its stages done by brute force.
 ORACLE_SQL = None
@@ -31,7 +37,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words are in no component and all stay.
     """
-    found = ngram_join.join(docs, count_links=False).where("representative").select(
+    found = ngram_join.join(docs).where("representative").select(
         F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"), F.col("tkey").alias("t__"),
         (F.col("n_shingles") == 0).alias("empty__")).distinct()
     keyed = docs.select(F.struct("*").alias("row__"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k__"),
@@ -42,13 +48,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of benchmark items."""
-    found = fm.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    """All documents, without the passages of benchmark items; columns of any name pass through."""
+    names = tuple(free_name(docs, c) for c in fm.NAMES)
+    found = fm.find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names)
     if "n_chars" in docs.columns:
-        cut = fm.remove_spans(found.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars"))))
+        cut = fm.remove_spans(found.withColumn("n_chars", F.when(F.size(names[1]) == 0, F.col("n_chars"))), added=names)
         return cut.withColumn("n_chars", F.coalesce(
             "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
-    return fm.remove_spans(found).select(*docs.columns)
+    return fm.remove_spans(found, added=names).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,7 +79,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the token shards."""
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
