@@ -92,3 +92,28 @@ def test_registered():
     for n in range(1, 11):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_columns_of_any_name_pass_through(spark, corpus, tmp_path):
+    """Extra columns named like the operators' own keep their values through every stage."""
+    path, rows, _, _ = corpus
+    extra = {"items": "doc_id + 1", "spans": "cast(doc_id as string)", "n_words": "1", "row": "doc_id", "score": "0.5D",
+             "copies": "'c'", "n_shingles": "doc_id", "representative": "true", "size": "2", "tkey": "doc_id"}
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id < 60 or doc_id >= 940").selectExpr(
+        "*", *[f"{e} as {c}" for c, e in extra.items()])
+    want = {r.doc_id: r for r in docs.collect()}
+    docs = written(docs, "clashing")
+    for name, stage in cp.STAGES[:4]:
+        out = written(stage(spark, docs, path), name)
+        assert out.columns == docs.columns, name
+        docs = out
+    got = docs.collect()
+    assert got and all(r[c] == want[r.doc_id][c] for r in got for c in extra)
+
+
+def test_an_empty_table_goes_through(spark, corpus):
+    path, _, _, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("false")
+    for name, stage in cp.STAGES:
+        docs = written(stage(spark, docs, path), name)
+    assert docs.count() == 0
