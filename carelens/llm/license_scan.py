@@ -19,10 +19,11 @@ other window has a key that joins. Retrieved pairs are verified exactly:
 the share of the template's shingles that the document contains must reach
 0.75.
 
-All steps are DataFrame functions; documents stay in the task that reads
-them and only (row, template) pairs are aggregated.
+All steps are DataFrame functions inside a document's own row: nothing is joined
+or shuffled. Work is linear in a text's words and in the notices it holds, as each
+place looks at no more than a window to either side.
 
-Edge cases: NULL and empty texts hold nothing; a template or text of fewer
+Edge cases: other columns are not read; NULL and empty texts hold nothing; a template or text of fewer
 than five words is one shingle; repeated rows are reported each; templates
 repeated under one name count once.
 """
@@ -145,29 +146,43 @@ def scan(
                           F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
              .withColumn("least", F.array_min(F.transform(
                  "shingles", lambda x: F.struct(_permuted(x, F.col("band")).alias("v"), x.alias("x"))))))
-    keys = keyed.select("template", "whole", "window", "band", F.col("least.v").alias("key"),
-                        F.col("least.x").alias("x"))
-    anchors = [r["x"] for r in keys.select("x").distinct().collect()]  # at most units x bands
-    if not anchors:
-        anchors = [0]
-    literal = F.array(*[F.lit(x) for x in sorted(anchors)])
-    rows = docs.select(F.monotonically_increasing_id().alias("row__"), F.col(id_col).alias("id__"),
-                       F.col(text_col).alias("text__"))
-    g = with_shingles(rows, "text__", [F.col("row__"), F.col("id__")], "g")
-    near = g.where(F.arrays_overlap("g", literal))
-    at = near.select("row__", "id__", "g", F.posexplode("g").alias("i", "x")).where(F.col("x").isin(anchors))
-    hit = at.join(F.broadcast(keys), "x")
-    # Windows of the unit's length that hold the shingle, at a quarter's stride.
-    stride = F.greatest(F.lit(1), (F.col("window") / 4).cast("int"))
-    first = F.ceil(F.greatest(F.lit(0), F.col("i") - F.col("window") + 1) / stride).cast("int")
-    starts = F.sequence(first, F.floor(F.col("i") / stride).cast("int"))
-    lows = F.transform(starts, lambda s: F.array_min(F.transform(
-        F.slice("g", s * stride + 1, F.col("window")), lambda x: _permuted(x, F.col("band")))))
-    retrieved = hit.where(F.array_contains(lows, F.col("key")))
-    n_found = F.size(F.array_intersect("whole", "g"))
-    pairs = retrieved.select("row__", "id__", "template", n_found.alias("n_found"),
-                             F.size("whole").alias("n_shingles")).distinct()
-    share = F.col("n_found") / F.col("n_shingles")
-    return (pairs.where(100 * F.col("n_found") >= round(100 * similarity) * F.col("n_shingles"))
-            .select(F.col("id__").alias(id_col), "template", F.col("n_found").cast("long").alias("n_found"),
-                    F.col("n_shingles").cast("long").alias("n_shingles"), share.alias("containment")))
+    # At most units x bands lines: a literal that every task looks up.
+    keys = keyed.select("template", "window", "band", F.col("least.v").alias("key"), F.col("least.x").alias("x")).collect()
+    whole = {r["template"]: r["whole"] for r in units.select("template", "whole").distinct().collect()}
+    if not keys:
+        return docs.where(F.lit(False)).select(
+            F.col(id_col), F.lit("").alias("template"), F.lit(0).cast("long").alias("n_found"),
+            F.lit(0).cast("long").alias("n_shingles"), F.lit(0.0).alias("containment"))
+    of_shingle: dict[int, list[Column]] = {}
+    for r in sorted(keys):
+        of_shingle.setdefault(r["x"], []).append(F.struct(
+            F.lit(r["template"]).alias("template"), F.lit(r["window"]).alias("window"), F.lit(r["band"]).alias("band"),
+            F.lit(r["key"]).alias("key")))
+    lookup = F.create_map(*[c for x, ks in of_shingle.items() for c in (F.lit(x), F.array(*ks))])
+    sets = F.create_map(*[c for t, xs in sorted(whole.items()) for c in (F.lit(t), F.array(*[F.lit(x) for x in xs]))])
+    anchors = sorted(of_shingle)
+
+    rows = docs.select(F.col(id_col).alias("id__"), F.col(text_col).alias("text__"))
+    g = with_shingles(rows, "text__", [F.col("id__")], "g")
+    near = g.where(F.arrays_overlap("g", F.array(*[F.lit(x) for x in anchors])))
+
+    def agrees(at: Column, k: Column) -> Column:
+        """Whether a window of the unit's length around place ``at`` has the band's minimum."""
+        window, band = k["window"], k["band"]
+        # Windows that hold the shingle, at a quarter's stride.
+        stride = F.greatest(F.lit(1), (window / 4).cast("int"))
+        first = F.ceil(F.greatest(F.lit(0), at - window + 1) / stride).cast("int")
+        return F.exists(F.sequence(first, F.floor(at / stride).cast("int")), lambda s: F.array_min(F.transform(
+            F.slice("g", s * stride + 1, window), lambda x: _permuted(x, band))) == k["key"])
+
+    # All inside the row: its anchor places, what they retrieve, and how much of that the text holds.
+    places = F.filter(F.transform("g", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: h["x"].isin(anchors))
+    retrieved = F.array_distinct(F.flatten(F.transform(places, lambda h: F.transform(
+        F.filter(F.element_at(lookup, h["x"]), lambda k: agrees(h["i"], k)), lambda k: k["template"]))))
+    held = near.select("id__", "g", F.explode(F.array(retrieved)).alias("templates"))
+    found = F.transform("templates", lambda t: F.struct(
+        t.alias("template"), F.size(F.array_intersect(F.element_at(sets, t), F.col("g"))).cast("long").alias("n_found"),
+        F.size(F.element_at(sets, t)).cast("long").alias("n_shingles")))
+    out = held.select(F.col("id__").alias(id_col), F.inline(found))
+    return (out.where(100 * F.col("n_found") >= round(100 * similarity) * F.col("n_shingles"))
+            .withColumn("containment", F.col("n_found") / F.col("n_shingles")))

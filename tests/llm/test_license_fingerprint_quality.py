@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,21 @@ def test_licenses_equal_containment(spark):
     assert ls.collision_probability(0.16) > 0.98
 
 
+def test_long_texts_take_linear_time(spark):
+    """Thousands of notices in one text: eight times the text takes less than sixteen times as long."""
+    notice = "Released under the MIT License. "
+    took = {}
+    for n in (500, 4000, 32_000):
+        rng = random.Random(n)
+        text = "".join(notice + prose(rng, k % 4) + " " for k in range(n))
+        docs = spark.createDataFrame([(1, text, 7), (2, text + notice * 2000, 7)], "doc_id long, text string, g int")
+        start = time.monotonic()
+        got = sorted((r.doc_id, r.template, r.containment) for r in ls.scan(docs).collect())
+        took[n] = time.monotonic() - start
+        assert got == [(1, "MIT", 1.0), (2, "MIT", 1.0)]
+    assert took[32_000] < 16 * max(took[4000], 2), took
+
+
 # ------------------------------------------------------------ fingerprints
 
 def test_next_documents_and_edits(spark):
