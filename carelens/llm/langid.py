@@ -10,11 +10,14 @@ Training gathers expected piece counts over every training document (EM):
 each task counts its word types per language, weighs every segmentation of
 a type by its probability under the current pieces, and adds up the
 posterior piece counts; tasks' counts meet in one aggregation of at most
-pieces x languages cells. The first round starts from equal pieces.
+pieces x languages cells. The first round starts from equal pieces, and by
+default it is the only one: further rounds weigh segmentations by each
+language's own pieces, read all training documents again, and do not change
+the held-out accuracy (see this folder's README).
 
 Edge cases: NULL text, or text without a letter, is ``und`` with score 0;
-words longer than ``MAX_WORD`` characters are cut and each part scored as a
-word; a character in no piece has a fixed small probability; training rows
+words of any length are summed whole (above ``SHORT_WORD`` characters with
+logarithms, one place after the other); a character in no piece has a fixed small probability; training rows
 need a non-NULL language; with no training row every text is ``und``.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
 MARK = "▁"  # word start in the vocabulary
-MAX_WORD = 40
+SHORT_WORD = 30  # words up to this length are summed in groups of one length; longer ones by logarithms
 UNSEEN = 1e-9
 SMOOTHING = 0.1
 CACHE_WORDS = 200_000
@@ -151,8 +154,53 @@ class Lattice:
     def log_probs(self, types: list[str]) -> np.ndarray:
         """types x models: log of the sum over segmentations."""
         out = np.zeros((len(types), self.probs.shape[1]))
-        for ks, n, spans in self.groups(types):
-            out[ks] = np.log(self._forward(n, spans, len(ks))[-1])
+        short, long = _by_length(types)
+        for ks, n, spans in self.groups([types[k] for k in short]):
+            out[short[ks]] = np.log(self._forward(n, spans, len(ks))[-1])
+        for k in long.tolist():
+            out[k] = self.long_forward(self.span_ids(types[k]))[-1]
+        return out
+
+    def span_ids(self, word: str) -> np.ndarray:
+        """places x span lengths: the piece that starts there with that length, -1 for none."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        n = len(codes)
+        out = np.full((n, min(n, self.pieces.longest)), -1, np.int32)
+        h = np.zeros(n, np.uint64)
+        for k in range(out.shape[1]):
+            h = self.pieces.extend(h[:n - k], codes[k:])
+            rows, ids = self.pieces.find(h)
+            out[rows, k] = ids
+        out[out[:, 0] < 0, 0] = self.unseen
+        return out
+
+    def long_forward(self, ids: np.ndarray) -> np.ndarray:
+        """places + 1 x models: log sums over the segmentations of what lies before a place."""
+        n, spans = ids.shape
+        logs = np.log(self.probs)
+        out = np.full((n + 1, self.probs.shape[1]), -np.inf)
+        out[0] = 0.0
+        place = np.arange(spans)
+        for j in range(1, n + 1):
+            k = place[:min(spans, j)]
+            piece = ids[j - 1 - k, k]
+            k, piece = k[piece >= 0], piece[piece >= 0]
+            terms = out[j - 1 - k] + logs[piece]
+            top = terms.max(axis=0)
+            out[j] = top + np.log(np.exp(terms - top).sum(axis=0))
+        return out
+
+    def long_backward(self, ids: np.ndarray) -> np.ndarray:
+        """places + 1 x models: log sums over the segmentations of what lies behind a place."""
+        n, spans = ids.shape
+        logs = np.log(self.probs)
+        out = np.full((n + 1, self.probs.shape[1]), -np.inf)
+        out[n] = 0.0
+        for i in range(n - 1, -1, -1):
+            k = np.flatnonzero(ids[i, :n - i] >= 0)
+            terms = out[i + 1 + k] + logs[ids[i, k]]
+            top = terms.max(axis=0)
+            out[i] = top + np.log(np.exp(terms - top).sum(axis=0))
         return out
 
     def expected(self, types: list[str], counts: np.ndarray) -> np.ndarray:
@@ -161,7 +209,17 @@ class Lattice:
         Probabilities of one model are shared by all columns of ``counts``.
         """
         out = np.zeros((self.unseen + 1, counts.shape[1]))
-        for ks, n, spans in self.groups(types):
+        short, long = _by_length(types)
+        for k in long.tolist():
+            ids = self.span_ids(types[k])
+            ahead, behind = self.long_forward(ids), self.long_backward(ids)
+            at, length = np.nonzero(ids >= 0)
+            piece = ids[at, length]
+            post = np.exp(ahead[at] + np.log(self.probs)[piece] + behind[at + length + 1] - ahead[-1])
+            for c in range(counts.shape[1]):
+                out[:, c] += np.bincount(piece, post[:, c if post.shape[1] > 1 else 0], minlength=len(out)) * counts[k, c]
+        counts = counts[short]
+        for ks, n, spans in self.groups([types[k] for k in short]):
             alpha = self._forward(n, spans, len(ks))
             beta = [np.zeros_like(alpha[0]) for _ in range(n + 1)]
             beta[n][:] = 1.0
@@ -182,10 +240,10 @@ def _types(word_list) -> list[str]:
     return [MARK + w for w in word_list]
 
 
-def _cut(ws: list[str]) -> list[str]:
-    if any(len(w) > MAX_WORD for w in ws):
-        return [w[i:i + MAX_WORD] for w in ws for i in range(0, len(w), MAX_WORD)]
-    return ws
+def _by_length(types: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the short words and of the long ones."""
+    long = np.array([len(w) > SHORT_WORD for w in types], bool)
+    return np.flatnonzero(~long), np.flatnonzero(long)
 
 
 def train(
@@ -245,7 +303,7 @@ def _gather(vocab_path: str, langs: list[str], table: np.ndarray):
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                by_lang.setdefault(lang, Counter()).update(_cut(words(text.as_py())))
+                by_lang.setdefault(lang, Counter()).update(words(text.as_py()))
             if sum(map(len, by_lang.values())) > CACHE_WORDS:
                 flush()
         if by_lang:
@@ -287,7 +345,7 @@ def predict(
             lists, new = [], set()
             for t in texts:
                 t = t.as_py()
-                ws = _cut(words(t)) if t and any(map(str.isalpha, t)) else []
+                ws = words(t) if t and any(map(str.isalpha, t)) else []
                 lists.append(ws)
                 new.update(ws)
             new = [w for w in new if w not in row_of]

@@ -70,3 +70,33 @@ def test_awkward_rows(spark):
 def test_without_training_rows(spark):
     langs, probs = li.train(empty(spark), F.lit(True), PIECES)
     assert langs == [] and {r.lang_pred for r in li.predict(frame(spark), langs, probs, PIECES, ["doc_id"]).collect()} == {"und"}
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """A word of 60 characters, also of characters in no piece: all segmentations, and their piece counts."""
+    pieces, ids = li.piece_table(PIECES), {p: k for k, p in enumerate(li.vocabulary(PIECES))}
+    rng = np.random.default_rng(1)
+    probs = rng.random((len(ids) + 1, 2)) * 1e-3
+    word = li.MARK + "".join(rng.choice(list("theandingßüж日"), 60))
+    n = len(word)
+
+    def sums(w):  # log sums of all beginnings, by the recursion
+        out = [np.zeros(2)]
+        for j in range(1, len(w) + 1):
+            total = np.zeros(2)
+            for i in range(max(0, j - pieces.longest), j):
+                at = ids.get(w[i:j], len(ids) if j == i + 1 else None)
+                if at is not None:
+                    total = total + np.exp(out[i] - out[j - 1]) * probs[at]
+            out.append(out[j - 1] + np.log(total))
+        return out
+
+    lattice = li.Lattice(pieces, probs)
+    assert np.allclose(lattice.log_probs([word, "a"])[0], sums(word)[n])
+    long = lattice.expected([word], np.array([[2.0, 3.0]]))
+    monkeypatch.setattr(li, "SHORT_WORD", 100)
+    assert np.allclose(lattice.log_probs([word])[0], sums(word)[n])
+    assert np.allclose(lattice.expected([word], np.array([[2.0, 3.0]])), long)
+    monkeypatch.undo()
+    very = lattice.log_probs([word * 200])
+    assert np.isfinite(very).all()
