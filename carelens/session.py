@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Session settings that matter at scale: AQE re-plans joins from real
 # shuffle sizes (broadcast only when the measured side is small), splits
@@ -58,7 +58,29 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/")
 
 
-def materialize(df):
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, name: str, **options: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder as Parquet and read back, and its path.
+
+    What was shuffled for the write is not needed again: Spark removes it at the end.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(CLEAN_SHUFFLES, None)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.mode("errorifexists").options(**options).parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN_SHUFFLES)
+        else:
+            spark.conf.set(CLEAN_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder, as Parquet, and read it back.
 
     Used where one derived input feeds several branches of a plan: the
@@ -66,11 +88,23 @@ def materialize(df):
     statistics) instead of re-deriving it, and the lineage is cut, so
     losing an executor later does not replay the whole chain.
     """
-    path = scratch_path(df.sparkSession, "table")
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_once(df, "table")[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared folder."""
-    return f"{shared_dir(spark)}/carelens-{name}-{uuid.uuid4().hex}"
+    """A fresh folder under this application's part of the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/carelens-{spark.sparkContext.applicationId}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has written for itself; its results must be stored by now."""
+    delete_path(spark, _own(spark))

@@ -11,9 +11,10 @@ SF_CHECK = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from carelens.session import get_spark
+    from carelens.session import clear_scratch, get_spark
     s = get_spark(app="carelens-tests", cores="*", shuffle_partitions=8)
     yield s
+    clear_scratch(s)
     s.stop()
 
 
