@@ -17,7 +17,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carelens.session import scratch_path
+from carelens.session import delete_path, write_once
 from carelens.sources.tables import table
 
 __all__ = ["crc_mod", "discard", "documents", "free_name", "table", "written"]
@@ -48,30 +48,10 @@ def crc_mod(doc_id: str | Column, mod: int) -> Column:
     return (F.crc32(c.cast("string").cast("binary")) % mod).cast("int")
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back.
-
-    What was shuffled for it is not needed again and goes when the write ends.
-    """
-    spark = df.sparkSession
-    importable(spark)
-    path = scratch_path(spark, name)
-    w = df.write.mode("errorifexists").option("compression", "zstd")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        w.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
-    out = spark.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back."""
+    importable(df.sparkSession)
+    out, path = write_once(df, name, compression="zstd")
     out.scratch_path = path
     return out
 
@@ -79,9 +59,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def discard(*tables: DataFrame) -> None:
     """Delete tables that :func:`written` returned, when all that is read from them is written."""
     for t in tables:
-        jvm = t.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_path(t.sparkSession, t.scratch_path)
 
 
 def free_name(df: DataFrame, base: str) -> str:
