@@ -9,18 +9,22 @@ tasks it ran, not the chain before them.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carelens.session import delete_path, write_once
 from carelens.sources.tables import table
 
-__all__ = ["crc_mod", "discard", "documents", "free_name", "table", "written"]
+__all__ = ["crc_mod", "discard", "documents", "free_name", "lean", "table", "written"]
 
 
 _ROOT = Path(__file__).resolve().parents[2]
@@ -62,6 +66,26 @@ def discard(*tables: DataFrame) -> None:
         delete_path(t.sparkSession, t.scratch_path)
 
 
+def lean(run: Callable) -> Callable:
+    """A task function whose worker gives its memory back when the task ends.
+
+    Workers live on between tasks and stages; what one has freed otherwise stays with
+    it while the next stage's JVM needs the room.
+    """
+    def task(batches):
+        yield from run(batches)
+        give_back()
+    return task
+
+
+def give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet (case-insensitive)."""
     taken = {c.lower() for c in df.columns}

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelens.llm.common import written
+from carelens.llm.common import lean, written
 
 ROUNDS = 3
 SURE = 0.05  # share of the unlabelled rows that a view hands over, split by its class shares
@@ -99,7 +99,7 @@ def features(docs: DataFrame, id_col: str, text_col: str, meta_cols: list[str],
             text_x = pa.ListArray.from_arrays(np.arange(0, len(x) + 1, N_TEXT, dtype=np.int32), pa.array(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), text_x, batch.column(2)], names=["id", "text_x", "meta_x"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
 
 
 class View:

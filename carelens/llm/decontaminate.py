@@ -30,6 +30,7 @@ names, are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -39,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carelens.llm.common import discard, written
+from carelens.llm.common import discard, lean, written
 
 WINDOW_WORDS = 10
 SHARD_SYMBOLS = 1 << 20
@@ -288,13 +289,15 @@ def find_contamination(
     block_words: int = BLOCK_WORDS,
     shard_symbols: int = SHARD_SYMBOLS,
     names: tuple[str, str, str] = NAMES,
+    remove: bool = False,
 ) -> DataFrame:
     """``docs`` plus its number of words, merged word spans and items found, under ``names``.
 
     Any columns of these names in ``docs`` are replaced. Spans and items are empty
     arrays, never NULL; a NULL item id is reported as NULL. The benchmark is
     taken block by block: the driver and the tasks hold one block at a time, and
-    what a block found is written before the next is searched.
+    what a block found is written before the next is searched. With ``remove`` the
+    last pass also cuts the spans out of the texts (the columns still tell what was found).
     """
     base = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
     out = docs.select(*base).withColumns({
@@ -306,8 +309,9 @@ def find_contamination(
     block, before = next(blocks), None
     while True:
         shared = docs.sparkSession.sparkContext.broadcast(block)
-        out = out.mapInArrow(_searcher(shared, text_col, base, shard_symbols, names), out.schema)
         block = next(blocks, None)
+        search = _searcher(shared, text_col, base, shard_symbols, names)
+        out = out.mapInArrow(lean(_both(search, _remover(text_col, names[1])) if remove and block is None else search), out.schema)
         if block is None:
             return out
         out = written(out, "contamination")
@@ -376,21 +380,20 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def remove_spans(found: DataFrame, text_col: str = "text", added: tuple[str, str, str] = NAMES) -> DataFrame:
-    """Cut the hit words, and what stands between them, out of the text.
+def _both(first, then):
+    """Two task functions in one worker."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(first(batches))
+    return run
 
-    A document that loses every word is left with an empty text. The columns
-    that the search added are dropped.
-    """
-    names = [c for c in found.columns if c not in added]
 
+def _remover(text_col: str, spans_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
         word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         for batch in batches:
-            cols = {c: batch.column(batch.schema.get_field_index(c)) for c in [*names, added[1]]}
+            place = batch.schema.get_field_index(text_col)
             texts = []
-            for x, sp in zip(cols[text_col], cols[added[1]], strict=True):
+            for x, sp in zip(batch.column(place), batch.column(batch.schema.get_field_index(spans_col)), strict=True):
                 t, sp = x.as_py(), sp.as_py()
                 if t and sp:
                     at = [m.span() for m in word.finditer(t)]
@@ -400,10 +403,17 @@ def remove_spans(found: DataFrame, text_col: str = "text", added: tuple[str, str
                         last = at[s["end"] - 1][1]
                     t = "".join([*keep, t[last:]])
                 texts.append(t)
-            cols[text_col] = pa.array(texts, cols[text_col].type)
-            yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(texts, batch.schema.field(place).type))
+    return run
 
-    return found.mapInArrow(run, found.select(*names).schema)
+
+def remove_spans(found: DataFrame, text_col: str = "text", added: tuple[str, str, str] = NAMES) -> DataFrame:
+    """Cut the hit words, and what stands between them, out of the text.
+
+    A document that loses every word is left with an empty text. The columns
+    that the search added are dropped.
+    """
+    return found.mapInArrow(lean(_remover(text_col, added[1])), found.schema).drop(*added)
 
 
 def sha_items(ids: list[str]) -> str:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.llm.common import importable, written
+from carelens.llm.common import importable, lean, written
 
 SCALE = 256
 POSITIVES = 5
@@ -242,7 +242,7 @@ def _blocks(anchors: DataFrame) -> Iterator[Block]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))],
                                              names=[*batch.schema.names, "cluster"])
 
-    placed = written(anchors.mapInArrow(assign, "id long, label long, v array<int>, cluster int"), "negative-anchors")
+    placed = written(anchors.mapInArrow(lean(assign), "id long, label long, v array<int>, cluster int"), "negative-anchors")
     sizes = {r["cluster"]: r["n"] for r in placed.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
     groups: list[list[tuple[int, int, int]]] = [[]]  # clusters, or hash parts of them, to a block
     room = BLOCK_ANCHORS
@@ -287,7 +287,7 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_c
     found = []
     for block in _blocks(rows.where(is_anchor)):
         shared = spark.sparkContext.broadcast(block)
-        near = rows.mapInArrow(_positives(shared, positives), "anchor_id long, positive_id long, positive_score long")
+        near = rows.mapInArrow(lean(_positives(shared, positives)), "anchor_id long, positive_id long, positive_score long")
         # At most ``positives`` rows for each anchor of the block.
         top = _first(near, positives, ["anchor_id"], "positive_score", "positive_id").toArrow().combine_chunks()
         ids = top.column("anchor_id").to_numpy()
@@ -296,7 +296,7 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", vector_c
         queries = spark.sparkContext.broadcast(
             (block, of, top.column("positive_id").to_numpy(), top.column("positive_score").to_numpy()))
         far = rows.mapInArrow(
-            _negatives(queries, negatives, floor_percent),
+            lean(_negatives(queries, negatives, floor_percent)),
             "anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long")
         found.append(written(_first(far, negatives, ["anchor_id", "positive_id"], "negative_score", "negative_id"),
                              "negatives"))

@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from carelens.llm.common import lean
+
 UNDETERMINED = "und"
 MARK = "▁"  # word start in the vocabulary
 SHORT_WORD = 30  # words up to this length are summed in groups of one length; longer ones by logarithms
@@ -268,7 +270,7 @@ def train(
     langs: list[str] = []
     table = shared
     for _ in range(rounds):
-        cells = used.mapInArrow(_gather(vocab_path, langs, table), "lang string, piece int, n double")
+        cells = used.mapInArrow(lean(_gather(vocab_path, langs, table)), "lang string, piece int, n double")
         got = cells.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         langs = sorted(got["lang"].unique())
         table = np.full((len(pieces) + 1, max(1, len(langs))), SMOOTHING)
@@ -370,4 +372,4 @@ def predict(
                 [*cols, pa.array(pred, pa.string()), pa.array(score, pa.float64())],
                 names=[*keep, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)

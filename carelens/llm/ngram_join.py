@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.llm.common import discard, written
+from carelens.llm.common import discard, lean, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -435,7 +435,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     a = few.select(F.col("cls").alias("u"), F.col("t").alias("text_u"))
     b = few.select(F.col("cls").alias("v"), F.col("t").alias("text_v"))
     both = pairs.join(b, "v").join(a, "u").select("u", "v", "text_u", "text_v")
-    links = written(both.mapInArrow(_verify, "u long, v long"), f"{name}-links")
+    links = written(both.mapInArrow(lean(_verify), "u long, v long"), f"{name}-links")
     discard(pairs, few)
     return links
 
@@ -459,7 +459,7 @@ def _partners(links: DataFrame, label: DataFrame, classes: DataFrame, texts: Dat
              .select("label", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"),
                      "cls", "tile", "n_copies", "t"))
     counted = (dealt.repartition("label", "lo", "hi").sortWithinPartitions("label", "lo", "hi")
-               .mapInArrow(_count, "u long, n long"))
+               .mapInArrow(lean(_count), "u long, n long"))
     return written(first.unionAll(counted).groupBy("u").agg(F.sum("n").alias("n_partners")), "ngram-partners")
 
 
@@ -499,7 +499,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     own_id = F.col(id_col).cast("long")
     src = docs.select(own_id.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"),
                       F.col(text_col).alias("t"), F.coalesce(own_id, F.lit(-(1 << 63))).alias("k"))
-    rows = written(src.mapInArrow(_classify, _ROWS), "ngram-docs")
+    rows = written(src.mapInArrow(lean(_classify), _ROWS), "ngram-docs")
     is_doc = F.col("hot").isNull()
     often = (rows.where(~is_doc).groupBy("hot").agg(F.sum("n_hot").alias("n"))
              .orderBy(F.desc("n"), "hot").limit(HOT_SHINGLES).toPandas())
@@ -509,12 +509,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
             F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tkey")).alias("rep"),
             F.count("*").alias("n_copies")), "ngram-classes")
 
-    sigs = src.select("t").mapInArrow(_emit(hot), "sig long, cls long, hub long")
+    sigs = src.select("t").mapInArrow(lean(_emit(hot)), "sig long, cls long, hub long")
     # A set that its own chunk has given a hub may be dealt anywhere.
     member = F.col("hub").isNotNull() & (F.col("hub") != F.col("cls"))
     dealt = F.when(member, F.xxhash64("sig", "cls")).otherwise(F.col("sig"))
     met = written(sigs.repartition(dealt).sortWithinPartitions("sig")
-                  .mapInArrow(_meet, "sig long, cls long, hub long"), "ngram-blocks")
+                  .mapInArrow(lean(_meet), "sig long, cls long, hub long"), "ngram-blocks")
 
     # One block for all that the same sets share; a set with copies in several chunks has a row for each.
     groups = met.select("sig", "cls").distinct().groupBy("sig").agg(
@@ -529,7 +529,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_
     one_row = F.row_number().over(Window.partitionBy("k", "tkey").orderBy("k"))
     texts = src.select("k", "tkey", "t").join(used, ["k", "tkey"]).withColumn("nth", one_row).where("nth = 1")
     texts = written(texts.select("cls", "t").mapInArrow(
-        _measure, "cls long, t string, n long, sketch array<long>, long_sketch array<long>"), "ngram-texts")
+        lean(_measure), "cls long, t string, n long, sketch array<long>, long_sketch array<long>"), "ngram-texts")
     info = texts.select("cls", "n", "sketch")
 
     def allowed(pairs: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.common import importable, written
+from carelens.llm.common import importable, lean, written
 
 BUCKETS = 10_000
 ORDER = 2
@@ -167,7 +167,7 @@ def bucket_counts(table: DataFrame, text_col: str = "text", buckets: int = BUCKE
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["bucket", "n"])
 
-    return (table.select(F.col(text_col).alias("t")).mapInArrow(run, "bucket int, n long")
+    return (table.select(F.col(text_col).alias("t")).mapInArrow(lean(run), "bucket int, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")))
 
 
@@ -210,7 +210,7 @@ def weigh(docs: DataFrame, gain: np.ndarray, id_col: str = "doc_id", text_col: s
                 n += size
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInArrow(
-        run, "doc_id long, row long, n_words long, n_features long, weight long")
+        lean(run), "doc_id long, row long, n_words long, n_features long, weight long")
 
 
 def noise(doc_id: Column, seed: int = SEED) -> Column:
@@ -235,7 +235,7 @@ def _rank(rows: DataFrame, parts: int, n_drawn: int) -> DataFrame:
             n += size
 
     schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", part int, place long"
-    placed = written(sorted_rows.mapInArrow(run, schema), "resample-order")
+    placed = written(sorted_rows.mapInArrow(lean(run), schema), "resample-order")
     # One row per range partition, whose number is set above.
     size = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.max("place").alias("n")).collect()}
     before, ahead = 0, []

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.common import importable, written
+from carelens.llm.common import importable, lean, written
 
 KINDS = ("assign", "access", "hex", "reused", "owned")
 BARE = 3  # a bare token before its verdict
@@ -156,7 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
                       F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("t"))
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = written(src.mapInArrow(
-        _scan, f"row long, doc_id struct<id:{id_type},repository:string>, owner string, found {_FOUND}"), "secret-candidates")
+        lean(_scan), f"row long, doc_id struct<id:{id_type},repository:string>, owner string, found {_FOUND}"), "secret-candidates")
     found = rows.where(F.size("found") > 0).select(
         "row", F.col("doc_id.repository").alias("repository"), "owner", F.inline("found"))
     of_value = written(ownership(found), "secret-ownership")

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.common import written
+from carelens.llm.common import lean, written
 
 WIDTH = 400
 GRAM = 128  # a power of two
@@ -442,7 +442,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """The keyed texts (``doc_id, tkey, t``), and ``doc_id, tkey, spans`` where any byte is repeated."""
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), F.col(text_col).alias("t"))
-    found = written(keyed.mapInArrow(_find_blocks, _BLOCKS), "repeat-blocks")
+    found = written(keyed.mapInArrow(lean(_find_blocks), _BLOCKS), "repeat-blocks")
     shared = written(found.groupBy("anchor").agg(
         F.count("*").alias("n"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where("n > 1")
         .select("anchor", (F.col("d0") == F.col("d1")).alias("alike")), "repeat-anchors")
@@ -457,13 +457,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
               .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("anchor", "digest", "first", "windows")).alias("w")))
     k = wanted.withColumnsRenamed({"doc_id": "kd", "tkey": "kt"})
     texts = keyed.join(k, keyed["doc_id"].eqNullSafe(k["kd"]) & (keyed["tkey"] == k["kt"]))
-    cut = written(texts.select("t", "w").mapInArrow(_cut_blocks, "anchor long, digest long, bytes binary")
+    cut = written(texts.select("t", "w").mapInArrow(lean(_cut_blocks), "anchor long, digest long, bytes binary")
                   .join(hot, "anchor", "left"), "repeat-bytes")
 
     plain = cut.where("hot is null").select("anchor", "digest", "bytes").dropDuplicates(["anchor", "digest"])
-    by_array = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_search_shards, _RANGES)
+    by_array = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lean(_search_shards), _RANGES)
     windows = cut.where("hot").select("anchor", "digest", "bytes").dropDuplicates(["anchor", "digest"]) \
-        .mapInArrow(_window_digests, "anchor long, digest long, low int, w1 long, w2 long")
+        .mapInArrow(lean(_window_digests), "anchor long, digest long, low int, w1 long, w2 long")
     windows = written(windows, "repeat-windows")
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
     by_digest = windows.join(twice, ["w1", "w2"]).select("anchor", "digest", "low", (F.col("low") + 1).alias("high"))
@@ -485,5 +485,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keyed, spans = repeated_spans(docs, id_col, text_col)
     s = spans.withColumnsRenamed({"doc_id": "sd", "tkey": "st"})
     both = keyed.join(s, keyed["doc_id"].eqNullSafe(s["sd"]) & (keyed["tkey"] == s["st"]), "left")
-    return (both.select("doc_id", "t", "spans").mapInArrow(_cut_spans, "doc_id long, " + _RESULT)
+    return (both.select("doc_id", "t", "spans").mapInArrow(lean(_cut_spans), "doc_id long, " + _RESULT)
             .withColumnRenamed("doc_id", id_col))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.llm.common import written
+from carelens.llm.common import lean, written
 
 SEQ_LEN = 1024
 SLOTS_PER_SHARD = 512
@@ -165,7 +165,7 @@ def tokenise(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col:
                 [batch.column(0), pa.array([part] * len(blobs), pa.int32()), pa.array(first), pa.array(n),
                  pa.array(blobs, pa.binary())], names=["doc_id", "part", "at", "n_tokens", "ids"])
 
-    return written(src.mapInArrow(run, "doc_id long, part int, at long, n_tokens long, ids binary"), "tokens")
+    return written(src.mapInArrow(lean(run), "doc_id long, part int, at long, n_tokens long, ids binary"), "tokens")
 
 
 def _clean(text: str | None) -> str | None:
@@ -214,7 +214,7 @@ def pieces(placed: DataFrame, n_sequences: int, seq_len: int, key: str) -> DataF
                      batch.column(0).take(pa.array(row[s])), pa.array(cut[s], pa.binary())],
                     names=["slot", "at", "doc_id", "ids"])
 
-    return placed.mapInArrow(run, "slot long, at int, doc_id long, ids binary")
+    return placed.mapInArrow(lean(run), "slot long, at int, doc_id long, ids binary")
 
 
 def assemble(cut: DataFrame, n_sequences: int, seq_len: int, slots_per_shard: int, pad: int) -> DataFrame:
@@ -264,7 +264,7 @@ def assemble(cut: DataFrame, n_sequences: int, seq_len: int, slots_per_shard: in
             yield done()
 
     return dealt.mapInArrow(
-        run, "shard long, first_slot long, n_slots long, stride int, n_tokens long, "
+        lean(run), "shard long, first_slot long, n_slots long, stride int, n_tokens long, "
              "doc_ids array<array<long>>, payload binary")
 
 

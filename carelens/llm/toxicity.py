@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carelens.llm.common import written
+from carelens.llm.common import lean, written
 
 FIT_ROWS = 4000
 CACHE_WORDS = 200_000
@@ -116,7 +116,7 @@ def count_language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["cell", "n"])
 
-    cells = docs.select(F.col(text_col).alias("t")).mapInArrow(run, "cell int, n double")
+    cells = docs.select(F.col(text_col).alias("t")).mapInArrow(lean(run), "cell int, n double")
     got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(SIGMA ** 3)
     out[got["cell"].to_numpy(int)] = got["n"].to_numpy()
@@ -403,7 +403,7 @@ def train(
     fit_part = F.pmod(F.shiftright(F.xxhash64("id"), 8), F.lit(3))
     counted = {r["y"]: r["n"] for r in rows.where(fit_part > 0).groupBy("y").agg(F.count("*").alias("n")).collect()}
     t1, t0 = counted.get(1, 0), counted.get(0, 0)
-    grams = rows.where(fit_part > 0).select("t", "y").mapInArrow(_gram_counts(lm), "gram int, toxic int, n int")
+    grams = rows.where(fit_part > 0).select("t", "y").mapInArrow(lean(_gram_counts(lm)), "gram int, toxic int, n int")
     n1 = F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0))
     n0 = F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0))
     kept = (grams.groupBy("gram").agg(n1.alias("n1"), n0.alias("n0")).where("n1 >= 2")
@@ -413,7 +413,7 @@ def train(
     weights[kept["gram"].to_numpy(int)] = kept["w"].to_numpy()
     bc = docs.sparkSession.sparkContext.broadcast(Model(lm, weights, np.zeros(N_FEATURES + 1)))
     cols = ", ".join(f"f{k} double" for k in range(N_FEATURES))
-    feats = rows.where(fit_part == 0).select("t", "y").mapInArrow(_featurize(bc), f"y int, {cols}").toPandas()
+    feats = rows.where(fit_part == 0).select("t", "y").mapInArrow(lean(_featurize(bc)), f"y int, {cols}").toPandas()
     y = feats["y"].to_numpy(float)
     prior = math.log((everyone.get(1, 0) + 0.5) / (everyone.get(0, 0) + 0.5))
     coef = np.zeros(N_FEATURES + 1)
@@ -451,4 +451,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             cols = [batch.column(k) for k in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(1 / (1 + np.exp(-z)))], names=[*keep, out_col])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(lean(run), schema)
