@@ -50,12 +50,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of benchmark items; columns of any name pass through."""
     names = tuple(free_name(docs, c) for c in fm.NAMES)
-    found = fm.find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names)
+    cut = fm.find_contamination(docs, table(spark, sf_dir, "benchmark"), names=names, remove=True)
     if "n_chars" in docs.columns:
-        cut = fm.remove_spans(found.withColumn("n_chars", F.when(F.size(names[1]) == 0, F.col("n_chars"))), added=names)
-        return cut.withColumn("n_chars", F.coalesce(
-            "n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
-    return fm.remove_spans(found, added=names).select(*docs.columns)
+        length = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cut = cut.withColumn("n_chars", F.when(F.size(names[1]) == 0, F.col("n_chars")).otherwise(length))
+    return cut.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
