@@ -8,17 +8,38 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carelens.operators import pairing
+from carelens.session import materialize
 
 
-def upper_median(col: str) -> Column:
-    """``sorted(x)[len(x) // 2]``: the upper median, NULLs ignored.
+DIGIT = 16  # bits of a value's low part
 
-    ``percentile_disc(0.5)`` over a descending order picks exactly that
-    element for odd and even counts. The aggregate keeps a value->count
-    map, bounded by the number of distinct values (text lengths here),
-    and merges partial maps, so it is skew-safe.
+
+def upper_medians(counts: DataFrame, group: str, value: str, n: str) -> DataFrame:
+    """``group, median``: ``sorted(x)[len(x) // 2]`` of each group, NULLs ignored.
+
+    ``counts`` holds how often (``n``) a group has a value (an integer); it may
+    have several rows for one value. The value is found by its digits: a
+    histogram of the high parts, at most 2^16 rows a group, names the part
+    that holds the middle, and only the values of that part, again at most
+    2^16 a group, are put in order. No buffer holds a group's values.
     """
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col} DESC)").cast("bigint")
+    known = (counts.where(F.col(value).isNotNull()).groupBy(group, F.col(value).alias("x"))
+             .agg(F.sum(n).alias("n")).withColumn("high", F.shiftright("x", DIGIT)))
+    rising = Window.partitionBy(group).orderBy("high").rowsBetween(Window.unboundedPreceding, 0)
+    parts = (known.groupBy(group, "high").agg(F.sum("n").alias("size"))
+             .withColumn("before", F.sum("size").over(rising) - F.col("size"))
+             .withColumn("half", F.expr(f"sum(size) OVER (PARTITION BY {group}) DIV 2")))
+    middle = (parts.where("before <= half AND half < before + size")
+              .select(group, "high", (F.col("half") - F.col("before")).alias("rest")))
+    upto = F.sum("n").over(Window.partitionBy(group).orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    middle = middle.withColumnsRenamed({group: "g", "high": "h"})  # a NULL group is one of its own
+    return (known.join(middle, F.col(group).eqNullSafe(F.col("g")) & (F.col("high") == F.col("h")))
+            .withColumn("upto", upto).where("upto > rest").groupBy(group).agg(F.min("x").cast("bigint").alias("median")))
+
+
+def mean_of(value: str, n: str) -> Column:
+    """Mean of ``value`` over rows that stand for ``n`` rows each, NULLs ignored."""
+    return F.sum(F.col(value) * F.col(n)) / F.sum(F.when(F.col(value).isNotNull(), F.col(n)))
 
 
 def direction_counts(messages: DataFrame) -> DataFrame:
@@ -63,12 +84,13 @@ def brand_stats(spark: SparkSession, messages: DataFrame, brands: Sequence[str])
     Brands without rows are listed with zeros."""
     out = pairing.brand_messages(messages, brands)
     linked_len = F.when(F.col("in_response_to_tweet_id").isNotNull(), F.length("text"))
-    per_brand = (out.withColumn("linked_len", linked_len)
-                 .groupBy(F.col("author_id").alias("brand"))
-                 .agg(F.count(F.lit(1)).alias("brand_tweets"),
-                      F.count("in_response_to_tweet_id").alias("linked_replies"),
-                      F.avg("linked_len").alias("avg_len"),
-                      upper_median("linked_len").alias("median_len")))
+    # One scan: counts by length, from which both the totals and the median come.
+    lengths = materialize(out.groupBy(F.col("author_id").alias("brand"), linked_len.alias("linked_len"))
+                          .agg(F.count(F.lit(1)).alias("n"), F.count("in_response_to_tweet_id").alias("linked")))
+    per_brand = (lengths.groupBy("brand")
+                 .agg(F.sum("n").alias("brand_tweets"), F.sum("linked").alias("linked_replies"),
+                      mean_of("linked_len", "n").alias("avg_len"))
+                 .join(upper_medians(lengths, "brand", "linked_len", "n"), "brand", "left"))
     # Customer fan-out: a parent answered by several brands counts for each.
     replies = pairing.brand_replies(messages, brands).select("brand", "parent_tweet_id").distinct()
     customers = pairing.customer_messages(messages).select(
@@ -83,7 +105,7 @@ def brand_stats(spark: SparkSession, messages: DataFrame, brands: Sequence[str])
                     F.coalesce("linked_replies", F.lit(0)).cast("bigint").alias("linked_replies"),
                     F.coalesce("unique_customers", F.lit(0)).cast("bigint").alias("unique_customers"),
                     F.round(F.coalesce("avg_len", F.lit(0.0)), 6).alias("avg_reply_length"),
-                    F.coalesce("median_len", F.lit(0)).cast("bigint").alias("median_reply_length")))
+                    F.coalesce("median", F.lit(0)).cast("bigint").alias("median_reply_length")))
 
 
 def pairing_coverage(messages: DataFrame, brands: Sequence[str]) -> DataFrame:
@@ -102,13 +124,18 @@ def response_diversity(pairs: DataFrame) -> DataFrame:
     replies, replies mentioning "dm" (substring of the lowered text) and
     replies containing "?". Brands without pairs do not appear."""
     nonempty_len = F.when(F.length("brand_text") > 0, F.length("brand_text"))
-    return (pairs.withColumn("reply_len", nonempty_len)
-            .groupBy("brand")
-            .agg(F.count(F.lit(1)).alias("paired_conversations"),
-                 F.round(F.avg("reply_len"), 6).alias("avg_reply_length"),
-                 upper_median("reply_len").alias("median_reply_length"),
-                 F.count_if(F.lower("brand_text").contains("dm")).cast("bigint").alias("dm_replies"),
-                 F.count_if(F.col("brand_text").contains("?")).cast("bigint").alias("question_replies")))
+    lengths = materialize(pairs.groupBy("brand", nonempty_len.alias("reply_len")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.lower("brand_text").contains("dm")).alias("dm"),
+        F.count_if(F.col("brand_text").contains("?")).alias("question")))
+    totals = lengths.groupBy("brand").agg(
+        F.sum("n").alias("paired_conversations"),
+        F.round(mean_of("reply_len", "n"), 6).alias("avg_reply_length"),
+        F.sum("dm").alias("dm_replies"), F.sum("question").alias("question_replies"))
+    medians = upper_medians(lengths, "brand", "reply_len", "n")
+    return (totals.join(medians.withColumnRenamed("brand", "b"), F.col("brand").eqNullSafe(F.col("b")), "left")
+            .select("brand", "paired_conversations", "avg_reply_length",
+                    F.col("median").alias("median_reply_length"), "dm_replies", "question_replies"))
 
 
 def examples_per_brand(pairs: DataFrame, k: int = 10) -> DataFrame:

@@ -72,3 +72,24 @@ def test_two_words_of_one_hash_are_refused(spark):
     with pytest.raises(Exception, match="share a hash"):
         vectors.words(counts, vocab).collect()
     assert [r.word for r in vectors.words(counts.where("word <> 'b'"), vocab).orderBy("term").collect()] == ["a", "c"]
+
+
+def test_upper_median_of_a_million_distinct_values(spark):
+    """Exact for odd, even, repeated, negative and NULL values; no aggregate keeps a group's values."""
+    rows = spark.range(1_000_000).select(F.lit("hot").alias("brand"), (F.col("id") * 7 % 1_000_003 - 300_000).cast("int").alias("x"))
+    few = spark.createDataFrame(
+        [("even", v) for v in (5, 1, 9, 9)] + [("odd", v) for v in (-70_000, 70_000, 3)] + [("one", 0), ("none", None),
+         ("even", None), (None, 4), (None, 6)], "brand string, x int")
+    both = rows.unionAll(few)
+    counts = both.groupBy("brand", "x").agg(F.count(F.lit(1)).alias("n"))
+    got = profiling.upper_medians(counts, "brand", "x", "n")
+    want = {}
+    for r in few.where("x is not null").collect():
+        want.setdefault(r.brand, []).append(r.x)
+    want["hot"] = [i * 7 % 1_000_003 - 300_000 for i in range(1_000_000)]
+    want = {b: sorted(v)[len(v) // 2] for b, v in want.items()}
+    assert {r.brand: r["median"] for r in got.collect()} == want and want["even"] == 9 and want[None] == 6
+    assert "ObjectHashAggregate" not in plan(got) and "percentile" not in plan(got)
+    repeated = counts.unionAll(counts)  # several rows of one value
+    again = {r.brand: r["median"] for r in profiling.upper_medians(repeated, "brand", "x", "n").collect()}
+    assert again["hot"] == want["hot"] and again["odd"] == 3
