@@ -14,11 +14,11 @@ is removed. Strings are judged on the input and never cross documents.
 3. **Suffix arrays.** Blocks are dealt to shards by anchor. A shard joins them,
    each closed by a separator of its own, and builds its suffix array by
    induced sorting: suffixes are classified, leftmost-smaller substrings
-   sorted by one induction and named, the named string is sorted, and a
-   second induction from it fills the array; inductions go bucket by bucket,
-   whole batches at a time. (The named string has too many symbols for
-   buckets and is sorted by doubling.) Permuted common prefixes come from
-   the irreducible ones; a place whose prefix reaches ``WIDTH`` is repeated, and
+   sorted by one induction and named, the named string is sorted in the same
+   way, recursively, and a second induction from it fills the array. Of the
+   bytes, inductions go bucket by bucket, whole batches at a time; named
+   strings, a third as long and of many symbols, place by place. Permuted
+   common prefixes come from the irreducible ones; a place whose prefix reaches ``WIDTH`` is repeated, and
    so is its neighbour.
 4. **Hot anchors.** An anchor with more than ``HOT_BLOCKS`` different blocks does
    not go to one shard: its windows are grouped by their 128-bit digests.
@@ -246,21 +246,63 @@ def _induce(t: np.ndarray, small: np.ndarray, n_sep: int, lms: np.ndarray) -> np
     return sa
 
 
-def _doubling_ranks(names: np.ndarray) -> np.ndarray:
-    """Rank of every suffix of a string whose suffixes differ."""
-    m, rank, step = len(names), names.astype(np.int64), 1
-    while True:
-        second = np.zeros(m, np.int64)
-        second[:m - step] = rank[step:] + 1
-        key = rank * (m + 1) + second
-        order = np.argsort(key, kind="stable")
-        k = key[order]
-        new = np.empty(m, np.int64)
-        new[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = new
-        step *= 2
-        if step >= m or rank[order[-1]] == m - 1:
-            return rank
+def _named(t: np.ndarray, lms: np.ndarray, by_substring: np.ndarray) -> np.ndarray:
+    """The rank of each leftmost-smaller substring, equal ones alike, in text order."""
+    length = np.ones(len(t), np.int64)
+    length[lms[:-1]] = np.diff(lms) + 1
+    a, b = by_substring[:-1], by_substring[1:]
+    differ = length[a] != length[b]
+    alive = np.flatnonzero(~differ)
+    k = 0
+    while len(alive):
+        alive = alive[length[a[alive]] > k]
+        apart = t[a[alive] + k] != t[b[alive] + k]
+        differ[alive[apart]] = True
+        alive = alive[~apart]
+        k += 1
+    name = np.empty(len(t), np.int64)
+    name[by_substring] = np.concatenate([[0], np.cumsum(differ)])
+    return name[lms]
+
+
+def _induce_named(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> np.ndarray:
+    """As :func:`_induce`, for a string of any number of symbols, place by place."""
+    count = np.bincount(t)
+    ends = np.cumsum(count)
+    order = np.argsort(t[lms], kind="stable")
+    c = t[lms][order]
+    filled = np.full(len(t), -1, np.int64)
+    filled[ends[c] - np.searchsorted(c, c, side="right") + np.arange(len(c))] = lms[order]
+    # The symbol before each place, where it begins a suffix of the wanted kind; an open place (-1) has none.
+    before = np.concatenate([[-1], t[:-1], [-1]])
+    kind = np.concatenate([[False], small[:-1], [False]])
+    larger, smaller = np.where(kind, -1, before).tolist(), np.where(kind, before, -1).tolist()
+    sa, head, tail = filled.tolist(), (ends - count).tolist(), (ends - 1).tolist()
+    for p in sa:  # sees what it has itself put further on
+        c = larger[p]
+        if c >= 0:
+            sa[head[c]] = p - 1
+            head[c] += 1
+    for p in reversed(sa):
+        c = smaller[p]
+        if c >= 0:
+            sa[tail[c]] = p - 1
+            tail[c] -= 1
+    return np.array(sa, np.int64)
+
+
+def sort_named(names: np.ndarray) -> np.ndarray:
+    """Suffixes of a string of names in order, by induced sorting; recursive, linear."""
+    if len(np.unique(names)) == len(names):
+        return np.argsort(names)
+    t = np.append(names.astype(np.int64) + 1, 0)  # closed by a symbol below all
+    small = _suffix_types(t)
+    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    is_lms = np.zeros(len(t), bool)
+    is_lms[lms] = True
+    once = _induce_named(t, small, lms)
+    named = _named(t, lms, once[is_lms[once]])
+    return _induce_named(t, small, lms[sort_named(named)])[1:]
 
 
 def suffix_array(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,25 +322,8 @@ def suffix_array(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sorted_once = _induce(t, small, n_sep, lms[np.argsort(t[lms], kind="stable")])
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
-    by_substring = sorted_once[is_lms[sorted_once]].astype(np.int64)
-    length = np.ones(len(t), np.int64)
-    length[lms[:-1]] = np.diff(lms) + 1
-    a, b = by_substring[:-1], by_substring[1:]
-    differ = length[a] != length[b]
-    alive = np.flatnonzero(~differ)
-    k = 0
-    while len(alive):
-        alive = alive[length[a[alive]] > k]
-        apart = t[a[alive] + k] != t[b[alive] + k]
-        differ[alive[apart]] = True
-        alive = alive[~apart]
-        k += 1
-    name = np.empty(len(t), np.int64)
-    name[by_substring] = np.concatenate([[0], np.cumsum(differ)])
-    named = name[lms]
-    if len(lms) and named.max() + 1 < len(lms):
-        named = _doubling_ranks(named)
-    return t, _induce(t, small, n_sep, lms[np.argsort(named)])
+    named = _named(t, lms, sorted_once[is_lms[sorted_once]].astype(np.int64))
+    return t, _induce(t, small, n_sep, lms[sort_named(named)])
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

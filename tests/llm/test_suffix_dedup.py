@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from carelens.llm import suffix_dedup as sd
@@ -68,6 +69,18 @@ def test_suffix_array_and_prefixes_against_sorting():
             assert (plcp[b], pred[b]) == (same, a)
 
 
+def test_named_strings_are_sorted_recursively():
+    """Few symbols and periods make several levels."""
+    rng = random.Random(5)
+    strings = [[rng.randrange(k) for _ in range(n)] for n in (1, 2, 3, 60, 500) for k in (1, 2, 3, 40) for _ in range(8)]
+    word, longer = [0], [0, 1]
+    for _ in range(11):
+        word, longer = longer, longer + word
+    strings += [longer, [0, 1, 0, 2] * 80, list(range(300)), list(range(300, 0, -1)), [3, 1] * 200 + [0]]
+    for s in strings:
+        assert sd.sort_named(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+
+
 def test_long_texts_are_read_in_stretches(monkeypatch):
     monkeypatch.setattr(sd, "STRETCH", 1000)
     raw = bytes(random.Random(1).choice(b"abcdefgh ") for _ in range(5000))
