@@ -8,27 +8,29 @@ idf, L2 rows):
 Vocabulary: terms with ``df >= min_df`` and ``df <= max_df * n_docs``.
 
 Layout: long tables ``(id, term, weight)``; a term is the 64-bit hash of its
-string, so exchanges and joins move numbers. Strings are kept in one column of the
-counted table and enter an exchange once, as the distinct strings of the kept terms
-(:func:`words`), where two strings of one hash are found and refused. A document
-is one row, so its term counts are taken inside the row: the gram array is sorted,
+string, so exchanges and joins move numbers. Strings are kept in one table with a
+row per distinct term and its document frequency, written once (:func:`term_words`);
+:func:`words` finds two strings of one hash there and refuses them. What a corpus
+has per term and document is never stored: a document is one row, so its term
+counts are taken inside the row, where they are weighed: the gram array is sorted,
 the places where a run starts are kept, and the distance to the next start is the
-count. Nothing is shuffled until the document frequencies, which are a
-partial+final count over terms; the counted table is written once, as
-Parquet, and read by both the frequencies and the weights.
+count. :func:`transform_in_slices` weighs one slice of the documents after the other,
+so that what a join by term and the sum by document shuffle is on disk for a slice only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions import text as tx
-from carelens.session import materialize
+from carelens.session import materialize, write_once
 
+SLICES = 8  # of the documents, weighed one after the other
 
 def _grams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, grams): tokens in their own projection, so the regex runs
@@ -65,17 +67,25 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .select("id", F.xxhash64("word").alias("term"), "tf_count", "word"))
 
 
+def term_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(word, df): documents that hold each distinct string, counted from their distinct grams."""
+    g = _grams(docs, id_col, text_col).select(F.explode_outer(F.array_distinct("grams")).alias("word"))
+    return g.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+
 @dataclass
 class TfidfIndex:
     vocab: DataFrame    # term, df, idf
     weights: DataFrame  # id, term, weight  (L2-normalised rows)
     n_docs: object      # scalar Column (subquery)
-    counts: DataFrame   # id, term, tf_count, word (written once)
+    counts: DataFrame   # id, term, tf_count, word (taken from the documents at each use)
+    words: DataFrame    # term, word, df (written once)
+    words_path: str     # the folder of that table
 
 
-def vocabulary(counts: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
-    """(term, df, idf) for the kept terms."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def vocabulary(found: DataFrame, n_docs, min_df: int = 2, max_df: float = 0.95) -> DataFrame:
+    """(term, df, idf) for the kept terms of ``found``: term, df."""
+    df = found.groupBy("term").agg(F.sum("df").alias("df"))
     n = n_docs.cast("double")
     return (df.filter((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * n))
             .select("term", "df",
@@ -102,14 +112,23 @@ def weigh(counts: DataFrame, vocab: DataFrame, keep: Sequence[str] = ()) -> Data
 
 def fit_tfidf(docs: DataFrame, id_col: str, text_col: str,
               min_df: int = 2, max_df: float = 0.95) -> TfidfIndex:
-    # Term counts feed both the document frequencies and the weights:
-    # written once instead of tokenising every document twice.
-    counts = materialize(term_counts(docs, id_col, text_col))
+    found, path = write_once(term_words(docs, id_col, text_col), "words", compression="zstd")
+    found = found.withColumn("term", F.xxhash64("word"))  # not stored: hashes do not compress
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    vocab = vocabulary(counts, n_docs, min_df, max_df)
-    return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs, counts=counts)
+    vocab = vocabulary(found, n_docs, min_df, max_df)
+    counts = term_counts(docs, id_col, text_col)
+    return TfidfIndex(vocab=vocab, weights=weigh(counts, vocab), n_docs=n_docs, counts=counts, words=found, words_path=path)
 
 
 def transform(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Vectorise new documents with a fitted vocabulary."""
-    return weigh(term_counts(docs, id_col, text_col), vocab, keep)
+    return weigh(term_counts(docs, id_col, text_col).drop("word"), vocab, keep)
+
+
+def transform_in_slices(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Like :func:`transform`, written slice by slice; a slice holds whole documents, dealt by the hash of the id."""
+    of = F.pmod(F.xxhash64(F.col(id_col)), F.lit(SLICES))
+    done = [write_once(transform(docs.where(of == k), id_col, text_col, vocab, keep)
+                       .select("id", *(keep or ["term"]), F.round("weight", 6).alias("weight")), "weights", compression="zstd")[0]
+            for k in range(SLICES)]
+    return reduce(DataFrame.unionAll, done)

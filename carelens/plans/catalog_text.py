@@ -11,7 +11,7 @@ from carelens.functions import policy, prompts, responses
 from carelens.functions import text as tx
 from carelens.operators import judging, pairing, replies, retrieval, sampling, vectors
 from carelens.plans.catalog import messages, pairs, register
-from carelens.session import materialize
+from carelens.session import delete_path, materialize, write_once
 from carelens.plans.catalog_more import GOLDEN_SIZE, customers, golden_sample, spotify_pairs
 from carelens.sources import readers, responses_adapter
 from carelens.sources.tables import table
@@ -95,7 +95,7 @@ def vocabulary(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     idx = vectors.fit_tfidf(d, "doc_id", "text")
     vocab = materialize(idx.vocab)
-    return vocab.join(vectors.words(idx.counts, vocab), "term").select(
+    return vocab.join(vectors.words(idx.words, vocab), "term").select(
         F.col("word").alias("term"), "df", F.round("idf", 6).alias("idf"))
 
 
@@ -103,9 +103,12 @@ def vocabulary(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     idx = vectors.fit_tfidf(d, "doc_id", "text")
-    vocab = materialize(idx.vocab)
-    return (vectors.weigh(idx.counts, vocab).join(vectors.words(idx.counts, vocab), "term")
-            .select(F.col("id").alias("doc_id"), F.col("word").alias("term"), F.round("weight", 6).alias("weight")))
+    vocab, path = write_once(idx.vocab, "vocabulary")
+    named = materialize(vocab.select("term", "idf").join(vectors.words(idx.words, vocab), "term"))
+    for done in (path, idx.words_path):
+        delete_path(spark, done)
+    return (vectors.transform_in_slices(d, "doc_id", "text", named, keep=["word"])
+            .select(F.col("id").alias("doc_id"), F.col("word").alias("term"), "weight"))
 
 
 # --------------------------------------------------------------------
