@@ -20,6 +20,12 @@ the bit length of their document frequency; a query's levels up to
    postings of common terms are read for the others only.
 4. The common terms of what is left are summed and added to the rare sums.
 
+Queries are independent of each other: they are searched in slices, by the hash of
+their id, one after the other, and only a slice's best k are kept. The number of slices
+is the number of (query, document) and (query, block) pairs that all joins of a term
+would make, counted exactly before, over ``PAIRS`` pairs per term of the index; so
+the pairs on disk grow with the index and not with its product with the queries.
+
 One plan serves all sizes: no size checks, no broadcast hints; AQE picks the
 join strategies from measured sizes and splits skewed terms.
 """
@@ -27,18 +33,21 @@ join strategies from measured sizes and splits skewed terms.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.operators import vectors
-from carelens.session import materialize
+from carelens.session import delete_path, materialize, write_once
 
 ALL_BLOCK = "__all__"
 ROUNDING = 1e-6  # similarities are ranked after rounding to six places
 RARE_SHARE = 0.8  # of a query's squared length
 PROBED = 16
 BLOCK_DOCS = 8
+PAIRS = 128  # a slice of queries makes, per term of the index
 LEAD_LEVEL = 5  # a block's documents share their heaviest term of this level or above
 
 
@@ -116,23 +125,27 @@ def _common_sums(pairs: DataFrame, qt: DataFrame, index: Index) -> DataFrame:
         "qid", "doc_id", (F.col("s") + F.coalesce("c", F.lit(0.0))).alias("score"))
 
 
-def candidates(qt: DataFrame, index: Index, k: int) -> DataFrame:
-    """``qid, doc_id, s``: the pairs that can be among the first k, with their sums over rare terms."""
-    sums = materialize(_meet(qt.where("rare").select("qid", "block", "term", "wq"),
-                             index.terms.select("intent", "term", "doc_id", "wd"), ["term"])
-                       .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")))
+def candidates(qt: DataFrame, index: Index, k: int, made: list[str] | None = None) -> DataFrame:
+    """``qid, doc_id, s``: the pairs that can be among the first k, with their sums over rare terms.
+
+    ``made`` receives the folders of the tables written for it.
+    """
+    made = [] if made is None else made
+    sums = _written(_meet(qt.where("rare").select("qid", "block", "term", "wq"),
+                          index.terms.select("intent", "term", "doc_id", "wd"), ["term"])
+                    .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")), made)
     best = Window.partitionBy("qid").orderBy(F.desc("s"), F.desc("doc_id"))
     probes = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(k, PROBED)).drop("r")
     kth = Window.partitionBy("qid").orderBy(F.desc("score"))
     theta = (_common_sums(probes, qt, index).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
              .select("qid", "score"))
     # Without a k-th score every document with some term in common can matter.
-    least = materialize(qt.select("qid", "block", "cut", "rest").distinct().join(theta, "qid", "left").select(
-        "qid", "block", "cut", "rest", F.coalesce(F.col("score") - ROUNDING, F.lit(0.0)).alias("least")))
-    bounds = materialize(
+    least = _written(qt.select("qid", "block", "cut", "rest").distinct().join(theta, "qid", "left").select(
+        "qid", "block", "cut", "rest", F.coalesce(F.col("score") - ROUNDING, F.lit(0.0)).alias("least")), made)
+    bounds = _written(
         _meet(qt.where("not rare").select("qid", "block", "term", "wq"),
               index.maxima.select("intent", "term", "bid", "top"), ["term"])
-        .groupBy("qid", "bid").agg(F.sum(F.col("wq") * F.col("top")).alias("most")))
+        .groupBy("qid", "bid").agg(F.sum(F.col("wq") * F.col("top")).alias("most")), made)
     common = F.sqrt(F.aggregate(F.filter("lengths", lambda x: x["level"] > F.col("cut")), F.lit(0.0), lambda t, x: t + x["s"]))
     by_length = F.col("rest") * common
     docs = index.docs.select("doc_id", "bid", "lengths")
@@ -146,12 +159,43 @@ def candidates(qt: DataFrame, index: Index, k: int) -> DataFrame:
     return met.unionByName(inside).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
 
 
-def search(qt: DataFrame, index: Index, k: int) -> DataFrame:
+def search(qt: DataFrame, index: Index, k: int, made: list[str] | None = None) -> DataFrame:
     """``qid, doc_id, similarity`` of all pairs that can be among the first k."""
-    pairs = materialize(candidates(qt, index, k))
+    made = [] if made is None else made
+    pairs = _written(candidates(qt, index, k, made), made)
     return _common_sums(pairs, qt, index).select("qid", "doc_id", F.round("score", 6).alias("similarity"))
 
 
+def _written(df: DataFrame, made: list[str]) -> DataFrame:
+    table, path = write_once(df, "table")
+    made.append(path)
+    return table
+
+
+def query_slices(qt: DataFrame, index: Index) -> int:
+    """Slices of queries that keep the pairs of a slice at about ``PAIRS`` per term of the index."""
+    asked = qt.groupBy("block", "term", "rare").agg(F.count(F.lit(1)).alias("nq"))
+    rare = index.terms.groupBy("intent", "term").agg(F.count(F.lit(1)).alias("nd"))
+    common = index.maxima.groupBy("intent", "term").agg(F.count(F.lit(1)).alias("nd"))
+    pairs = _meet(asked.where("rare"), rare, ["term"]).unionByName(_meet(asked.where("not rare"), common, ["term"]))
+    met = pairs.agg(F.sum(F.col("nq") * F.col("nd"))).first()[0] or 0
+    return max(1, ceil(met / (PAIRS * max(1, index.terms.count()))))
+
+
+def top_hits(qt: DataFrame, index: Index, k: int) -> DataFrame:
+    """``qid, doc_id, similarity`` of the first k found, searched slice by slice; a slice's tables are deleted after it."""
+    n = query_slices(qt, index)
+    of = F.pmod(F.xxhash64("qid"), F.lit(n))
+    parts = []
+    for i in range(n):
+        made: list[str] = []
+        found = search(qt.where(of == i), index, k, made)
+        parts.append(materialize(_top_k(found, k).select("qid", "doc_id", "similarity")))
+        for path in made:
+            delete_path(qt.sparkSession, path)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _top_k(df: DataFrame, k: int, part: str = "qid") -> DataFrame:
     w = Window.partitionBy(part).orderBy(F.desc("similarity"), F.desc("doc_id"))
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -173,6 +217,7 @@ def postings(queries: DataFrame, history: DataFrame, min_df: int = 2, max_df: fl
     """(q, qt, index): queries with blocks, query terms split by level, the index of the history."""
     fitted = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
     vocab = materialize(fitted.vocab)
+    delete_path(history.sparkSession, fitted.words_path)
     q = materialize(assign_blocks(queries, history))
     qv = (vectors.transform(q, "qid", "text", vocab, keep=["df"])
           .join(q.select(F.col("qid").alias("id"), "block"), "id")
@@ -198,7 +243,7 @@ def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
     if not inputs_materialized:
         history = materialize(history)
     q, qt, index = postings(queries, history, min_df, max_df)
-    hits = _top_k(search(qt, index, k), k).select("qid", "doc_id", "similarity")
+    hits = top_hits(qt, index, k)
     # Pad rows: k per block, looked up by the block key.
     pads = (q.select("qid", "block").join(pad_table(history, k), "block")
             .select("qid", "doc_id", F.lit(0.0).alias("similarity")))
