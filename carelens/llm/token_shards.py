@@ -28,6 +28,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,7 +74,8 @@ class Chunks(dict):
         self.encode, self.end = encoder.encode_ordinary, np.array([end], DTYPE).tobytes()
 
     def ids(self, text: str) -> bytes:
-        return np.array(self.encode(text), DTYPE).tobytes()
+        got = self.encode(text)
+        return struct.pack(f"<{len(got)}H", *got)
 
     def __missing__(self, chunk: str) -> bytes:
         out = self.ids(" " + chunk)
@@ -88,7 +90,7 @@ class Chunks(dict):
         if len(self) > CACHE_CHUNKS:
             self.clear()
         parts = text.split(" ")
-        if _MIXED.search(text):  # a blank beside other white space starts no chunk
+        if text[0] == " " or _MIXED.search(text):  # a blank beside other white space starts no chunk
             joined, parts = parts, []
             for p in joined:
                 if parts and (not p or p[0].isspace() or parts[-1][-1:].isspace() or not parts[-1]):
@@ -98,7 +100,8 @@ class Chunks(dict):
         return b"".join([self.ids(parts[0]), *map(self.__getitem__, parts[1:]), self.end])
 
 
-_MIXED = re.compile(r" \s|\s |^ | $")
+# Begins with the blank, so the search jumps from blank to blank.
+_MIXED = re.compile(r" (?:\s|$|(?<=\s ))")
 
 
 # ------------------------------------------------------------- permutation

@@ -65,3 +65,16 @@ def test_chunks_encode_like_whole_texts():
     for _ in range(3000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 12)))
         assert np.frombuffer(chunks.tokens(text), ts.DTYPE).tolist() == [*enc.encode_ordinary(text), end]
+
+
+def test_blanks_beside_white_space_are_found():
+    """The search begins at blanks alone, and finds what the plain alternation finds."""
+    import itertools
+    import re
+
+    from carelens.llm.token_shards import _MIXED
+    assert _MIXED.pattern[0] == " "
+    plain = re.compile(r" \s|\s |^ | $")
+    for n in range(1, 6):
+        for t in map("".join, itertools.product("a \n\u00a0", repeat=n)):
+            assert bool(t[0] == " " or _MIXED.search(t)) == bool(plain.search(t)), t
