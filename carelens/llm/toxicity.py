@@ -206,6 +206,8 @@ def _text(chain: tuple | None) -> str:
 
 def restore_word(word: str, lm: list[float]) -> list[str]:
     """Restored words of one lower-cased token."""
+    if word.isalpha():  # nothing to trim
+        return viterbi(word, lm) if disguised(word) else [word]
     core = _DECOR.sub("", word).strip(_TRIM)
     if not core or core.isalpha() and not disguised(core):
         return [core] if core else []
@@ -283,7 +285,7 @@ class WordWeights:
     def learn(self, tokens: set[str]) -> None:
         if len(self.cache) > CACHE_WORDS:
             self.cache = {}
-        new = [t for t in tokens if t not in self.cache]
+        new = list(tokens.difference(self.cache))
         if not new:
             return
         restored = [restore_token(t, self.lm) for t in new]
@@ -301,7 +303,8 @@ class WordWeights:
         tokens = set(_units(text)) if text else set()
         self.learn(tokens)
         get = self.cache.__getitem__
-        w = sorted((x for x in map(get, tokens) if x > 0), reverse=True)
+        w = [x for x in map(get, tokens) if x > 0]
+        w.sort(reverse=True)
         heavy = sum(1 for x in w if x > HEAVY)
         top = [*w[:3], 0.0, 0.0, 0.0]
         sharp = [max(0.0, x - SURE) for x in top[:2]]
@@ -322,7 +325,7 @@ def _gram_counts(lm: list[float]):
                 tokens = set(_units(t)) if t else set()
                 if len(cache) > CACHE_WORDS:
                     cache = {}
-                new = [k for k in tokens if k not in cache]
+                new = list(tokens.difference(cache))
                 if new:
                     restored = [restore_token(k, lm) for k in new]
                     words = [" ".join(r) for r in restored]

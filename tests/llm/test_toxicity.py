@@ -117,3 +117,12 @@ def test_empty_and_one_class(spark):
         assert tx.score(empty(spark), model, ["doc_id"]).count() == 0
         assert all(0 <= r.score <= 1 for r in tx.score(docs, model, ["doc_id"]).collect())
     assert tx.score(docs, tx.train(empty(spark), none), ["doc_id"]).count() == 30
+
+
+def test_plain_words_skip_the_trimming(monkeypatch):
+    """A word of letters alone has nothing to trim; its restored form is that of the lattice or itself."""
+    from carelens.llm import toxicity
+    monkeypatch.setattr(toxicity, "_DECOR", None)
+    lm = [1.0] * toxicity.SIGMA ** 3
+    assert toxicity.restore_word("plain", lm) == ["plain"]
+    assert toxicity.restore_word("stuuupid", lm) == toxicity.viterbi("stuuupid", lm)
