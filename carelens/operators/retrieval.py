@@ -1,33 +1,25 @@
 """Blocked top-k similarity retrieval.
 
-Queries and history are unit TF-IDF rows in long form; a query searches
-the history of its intent, or all of it when that intent has none. Top k by
-cosine, ties to the larger document id, similarities rounded to 6 places;
-documents that share no term fill up with similarity 0.
-
-The search is exact and scores only pairs that can matter. Terms have a level,
-the bit length of their document frequency; a query's levels up to
-``RARE_SHARE`` of its squared length are its rare terms, the rest its common ones.
-
-1. **Rare terms** have short posting lists: these are joined and summed, once.
-2. **Threshold.** Each query's ``PROBED`` best documents so far are scored over their
-   common terms too; the k-th score is a lower bound of the k-th similarity.
-3. **Block maxima.** Documents lie in small blocks (about ``BLOCK_DOCS``, by their
-   heaviest common term), and the index keeps each block's largest weight per
-   common term. What common terms add to a document's score is at most the
-   query's sum over its block's maxima, and at most the product of both common
-   lengths. A block or document whose bound stays below the threshold is skipped;
-   postings of common terms are read for the others only.
-4. The common terms of what is left are summed and added to the rare sums.
+Queries and history are unit TF-IDF rows; a query searches the history of its intent,
+or all of it when that intent has none. Top k by cosine, ties to the larger document
+id, similarities rounded to 6 places; documents that share no term fill up with
+similarity 0.
+
+The search is exact. Queries and documents of a block are packed, a row each, and dealt by
+the hash of their id to parts of about ``CELL_QUERIES`` and ``CELL_DOCS`` rows (fewer where
+they hold more than ``CELL_TERMS`` terms). A cell is a part of the queries with a part of
+the documents; a task scores it in memory (:mod:`carelens.operators.scoring`) and hands on
+the cell's best k per query. So the work grows with queries times history, but what is
+shuffled are the packed rows once per cell, and what a task holds is bounded.
 
 Queries are independent of each other: they are searched in slices, by the hash of
 their id, one after the other, and only a slice's best k are kept. The number of slices
-is the number of (query, document) and (query, block) pairs that all joins of a term
-would make, counted exactly before, over ``PAIRS`` pairs per term of the index; so
-the pairs on disk grow with the index and not with its product with the queries.
+is the number of (query, document) pairs that a join of the terms would make, counted
+exactly before, over ``PAIRS`` pairs per term of the index; so the packed rows on disk grow
+with the index and not with its product with the queries.
 
 One plan serves all sizes: no size checks, no broadcast hints; AQE picks the
-join strategies from measured sizes and splits skewed terms.
+join strategies from measured sizes.
 """
 
 from __future__ import annotations
@@ -39,16 +31,13 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carelens.operators import vectors
+from carelens.operators import scoring, vectors
 from carelens.session import delete_path, materialize, write_once
 
 ALL_BLOCK = "__all__"
-ROUNDING = 1e-6  # similarities are ranked after rounding to six places
-RARE_SHARE = 0.8  # of a query's squared length
-PROBED = 16
-BLOCK_DOCS = 8
-PAIRS = 128  # a slice of queries makes, per term of the index
-LEAD_LEVEL = 5  # a block's documents share their heaviest term of this level or above
+CELL_QUERIES, CELL_DOCS = 1 << 12, 1 << 13
+CELL_TERMS = 1 << 21  # of either side
+PAIRS = 1 << 12  # a slice of queries makes, per term of the index
 
 
 def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
@@ -64,38 +53,27 @@ def assign_blocks(queries: DataFrame, history: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """Document terms and their blocks."""
-    terms: DataFrame   # doc_id, intent, term, wd, level
-    docs: DataFrame    # doc_id, intent, bid, lengths (squared, by level)
-    maxima: DataFrame  # intent, bid, term, top
+    """Document terms, the same packed, and the sizes of the blocks."""
+    terms: DataFrame  # doc_id, intent, term, wd
+    docs: DataFrame   # doc_id, intent, terms, weights
+    sizes: DataFrame  # block, docs, doc_terms
 
 
-def level(df: str) -> Column:
-    """Bit length of a document frequency."""
-    return F.length(F.bin(df))
+def _packed(rows: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """A row per key with its ``terms`` and ``weights``."""
+    v = F.collect_list(F.struct("term", F.col(weight).alias("w"))).alias("v")
+    return rows.groupBy(*keys).agg(v).select(*keys, F.col("v.term").alias("terms"), F.col("v.w").alias("weights"))
 
 
-def _lead(terms: DataFrame) -> DataFrame:
-    """``doc_id, intent, lengths, lead``: squared lengths by level, and the heaviest common term."""
-    per = terms.groupBy("doc_id", "intent", "level").agg(
-        F.sum(F.col("wd") * F.col("wd")).alias("s"),
-        F.max_by("term", F.struct("wd", "term")).alias("term"), F.max("wd").alias("wd"))
-    common = F.when(F.col("level") >= LEAD_LEVEL, F.struct("wd", "term"))
-    return per.groupBy("doc_id", "intent").agg(
-        F.collect_list(F.struct("level", "s")).alias("lengths"), F.max(common)["term"].alias("lead"))
+def _in_blocks(docs: DataFrame) -> DataFrame:
+    """Each document in the block of its intent and in that of all history."""
+    return docs.withColumn("block", F.explode(F.array("intent", F.lit(ALL_BLOCK)))).drop("intent")
 
 
 def build_index(terms: DataFrame) -> Index:
-    """Blocks of documents with the same heaviest common term, cut by the hash of the id."""
-    docs = _lead(terms)
-    size = docs.groupBy(F.col("intent").alias("of_intent"), F.col("lead").alias("of_lead")).agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK_DOCS))
-    same = F.col("intent").eqNullSafe(F.col("of_intent")) & F.col("lead").eqNullSafe(F.col("of_lead"))
-    docs = materialize(docs.join(size, same).select(
-        "doc_id", "intent", "lengths", F.xxhash64("intent", "lead", part).alias("bid")))
-    maxima = (terms.join(docs.select("doc_id", "bid"), "doc_id").groupBy("intent", "bid", "term", "level")
-              .agg(F.max("wd").alias("top")))
-    return Index(terms, docs, maxima)
+    docs = materialize(_packed(terms, ["doc_id", "intent"], "wd"))
+    sizes = _in_blocks(docs).groupBy("block").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("terms")).alias("doc_terms"))
+    return Index(terms, docs, materialize(sizes))
 
 
 def _meet(qt: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
@@ -105,65 +83,46 @@ def _meet(qt: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
     return own.drop("intent").unionByName(every.drop("intent"))
 
 
-def split_terms(qv: DataFrame) -> DataFrame:
-    """``qv`` with ``rare``, and per query ``cut`` (its highest rare level) and ``rest`` (length of its common terms)."""
-    below = Window.partitionBy("qid").orderBy("level").rangeBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("qid")
-    square = F.col("wq") * F.col("wq")
-    rare = F.coalesce(F.sum(square).over(below), F.lit(0.0)) < RARE_SHARE
-    out = qv.withColumn("level", level("df")).withColumn("rare", rare)
-    return out.withColumn("cut", F.max(F.when(F.col("rare"), F.col("level"))).over(whole)).withColumn(
-        "rest", F.sqrt(F.coalesce(F.sum(F.when(~F.col("rare"), square)).over(whole), F.lit(0.0))))
+def _parts(rows: str, terms: str, size: int) -> Column:
+    return F.ceil(F.greatest(F.col(rows) / size, F.col(terms) / CELL_TERMS))
 
 
-def _common_sums(pairs: DataFrame, qt: DataFrame, index: Index) -> DataFrame:
-    """``qid, doc_id, score`` of pairs ``qid, doc_id, s``: ``s`` and the sum over common terms."""
-    common = qt.where(~F.col("rare")).select("qid", "term", "wq")
-    added = (pairs.join(common, "qid").join(index.terms.select("doc_id", "term", "wd"), ["doc_id", "term"])
-             .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("c")))
-    return pairs.join(added, ["qid", "doc_id"], "left").select(
-        "qid", "doc_id", (F.col("s") + F.coalesce("c", F.lit(0.0))).alias("score"))
+def cells(asked: DataFrame, index: Index) -> DataFrame:
+    """``block, q_parts, d_parts`` of packed queries."""
+    per = asked.groupBy("block").agg(F.count(F.lit(1)).alias("queries"), F.sum(F.size("terms")).alias("query_terms"))
+    return per.join(index.sizes, "block").select(
+        "block", _parts("queries", "query_terms", CELL_QUERIES).alias("q_parts"), _parts("docs", "doc_terms", CELL_DOCS).alias("d_parts"))
+
+
+def _dealt(rows: DataFrame, plan: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """Packed rows, each in the cells that its part makes with every part of the other side."""
+    # Not the hash that cuts the slices: it would leave parts empty.
+    part = F.pmod(F.xxhash64(F.lit(own), key), f"{own}_parts").alias(f"{own}_part")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{other}_parts") - 1)).alias(f"{other}_part")
+    return rows.join(plan, "block").select("block", part, every, key, "terms", "weights")
 
 
 def candidates(qt: DataFrame, index: Index, k: int, made: list[str] | None = None) -> DataFrame:
-    """``qid, doc_id, s``: the pairs that can be among the first k, with their sums over rare terms.
+    """``qid, doc_id, s``: the pairs that can be among the first k, with their scores.
 
     ``made`` receives the folders of the tables written for it.
     """
     made = [] if made is None else made
-    sums = _written(_meet(qt.where("rare").select("qid", "block", "term", "wq"),
-                          index.terms.select("intent", "term", "doc_id", "wd"), ["term"])
-                    .groupBy("qid", "doc_id").agg(F.sum(F.col("wq") * F.col("wd")).alias("s")), made)
-    best = Window.partitionBy("qid").orderBy(F.desc("s"), F.desc("doc_id"))
-    probes = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= max(k, PROBED)).drop("r")
-    kth = Window.partitionBy("qid").orderBy(F.desc("score"))
-    theta = (_common_sums(probes, qt, index).withColumn("r", F.row_number().over(kth)).where(F.col("r") == k)
-             .select("qid", "score"))
-    # Without a k-th score every document with some term in common can matter.
-    least = _written(qt.select("qid", "block", "cut", "rest").distinct().join(theta, "qid", "left").select(
-        "qid", "block", "cut", "rest", F.coalesce(F.col("score") - ROUNDING, F.lit(0.0)).alias("least")), made)
-    bounds = _written(
-        _meet(qt.where("not rare").select("qid", "block", "term", "wq"),
-              index.maxima.select("intent", "term", "bid", "top"), ["term"])
-        .groupBy("qid", "bid").agg(F.sum(F.col("wq") * F.col("top")).alias("most")), made)
-    common = F.sqrt(F.aggregate(F.filter("lengths", lambda x: x["level"] > F.col("cut")), F.lit(0.0), lambda t, x: t + x["s"]))
-    by_length = F.col("rest") * common
-    docs = index.docs.select("doc_id", "bid", "lengths")
-    need = least.drop("block")
-    met = (sums.join(docs, "doc_id").join(need, "qid").join(bounds, ["qid", "bid"], "left")
-           .where(F.col("s") + F.least(F.coalesce("most", F.lit(0.0)), by_length) >= F.col("least")).select("qid", "doc_id", "s"))
-    open_blocks = bounds.join(need, "qid").where(F.col("most") >= F.col("least"))
-    inside = (_meet(open_blocks.join(least.select("qid", "block"), "qid"),
-                    index.docs.select("intent", "bid", "doc_id", "lengths"), ["bid"])
-              .where(by_length >= F.col("least")).select("qid", "doc_id", F.lit(0.0).alias("s")))
-    return met.unionByName(inside).groupBy("qid", "doc_id").agg(F.max("s").alias("s"))
+    asked = _written(_packed(qt, ["qid", "block"], "wq"), made)
+    plan = _written(cells(asked, index), made)
+    n = plan.agg(F.sum(F.col("q_parts") * F.col("d_parts"))).first()[0] or 0
+    rows = _dealt(asked, plan, "qid", "q", "d").unionByName(
+        _dealt(_in_blocks(index.docs), plan, "doc_id", "d", "q"), allowMissingColumns=True)
+    key = ["block", "q_part", "d_part"]
+    kinds = {**dict(index.docs.dtypes), **dict(asked.dtypes)}
+    # Four partitions a cell: few cells meet in one task.
+    return rows.repartition(4 * max(1, n), *key).groupBy(*key).applyInArrow(
+        scoring.best_of_cell(k), f"qid {kinds['qid']}, doc_id {kinds['doc_id']}, s double")
 
 
 def search(qt: DataFrame, index: Index, k: int, made: list[str] | None = None) -> DataFrame:
     """``qid, doc_id, similarity`` of all pairs that can be among the first k."""
-    made = [] if made is None else made
-    pairs = _written(candidates(qt, index, k, made), made)
-    return _common_sums(pairs, qt, index).select("qid", "doc_id", F.round("score", 6).alias("similarity"))
+    return candidates(qt, index, k, made).select("qid", "doc_id", F.round("s", 6).alias("similarity"))
 
 
 def _written(df: DataFrame, made: list[str]) -> DataFrame:
@@ -174,11 +133,9 @@ def _written(df: DataFrame, made: list[str]) -> DataFrame:
 
 def query_slices(qt: DataFrame, index: Index) -> int:
     """Slices of queries that keep the pairs of a slice at about ``PAIRS`` per term of the index."""
-    asked = qt.groupBy("block", "term", "rare").agg(F.count(F.lit(1)).alias("nq"))
-    rare = index.terms.groupBy("intent", "term").agg(F.count(F.lit(1)).alias("nd"))
-    common = index.maxima.groupBy("intent", "term").agg(F.count(F.lit(1)).alias("nd"))
-    pairs = _meet(asked.where("rare"), rare, ["term"]).unionByName(_meet(asked.where("not rare"), common, ["term"]))
-    met = pairs.agg(F.sum(F.col("nq") * F.col("nd"))).first()[0] or 0
+    asked = qt.groupBy("block", "term").agg(F.count(F.lit(1)).alias("nq"))
+    held = index.terms.groupBy("intent", "term").agg(F.count(F.lit(1)).alias("nd"))
+    met = _meet(asked, held, ["term"]).agg(F.sum(F.col("nq") * F.col("nd"))).first()[0] or 0
     return max(1, ceil(met / (PAIRS * max(1, index.terms.count()))))
 
 
@@ -214,19 +171,18 @@ def pad_table(history: DataFrame, k: int) -> DataFrame:
 
 
 def postings(queries: DataFrame, history: DataFrame, min_df: int = 2, max_df: float = 0.95):
-    """(q, qt, index): queries with blocks, query terms split by level, the index of the history."""
+    """(q, qt, index): queries with blocks, their terms, the index of the history."""
     fitted = vectors.fit_tfidf(history, "doc_id", "text", min_df, max_df)
     vocab = materialize(fitted.vocab)
     delete_path(history.sparkSession, fitted.words_path)
     q = materialize(assign_blocks(queries, history))
-    qv = (vectors.transform(q, "qid", "text", vocab, keep=["df"])
-          .join(q.select(F.col("qid").alias("id"), "block"), "id")
-          .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq"), "df"))
-    terms = materialize(vectors.weigh(fitted.counts, vocab, keep=["df"])
+    qt = materialize(vectors.transform(q, "qid", "text", vocab)
+                     .join(q.select(F.col("qid").alias("id"), "block"), "id")
+                     .select(F.col("id").alias("qid"), "block", "term", F.col("weight").alias("wq")))
+    terms = materialize(vectors.weigh(fitted.counts, vocab)
                         .join(history.select(F.col("doc_id").alias("id"), "intent"), "id")
-                        .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd"),
-                                level("df").alias("level")))
-    return q, materialize(split_terms(qv)), build_index(terms)
+                        .select(F.col("id").alias("doc_id"), "intent", "term", F.col("weight").alias("wd")))
+    return q, qt, build_index(terms)
 
 
 def retrieve_topk(queries: DataFrame, history: DataFrame, k: int = 3,
