@@ -17,7 +17,8 @@ Features are the exact TF-IDF rows of ``carelens.operators.vectors``. The
 fit uses at most ``max_train_rows`` labelled rows (``MAX_TRAIN_ROWS``, the
 rows of the lowest id hash), so the vocabulary, and with it the coefficient
 matrix of classes x vocabulary that MLlib keeps on the driver, are bounded
-by that parameter. Sparse vectors for MLlib's fit are built without Python: its vector type is stored as ``struct<type, size, indices, values>``, so
+by that parameter. ``None`` fits on every row: the steps keep their coefficients
+in tables, nothing of that size is held by one process. Sparse vectors for MLlib's fit are built without Python: its vector type is stored as ``struct<type, size, indices, values>``, so
 each document's sorted (index, weight) arrays are written in that layout to
 the shared folder and read back with a vector schema.
 
@@ -41,13 +42,13 @@ from pyspark.sql import types as T
 
 from carelens.operators import vectors
 from carelens.operators.sampling import hash_sample
-from carelens.session import materialize, scratch_path
+from carelens.session import delete_path, materialize, scratch_path, write_once
 
 
 MAX_TRAIN_ROWS = 5000
 STEPS = 12
 RATE = 1.0
-INTERCEPT = 0  # the pseudo-term of the intercept: no term in a bounded sample has this hash
+INTERCEPT = 0  # the pseudo-term of the intercept: a term's hash is 0 with a chance of 2**-64
 
 
 def momentum(step: int) -> float:
@@ -88,9 +89,10 @@ def features(docs: DataFrame, id_col: str, text_col: str, vocab: DataFrame, size
 
 def train(training: DataFrame, id_col: str, text_col: str, label_col: str, solver: str = "steps",
           steps: int = STEPS, max_iter: int = 1000, tol: float = 1e-6, min_df: int = 2, max_df: float = 0.95,
-          max_train_rows: int = MAX_TRAIN_ROWS) -> IntentModel:
-    """Fit on at most ``max_train_rows`` rows, those of the lowest id hash."""
-    training = materialize(hash_sample(training.select(id_col, text_col, label_col), max_train_rows, id_col))
+          max_train_rows: int | None = MAX_TRAIN_ROWS) -> IntentModel:
+    """Fit on at most ``max_train_rows`` rows, those of the lowest id hash; on all with ``None``."""
+    training = training.select(id_col, text_col, label_col)
+    training = materialize(training if max_train_rows is None else hash_sample(training, max_train_rows, id_col))
     idx = vectors.fit_tfidf(training, id_col, text_col, min_df, max_df)
     # One row per class: bounded by the label set.
     counts = {r[0]: r[1] for r in training.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
@@ -119,8 +121,8 @@ def fit_steps(rows: DataFrame, examples: DataFrame, k: int, n: int, steps: int =
     """
     classes = range(k)
     zero = F.lit(0.0)
-    state = materialize(rows.select("term").distinct().select(
-        "term", *[zero.alias(f"w{c}") for c in classes], *[zero.alias(f"v{c}") for c in classes]))
+    state, path = write_once(rows.select("term").distinct().select(
+        "term", *[zero.alias(f"w{c}") for c in classes], *[zero.alias(f"v{c}") for c in classes]), "table")
     ridge = F.when(F.col("term") == INTERCEPT, 0.0).otherwise(1.0 / max(n, 1))
     for step in range(steps if n else 0):
         z = (rows.join(state, "term").groupBy("id")
@@ -136,10 +138,11 @@ def fit_steps(rows: DataFrame, examples: DataFrame, k: int, n: int, steps: int =
         moved = state.join(slope, "term").select(
             "term", *[F.col(f"w{c}").alias(f"old{c}") for c in classes],
             *[(F.col(f"v{c}") - rate * (F.col(f"d{c}") + ridge * F.col(f"v{c}"))).alias(f"w{c}") for c in classes])
-        ahead = momentum(step)
-        state = materialize(moved.select(
+        ahead, done = momentum(step), path
+        state, path = write_once(moved.select(
             "term", *[f"w{c}" for c in classes],
-            *[(F.col(f"w{c}") + ahead * (F.col(f"w{c}") - F.col(f"old{c}"))).alias(f"v{c}") for c in classes]))
+            *[(F.col(f"w{c}") + ahead * (F.col(f"w{c}") - F.col(f"old{c}"))).alias(f"v{c}") for c in classes]), "table")
+        delete_path(rows.sparkSession, done)
     return state
 
 

@@ -285,10 +285,10 @@ def model_handling(spark, sf_dir):
 
 @register()
 def model_triage(spark, sf_dir):
-    """Triage with the intent, the retrieval block and the decision of the fitted model."""
+    """Triage with the intent, the retrieval block and the decision of the model fitted on all history."""
     from carelens.operators import classifier
     q, h = retrieval_inputs(spark, sf_dir)
-    model = classifier.train(h, "doc_id", "text", "intent")
+    model = classifier.train(h, "doc_id", "text", "intent", max_train_rows=None)
     pred = classifier.predict(model, q, "qid", "text")
     asked = materialize(q.drop("intent").join(pred, "qid").withColumnRenamed("predicted_intent", "intent"))
     best = replies.best_reply(asked, retrieval.retrieve_topk(asked, h, TOP_K, inputs_materialized=True))
