@@ -10,6 +10,18 @@ from carelens.functions import policy, prompts
 from carelens.functions import text as tx
 
 
+def with_replies(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``reply`` (the cleaned ``brand_text``) and whether it is ``useful``.
+
+    Both depend on the historical row alone: adding them to the history before the search cleans
+    a reply once and not for every query that finds it. Rows that have them stay as they are.
+    """
+    if "reply" in rows.columns:
+        return rows
+    cleaned = rows.withColumn("reply", tx.clean_reply(F.col("brand_text")))
+    return cleaned.withColumn("useful", policy.is_useful_reply(F.col("reply")))
+
+
 def best_reply(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Per query: among its retrieved rows with a non-empty cleaned reply,
     prefer useful replies, then higher similarity, then earlier rank;
@@ -18,10 +30,7 @@ def best_reply(queries: DataFrame, results: DataFrame) -> DataFrame:
     ``max_by(reply, struct(useful, similarity, -rank))`` is a plain
     aggregate over at most k rows per query.
     """
-    cand = (results.select("qid", "rank", "similarity",
-                           tx.clean_reply(F.col("brand_text")).alias("reply"))
-            .filter(F.length("reply") > 0)
-            .withColumn("useful", policy.is_useful_reply(F.col("reply"))))
+    cand = with_replies(results).select("qid", "rank", "similarity", "reply", "useful").filter(F.length("reply") > 0)
     best = cand.groupBy("qid").agg(
         F.max_by(F.struct("reply", "useful", "similarity", "rank"),
                  F.struct("useful", "similarity", (-F.col("rank")).alias("neg_rank"))).alias("b"))
@@ -37,9 +46,8 @@ def best_reply(queries: DataFrame, results: DataFrame) -> DataFrame:
 def grounded_prompts(queries: DataFrame, results: DataFrame) -> DataFrame:
     """One prompt per query: its examples in rank order, joined by a
     newline, inside the grounded template."""
-    ex = results.select("qid", "rank", prompts.example_block(
-        F.col("rank"), F.col("text"), tx.clean_reply(F.col("brand_text")), F.col("similarity"))
-        .alias("example"))
+    ex = with_replies(results).select("qid", "rank", prompts.example_block(
+        F.col("rank"), F.col("text"), F.col("reply"), F.col("similarity")).alias("example"))
     joined = ex.groupBy("qid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "example"))),
                                  lambda s: s["example"]), "\n").alias("examples"))

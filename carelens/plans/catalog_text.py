@@ -72,12 +72,15 @@ def retrieval_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataF
 
 
 def retrieved_with_queries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(queries, results); the results have the cleaned replies, made once per historical row."""
     q, h = retrieval_inputs(spark, sf_dir)
+    h = materialize(replies.with_replies(h))
     return q, retrieval.retrieve_topk(q, h, TOP_K, inputs_materialized=True)
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieved_with_queries(spark, sf_dir)[1]
+    q, h = retrieval_inputs(spark, sf_dir)
+    return retrieval.retrieve_topk(q, h, TOP_K, inputs_materialized=True)
 
 
 # --------------------------------------------------------------------
@@ -291,6 +294,7 @@ def model_triage(spark, sf_dir):
     model = classifier.train(h, "doc_id", "text", "intent", max_train_rows=None)
     pred = classifier.predict(model, q, "qid", "text")
     asked = materialize(q.drop("intent").join(pred, "qid").withColumnRenamed("predicted_intent", "intent"))
+    h = materialize(replies.with_replies(h))
     best = replies.best_reply(asked, retrieval.retrieve_topk(asked, h, TOP_K, inputs_materialized=True))
     d = policy.handling(F.col("intent"), F.col("text"))
     return asked.join(best, "qid").select("qid", "intent", "best_reply", "used_fallback",

@@ -31,3 +31,17 @@ def test_a_fit_without_a_limit_counts_every_row(spark, monkeypatch):
     assert {r.df for r in whole.vocab.collect()} == {20} and whole.vocab.count() == 6
     with pytest.raises(AssertionError, match="sample"):
         classifier.train(h, "doc_id", "text", "intent")
+
+
+def test_replies_are_cleaned_once_per_historical_row(spark, tmp_path):
+    """The plan of best_reply holds no pattern of the cleaning any more; the replies are those of the found rows."""
+    from carelens.operators import replies
+    said = [(1, 1, 0.9, "@u1 Hi there /LM"), (1, 2, 0.8, "Can you restart the app? https://t.co/1"), (2, 1, 0.5, "@u3")]
+    found = spark.createDataFrame(said, "qid long, rank int, similarity double, brand_text string")
+    asked = spark.createDataFrame([(1,), (2,), (3,)], "qid long")
+    plain = sorted(replies.best_reply(asked, found).collect(), key=lambda r: r.qid)
+    assert [r.best_reply for r in plain][0] == "Can you restart the app?" and [r.used_fallback for r in plain] == [False, True, True]
+    replies.with_replies(found).write.parquet(f"{tmp_path}/found")
+    again = replies.best_reply(asked, spark.read.parquet(f"{tmp_path}/found"))
+    assert "regexp_replace" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(again.collect(), key=lambda r: r.qid) == plain
