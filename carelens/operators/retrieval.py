@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.operators import scoring, vectors
-from carelens.session import delete_path, materialize, write_once
+from carelens.session import delete_path, importable, materialize, write_once
 
 ALL_BLOCK = "__all__"
 CELL_QUERIES, CELL_DOCS = 1 << 12, 1 << 13
@@ -114,6 +114,7 @@ def candidates(qt: DataFrame, index: Index, k: int, made: list[str] | None = Non
     rows = _dealt(asked, plan, "qid", "q", "d").unionByName(
         _dealt(_in_blocks(index.docs), plan, "doc_id", "d", "q"), allowMissingColumns=True)
     key = ["block", "q_part", "d_part"]
+    importable(qt.sparkSession)
     kinds = {**dict(index.docs.dtypes), **dict(asked.dtypes)}
     # Four partitions a cell: few cells meet in one task.
     return rows.repartition(4 * max(1, n), *key).groupBy(*key).applyInArrow(

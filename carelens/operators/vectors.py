@@ -12,9 +12,8 @@ string, so exchanges and joins move numbers. Strings are kept in one table with
 row per distinct term and its document frequency, written once (:func:`term_words`);
 :func:`words` finds two strings of one hash there and refuses them. What a corpus
 has per term and document is never stored: a document is one row, so its term
-counts are taken inside the row, where they are weighed: the gram array is sorted,
-the places where a run starts are kept, and the distance to the next start is the
-count. :func:`transform_in_slices` weighs one slice of the documents after the other,
+counts are taken inside the row, where they are weighed
+(:mod:`carelens.operators.grams`). :func:`transform_in_slices` weighs one slice of the documents after the other,
 so that what a join by term and the sum by document shuffle is on disk for a slice only.
 """
 
@@ -28,7 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from carelens.functions import text as tx
-from carelens.session import materialize, write_once
+from carelens.operators import grams
+from carelens.session import importable, write_once
 
 SLICES = 8  # of the documents, weighed one after the other
 
@@ -53,24 +53,17 @@ def ngrams(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, term, tf_count, word), counted inside each document's row."""
-    g = _grams(docs, id_col, text_col).select("id", F.sort_array("grams").alias("g"))
-    last = F.size("g") - 1
-    starts = F.when(last >= 0, F.filter(
-        F.sequence(F.lit(0), last),
-        lambda i: (i == 0) | (F.get(F.col("g"), i) != F.get(F.col("g"), i - 1))))
-    runs = g.select("id", "g", starts.alias("s"))
-    ends = F.concat(F.slice("s", 2, F.size("s")), F.array(F.size("g")))
-    terms = F.zip_with("s", ends, lambda a, b: F.struct(
-        F.get(F.col("g"), a).alias("word"), (b - a).cast("bigint").alias("tf_count")))
-    return (runs.select("id", F.inline_outer(terms))
-            .filter(F.col("word").isNotNull())
-            .select("id", F.xxhash64("word").alias("term"), "tf_count", "word"))
+    toks = docs.select(F.col(id_col).alias("id"), tx.tokens(F.col(text_col)).alias("_toks"))
+    importable(docs.sparkSession)
+    counts = toks.mapInArrow(grams.counted, f"id {toks.dtypes[0][1]}, word string, tf_count bigint")
+    return counts.select("id", F.xxhash64("word").alias("term"), "tf_count", "word")
 
 
 def term_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(word, df): documents that hold each distinct string, counted from their distinct grams."""
-    g = _grams(docs, id_col, text_col).select(F.explode_outer(F.array_distinct("grams")).alias("word"))
-    return g.filter(F.col("word").isNotNull()).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    """(word, df): documents that hold each distinct string, counted first for the documents of a batch."""
+    importable(docs.sparkSession)
+    some = docs.select(tx.tokens(F.col(text_col)).alias("_toks")).mapInArrow(grams.held, "word string, df bigint")
+    return some.groupBy("word").agg(F.sum("df").alias("df"))
 
 
 @dataclass
